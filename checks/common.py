@@ -17,13 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Added before rounding, so values that lie exactly between two results round the same way everywhere.
+NUDGE = 1e-9
+
+
 def rounded(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
     """Floating columns rounded, negative zero made positive."""
     return df.select(*[
-        (F.round(F.col(f"`{f.name}`").cast("double"), per_column.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f"`{f.name}`").cast("double") + F.lit(NUDGE), per_column.get(f.name, digits))
+         + F.lit(0.0)).alias(f.name)
         if f.dataType.simpleString() in ("double", "float") else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def r(sql: str, digits: int = 6) -> str:
+    """The same rounding in SQL."""
+    return f"(round(CAST({sql} AS DOUBLE) + 1e-9, {digits}) + 0.0)"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder for files that a query writes and reads back."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
