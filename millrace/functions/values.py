@@ -16,7 +16,7 @@ def col(name: str) -> Column:
 def as_list(value) -> list:
     if value is None:
         return []
-    return list(value) if isinstance(value, (list, tuple)) else [value]
+    return list(value) if isinstance(value, (list, tuple, dict)) else [value]
 
 
 def present(df: DataFrame, names) -> list[str]:

@@ -23,14 +23,14 @@ def words(df: DataFrame, name: str, ngram_range=(1, 1)) -> Column:
     text = F.lower(F.coalesce(value(df, name).cast("string"), F.lit("")))
     tokens = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     low, high = ngram_range
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-        else:
-            parts.append(F.when(F.size(tokens) >= n, F.transform(
-                F.sequence(F.lit(1), F.size(tokens) - n + 1),
-                lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>")))
+    # An n-gram extends the n-1-gram that starts at the same word by one more word.
+    grams, parts = tokens, [tokens] if low == 1 else []
+    for n in range(2, high + 1):
+        size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), size), F.slice(tokens, F.lit(n), size),
+                           lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= low:
+            parts.append(grams)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
