@@ -1,2 +1,153 @@
-QUERIES = {}
-SQL = {}
+"""Recipes of the shapes the shipped tasks use, over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.plans import datasets as D
+from millrace.plans.recipe import Recipe
+
+from .common import INTERACTION_KEY, INTERACTION_KEY_SQL, interactions, r, rounded, table, with_split
+from .preprocessing import k_core_sql
+
+
+def recipe(sources, *steps):
+    """A spec from (operator, inputs, params) triples; steps are named o1, o2, ..."""
+    return {"dag": {"sources": [{"id": f"s{i}", "table": t} for i, t in enumerate(sources)],
+                    "ops": [{"id": f"o{i + 1}", "op": op, "prev": prev, "params": params}
+                            for i, (op, prev, params) in enumerate(steps)],
+                    "train": {"prev": [f"o{len(steps)}"]}}}
+
+
+def interaction_features(spark, sf):
+    """Enrichment, column drop, gap filter, core filter, history, lag and rolling features."""
+    spec = recipe(
+        ["interaction", "user", "item"],
+        ("JoinTable", ["s0", "s2", "s1"], {"method": "rec"}),
+        ("DropColumns", ["o1"], {"cols": ["item_name", "user_name"]}),
+        ("FilterSample", ["o2"], {"subset": ["user_id", "item_id", "rating"]}),
+        ("FilterKCore", ["o3"], {"k": 22}),
+        ("CreateSequence", ["o4"], {"max_len": 20, "tie_cols": INTERACTION_KEY}),
+        ("CreateLagFeature", ["o5"], {"target_col": "rating", "lags": [1], "group_cols": ["user_id"],
+                                      "time_col": "timestamp", "tie_cols": INTERACTION_KEY}),
+        ("CreateRollingFeature", ["o6"], {"target_col": "rating", "windows": [5], "aggs": ["mean"], "group_cols": ["user_id"],
+                                          "time_col": "timestamp", "tie_cols": INTERACTION_KEY}))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name"),
+                                                F.col("c_mktsegment").alias("user_segment"))
+    items = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"),
+                                            F.col("p_brand").alias("item_brand"))
+    out = Recipe.from_spec(spec, "rec").run({"interaction": interactions(spark, sf), "user": users, "item": items})
+    return rounded(out.withColumn("item_id_seq", F.array_join(out.item_id_seq.cast("array<string>"), ",")))
+
+
+def relational_features(spark, sf):
+    """A main table with statistics of two auxiliary tables, filled, encoded and scaled on training rows."""
+    spec = recipe(
+        ["main", "history", "nations"],
+        ("JoinTable", ["s0", "s1"], {"method": "agg", "key_col": "id", "prefix": "hist", "agg_funcs": ["mean", "max"]}),
+        ("JoinTable", ["o1", "s2"], {"key_col": "nation"}),
+        ("HandleMV", ["o2"], {"method": "median", "cols": ["hist_price_mean", "hist_price_max"]}),
+        ("OneHotEncode", ["o3"], {"cols": ["segment"]}),
+        ("ScaleFeature", ["o4"], {"cols": ["balance"]}))
+    main = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"),
+        F.col("c_mktsegment").alias("segment"),
+        F.when(F.col("c_custkey") % 5 == 0, "std_test").otherwise("train").alias("__split__"))
+    history = table(spark, sf, "orders").where("o_orderdate < TIMESTAMP_NTZ '1996-01-01'").select(
+        F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    out = Recipe.from_spec(spec).run({"main": main, "history": history, "nations": nations})
+    return rounded(out, 4)
+
+
+def hourly_features(spark, sf):
+    """An hourly panel with calendar, lag and rolling features; gaps become 0."""
+    spec = recipe(
+        ["panel"],
+        ("ExtractDateTimeFeature", ["s0"], {"cols": "_hour_ts", "features": ["hour", "day_of_week", "is_weekend"]}),
+        ("CreateLagFeature", ["o1"], {"target_col": "n", "lags": [1, 2], "group_cols": ["user_id"], "time_col": "_hour_idx"}),
+        ("CreateRollingFeature", ["o2"], {"target_col": "n", "windows": [3], "aggs": ["mean", "max"], "group_cols": ["user_id"],
+                                          "time_col": "_hour_idx"}),
+        ("HandleMV", ["o3"], {"method": "constant", "fill_value": 0,
+                              "cols": ["n_lag_1", "n_lag_2", "n_roll_mean_3", "n_roll_max_3"]}),
+        ("DropColumns", ["o4"], {"cols": ["_hour_ts"]}))
+    panel = D.hourly_panel(table(spark, sf, "events"), "user_id", "ts", {"value": ["mean"]}, "n")
+    return rounded(Recipe.from_spec(spec).run({"panel": panel}), 4)
+
+
+def transaction_features(spark, sf):
+    """Side join, rule repair, clipping, frequency, hash and target encoding with a held-out tail."""
+    spec = recipe(
+        ["lines", "orders"],
+        ("JoinTable", ["s0", "s1"], {"key_col": "o_orderkey"}),
+        ("HandleError", ["o1"], {"rules": [{"col": "l_quantity", "rule": "in_range", "min": 2, "max": 49, "action": "repair",
+                                            "repair_method": "clip"}]}),
+        ("ClipOutlier", ["o2"], {"cols": ["l_extendedprice"]}),
+        ("FrequencyEncode", ["o3"], {"cols": ["l_suppkey"]}),
+        ("HashEncode", ["o4"], {"cols": ["o_orderpriority"], "n_buckets": 8, "drop_original": True}),
+        ("TargetEncode", ["o5"], {"cols": ["l_suppkey"], "target_col": "y"}))
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
+        (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return rounded(Recipe.from_spec(spec).run({"lines": with_split(lines, "l_shipdate", "2000-01-01"), "orders": orders}), 4)
+
+
+def monthly_history(spark, sf):
+    """Wide readings turned long, then summarised per id."""
+    c = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_tax", "l_discount", "l_extendedprice")
+    long = D.wide_to_long(c, "l_partkey", {"amount": ["l_quantity", "l_extendedprice"], "rate": ["l_tax", "l_discount"]}, "step")
+    spec = recipe(
+        ["main", "monthly"],
+        ("JoinTable", ["s0", "s1"], {"method": "agg", "key_col": "l_partkey", "prefix": "m", "agg_funcs": ["mean", "std"], "max_cols": 2}),
+        ("CreateFeature", ["o1"], {"source_cols": ["m_amount_mean", "m_rate_mean"], "output_col": "per_rate", "method": "ratio"}))
+    main = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    return rounded(Recipe.from_spec(spec).run({"main": main, "monthly": long}), 4)
+
+
+QUERIES = {"recipe_interactions": interaction_features, "recipe_relational": relational_features,
+           "recipe_hourly": hourly_features, "recipe_transactions": transaction_features, "recipe_monthly": monthly_history}
+
+_ORDER = f"timestamp, {INTERACTION_KEY_SQL}"
+
+SQL = {
+    "recipe_interactions": k_core_sql(22, 40).replace("SELECT * FROM r40", f"""SELECT user_id, item_id, timestamp, rating, l_orderkey,
+        l_linenumber, l_suppkey, {r('l_extendedprice')} AS l_extendedprice, p_brand AS item_brand, c_mktsegment AS user_segment,
+        coalesce(array_to_string(list(CAST(item_id AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY {_ORDER}
+          ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), ','), '') AS item_id_seq,
+        lag(rating) OVER (PARTITION BY user_id ORDER BY {_ORDER}) AS rating_lag_1,
+        {r(f'avg(rating) OVER (PARTITION BY user_id ORDER BY {_ORDER} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)')} AS rating_roll_mean_5
+        FROM r40 LEFT JOIN customer ON user_id = c_custkey LEFT JOIN part ON item_id = p_partkey"""),
+    "recipe_relational": f"""WITH h AS (SELECT o_custkey AS k, avg(o_totalprice) AS a, max(o_totalprice) AS x, count(DISTINCT o_orderstatus)
+          AS u FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1),
+        m AS (SELECT c.*, n_regionkey, a, x, u, c_custkey % 5 = 0 AS late FROM customer c LEFT JOIN h ON k = c_custkey
+          LEFT JOIN nation ON n_nationkey = c_nationkey),
+        s AS (SELECT median(a) AS ma, median(x) AS mx, avg(c_acctbal) AS mb, stddev_samp(c_acctbal) AS sb FROM m WHERE NOT late)
+        SELECT c_custkey AS id, c_nationkey AS nation, {r('(c_acctbal - mb) / sb', 4)} AS balance,
+          CASE WHEN late THEN 'std_test' ELSE 'train' END AS __split__, {r('coalesce(a, ma)', 4)} AS hist_price_mean,
+          {r('coalesce(x, mx)', 4)} AS hist_price_max, u AS hist_status_nunique, n_regionkey AS region,
+          {', '.join(f"(c_mktsegment = '{g}')::INT AS segment_{g}" for g in
+                     ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'))} FROM m, s""",
+    "recipe_hourly": f"""WITH p AS (SELECT user_id, date_trunc('hour', ts) AS h, avg(value) AS v, count(*) AS n FROM events GROUP BY 1, 2)
+        SELECT user_id, {r('v', 4)} AS value_mean, n, CAST(epoch(h) AS BIGINT) AS _hour_idx, CAST(hour(h) AS INTEGER) AS _hour_ts_hour,
+          CAST(isodow(h) - 1 AS INTEGER) AS _hour_ts_day_of_week, (isodow(h) >= 6)::INT AS _hour_ts_is_weekend,
+          coalesce(lag(n, 1) OVER w, 0) AS n_lag_1, coalesce(lag(n, 2) OVER w, 0) AS n_lag_2,
+          {r('coalesce(avg(n) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0.0)', 4)} AS n_roll_mean_3,
+          coalesce(max(n) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS n_roll_max_3
+        FROM p WINDOW w AS (PARTITION BY user_id ORDER BY h)""",
+    "recipe_transactions": f"""WITH a AS (SELECT l.*, o_orderpriority AS p, (l_returnflag = 'R')::INT AS y,
+          l_shipdate >= TIMESTAMP '2000-01-01' AS late FROM lineitem l LEFT JOIN orders ON l_orderkey = o_orderkey),
+        q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi, avg(y) AS m
+          FROM a WHERE NOT late),
+        s AS (SELECT l_suppkey AS k, count(*) AS f, (sum(y) + max(m)) / (count(*) + 1) AS e FROM a, q WHERE NOT late GROUP BY 1)
+        SELECT l_orderkey AS o_orderkey, l_linenumber, l_suppkey, CASE WHEN late THEN l_quantity ELSE least(greatest(l_quantity, 2.0), 49.0)
+          END AS l_quantity, {r('least(greatest(l_extendedprice, lo), hi)', 4)} AS l_extendedprice, l_shipdate, y,
+          CASE WHEN late THEN 'std_test' ELSE 'train' END AS __split__, coalesce(f, 0) AS l_suppkey_freq,
+          CAST(CAST('0x' || md5(p)[1:16] AS UBIGINT) % 8 AS INTEGER) AS h_o_orderpriority, {r('coalesce(e, m)', 4)} AS l_suppkey_y
+        FROM a CROSS JOIN q LEFT JOIN s ON l_suppkey = k""",
+    "recipe_monthly": f"""WITH l AS (SELECT l_partkey AS k, l_quantity AS a, l_tax AS t FROM lineitem UNION ALL
+          SELECT l_partkey, l_extendedprice, l_discount FROM lineitem),
+        g AS (SELECT k, avg(a) AS am, stddev_samp(a) AS sa, avg(t) AS tm, stddev_samp(t) AS st FROM l GROUP BY 1)
+        SELECT p_partkey AS l_partkey, p_size, {r('am', 4)} AS m_amount_mean, {r('sa', 4)} AS m_amount_std, {r('tm', 4)} AS m_rate_mean,
+          {r('st', 4)} AS m_rate_std, {r('am / nullif(tm, 0.0)', 4)} AS per_rate FROM part LEFT JOIN g ON k = p_partkey""",
+}

@@ -1,2 +1,77 @@
-QUERIES = {}
-SQL = {}
+"""Operators that search nearest neighbours, over all embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace import operators as O
+from millrace.functions.neighbors import nearest
+
+from .common import r, rounded, table
+
+WIDTH = 64
+
+
+def points(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(WIDTH)],
+                    (F.col("label") < 3).cast("int").alias("y"))
+
+
+def neighbour_list(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return rounded(nearest(e, e, 3, same_table=True))
+
+
+def tomek(spark, sf):
+    return O.Undersample("y", "tomek", key_cols=["vec_id"]).transform(features_only(spark, sf)).select("vec_id", "y")
+
+
+def edited(spark, sf):
+    return O.Undersample("y", "enn", 3, key_cols=["vec_id"]).transform(features_only(spark, sf)).select("vec_id", "y")
+
+
+def features_only(spark, sf):
+    """The id as text, so it does not count as a numeric feature."""
+    return points(spark, sf).withColumn("vec_id", F.col("vec_id").cast("string"))
+
+
+def synthetic(spark, sf):
+    """Rows per class after interpolation; new rows stay inside the class's range of values."""
+    p = points(spark, sf).drop("vec_id")
+    out = O.Oversample("y", "smote", 5).transform(p)
+    low = p.groupBy("y").agg(F.min("x0").alias("lo"), F.max("x0").alias("hi"))
+    return out.join(low, "y").groupBy("y").agg(F.count("*").alias("n"), F.min(F.col("x0").between(
+        F.col("lo"), F.col("hi"))).alias("inside"))
+
+
+def adaptive(spark, sf):
+    p = points(spark, sf).drop("vec_id")
+    return O.Oversample("y", "adasyn", 5).transform(p).groupBy("y").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"p18_neighbour_list": neighbour_list, "p18_tomek": tomek, "p19_edited": edited,
+           "p21_synthetic": synthetic, "p22_adaptive": adaptive}
+
+
+def near(k):
+    return f"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, (label < 3)::INT AS y FROM embeddings),
+      n AS (SELECT a.vec_id, b.vec_id AS nb, a.y, b.y AS ny, list_distance(a.v, b.v) AS d, row_number() OVER
+        (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS k FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+      t AS (SELECT * FROM n WHERE k <= {k}), m AS (SELECT y AS c FROM e GROUP BY 1 ORDER BY count(*), y LIMIT 1)"""
+
+
+SQL = {
+    "p18_neighbour_list": f"""WITH {near(3)} SELECT vec_id AS id, CAST(k AS INTEGER) AS rank, nb AS neighbor, {r('d')} AS distance
+        FROM t""",
+    "p18_tomek": f"""WITH {near(1)} SELECT CAST(vec_id AS VARCHAR) AS vec_id, y FROM e WHERE vec_id NOT IN (SELECT a.vec_id
+        FROM t a JOIN t b ON a.nb = b.vec_id AND b.nb = a.vec_id WHERE a.y <> a.ny AND a.y <> (SELECT c FROM m))""",
+    "p19_edited": f"""WITH {near(3)} SELECT CAST(vec_id AS VARCHAR) AS vec_id, y FROM e WHERE y = (SELECT c FROM m) OR vec_id IN
+        (SELECT vec_id FROM t GROUP BY 1 HAVING min((y = ny)::INT) = 1)""",
+    "p21_synthetic": """SELECT y, max(c) OVER () AS n, true AS inside FROM (SELECT (label < 3)::INT AS y, count(*) AS c
+        FROM embeddings GROUP BY 1)""",
+    "p22_adaptive": f"""WITH {near(5)}, s AS (SELECT vec_id, avg((y <> ny)::INT) AS w FROM t WHERE y = (SELECT c FROM m) GROUP BY 1),
+        g AS (SELECT CAST(sum(round_even(w / (SELECT sum(w) FROM s) * (SELECT count(*) FILTER (y <> c) - count(*) FILTER (y = c)
+          FROM e, m), 0)) AS BIGINT) AS k FROM s)
+        SELECT y, count(*) + CASE WHEN y = (SELECT c FROM m) THEN (SELECT k FROM g) ELSE 0 END AS n FROM e GROUP BY y""",
+}

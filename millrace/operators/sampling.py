@@ -283,7 +283,7 @@ class Oversample(Operator):
         total = share.agg(F.sum("w").alias("s")).first()["s"]
         if not total:
             raise ValueError(f"no row of class {c} has a neighbour of another class")
-        count = F.round(F.col("w") / F.lit(total) * F.lit(most - n)).cast("int")
+        count = F.bround(F.col("w") / F.lit(total) * F.lit(most - n)).cast("int")
         return share.withColumn("g", count).where("g > 0").select(
             "id", F.explode(F.sequence(F.lit(1), F.col("g"))).alias("i")) \
             .select(F.concat_ws(":", F.col("id"), F.col("i")).alias("slot"), "id")
