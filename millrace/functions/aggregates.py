@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordering import same_keys
+from .ordering import join_on_keys
 from .quantiles import grouped_quantile
 from .values import col, is_float, is_number, value
 
@@ -35,8 +35,8 @@ def group_statistics(df: DataFrame, keys: list[str], wanted: list[tuple[str, str
         stats = stats.drop("__n__")
     if medians:
         middle = grouped_quantile(known, keys, {out: value(df, n) for n, _, out in medians}, 0.5)
-        stats = stats.join(middle, same_keys(stats, middle, keys), "left").select(
-            *[stats["`" + k + "`"] for k in keys], *[col(out) for _, _, out in wanted])
+        stats = join_on_keys(stats, middle, keys, "left").select(
+            *[col(k) for k in keys], *[col(out) for _, _, out in wanted])
     return stats
 
 

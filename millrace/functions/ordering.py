@@ -47,12 +47,18 @@ def row_index(df: DataFrame, order: list, name: str = POSITION) -> DataFrame:
     return table.withColumn(name, F.element_at(scalar_array(offsets, "bigint"), part + 1) + local).drop(marked)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """NULL-safe equality of the same key columns on two tables."""
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, missing equal to missing; the keys are taken from the left.
+
+    The right keys are renamed first, so tables that share an origin can be joined.
+    """
+    other = {k: f"__right_{i}__" for i, k in enumerate(keys)}
+    side = right.select(*[col(n).alias(other[n]) if n in other else col(n) for n in right.columns])
     condition = F.lit(True)
     for k in keys:
-        condition = condition & left["`" + k + "`"].eqNullSafe(right["`" + k + "`"])
-    return condition
+        condition = condition & col(k).eqNullSafe(F.col(other[k]))
+    joined = left.join(side, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*other.values())
 
 
 def split_by_group_size(df: DataFrame, keys: list[str], limit: int | None = None):
@@ -67,8 +73,7 @@ def split_by_group_size(df: DataFrame, keys: list[str], limit: int | None = None
     large = materialise(large)
     if large.isEmpty():
         return df, None
-    matched = same_keys(df, large, keys)
-    return df.join(large, matched, "left_anti"), df.join(large, matched, "left_semi")
+    return join_on_keys(df, large, keys, "left_anti"), join_on_keys(df, large, keys, "left_semi")
 
 
 def add_window_columns(df: DataFrame, group: list[str], order: list,
@@ -153,6 +158,6 @@ def group_running_sum(df: DataFrame, group: list[str], order: list, amount: Colu
                         {total: col(own)}, block_rows=limit)
     run = materialise(run.withColumn("__rank_before__", col(total) - col(own)))
     base = run.groupBy(*[col(g) for g in group]).agg(F.min("__rank_before__").alias("__base__"))
-    joined = run.join(base, same_keys(run, base, group)).select(
-        *[run["`" + n + "`"] for n in df.columns], (col(total) - col("__base__")).alias(name))
+    joined = join_on_keys(run, base, group).select(
+        *[col(n) for n in df.columns], (col(total) - col("__base__")).alias(name))
     return out.unionByName(joined)

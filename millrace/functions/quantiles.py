@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..session import materialise
-from .ordering import POSITION, row_index, same_keys, split_by_group_size
+from .ordering import POSITION, join_on_keys, row_index, split_by_group_size
 from .values import col
 
 ACCURACY = 2_000
@@ -122,27 +122,20 @@ def grouped_quantile(df: DataFrame, keys: list[str], exprs: dict[str, Column], p
     out = small.groupBy(*[col(k) for k in keys]).agg(*[F.percentile(col(n), prob).alias(n) for n in exprs])
     if large is None:
         return out
-    parts = None
+    full = large.select(*[col(k) for k in keys]).distinct()
     for n in exprs:
         placed = row_index(large.where(col(n).isNotNull()).select(*[col(k) for k in keys], col(n)),
                            [col(k).asc_nulls_first() for k in keys] + [col(n)])
         span = placed.groupBy(*[col(k) for k in keys]).agg(
             F.min(POSITION).alias("__first__"), F.count("*").alias("__n__"))
         span = materialise(span.withColumn("__rank__", (F.col("__n__") - 1) * F.lit(float(prob))))
-        low = F.col("__first__") + F.floor("__rank__")
-        high = F.col("__first__") + F.ceil("__rank__")
-        picked = placed.alias("p").join(span.alias("s"), same_keys(placed, span, keys)) \
-            .where((F.col(POSITION) == low) | (F.col(POSITION) == high))
-        weight = F.col("__rank__") - F.floor("__rank__")
-        one = picked.groupBy(*[placed["`" + k + "`"] for k in keys]).agg(
-            (F.min(col(n)) + (F.max(col(n)) - F.min(col(n))) * F.first(weight)).alias(n))
-        parts = one if parts is None else parts.join(
-            one, same_keys(parts, one, keys), "full").select(
-            *[F.coalesce(parts["`" + k + "`"], one["`" + k + "`"]).alias(k) for k in keys],
-            *[col(m) for m in parts.columns if m not in keys], one["`" + n + "`"])
-    groups = large.select(*[col(k) for k in keys]).distinct()
-    full = groups.join(parts, same_keys(groups, parts, keys), "left").select(
-        *[groups["`" + k + "`"].alias(k) for k in keys], *[col(n) for n in exprs])
+        middle = (F.col(POSITION) == F.col("__first__") + F.floor("__rank__")) | \
+            (F.col(POSITION) == F.col("__first__") + F.ceil("__rank__"))
+        picked = join_on_keys(placed, span, keys).where(middle)
+        weight = F.first(F.col("__rank__") - F.floor("__rank__"))
+        one = picked.groupBy(*[col(k) for k in keys]).agg(
+            (F.min(col(n)) + (F.max(col(n)) - F.min(col(n))) * weight).alias(n))
+        full = join_on_keys(full, one, keys, "left")
     return out.unionByName(full)
 
 

@@ -10,7 +10,7 @@ from .base import Operator
 
 # PageRank defaults: damping, largest number of rounds, tolerance per node (fixed values).
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
-ROUNDS_PER_JOB = 3
+ROUNDS_PER_JOB = 5
 
 
 def simple_edges(df: DataFrame, source: str, target: str, directed: bool) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ordering import POSITION, row_index, same_keys, value_at
+from ..functions.ordering import POSITION, join_on_keys, row_index, value_at
 from ..functions.sampling import class_sizes, hash_sample, key_columns
 from ..functions.values import as_list, col, dtype_of, numeric_columns, value
 from ..operators.base import HELD_OUT, SPLIT
@@ -34,7 +34,7 @@ def stratified_holdout(df: DataFrame, target: str, keys, fraction: float = FRACT
     kept = proportional_sizes(sizes, rows - math.ceil(rows * fraction))
     held = {c: sizes[c] - kept[c] for c in sizes}
     test = hash_sample(df, [(col(target) == F.lit(c), n) for c, n in held.items()], seed, keys)
-    return df.join(test, same_keys(df, test, as_list(keys)), "left_anti"), test
+    return join_on_keys(df, test.select(*[col(k) for k in as_list(keys)]), as_list(keys), "left_anti"), test
 
 
 def chronological_tail(df: DataFrame, time_col: str, fraction: float = FRACTION):
