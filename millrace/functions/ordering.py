@@ -64,8 +64,8 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
 def split_by_group_size(df: DataFrame, keys: list[str], limit: int | None = None):
     """(rows of bounded groups, rows of oversized groups or None).
 
-    Counts are combined before the shuffle; the oversized keys are at most
-    rows/limit, and the optimiser broadcasts them only if their file is small.
+    Counts are combined before the shuffle.  At most rows/limit keys are oversized,
+    which bounds the broadcast; their rows are split off without a shuffle.
     """
     limit = settings.MAX_GROUP_ROWS if limit is None else limit
     large = df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__rows__")) \
@@ -73,7 +73,8 @@ def split_by_group_size(df: DataFrame, keys: list[str], limit: int | None = None
     large = materialise(large)
     if large.isEmpty():
         return df, None
-    return join_on_keys(df, large, keys, "left_anti"), join_on_keys(df, large, keys, "left_semi")
+    few = F.broadcast(large)
+    return join_on_keys(df, few, keys, "left_anti"), join_on_keys(df, few, keys, "left_semi")
 
 
 def add_window_columns(df: DataFrame, group: list[str], order: list,
@@ -158,6 +159,7 @@ def group_running_sum(df: DataFrame, group: list[str], order: list, amount: Colu
                         {total: col(own)}, block_rows=limit)
     run = materialise(run.withColumn("__rank_before__", col(total) - col(own)))
     base = run.groupBy(*[col(g) for g in group]).agg(F.min("__rank_before__").alias("__base__"))
-    joined = join_on_keys(run, base, group).select(
+    # One row per oversized group.
+    joined = join_on_keys(run, F.broadcast(base), group).select(
         *[col(n) for n in df.columns], (col(total) - col("__base__")).alias(name))
     return out.unionByName(joined)

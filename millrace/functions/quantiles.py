@@ -131,7 +131,8 @@ def grouped_quantile(df: DataFrame, keys: list[str], exprs: dict[str, Column], p
         span = materialise(span.withColumn("__rank__", (F.col("__n__") - 1) * F.lit(float(prob))))
         middle = (F.col(POSITION) == F.col("__first__") + F.floor("__rank__")) | \
             (F.col(POSITION) == F.col("__first__") + F.ceil("__rank__"))
-        picked = join_on_keys(placed, span, keys).where(middle)
+        # One row per oversized group.
+        picked = join_on_keys(placed, F.broadcast(span), keys).where(middle)
         weight = F.first(F.col("__rank__") - F.floor("__rank__"))
         one = picked.groupBy(*[col(k) for k in keys]).agg(
             (F.min(col(n)) + (F.max(col(n)) - F.min(col(n))) * weight).alias(n))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import settings
 from ..functions.imputation import iterative_rounds, knn_fill
+from ..functions.joins import keyed_join
 from ..functions.ordering import order_columns
 from ..functions.quantiles import exact_quantiles, modes
 from ..functions.values import (any_true, as_list, col, dtype_of, is_float, is_number, number,
@@ -372,7 +373,7 @@ class ReweightUPG(Operator):
         scored = df.withColumns({"__group__": self._group(df), "__error__": self._error(df)})
         means = scored.where("__group__ is not null").groupBy("__group__").agg(
             F.avg("__error__").alias("__mean__"))
-        joined = scored.join(means, "__group__", "left")
+        joined = keyed_join(scored, means, ["__group__"])
         cutoff = exact_quantiles(joined, {"m": F.col("__mean__")}, [self.threshold])["m"][0]
         bad = F.lit(False) if cutoff is None else F.coalesce(F.col("__mean__") >= F.lit(cutoff), F.lit(False))
         return joined.select(*[col(n) for n in df.columns if n != "sample_weight"],
@@ -496,7 +497,7 @@ class CorrectTypo(Operator):
         fixed = F.coalesce(col("__mapped__"), closest(F.when(col("__mapped__").isNull(), col("__raw__"))),
                            col("__raw__")) if vocabulary else F.coalesce(col("__mapped__"), col("__raw__"))
         values = values.select("__raw__", fixed.alias("__fixed__"))
-        joined = df.join(values, df["`" + n + "`"] == values["__raw__"], "left")
+        joined = keyed_join(df.withColumn("__raw__", col(n)), values, ["__raw__"])
         return joined.select(*[col("__fixed__").alias(n) if c == n else col(c) for c in columns])
 
 

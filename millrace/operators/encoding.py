@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import settings
+from ..functions.joins import keyed_join
 from ..functions.ordering import POSITION, row_index
 from ..functions.values import as_list, col, dtype_of, present, string_columns, value
 from ..session import materialise
@@ -15,8 +16,7 @@ class Lookup:
     """A fitted value -> number table.
 
     Few entries become a literal map inside the projection.  More stay a durable
-    table joined on the value; the optimiser broadcasts it only if its files are
-    small, and splits oversized join partitions otherwise.
+    table joined on the value.
     """
 
     def __init__(self, table: DataFrame):
@@ -39,7 +39,7 @@ class Lookup:
             code = F.try_element_at(F.create_map(*pairs), value(df, name))
             return df.withColumn(out, F.coalesce(code, default))
         side = self.table.select(F.col("key").alias("__key__"), F.col("code").alias("__code__"))
-        joined = df.join(side, value(df, name) == F.col("__key__"), "left")
+        joined = keyed_join(df.withColumn("__key__", value(df, name)), side, ["__key__"], stored=True)
         code = F.coalesce(F.col("__code__"), default).alias(out)
         kept = [code if n == out else col(n) for n in df.columns]
         return joined.select(*kept, *([] if out in df.columns else [code]))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import settings
 from ..functions.aggregates import group_statistics
+from ..functions.joins import keyed_join
 from ..functions.ordering import add_window_columns, order_columns, row_index, split_by_group_size, POSITION
 from ..functions.values import as_list, col, dtype_of, number, numeric_columns, present, timestamp, value
-from ..session import materialise
 from .base import HELD_OUT, SPLIT, Operator, choose
 from .encoding import text_of
 from .integration import CustomTransform
@@ -135,8 +135,7 @@ class CrossFeature(Operator):
 class AggregateGroupFeature(Operator):
     """Per-group statistics joined back to every row.
 
-    Aggregated first, so a huge group reaches the join as one row; adaptive
-    execution splits the big side where one key fills a partition.
+    Aggregated first, so a huge group reaches the join as one row.
     """
 
     cross_row = True
@@ -153,8 +152,8 @@ class AggregateGroupFeature(Operator):
         if not keys or not names:
             return df
         wanted = [(n, f, f"{n}_{f}") for n in names for f in self.agg_funcs]
-        stats = group_statistics(df, keys, wanted)
-        return df.join(stats, keys, "left").select(*[col(n) for n in df.columns], *[col(n) for _, _, n in wanted])
+        return keyed_join(df, group_statistics(df, keys, wanted), keys).select(
+            *[col(n) for n in df.columns], *[col(n) for _, _, n in wanted])
 
 
 CALENDAR = {

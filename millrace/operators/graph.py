@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.joins import hot_keys, keyed_join, split_join
 from ..functions.values import as_list, col, value
 from ..session import materialise
 from .base import Operator
@@ -42,6 +43,7 @@ def pagerank(edges: DataFrame, directed: bool, rounds: int | None = None) -> Dat
     nodes = links.select(F.col("src").alias("node")).union(links.select(F.col("dst"))).distinct()
     nodes = materialise(nodes.join(out, F.col("node") == F.col("src"), "left").select("node", "links"))
     n = nodes.count()
+    hot = hot_keys(links, ["src"])
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
     ranks = nodes.withColumn("p0", F.lit(1.0 / n))
@@ -53,7 +55,7 @@ def pagerank(edges: DataFrame, directed: bool, rounds: int | None = None) -> Dat
         step = min(step, left)
         base = (1.0 - DAMPING) / n + DAMPING * loose / n
         for i in range(1, step + 1):
-            ranks = _one_round(links, ranks, base, f"p{i - 1}", f"p{i}")
+            ranks = _one_round(links, hot, ranks, base, f"p{i - 1}", f"p{i}")
         ranks = materialise(ranks)
         row = ranks.agg(*[F.sum(F.abs(F.col(f"p{i}") - F.col(f"p{i - 1}"))).alias(f"m{i}") for i in range(1, step + 1)],
                         F.sum(F.when(F.col("links").isNull(), F.col(f"p{step}")).otherwise(0.0)).alias("loose")).first()
@@ -65,9 +67,11 @@ def pagerank(edges: DataFrame, directed: bool, rounds: int | None = None) -> Dat
     return ranks.select("node", F.col("p0").alias("pagerank"))
 
 
-def _one_round(links, ranks, base, before, after):
-    flow = links.join(ranks.where("links is not null").select(
-        F.col("node").alias("src"), (F.col(before) / F.col("links")).alias("share")), "src") \
+def _one_round(links, hot, ranks, base, before, after):
+    shares = ranks.where("links is not null").select(
+        F.col("node").alias("src"), (F.col(before) / F.col("links")).alias("share"))
+    # The edges of a hub do not gather in one task; inflow is combined before its shuffle.
+    flow = split_join(links, shares, ["src"], "inner", hot) \
         .groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
     return ranks.join(flow, "node", "left").withColumn(
         after, F.lit(base) + F.lit(DAMPING) * F.coalesce("inflow", F.lit(0.0))).drop("inflow")
@@ -88,20 +92,20 @@ class ExtractGraphFeature(Operator):
         if self.source_col not in df.columns or self.target_col not in df.columns:
             return df
         columns, edges = list(df.columns), simple_edges(df, self.source_col, self.target_col, self.directed)
-        tables = {}
-        if "degree" in self.features or "pagerank" in self.features:
-            edges = materialise(edges)
-        if "degree" in self.features:
-            tables["degree"] = degrees(edges)
-        if "pagerank" in self.features:
-            tables["pagerank"] = pagerank(edges, self.directed, self.rounds)
+        edges = materialise(edges)
+        made = [f for f in ("degree", "pagerank") if f in self.features]
+        tables = {"degree": lambda: degrees(edges), "pagerank": lambda: pagerank(edges, self.directed, self.rounds)}
+        zeros = {"degree": F.lit(0).cast("bigint"), "pagerank": F.lit(0.0)}
+        nodes = None
+        for f in made:
+            nodes = tables[f]() if nodes is None else nodes.join(tables[f](), "node", "full")
+        if nodes is None:
+            return df
+        nodes = materialise(nodes.withColumnRenamed("node", "__node__"))
         out = df
         for end in (self.source_col, self.target_col):
-            for feature, table in tables.items():
-                name = f"graph_{end}_{feature}"
-                side = table.select(F.col("node").alias("__node__"), F.col(feature).alias("__f__"))
-                zero = F.lit(0).cast("bigint") if feature == "degree" else F.lit(0.0)
-                out = out.join(side, value(out, end) == F.col("__node__"), "left").select(
-                    *[col(n) for n in columns], F.coalesce("__f__", zero).alias(name))
-                columns.append(name)
+            held = keyed_join(out.withColumn("__node__", value(out, end)), nodes, ["__node__"], stored=True)
+            out = held.select(*[col(n) for n in columns],
+                              *[F.coalesce(f, zeros[f]).alias(f"graph_{end}_{f}") for f in made])
+            columns += [f"graph_{end}_{f}" for f in made]
         return out

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.aggregates import group_statistics
+from ..functions.joins import keyed_join
 from ..functions.ordering import POSITION, order_columns, row_index
 from ..functions.values import (as_list, col, dtype_of, is_number, number, numeric_columns, present,
                                 timestamp, value)
@@ -99,7 +100,7 @@ class JoinTable(Operator):
             return df
         # One row per key before the join; a missing key forms no group.
         stats = group_statistics(aux, [self.key_col], wanted)
-        return df.join(stats, self.key_col, "left").select(
+        return keyed_join(df, stats, [self.key_col]).select(
             *[col(n) for n in df.columns], *[col(n) for _, _, n in wanted])
 
     def _users_and_items(self, df):

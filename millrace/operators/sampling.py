@@ -7,8 +7,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.joins import hot_keys, keyed_join, split_join
 from ..functions.neighbors import nearest
-from ..functions.ordering import POSITION, group_running_sum, order_columns, row_index
+from ..functions.ordering import POSITION, group_running_sum, join_on_keys, order_columns, row_index
 from ..functions.sampling import beta_draws, class_sizes, hash_sample, key_columns
 from ..functions.values import (as_list, col, dtype_of, hash_index, hash_normal, hash_uniform, is_number,
                                 number, numeric_columns, present, value)
@@ -33,27 +34,27 @@ def draw_unseen(draws: DataFrame, seen: DataFrame, items: DataFrame, user: str,
     """
     pool = row_index(items.select(col(item).alias("__item__")), ["__item__"], "__no__")
     size = pool.count()
-    pairs = seen.select(col(user).alias("__user__"), col(item).alias("__item__")).distinct() \
-        .join(pool, "__item__").select("__user__", "__no__")
+    pairs = seen.select(col(user).alias("__user__"), col(item).alias("__item__")).distinct()
+    pairs = keyed_join(pairs, pool, ["__item__"], "inner").select("__user__", "__no__")
     ranked = materialise(group_running_sum(pairs, ["__user__"], ["__no__"], F.lit(1), "__rank__"))
     taken = ranked.groupBy("__user__").agg(F.count("*").alias("__taken__"))
-    joined = draws.join(taken, draws["`" + user + "`"].eqNullSafe(taken["__user__"]), "left")
+    joined = keyed_join(draws.withColumn("__user__", col(user)), taken, ["__user__"])
     free = F.lit(size) - F.coalesce(F.col("__taken__"), F.lit(0))
     joined = joined.withColumn("__free__", free).where("__free__ > 0").withColumn(
         "__at__", F.explode(free_positions(seed, F.col("__free__"), keys, n, distinct))) \
-        .drop("__user__", "__taken__", "__free__")
+        .drop("__taken__", "__free__")
     joined = materialise(joined)
     # Free items before the i-th taken one: number - i.  A draw passes all taken with that count <= draw.
     marks = ranked.select("__user__", (F.col("__no__") - (F.col("__rank__") - 1)).alias("__at__"),
                           F.lit(0).alias("__kind__"))
-    wanted = joined.select(col(user).alias("__user__"), "__at__").distinct().withColumn("__kind__", F.lit(1))
+    wanted = joined.select("__user__", "__at__").distinct().withColumn("__kind__", F.lit(1))
     passed = group_running_sum(marks.unionByName(wanted), ["__user__"], ["__at__", "__kind__"],
                                F.when(F.col("__kind__") == 0, 1).otherwise(0), "__passed__")
-    passed = passed.where("__kind__ = 1").withColumnRenamed("__at__", "__draw__").drop("__kind__")
-    placed = joined.join(passed, joined["`" + user + "`"].eqNullSafe(passed["__user__"])
-                         & (joined["__at__"] == passed["__draw__"]))
-    placed = placed.withColumn("__no__", F.col("__draw__") + F.col("__passed__"))
-    return placed.join(pool, "__no__").drop("__no__", "__draw__", "__passed__", "__at__", "__user__")
+    passed = passed.where("__kind__ = 1").drop("__kind__")
+    # Joined on user and position: a busy user's draws spread over the free positions.
+    placed = join_on_keys(joined, passed, ["__user__", "__at__"])
+    placed = placed.withColumn("__no__", F.col("__at__") + F.col("__passed__"))
+    return keyed_join(placed, pool, ["__no__"], "inner").drop("__no__", "__passed__", "__at__", "__user__")
 
 
 def free_positions(seed: int, free, keys: list, n: int, distinct: bool):
@@ -111,7 +112,7 @@ class SampleNegative(Operator):
             rank = Window.partitionBy(col(item)).orderBy(*order_columns(order))
             first = known.withColumn("__r__", F.row_number().over(rank)).where("__r__ = 1") \
                 .select(col(item).alias("__item__"), *[col(n).alias(f"__f_{n}") for n in item_features])
-            drawn = drawn.drop(*item_features).join(first, "__item__", "left") \
+            drawn = keyed_join(drawn.drop(*item_features), first, ["__item__"]) \
                 .withColumnsRenamed({f"__f_{n}": n for n in item_features})
         return df.unionByName(drawn.select(*[col(n) for n in df.columns]))
 
@@ -137,18 +138,19 @@ class FilterKCore(Operator):
         pairs = materialise(known.groupBy(*[col(n).alias(f"k{i}") for i, n in enumerate(keys)])
                             .agg(F.count("*").alias("w")))
         size = pairs.count()
+        hot = [hot_keys(pairs, [f"k{i}"]) for i in range(len(keys))]
         for _ in range(self.max_rounds):
             kept = pairs
             for i in range(len(keys)):
                 enough = pairs.groupBy(f"k{i}").agg(F.sum("w").alias("n")).where(F.col("n") >= self.k)
-                kept = kept.join(enough.select(f"k{i}"), f"k{i}", "left_semi")
+                kept = split_join(kept, enough.select(f"k{i}"), [f"k{i}"], "left_semi", hot[i])
             pairs = materialise(kept)
             smaller = pairs.count()
             if smaller == size:
                 break
             size = smaller
-        matches = reduce(lambda a, b: a & b, [df["`" + n + "`"] == pairs[f"k{i}"] for i, n in enumerate(keys)])
-        return df.join(pairs, matches, "left_semi")
+        kept = pairs.select(*[col(f"k{i}").alias(n) for i, n in enumerate(keys)])
+        return keyed_join(known, kept, keys, "left_semi", stored=True)
 
 
 def numbered_vectors(df: DataFrame, names: list[str], order) -> DataFrame:

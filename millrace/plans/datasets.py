@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.aggregates import group_statistics
-from ..functions.ordering import POSITION, order_columns, row_index
+from ..functions.joins import keyed_join
+from ..functions.ordering import POSITION, row_index
 from ..functions.quantiles import exact_quantiles
 from ..functions.sampling import hash_sample
 from ..functions.values import as_list, col, dtype_of, number, value
@@ -59,7 +60,8 @@ def busiest(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the ``n`` most frequent keys (the smaller key on a tie)."""
     top = df.where(value(df, key).isNotNull()).groupBy(col(key)).agg(F.count("*").alias("__n__")) \
         .orderBy(F.desc("__n__"), col(key)).limit(int(n)).select(key)
-    return df.join(top, key, "left_semi").select(*[col(c) for c in df.columns])
+    # At most n rows.
+    return df.join(F.broadcast(top), key, "left_semi").select(*[col(c) for c in df.columns])
 
 
 def row_sample(df: DataFrame, n: int, seed: int = 42, keys=None) -> DataFrame:
@@ -150,7 +152,7 @@ def attach_classes(nodes: DataFrame, classes: DataFrame, id_col: str, class_col:
     """A node's own label first, then the lookup by id, else -1."""
     side = classes.select(col(id_col).cast("string").alias("__id__"), class_code(col(class_col)).alias("__c__"))
     side = side.groupBy("__id__").agg(F.max("__c__").alias("__c__"))
-    joined = nodes.join(side, nodes["`" + id_col + "`"].cast("string") == F.col("__id__"), "left")
+    joined = keyed_join(nodes.withColumn("__id__", col(id_col).cast("string")), side.where("__id__ is not null"), ["__id__"])
     own = class_code(col(class_col)) if class_col in nodes.columns else F.lit(None).cast("int")
     label = F.coalesce(own, F.col("__c__"), F.lit(-1)).cast("bigint").alias(class_col)
     return joined.select(*[col(n) for n in nodes.columns if n != class_col], label)
@@ -168,7 +170,7 @@ def _renumber_lists(df: DataFrame, name: str, numbers: DataFrame) -> DataFrame:
     row = "__row__"
     kept = materialise(df.withColumn(row, F.monotonically_increasing_id()))
     parts = kept.select(row, F.posexplode(col(name)).alias("p", "v"))
-    mapped = parts.join(numbers, "v", "left").groupBy(row).agg(
+    mapped = keyed_join(parts, numbers, ["v"]).groupBy(row).agg(
         F.sort_array(F.collect_list(F.struct("p", F.coalesce("no", F.lit(0)).alias("no")))).alias("__l__"))
     joined = kept.join(mapped, row, "left")
     new = F.when(col(name).isNotNull(), F.coalesce(F.transform("__l__", lambda s: s["no"]),
@@ -195,7 +197,7 @@ def dense_ids(tables: dict[str, DataFrame], id_col: str, list_cols=()) -> dict[s
     for t, d in tables.items():
         columns = d.columns
         if id_col in columns:
-            joined = d.join(numbers, col(id_col) == F.col("v"), "left")
+            joined = keyed_join(d.withColumn("v", col(id_col)), numbers, ["v"])
             d = joined.select(*[F.col("no").alias(n) if n == id_col else col(n) for n in columns])
         for n in list_cols:
             if n in columns:
@@ -223,7 +225,7 @@ def token_ids(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
         if is_list:
             out[t] = _renumber_lists(d, name, numbers)
         else:
-            joined = d.join(numbers, value(d, name) == F.col("v"), "left")
+            joined = keyed_join(d.withColumn("v", value(d, name)), numbers, ["v"])
             out[t] = joined.select(*[F.coalesce("no", F.lit(0)).alias(n) if n == name else col(n)
                                      for n in d.columns])
     return out
@@ -243,7 +245,7 @@ def edge_index(edges: DataFrame, src: str, dst: str, nodes: DataFrame, node_id:
     a = numbers.select(F.col("__id__").alias("a"), F.col(POSITION).alias("src"))
     b = numbers.select(F.col("__id__").alias("b"), F.col(POSITION).alias("dst"))
     pairs = edges.select(col(src).cast("string").alias("a"), col(dst).cast("string").alias("b")).distinct()
-    return pairs.join(a, "a").join(b, "b").select("src", "dst")
+    return keyed_join(keyed_join(pairs, a, ["a"], "inner"), b, ["b"], "inner").select("src", "dst")
 
 
 def time_step_masks(nodes: DataFrame, step_col: str, class_col: str = "class", last_train: int = 34,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.joins import keyed_join
 from ..functions.ordering import add_window_columns
-from ..functions.values import as_list, col, dtype_of, number, numeric_columns, value
+from ..functions.values import as_list, col, dtype_of, number, numeric_columns
+from ..session import materialise
 
 
 def vocabulary_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,8 +91,9 @@ def normalised_adjacency(edges: DataFrame, src: str, dst: str, nodes: DataFrame,
     loops = nodes.select(col(node).alias("src"), col(node).alias("dst")).distinct()
     full = both.unionByName(loops)
     degree = full.groupBy("src").agg(F.count("*").alias("d"))
-    joined = full.join(degree, "src").join(
-        degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst", "left")
+    degree = materialise(degree)
+    joined = keyed_join(full, degree, ["src"], "inner", stored=True)
+    joined = keyed_join(joined, degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), ["dst"], stored=True)
     weight = F.lit(1.0) / F.sqrt(F.col("d").cast("double") * F.coalesce("e", F.lit(1)).cast("double"))
     return joined.groupBy("src", "dst").agg(F.sum(weight).alias("weight"))
 
@@ -101,6 +104,6 @@ def neighbour_means(edges: DataFrame, src: str, dst: str, nodes: DataFrame, node
     pairs = edges.select(col(src).alias("a"), col(dst).alias("b")).where("a is not null and b is not null")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     table = nodes.select(col(node).alias("b"), *[F.coalesce(number(nodes, n), F.lit(0.0)).alias(n) for n in features])
-    means = both.join(table, "b").groupBy("a").agg(*[F.avg(col(n)).alias(f"{n}_neighbours") for n in features])
+    means = keyed_join(both, table, ["b"], "inner").groupBy("a").agg(*[F.avg(col(n)).alias(f"{n}_neighbours") for n in features])
     return nodes.select(col(node)).join(means, col(node) == F.col("a"), "left").select(
         col(node), *[F.coalesce(col(f"{n}_neighbours"), F.lit(0.0)).alias(f"{n}_neighbours") for n in features])

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joins import keyed_join
 from ..functions.ordering import POSITION, join_on_keys, row_index, value_at
 from ..functions.sampling import class_sizes, hash_sample, key_columns
 from ..functions.values import as_list, col, dtype_of, numeric_columns, value
@@ -84,8 +85,7 @@ def recent_positives(df: DataFrame, order: list, target: str | None, positive_la
         late = late.where(col(target) == F.lit(positive_label))
     users = train.groupBy(col(user)).agg(F.count("*").alias("__n__")).where(F.col("__n__") >= min_train).select(user)
     items = train.select(item).where(col(item).isNotNull()).distinct()
-    return train, late.join(users, user, "left_semi").join(items, item, "left_semi").select(
-        *[col(c) for c in df.columns])
+    return train, keyed_join(keyed_join(late, users, [user], "left_semi"), items, [item], "left_semi")
 
 
 def holdout_negatives(held: DataFrame, train: DataFrame, user: str = "user_id", item: str = "item_id",
@@ -116,7 +116,7 @@ def materialise_negatives(negatives: DataFrame, positives: DataFrame, train: Dat
         rank = F.struct(*[x for n in (as_list(order) or source.columns) for x in (col(n).isNull(), col(n))]) \
             if order or source is train else facts
         first = source.where(some).groupBy(col(user)).agg(F.min_by(facts, rank).alias("__facts__"))
-        out = out.join(first, user, "left")
+        out = keyed_join(out, first, [user])
     made = []
     for n in positives.columns:
         kind = dtype_of(positives, n)
@@ -148,12 +148,12 @@ def keep_known(df: DataFrame, user: str | None, item: str | None, target: str |
     train = df.where(~F.coalesce(col(SPLIT) == HELD_OUT, F.lit(False)))
     for key in (user, item):
         if key and key in df.columns:
-            known = train.select(col(key).alias("__k__")).where("__k__ is not null").distinct()
-            held = held.join(known, col(key) == F.col("__k__"), "left_semi")
+            known = train.select(col(key)).where(col(key).isNotNull()).distinct()
+            held = keyed_join(held, known, [key], "left_semi")
     if target and user and target in df.columns and user in df.columns:
-        hits = held.where(col(target) == F.lit(positive_label)).select(col(user).alias("__k__")) \
-            .where("__k__ is not null").distinct()
-        held = held.join(hits, col(user) == F.col("__k__"), "left_semi")
+        hits = held.where(col(target) == F.lit(positive_label)).select(col(user)) \
+            .where(col(user).isNotNull()).distinct()
+        held = keyed_join(held, hits, [user], "left_semi")
     return train.unionByName(held)
 
 
@@ -195,7 +195,7 @@ def budget_sample_recent(df: DataFrame, rows: int, order_desc: list, user: str,
     positives = held.where(hit)
     # One positive stands for about a hundred rows of its user (fixed value 101).
     chosen = hash_sample(positives, [(F.lit(True), max(1, rows // 101))], seed, keys)
-    theirs = held.join(chosen.select(col(user).alias("__k__")).distinct(), col(user) == F.col("__k__"), "left_semi")
+    theirs = keyed_join(held, chosen.select(col(user)).where(col(user).isNotNull()).distinct(), [user], "left_semi")
     n = theirs.agg(F.count("*").alias("n"), F.count(F.when(hit, 1)).alias("p")).first()
     if n["n"] > rows:
         miss = ~F.coalesce(hit, F.lit(False))

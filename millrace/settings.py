@@ -16,6 +16,9 @@ MAX_BRACKET_VALUES = 100_000
 # Largest number of fitted entries that become a literal lookup inside the plan.
 MAX_LITERAL_ENTRIES = 2_000
 
+# Largest measured size of a table that may be sent to every executor.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 # Largest number of output columns a fitted operator may create from data.
 MAX_FITTED_COLUMNS = 10_000
 
