@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import settings
 from ..session import materialise
-from .ordering import join_on_keys
+from .ordering import POSITION, join_on_keys, row_index
 from .values import col
 
 
@@ -56,7 +58,58 @@ def keyed_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "lef
     hot keys have been split off.  Missing keys match missing keys.
     """
     other = other if stored else materialise(other)
-    size = measured_bytes(other)
-    if size is not None and size <= settings.BROADCAST_BYTES:
+    if _small(other):
         return join_on_keys(df, F.broadcast(other), keys, how)
     return split_join(df, other, keys, how, hot_keys(df, keys, limit))
+
+
+def salted_join(df: DataFrame, other: DataFrame, keys: list[str], how: str, limit: int | None = None) -> DataFrame:
+    """Join where a key may be large on both sides.
+
+    Rows of ``df`` are numbered by a distributed sort and dealt out over as many
+    salts as keep a key's share bounded; ``other`` is repeated once per salt.
+    """
+    limit = settings.MAX_GROUP_ROWS if limit is None else limit
+    placed = row_index(df, df.columns)
+    salts = max(1, math.ceil(placed.count() / limit))
+    left = placed.withColumn("__salt__", (F.col(POSITION) % salts).cast("int")).drop(POSITION)
+    right = other.withColumn("__salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return join_on_keys(left, right, [*keys, "__salt__"], how).drop("__salt__")
+
+
+def _small(table: DataFrame) -> bool:
+    size = measured_bytes(table)
+    return size is not None and size <= settings.BROADCAST_BYTES
+
+
+def wide_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left",
+              limit: int | None = None) -> DataFrame:
+    """Left or inner join with a table that may repeat keys; missing matches missing.
+
+    A measured small table is broadcast.  Otherwise keys that are large on the left
+    or on the right are split off: the other side's slice is broadcast if measured
+    small, and salted if not.  Other kinds of join are left to Spark as they are.
+    """
+    if how not in ("left", "inner"):
+        return join_on_keys(df, other, keys, how)
+    if _small(other):
+        return join_on_keys(df, F.broadcast(other), keys, how)
+    parts = []
+    for side in ("left", "right"):
+        hot = hot_keys(df if side == "left" else other, keys, limit)
+        if hot is None:
+            continue
+        few = F.broadcast(hot)
+        left, right = join_on_keys(df, few, keys, "left_semi"), join_on_keys(other, few, keys, "left_semi")
+        df, other = join_on_keys(df, few, keys, "left_anti"), join_on_keys(other, few, keys, "left_anti")
+        if side == "left":
+            parts.append(join_on_keys(left, F.broadcast(right), keys, how) if _small(right)
+                         else salted_join(left, right, keys, how, limit))
+        else:
+            # The right side has rows for each of these keys, so every left row matches.
+            parts.append(join_on_keys(F.broadcast(left), right, keys, "inner") if _small(left)
+                         else salted_join(right, left, keys, "inner", limit))
+    out = join_on_keys(df, other, keys, how)
+    for part in parts:
+        out = out.unionByName(part.select(*[col(c) for c in out.columns]))
+    return out

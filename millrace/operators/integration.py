@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.aggregates import group_statistics
-from ..functions.joins import keyed_join
+from ..functions.joins import keyed_join, wide_join
 from ..functions.ordering import POSITION, order_columns, row_index
 from ..functions.values import (as_list, col, dtype_of, is_number, number, numeric_columns, present,
                                 timestamp, value)
@@ -80,7 +80,11 @@ class JoinTable(Operator):
         right = self.aux_df.select(
             value(self.aux_df, self.key_col).cast("string").alias(key),
             *[value(self.aux_df, n).alias(renamed.get(n, n)) for n in self.aux_df.columns if n != self.key_col])
-        joined = left.join(right, key, self.how)
+        if self.how in ("left", "inner"):
+            # A missing key matches nothing; the join below would match missing to missing.
+            joined = wide_join(left, right.where(F.col(key).isNotNull()), [key], self.how)
+        else:
+            joined = left.join(right, key, self.how)
         added = [n for n in right.columns if n not in taken and n != key and n not in renamed.values()]
         return joined.select(
             *[F.coalesce(col(n), col(renamed[n])).alias(n) if n in renamed else col(n) for n in df.columns],
@@ -117,6 +121,9 @@ def _merge_null_safe(left, right, key, how):
     right_key = f"__right__{key}"
     right = right.select(*[col(n).alias(right_key if n == key else f"{n}_y" if n in clash else n)
                            for n in right.columns])
+    if how in ("left", "inner"):
+        joined = wide_join(left, right.withColumnRenamed(right_key, key), [key], how)
+        return joined.select(*[col(n) for n in left.columns], *[col(n) for n in right.columns if n != right_key])
     joined = left.join(right, col(key).eqNullSafe(col(right_key)), how)
     keep = [F.coalesce(col(key), col(right_key)).alias(key) if n == key else col(n) for n in left.columns]
     return joined.select(*keep, *[col(n) for n in right.columns if n != right_key])

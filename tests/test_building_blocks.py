@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from millrace.functions import imputation, neighbors, ordering, quantiles, sampling
+from millrace import settings
+from millrace.functions import imputation, joins, neighbors, ordering, quantiles, sampling
 from millrace.functions.moments import cross_products
 from millrace.functions.values import number
 
@@ -178,3 +179,30 @@ def test_cross_products(spark):
 def test_number_rejects_text_that_is_not_a_number(spark):
     df = spark.createDataFrame([("1.5",), ("1d",), ("nan",), (" 2 ",), ("",), (None,), ("-.5e1",)], "s string")
     assert [r[0] for r in df.select(number(df, "s")).collect()] == [1.5, None, None, 2.0, None, None, -5.0]
+
+
+@pytest.fixture(scope="module")
+def hot_pair(spark):
+    """Left and right tables where 'h' is large on the left, 'r' on the right, 'b' on both; keys may miss."""
+    left = [(k, i) for i, k in enumerate(["h"] * 40 + ["b"] * 25 + ["r", "x", None, None, "y"])]
+    right = [(k, i) for i, k in enumerate(["r"] * 30 + ["b"] * 25 + ["h", "h", "y", None])]
+    return (spark.createDataFrame(left, "k string, a int"), spark.createDataFrame(right, "k string, b int"))
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("budget", [0, 200, 10**9])
+def test_wide_join_equals_plain_join(hot_pair, rows, monkeypatch, how, budget):
+    monkeypatch.setattr(settings, "BROADCAST_BYTES", budget)
+    left, right = hot_pair
+    plain = left.alias("l").join(right.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")), how).select("l.k", "a", "b")
+    assert rows(joins.wide_join(left, right, ["k"], how, limit=10), "k", "a", "b") == rows(plain)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("budget", [0, 10**9])
+def test_keyed_join_equals_plain_join(hot_pair, rows, monkeypatch, how, budget):
+    monkeypatch.setattr(settings, "BROADCAST_BYTES", budget)
+    left, right = hot_pair
+    one = right.groupBy("k").agg(F.max("b").alias("b")).where("k <> 'x' or k is null")
+    plain = left.join(one.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")), how).drop("k2")
+    assert rows(joins.keyed_join(left, one, ["k"], how, limit=10)) == rows(plain)
