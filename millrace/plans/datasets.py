@@ -9,7 +9,7 @@ from ..functions.joins import keyed_join
 from ..functions.ordering import POSITION, row_index
 from ..functions.quantiles import exact_quantiles
 from ..functions.sampling import hash_sample
-from ..functions.values import as_list, col, dtype_of, number, value
+from ..functions.values import as_list, col, dtype_of, is_number, number, value
 from ..operators.base import HELD_OUT, SPLIT
 from ..session import materialise
 
@@ -33,26 +33,34 @@ def within(df: DataFrame, ranges: dict[str, tuple], window: tuple | None = None,
     """Rows inside every inclusive range; missing fails.  ``blank`` ranges only clear values."""
     cleared = {n: F.when(number(df, n).between(*lohi), col(n)) for n, lohi in (blank or {}).items()
                if n in df.columns}
-    keep = F.lit(True)
+    out = df
     for n, (low, high) in ranges.items():
         if n in df.columns:
-            keep = keep & number(df, n).between(low, high)
+            out = out.where(_between(df, n, low, high))
     if window:
         name, start, end = window
-        keep = keep & col(name).cast("timestamp_ntz").between(
-            F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
-    out = df.where(F.coalesce(keep, F.lit(False)))
+        kind = dtype_of(df, name)
+        when = col(name) if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)) \
+            else col(name).try_cast("timestamp_ntz")
+        kind = kind if isinstance(kind, (T.TimestampNTZType, T.TimestampType)) else T.TimestampNTZType()
+        out = out.where(when.between(F.lit(start).cast(kind), F.lit(end).cast(kind)))
     return out.withColumns(cleared) if cleared else out
 
 
+def _between(df, name, low, high):
+    """Inclusive range as plain comparisons, so the scan can skip on them (NaN is above any bound)."""
+    v = col(name) if is_number(dtype_of(df, name)) else number(df, name)
+    return (v >= F.lit(low)) & (v <= F.lit(high))
+
+
 def within_then_iqr(df: DataFrame, name: str, low: float, high: float, width: float = 3.0,
                     window: tuple | None = None) -> DataFrame:
     """Range filter, then a quartile filter learned from what is left, then a date window."""
-    out = df.where(F.coalesce(number(df, name).between(low, high), F.lit(False)))
+    out = df.where(_between(df, name, low, high))
     q1, q3 = exact_quantiles(out, {name: number(out, name)}, [0.25, 0.75])[name]
     if q1 is not None and q3 - q1 > 0:
         span = width * (q3 - q1)
-        out = out.where(number(out, name).between(q1 - span, q3 + span))
+        out = out.where(_between(out, name, q1 - span, q3 + span))
     return within(out, {}, window) if window else out
 
 
