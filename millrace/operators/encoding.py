@@ -138,8 +138,10 @@ def text_of(df: DataFrame, name: str) -> Column:
 def md5_bucket(text: Column, n: int) -> Column:
     """First eight MD5 bytes, read big-endian, modulo ``n`` (below 2**31)."""
     digest = F.md5(text)
-    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     low = F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
+    if (1 << 32) % n == 0:
+        return F.pmod(low, F.lit(n)).cast("int")  # the upper half vanishes
+    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     return F.pmod(F.pmod(high, F.lit(n)) * F.lit((1 << 32) % n) + low, F.lit(n)).cast("int")
 
 

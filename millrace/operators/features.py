@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -70,24 +71,23 @@ class CreateFeature(Operator):
             if m == "diff":
                 return a - b
             return F.try_divide(a, b if m == "ratio" else F.lit(float(self.method_kwargs.get("offset", 1))) + b)
-        known = F.filter(F.array(*[number(df, n) for n in names]), lambda x: x.isNotNull())
-        size = F.size(known).cast("double")
-        total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
+        # Plain arithmetic over the columns stays in generated code.
+        xs = [number(df, n) for n in names]
+        size = sum([F.when(x.isNotNull(), 1.0).otherwise(0.0) for x in xs], F.lit(0.0))
+        total = sum([F.coalesce(x, F.lit(0.0)) for x in xs], F.lit(0.0))
         if m == "sum":
             return total
         if m == "product":
-            return F.aggregate(known, F.lit(1.0), lambda a, x: a * x)
-        if m == "min":
-            return F.array_min(known)
-        if m == "max":
-            return F.array_max(known)
+            return reduce(lambda a, x: a * F.coalesce(x, F.lit(1.0)), xs, F.lit(1.0))
+        if m in ("min", "max"):
+            return xs[0] if len(xs) == 1 else (F.least if m == "min" else F.greatest)(*xs)
         if m == "mean":
             return F.try_divide(total, size)
         if m == "std":
             mean = F.try_divide(total, size)
-            squares = F.aggregate(known, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+            squares = sum([F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in xs], F.lit(0.0))
             return F.when(size > 1, F.sqrt(F.try_divide(squares, size - 1)))
-        ordered = F.array_sort(known)
+        ordered = F.array_sort(F.filter(F.array(*xs), lambda x: x.isNotNull()))
         low = F.try_element_at(ordered, F.floor((size + 1) / 2).cast("int"))
         high = F.try_element_at(ordered, F.ceil((size + 1) / 2).cast("int"))
         return F.when(size > 0, (low + high) / 2)

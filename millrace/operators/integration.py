@@ -288,8 +288,8 @@ class ParseDate(Operator):
         else:
             gender, month = None, mm
             year = F.when(yy >= 50, yy + 1900).otherwise(yy + 2000)
-        text = F.format_string("%04d-%02d-%02d", year, month, dd)
-        date = F.when(digits.isNotNull(), F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))))
+        zero = F.lit(0)
+        date = F.try_make_timestamp_ntz(year, month, dd, zero, zero, zero.cast("decimal(16,6)")).cast("date")
         return date, (F.when(date.isNotNull(), gender) if gender is not None else None)
 
     def _apply(self, df):

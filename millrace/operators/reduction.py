@@ -14,6 +14,9 @@ from .base import SPLIT, Operator, choose
 # Landmarks of the kernel projection; with no more rows than this it is exact.
 LANDMARKS = 256
 
+# Up to this many products a projection is written out as plain arithmetic.
+PLAIN_TERMS = 400
+
 
 def fix_signs(vectors: np.ndarray) -> np.ndarray:
     """Turn each column so that its entry of largest size is positive."""
@@ -106,31 +109,39 @@ class ReduceDimension(Operator):
         gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
         return np.exp(-np.clip(gap, 0.0, None) / a.shape[1])
 
-    def _mapped(self):
+    def _mapped(self, projected: bool = False):
+        """Landmark features of a row, or their projection, in one Arrow batch step."""
         kernel, points, root = self._kernel, self.points, self.root
+        centre, weights = (self.centre, self.weights) if projected else (0.0, np.eye(root.shape[1]))
 
         @F.pandas_udf("array<double>")
         def landmark_features(v: pd.Series) -> pd.Series:
             if len(v) == 0:
                 return pd.Series([], dtype=object)
-            return pd.Series(list(kernel(np.stack(v.to_numpy()).astype(float), points) @ root))
+            x = np.stack(v.to_numpy()).astype(float)
+            return pd.Series(list((kernel(x, points) @ root - centre) @ weights))
         return landmark_features
 
     def _apply(self, df):
         if self.weights is None:
             return df
         values: list[Column] = [F.coalesce(number(df, n), F.lit(0.0)) for n in self.names]
-        columns = df.columns
+        columns, k = df.columns, self.weights.shape[1]
+        names = [f"{self.prefix}{j}" for j in range(k)]
         if self.method == "kernel_pca":
-            df = df.withColumn("__x__", self._mapped()(F.array(*values)))
-        else:
-            df = df.withColumn("__x__", F.array(*values))
+            df = df.withColumn("__x__", self._mapped(True)(F.array(*values)))
+            return df.select(*[col(n) for n in columns], *[F.element_at("__x__", j + 1).alias(n) for j, n in enumerate(names)])
+        if len(values) * k <= PLAIN_TERMS:
+            return df.select(*[col(n) for n in columns], *[
+                sum([(v - F.lit(float(c))) * F.lit(float(w)) for v, c, w in zip(values, self.centre, self.weights[:, j])],
+                    F.lit(0.0)).alias(n) for j, n in enumerate(names)])
+        df = df.withColumn("__x__", F.array(*values))
         # One dot product per component over the array, instead of a term per column.
         centre = F.array(*[F.lit(float(c)) for c in self.centre])
         df = df.withColumn("__x__", F.zip_with("__x__", centre, lambda a, b: a - b))
         made = []
-        for j in range(self.weights.shape[1]):
+        for j in range(k):
             w = F.array(*[F.lit(float(x)) for x in self.weights[:, j]])
             dot = F.aggregate(F.zip_with("__x__", w, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-            made.append(dot.alias(f"{self.prefix}{j}"))
+            made.append(dot.alias(names[j]))
         return df.select(*[col(n) for n in columns], *made)

@@ -27,15 +27,15 @@ def draw_unseen(draws: DataFrame, seen: DataFrame, items: DataFrame, user: str,
                 seed: int, keys: list, n: int = 1, distinct: bool = False) -> DataFrame:
     """``n`` rows per row of ``draws``, each with an item (``__item__``) its user has no row with.
 
-    ``items`` lists the pool once.  Items get dense numbers; a draw counts only the
+    ``seen`` and ``items`` list pairs and the pool once each.  Items get dense numbers; a draw counts only the
     free numbers of its user and is then shifted past the taken ones.  The shift is
     a running count, so no per-user list exists and no draw is rejected.  Users
     with no free item lose their draws.  ``distinct`` draws without replacement.
     """
     pool = row_index(items.select(col(item).alias("__item__")), ["__item__"], "__no__")
     size = pool.count()
-    pairs = seen.select(col(user).alias("__user__"), col(item).alias("__item__")).distinct()
-    pairs = keyed_join(pairs, pool, ["__item__"], "inner").select("__user__", "__no__")
+    pairs = seen.select(col(user).alias("__user__"), col(item).alias("__item__"))
+    pairs = keyed_join(pairs, pool, ["__item__"], "inner", stored=True).select("__user__", "__no__")
     ranked = materialise(group_running_sum(pairs, ["__user__"], ["__no__"], F.lit(1), "__rank__"))
     taken = ranked.groupBy("__user__").agg(F.count("*").alias("__taken__"))
     joined = keyed_join(draws.withColumn("__user__", col(user)), taken, ["__user__"])
@@ -54,7 +54,7 @@ def draw_unseen(draws: DataFrame, seen: DataFrame, items: DataFrame, user: str,
     # Joined on user and position: a busy user's draws spread over the free positions.
     placed = join_on_keys(joined, passed, ["__user__", "__at__"])
     placed = placed.withColumn("__no__", F.col("__at__") + F.col("__passed__"))
-    return keyed_join(placed, pool, ["__no__"], "inner").drop("__no__", "__passed__", "__at__", "__user__")
+    return keyed_join(placed, pool, ["__no__"], "inner", stored=True).drop("__no__", "__passed__", "__at__", "__user__")
 
 
 def free_positions(seed: int, free, keys: list, n: int, distinct: bool):
@@ -101,7 +101,8 @@ class SampleNegative(Operator):
                   and not n.endswith("_seq") and not is_time_name(n)]
         draws = df.where(y == F.lit(self.positive_label))
         known = df.where(value(df, item).isNotNull())
-        drawn = draw_unseen(draws, known, known.select(col(item)).distinct(), user, item, self.seed,
+        seen = materialise(known.select(col(user), col(item)).distinct())
+        drawn = draw_unseen(draws, seen, seen.select(col(item)).distinct(), user, item, self.seed,
                             key_columns(df, self.key_cols), self.n_negatives)
         new = {item: F.col("__item__"), self.target_col: F.lit(self.negative_label).cast(dtype_of(df, self.target_col)),
                **{n: F.lit(0).cast(dtype_of(df, n)) for n in zeroed}}

@@ -11,6 +11,7 @@ from ..functions.ordering import POSITION, join_on_keys, row_index, value_at
 from ..functions.sampling import class_sizes, hash_sample, key_columns
 from ..functions.values import as_list, col, dtype_of, numeric_columns, value
 from ..operators.base import HELD_OUT, SPLIT
+from ..session import materialise
 from ..operators.sampling import draw_unseen, is_time_name
 
 FRACTION, SEED = 0.2, 42
@@ -92,7 +93,8 @@ def holdout_negatives(held: DataFrame, train: DataFrame, user: str = "user_id",
                       n: int = 1, seed: int = SEED, keys=None) -> DataFrame:
     """(user, item): per held-out positive, ``n`` distinct training items unseen by its user."""
     pool = train.select(item).where(col(item).isNotNull()).distinct()
-    seen = train.select(user, item).unionByName(held.select(user, item)).where(col(item).isNotNull())
+    seen = train.select(user, item).unionByName(held.select(user, item)).where(col(item).isNotNull()).distinct()
+    seen = materialise(seen)
     drawn = draw_unseen(held, seen, pool, user, item, seed, key_columns(held, keys), n, distinct=True)
     return drawn.select(col(user), F.col("__item__").alias(item))
 
