@@ -33,8 +33,7 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFr
     limit = settings.MAX_GROUP_ROWS if limit is None else limit
     found = df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__rows__")) \
         .where(F.col("__rows__") > limit).drop("__rows__")
-    found = materialise(found)
-    return None if found.isEmpty() else found
+    return None if found.isEmpty() else materialise(found)
 
 
 def split_join(df: DataFrame, other: DataFrame, keys: list[str], how: str, hot: DataFrame | None) -> DataFrame:
