@@ -83,15 +83,20 @@ def timestamp(df: DataFrame, name: str) -> Column:
     dtype = dtype_of(df, name)
     c = col(name)
     if is_number(dtype):
-        return F.timestamp_seconds(value(df, name)).cast("timestamp_ntz")
+        micros = F.round(value(df, name) * F.lit(1_000_000)).cast("bigint")
+        return F.timestamp_add("MICROSECOND", micros, epoch())
     if isinstance(dtype, T.StringType):
         return c.try_cast("timestamp_ntz")
     return c.cast("timestamp_ntz")
 
 
+def epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
 def epoch_seconds(c: Column) -> Column:
-    """Seconds since 1970 of a timestamp column, as double with microseconds."""
-    return F.unix_micros(c.cast("timestamp")).cast("double") / F.lit(1e6)
+    """Seconds since 1970 of a zone-less timestamp, as double with microseconds."""
+    return F.timestamp_diff("MICROSECOND", epoch(), c).cast("double") / F.lit(1e6)
 
 
 def hash_uniform(seed: int, *cols: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions.joins import keyed_join
 from ..functions.ordering import POSITION, row_index
 from ..functions.quantiles import exact_quantiles
 from ..functions.sampling import hash_sample
-from ..functions.values import as_list, col, dtype_of, is_number, number, value
+from ..functions.values import as_list, col, dtype_of, epoch, is_number, number, value
 from ..operators.base import HELD_OUT, SPLIT
 from ..session import materialise
 
@@ -24,8 +24,7 @@ def hourly_panel(df: DataFrame, entity: str, time_col: str, measures: dict[str,
     if count_name or not aggs:
         aggs.append(F.count("*").alias(count_name or "row_count"))
     out = hours.groupBy(col(entity), col("_hour_ts")).agg(*aggs)
-    seconds = F.unix_seconds(F.col("_hour_ts").cast("timestamp"))
-    return out.withColumn("_hour_idx", seconds)
+    return out.withColumn("_hour_idx", F.timestamp_diff("SECOND", epoch(), F.col("_hour_ts")))
 
 
 def within(df: DataFrame, ranges: dict[str, tuple], window: tuple | None = None,
