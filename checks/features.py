@@ -396,3 +396,32 @@ SQL = {
     "f21_ranks": ranks_sql(3),
 }
 SQL["f22_custom_callable"] = SQL["ud3_per_group_pandas"]
+
+
+def projection_sql(prefix, centred):
+    """First two principal (or singular) directions of three columns by power iteration and deflation."""
+    mean = "avg" if centred else "0.0 * avg"
+    pairs = [("q", "q"), ("q", "d"), ("q", "t"), ("d", "d"), ("d", "t"), ("t", "t")]
+
+    def step(name, source):
+        return f"""{name} AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.5::DOUBLE AS b, 0.25::DOUBLE AS c UNION ALL
+          SELECT i + 1, x / n, y / n, z / n FROM (SELECT i, qq * a + qd * b + qt * c AS x, qd * a + dd * b + dt * c AS y,
+            qt * a + dt * b + tt * c AS z, sqrt(x * x + y * y + z * z) AS n FROM {name}, {source} WHERE i < 400)),
+        {name}v AS (SELECT a * s AS a, b * s AS b, c * s AS c FROM (SELECT *, CASE WHEN abs(a) >= greatest(abs(b), abs(c))
+          THEN sign(a) WHEN abs(b) >= abs(c) THEN sign(b) ELSE sign(c) END AS s FROM {name} WHERE i = 400))"""
+    letters = {"q": "a", "d": "b", "t": "c"}
+    return f"""WITH RECURSIVE d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS q, l_discount * 100 AS d,
+        l_tax * 100 AS t, l_returnflag AS y FROM lineitem),
+      m AS (SELECT {', '.join(f'{mean}({c}) AS m{c}' for c in 'qdt')} FROM d),
+      g AS (SELECT {', '.join(f'sum(({x} - m{x}) * ({y} - m{y})) AS {x}{y}' for x, y in pairs)} FROM d, m),
+      {step('p', 'g')},
+      e AS (SELECT a * (qq * a + qd * b + qt * c) + b * (qd * a + dd * b + dt * c) + c * (qt * a + dt * b + tt * c) AS e FROM pv, g),
+      h AS (SELECT {', '.join(f'{x}{y} - e * {letters[x]} * {letters[y]} AS {x}{y}' for x, y in pairs)} FROM g, e, pv),
+      {step('s', 'h')}
+      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('q', 3)} AS l_quantity, {r('d', 3)} AS d, {r('t', 3)} AS t, y,
+        {r('(q - mq) * pv.a + (d - md) * pv.b + (t - mt) * pv.c', 3)} AS {prefix}_0,
+        {r('(q - mq) * sv.a + (d - md) * sv.b + (t - mt) * sv.c', 3)} AS {prefix}_1 FROM d, m, pv, sv"""
+
+
+SQL["f15_principal"] = projection_sql("pca", True)
+SQL["f15_singular"] = projection_sql("svd", False)
