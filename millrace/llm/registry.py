@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, url_filter
+from . import fingerprint, mixing, packing, secrets, toxicity, url_filter, warc
 from .common import read_table
 
 
@@ -14,14 +14,35 @@ def op3_url_cascade(spark, sf):
     return url_filter.judge_urls(read_table(spark, sf, "pages"), url_filter.RULES, carry=["page_id"])
 
 
+def op5_toxicity(spark, sf):
+    return toxicity.score_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"), carry=["doc_id"])
+
+
+def op6_pack_sequences(spark, sf):
+    import public_tokenizers
+
+    return packing.pack_documents(read_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_secret_ledger(spark, sf):
+    return secrets.scan_secrets(read_table(spark, sf, "documents"))
+
+
+def op8_warc_captures(spark, sf):
+    return warc.digest_rows(warc.archive_and_read(read_table(spark, sf, "pages"), keep_payload=False))
+
+
 def op9_multiset_fingerprints(spark, sf):
     return fingerprint.fingerprint_documents(read_table(spark, sf, "documents"))
 
 
 def QUERIES() -> dict:
     return {"op2_mix_sources": op2_mix_sources, "op3_url_cascade": op3_url_cascade,
+            "op5_toxicity": op5_toxicity, "op6_pack_sequences": op6_pack_sequences,
+            "op7_secret_ledger": op7_secret_ledger, "op8_warc_captures": op8_warc_captures,
             "op9_multiset_fingerprints": op9_multiset_fingerprints}
 
 
 def SQL() -> dict:
-    return {"op2_mix_sources": mixing.SQL, "op3_url_cascade": url_filter.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op3_url_cascade": url_filter.SQL,
+            "op8_warc_captures": warc.SQL}
