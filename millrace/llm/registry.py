@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, packing, secrets, toxicity, url_filter, warc
+from . import fingerprint, language_model, mixing, packing, secrets, toxicity, url_filter, warc
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op3_url_cascade(spark, sf):
     return url_filter.judge_urls(read_table(spark, sf, "pages"), url_filter.RULES, carry=["page_id"])
 
 
+def op4_lm_scores(spark, sf):
+    return language_model.score_documents(read_table(spark, sf, "documents"))
+
+
 def op5_toxicity(spark, sf):
     return toxicity.score_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"), carry=["doc_id"])
 
@@ -38,6 +42,7 @@ def op9_multiset_fingerprints(spark, sf):
 
 def QUERIES() -> dict:
     return {"op2_mix_sources": op2_mix_sources, "op3_url_cascade": op3_url_cascade,
+            "op4_lm_scores": op4_lm_scores,
             "op5_toxicity": op5_toxicity, "op6_pack_sequences": op6_pack_sequences,
             "op7_secret_ledger": op7_secret_ledger, "op8_warc_captures": op8_warc_captures,
             "op9_multiset_fingerprints": op9_multiset_fingerprints}
