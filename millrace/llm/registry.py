@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language_model, mixing, packing, secrets, toxicity, url_filter, warc
+from . import fingerprint, language_model, mixing, ngram_join, packing, secrets, toxicity, url_filter, warc
 from .common import read_table
 
 
@@ -40,12 +40,17 @@ def op9_multiset_fingerprints(spark, sf):
     return fingerprint.fingerprint_documents(read_table(spark, sf, "documents"))
 
 
+def op10_ngram_join(spark, sf):
+    return ngram_join.join_ngrams(read_table(spark, sf, "documents"))
+
+
 def QUERIES() -> dict:
     return {"op2_mix_sources": op2_mix_sources, "op3_url_cascade": op3_url_cascade,
             "op4_lm_scores": op4_lm_scores,
             "op5_toxicity": op5_toxicity, "op6_pack_sequences": op6_pack_sequences,
             "op7_secret_ledger": op7_secret_ledger, "op8_warc_captures": op8_warc_captures,
-            "op9_multiset_fingerprints": op9_multiset_fingerprints}
+            "op9_multiset_fingerprints": op9_multiset_fingerprints,
+            "op10_ngram_join": op10_ngram_join}
 
 
 def SQL() -> dict:
