@@ -1,0 +1,64 @@
+"""A corpus pipeline: reject toxic documents, keep one of each near-duplicate group, redact secrets, mix, pack.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but
+the last return the columns of ``documents``.  Each result is written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.llm import mixing, ngram_join, packing, secrets, toxicity
+from millrace.llm.common import materialise, read_table
+from millrace.llm.pairs import small_or_shuffled
+
+#: SQL cannot express the trained classifier, the tokenizer and the packing; the stages are tested by brute force.
+ORACLE_SQL = None
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    scored = toxicity.score_documents(docs, read_table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id; a repeated id stays once."""
+    judged = ngram_join.join_ngrams(docs)
+    dropped = materialise(judged.where("doc_id is not null and not kept").select("doc_id"))
+    out = docs.join(small_or_shuffled(dropped), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    return out
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; n_chars follows the text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document is repeated as often as the mix takes it."""
+    mixed = mixing.mix_sources(docs).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their places."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", reject_toxic), ("ngram_join", drop_near_copies), ("secrets", redact_secrets),
+          ("mixing", mix), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on the table ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return docs

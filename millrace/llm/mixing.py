@@ -9,7 +9,7 @@ from .common import WORD, col, materialise
 
 # The draw of a document has 60 bits and is read in 12-bit digits, so a histogram has 4,096 bins a source.
 DIGIT, DIGITS = 12, 5
-DECISIONS = ("size", "source_size", "target", "taken")
+DECISIONS = ("size", "source_size", "target", "taken", "copies")
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: list[str]) -> DataFrame:
@@ -97,8 +97,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, carry: list[str] | None = None) -> DataFrame:
     """Decide how often each document enters a mix in which the sources meet target weights.
 
-    Returns the ``carry`` columns (default: all) with size (words), source_size, target and taken (words taken,
-    repeats counted: 0 to ``cap`` times the size).  Whole documents are taken, so a source's sum differs
+    Returns the ``carry`` columns (default: all) with size (words), source_size, target, taken (words taken, repeats
+    counted: 0 to ``cap`` times the size) and copies (how often the document is taken).  Whole documents are taken, so a source's sum differs
     from its target by at most half of the document at the boundary.
 
     Null and empty texts have size 0 and taken 0.  A null source is a source of its own, ranked last.  Rows that
@@ -117,7 +117,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     times = F.col("_rounds") + (F.col("_draw") < F.col("_cutoff")).cast("long")
     return out.select(*[col(c) for c in carry if c not in DECISIONS], F.col("_size").alias("size"),
                       F.col("_total").alias("source_size"), F.col("_target").alias("target"),
-                      (times * F.col("_size")).alias("taken"))
+                      (times * F.col("_size")).alias("taken"), times.alias("copies"))
 
 
 SQL = """

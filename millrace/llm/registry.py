@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language_model, mixing, ngram_join, packing, secrets, toxicity, url_filter, warc
+from . import embedding_dedup, fingerprint, language_model, mixing, ngram_join, packing, secrets, toxicity, url_filter, warc
 from .common import read_table
 
 
+def op1_embedding_dedup(spark, sf):
+    return embedding_dedup.dedup_embeddings(read_table(spark, sf, "embeddings"))
+
+
 def op2_mix_sources(spark, sf):
-    return mixing.mix_sources(read_table(spark, sf, "documents"), carry=["doc_id"])
+    return mixing.mix_sources(read_table(spark, sf, "documents"), carry=["doc_id"]).drop("copies")
 
 
 def op3_url_cascade(spark, sf):
@@ -45,7 +49,10 @@ def op10_ngram_join(spark, sf):
 
 
 def QUERIES() -> dict:
-    return {"op2_mix_sources": op2_mix_sources, "op3_url_cascade": op3_url_cascade,
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run,
+            "op1_embedding_dedup": op1_embedding_dedup, "op2_mix_sources": op2_mix_sources, "op3_url_cascade": op3_url_cascade,
             "op4_lm_scores": op4_lm_scores,
             "op5_toxicity": op5_toxicity, "op6_pack_sequences": op6_pack_sequences,
             "op7_secret_ledger": op7_secret_ledger, "op8_warc_captures": op8_warc_captures,
