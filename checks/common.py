@@ -73,3 +73,9 @@ def with_split(df: DataFrame, time_col: str, cut: str) -> DataFrame:
     """Held-out marker for rows at or after a date."""
     late = F.col(time_col) >= F.lit(cut).cast("timestamp_ntz")
     return df.withColumn("__split__", F.when(late, "std_test").otherwise("train"))
+
+
+def draw_sql(keys: str, seed: int = 42) -> str:
+    """The draw of samples in SQL: 60 bits of the MD5 of seed and keys."""
+    parts = ", ".join(f"CAST({k.strip()} AS VARCHAR)" for k in keys.split(","))
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {parts})), 1, 15) AS BIGINT)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace import operators as O
 from millrace.plans import datasets as D
 
-from .common import INTERACTIONS_SQL, LKEY, LKEY_SQL, interactions, r, rounded, table
+from .common import INTERACTIONS_SQL, LKEY, LKEY_SQL, draw_sql, interactions, r, rounded, table
 
 
 def panel(spark, sf):
@@ -33,7 +33,7 @@ def fixed_sample(spark, sf):
     """Exactly a tenth of the events, each an original row, and no row twice."""
     e = table(spark, sf, "events")
     got = D.row_sample(e, e.count() // 10, keys=["event_id"])
-    return got.join(e, e.columns, "left_semi").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    return got
 
 
 def trips(spark, sf):
@@ -144,7 +144,7 @@ SQL = {
         AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20'""",
     "b4_busiest": """SELECT * FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1
         ORDER BY count(*) DESC, o_custkey LIMIT 20)""",
-    "b5_fixed_sample": "SELECT count(*) // 10 AS n, count(*) // 10 AS ids FROM events",
+    "b5_fixed_sample": f"SELECT * FROM events ORDER BY {draw_sql('event_id')} LIMIT (SELECT count(*) // 10 FROM events)",
     "b6_trips": """SELECT o_orderkey, o_orderdate AS started_at, o_orderdate + to_minutes(CAST(o_custkey % 90 AS INTEGER))
         + INTERVAL 1500 MILLISECOND AS ended_at, CAST(o_custkey % 90 * 60 + 1.5 AS DOUBLE) AS trip_duration FROM orders""",
     "b7_long_form": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS amount, l_discount AS rate, 0::INTEGER AS step

@@ -8,7 +8,7 @@ from millrace import operators as O
 from millrace.plans import profile as P, splits as S
 from millrace.plans.recipe import apply_with_split
 
-from .common import (INTERACTION_KEY, INTERACTION_KEY_SQL, INTERACTIONS_SQL, LKEY, LKEY_SQL, interactions, r,
+from .common import (INTERACTION_KEY, INTERACTION_KEY_SQL, INTERACTIONS_SQL, LKEY, LKEY_SQL, draw_sql, interactions, r,
                      rounded, table, with_split)
 
 
@@ -17,12 +17,14 @@ def marked(train, held):
 
 
 def stratified(spark, sf):
-    """Sizes per class and part, and that the parts do not overlap."""
     o = table(spark, sf, "orders")
-    out = marked(*S.stratified_holdout(o, "o_orderstatus", ["o_orderkey"]))
-    return out.groupBy("o_orderstatus").agg(
-        F.count(F.when(F.col("part") == "train", 1)).alias("n_train"),
-        F.count(F.when(F.col("part") == "held", 1)).alias("n_held"), F.countDistinct("o_orderkey").alias("n_keys"))
+    return marked(*S.stratified_holdout(o, "o_orderstatus", ["o_orderkey"])).select("o_orderkey", "o_orderstatus", "part")
+
+
+def stratified_repeated(spark, sf):
+    """Keys that repeat: every row is still in exactly one part."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return marked(*S.stratified_holdout(o, "o_orderstatus", ["o_custkey"], 0.23))
 
 
 def chronological(spark, sf):
@@ -40,9 +42,7 @@ def labelled_nodes(spark, sf):
     c = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(F.lit("unknown"), F.lit("1"), F.lit("2")),
                                                                   (F.col("p_partkey") % 3).cast("int") + 1).alias("class"))
     train, held = S.node_holdout(p, c, "p_partkey", "class")
-    wrong = held.where((F.col("class") == "unknown") | (F.col("class") != (F.col("p_partkey") % 3).cast("string"))).count()
-    return marked(train, held.drop("class")).groupBy("part").agg(
-        F.count("*").alias("n"), F.countDistinct("p_partkey").alias("keys")).withColumn("wrong", F.lit(wrong).cast("bigint"))
+    return marked(train.withColumn("class", F.lit(None).cast("string")), held)
 
 
 def late_positives(spark, sf):
@@ -107,16 +107,14 @@ def separated(spark, sf):
 def budget(spark, sf):
     o = with_split(table(spark, sf, "orders"), "o_orderdate", "2000-01-01")
     n = o.count() // 20
-    out = S.budget_sample(o, n, "o_orderstatus", keys=["o_orderkey"])
-    return out.groupBy("__split__").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+    return S.budget_sample(o, n, "o_orderstatus", keys=["o_orderkey"]).select("o_orderkey", "o_orderstatus", "__split__")
 
 
 def budget_recent(spark, sf):
     i = with_split(interactions(spark, sf), "timestamp", "2000-01-01")
     n = i.count() // 10
     order = [F.col("timestamp").desc(), *[F.col(c).desc() for c in INTERACTION_KEY]]
-    out = S.budget_sample_recent(i, n, order, "user_id", "rating", keys=INTERACTION_KEY)
-    return out.where("__split__ = 'train'").drop("__split__")
+    return S.budget_sample_recent(i, n, order, "user_id", "rating", keys=INTERACTION_KEY)
 
 
 def table_facts(spark, sf):
@@ -145,7 +143,7 @@ def observed_rows(spark, sf):
 
 
 QUERIES = {
-    "h1_stratified": stratified, "h2_chronological": chronological, "h3_positional": positional,
+    "h1_stratified": stratified, "h1_stratified_repeated_keys": stratified_repeated, "h2_chronological": chronological, "h3_positional": positional,
     "h4_labelled_nodes": labelled_nodes, "h5_late_positives": late_positives, "h6_late_negatives": late_negatives,
     "h7_full_negatives": full_negatives, "h8_attached": attached, "h9_split_aware": split_aware,
     "h9_split_aware_rec": split_aware_rec, "h10_known_only": known_only, "h11_separated": separated,
@@ -159,20 +157,28 @@ _LATE = f"""WITH {INTERACTIONS_SQL},
   h AS (SELECT * EXCLUDE (pos, n) FROM p WHERE pos >= CAST(floor(n * 0.8) AS BIGINT) AND rating = 1
     AND user_id IN (SELECT user_id FROM t GROUP BY 1 HAVING count(*) >= 25) AND item_id IN (SELECT item_id FROM t))"""
 
-SQL = {
-    "h1_stratified": """WITH c AS (SELECT o_orderstatus, count(*) AS k, sum(count(*)) OVER () AS n FROM orders GROUP BY 1),
-        e AS (SELECT *, k * (n - ceil(n * 0.2)) / n AS x FROM c),
+
+def stratified_sql(key, fraction, columns):
+    return f"""WITH c AS (SELECT o_orderstatus, count(*) AS k, sum(count(*)) OVER () AS n FROM orders GROUP BY 1),
+        e AS (SELECT *, k * (n - ceil(n * {fraction})) / n AS x FROM c),
         f AS (SELECT *, floor(x) + CAST(row_number() OVER (ORDER BY floor(x) - x, o_orderstatus)
-          <= (n - ceil(n * 0.2)) - sum(floor(x)) OVER () AS INTEGER) AS t FROM e)
-        SELECT o_orderstatus, CAST(t AS BIGINT) AS n_train, CAST(k - t AS BIGINT) AS n_held, k AS n_keys FROM f""",
+          <= (n - ceil(n * {fraction})) - sum(floor(x)) OVER () AS INTEGER) AS t FROM e)
+        SELECT {columns}, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY {draw_sql(key)}, {key}, o_orderkey) <= k - t
+          THEN 'held' ELSE 'train' END AS part FROM orders JOIN f USING (o_orderstatus)"""
+
+
+SQL = {
+    "h1_stratified": stratified_sql("o_orderkey", 0.2, "o_orderkey, o_orderstatus"),
+    "h1_stratified_repeated_keys": stratified_sql("o_custkey", 0.23, "o_orderkey, o_custkey, o_orderstatus"),
     "h2_chronological": """WITH u AS (SELECT o_orderdate AS d, row_number() OVER (ORDER BY o_orderdate) - 1 AS i, count(*) OVER () AS n
           FROM (SELECT DISTINCT o_orderdate FROM orders)), c AS (SELECT d FROM u WHERE i = CAST(floor(n * 0.8) AS BIGINT))
         SELECT o_orderkey, CASE WHEN o_orderdate < (SELECT d FROM c) THEN 'train' ELSE 'held' END AS part FROM orders""",
     "h3_positional": f"""SELECT {LKEY_SQL}, CASE WHEN row_number() OVER (ORDER BY l_shipdate, {LKEY_SQL}) - 1 <
         CAST(floor(count(*) OVER () * 0.8) AS BIGINT) THEN 'train' ELSE 'held' END AS part FROM lineitem""",
-    "h4_labelled_nodes": """WITH c AS (SELECT count(*) AS n, count(*) FILTER (p_partkey % 3 <> 0) AS k FROM part)
-        SELECT 'held' AS part, CAST(floor(k * 0.2) AS BIGINT) AS n, CAST(floor(k * 0.2) AS BIGINT) AS keys, 0::BIGINT AS wrong FROM c
-        UNION ALL SELECT 'train', CAST(n - floor(k * 0.2) AS BIGINT), CAST(n - floor(k * 0.2) AS BIGINT), 0 FROM c""",
+    "h4_labelled_nodes": f"""WITH c AS (SELECT p_partkey, p_size, CAST(p_partkey % 3 AS VARCHAR) AS class FROM part),
+          h AS (SELECT *, 'held' AS part FROM c WHERE class <> '0' QUALIFY row_number() OVER (ORDER BY {draw_sql('p_partkey')}) <=
+            (SELECT CAST(floor(count(*) * 0.2) AS BIGINT) FROM c WHERE class <> '0'))
+        SELECT * FROM h UNION ALL SELECT p_partkey, p_size, NULL, 'train' FROM c WHERE p_partkey NOT IN (SELECT p_partkey FROM h)""",
     "h5_late_positives": f"{_LATE} SELECT *, 'train' AS part FROM t UNION ALL SELECT *, 'held' FROM h",
     "h6_late_negatives": f"{_LATE} SELECT user_id, 2 * count(*) AS n, 0::BIGINT AS clashes FROM h GROUP BY 1",
     "h7_full_negatives": """SELECT DISTINCT l_suppkey AS user_id, l_partkey AS item_id, NULL::TIMESTAMP AS timestamp, 0::INTEGER AS rating,
@@ -199,13 +205,22 @@ SQL = {
         SELECT * FROM t UNION ALL SELECT * FROM h WHERE user_id IN (SELECT user_id FROM h WHERE rating = 1)""",
     "h11_separated": """SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 'std_test' ELSE 'train' END AS part
         FROM orders""",
-    "h12_budget": """WITH c AS (SELECT count(*) // 20 AS n FROM orders), k AS (SELECT o_orderstatus, count(*) AS m FROM orders
-          WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1)
-        SELECT 'train' AS __split__, n, n AS keys FROM c UNION ALL
-        SELECT 'std_test', CAST(sum(least(m, (n // 2) // 3)) AS BIGINT), CAST(sum(least(m, (n // 2) // 3)) AS BIGINT) FROM c, k""",
-    "h12_budget_recent": f"""WITH {INTERACTIONS_SQL} SELECT * FROM interactions WHERE timestamp < TIMESTAMP '2000-01-01'
-        ORDER BY timestamp DESC, {', '.join(c + ' DESC' for c in INTERACTION_KEY)}
-        LIMIT (SELECT count(*) // 10 FROM interactions)""",
+    "h12_budget": f"""WITH o AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 'std_test'
+          ELSE 'train' END AS __split__, {draw_sql('o_orderkey')} AS d FROM orders),
+        r AS (SELECT *, row_number() OVER (PARTITION BY __split__, CASE WHEN __split__ = 'train' THEN '' ELSE o_orderstatus END ORDER BY d) AS i,
+          (SELECT count(*) // 20 FROM orders) AS n FROM o)
+        SELECT o_orderkey, o_orderstatus, __split__ FROM r WHERE i <= CASE WHEN __split__ = 'train' THEN n ELSE (n // 2) // 3 END""",
+    "h12_budget_recent": f"""WITH {INTERACTIONS_SQL}, b AS (SELECT count(*) // 10 AS n FROM interactions),
+        t AS (SELECT * FROM interactions WHERE timestamp < TIMESTAMP '2000-01-01'
+          ORDER BY timestamp DESC, {', '.join(c + ' DESC' for c in INTERACTION_KEY)} LIMIT (SELECT n FROM b)),
+        h AS (SELECT *, {draw_sql(INTERACTION_KEY_SQL)} AS d FROM interactions WHERE timestamp >= TIMESTAMP '2000-01-01'),
+        p AS (SELECT user_id FROM h WHERE rating = 1 QUALIFY row_number() OVER (ORDER BY d) <= greatest(1, (SELECT n // 101 FROM b))),
+        u AS (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY d) AS i, count(*) OVER () AS c,
+          count(*) FILTER (rating = 1) OVER () AS k FROM h WHERE user_id IN (SELECT user_id FROM p)),
+        s AS (SELECT * EXCLUDE (d, i, c, k) FROM u, b WHERE c <= b.n OR rating = 1 OR i <= greatest(0, b.n - k))
+        SELECT *, 'train' AS __split__ FROM t
+        UNION ALL SELECT * EXCLUDE (n), 'std_test' FROM s WHERE (SELECT count(*) FROM h) > (SELECT n FROM b)
+        UNION ALL SELECT * EXCLUDE (d), 'std_test' FROM h WHERE (SELECT count(*) FROM h) <= (SELECT n FROM b)""",
     "r1_table_facts": f"""SELECT count(*) AS n_rows, 7::BIGINT AS n_columns, 3::BIGINT AS n_numeric, 3::BIGINT AS n_text,
         1::BIGINT AS n_other, {r("avg(CAST(o_orderstatus = 'P' AS INTEGER)) / 7")} AS null_ratio FROM orders""",
     "r1_target_facts": "SELECT CAST(quality AS VARCHAR) AS value, count(*) AS n_rows FROM labels GROUP BY 1",

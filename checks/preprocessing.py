@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import operators as O
 
-from .common import (INTERACTION_KEY, INTERACTION_KEY_SQL, INTERACTIONS_SQL, LKEY, LKEY_SQL, interactions, r,
+from .common import (INTERACTION_KEY, INTERACTION_KEY_SQL, INTERACTIONS_SQL, LKEY, LKEY_SQL, draw_sql, interactions, r,
                      rounded, table, with_split)
 
 
@@ -128,8 +128,7 @@ def k_core_users(spark, sf):
 
 def balanced_down(spark, sf):
     l = table(spark, sf, "lineitem").withColumn("y", (F.col("l_quantity") > 40).cast("int"))
-    out = O.Undersample("y", key_cols=LKEY).transform(l)
-    return out.groupBy("y").agg(F.count("*").alias("n"), F.countDistinct(*LKEY).alias("rows"))
+    return O.Undersample("y", key_cols=LKEY).transform(l).select(*LKEY, "y")
 
 
 def balanced_up(spark, sf):
@@ -286,8 +285,9 @@ SQL = {
         CAST(0 AS BIGINT) AS drawn_ratings, CAST(0 AS BIGINT) AS wrong_features, CAST(0 AS BIGINT) AS clashes FROM interactions""",
     "p16_k_core_users": f"""WITH {INTERACTIONS_SQL} SELECT * FROM interactions
         QUALIFY count(*) OVER (PARTITION BY user_id) >= 45""",
-    "p17_balanced_down": """SELECT y, n, n AS rows FROM (SELECT DISTINCT CAST(l_quantity > 40 AS INTEGER) AS y FROM lineitem),
-        (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity > 40))""",
+    "p17_balanced_down": f"""SELECT {LKEY_SQL}, CAST(l_quantity > 40 AS INTEGER) AS y FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_quantity > 40 ORDER BY {draw_sql(LKEY_SQL)}, {LKEY_SQL}) <=
+          (SELECT min(c) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity > 40))""",
     "p20_balanced_up": """SELECT y, n, CAST(0 AS BIGINT) AS strangers FROM (SELECT DISTINCT CAST(l_quantity > 40 AS INTEGER) AS y
         FROM lineitem), (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity > 40))""",
     "p23_mixed": """SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_types, true AS labels_ok, true AS low_ok, true AS mean_ok

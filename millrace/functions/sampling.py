@@ -2,68 +2,115 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .. import settings
+from ..session import materialise
 from .ordering import POSITION, row_index
-from .quantiles import _select_ranks
-from .values import as_list, col, hash_uniform
+from .values import as_list, col
+
+# A draw has 60 bits and is read in 12-bit digits: a histogram has at most 4,096 bins a group.
+DIGIT, DIGITS = 12, 5
+CHOSEN = "__chosen__"
+_GROUP, _DRAW = "__group__", "__draw__"
 
 
 def key_columns(df: DataFrame, keys) -> list[Column]:
     return [col(n) for n in (as_list(keys) or df.columns)]
 
 
-def hash_sample(df: DataFrame, sizes: list[tuple[Column, int]], seed: int, keys=None) -> DataFrame:
-    """From each condition's rows, exactly the wanted number, by smallest hash draw.
+def key_draw(seed: int, *keys: Column) -> Column:
+    """Whole number of 60 bits from the MD5 of seed and keys as text, joined by ``|``; missing keys are left out."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
-    ``sizes`` pairs a condition with a row count (conditions must not overlap).
-    The cut-off draw is found by a distributed search, so rows are only filtered;
-    rows that tie with the cut-off are settled by a sort of those rows alone.
+
+def _cutoffs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(group, cut, ties): rows with a draw below the cut are chosen, and so many of those that equal it.
+
+    Rows are counted by group and digit of the draw; only the digit in which a group's count reaches the wanted
+    number is looked at again with the next digit.
+    """
+    end = 1 << (DIGIT * DIGITS)
+    sizes = rows.groupBy(_GROUP).agg(F.count("*").alias("n")).withColumnRenamed(_GROUP, "g")
+    state = materialise(wanted.join(sizes, wanted["group"].eqNullSafe(F.col("g"))).select(
+        "group", "n", F.col("wanted").cast("bigint").alias("rest")))
+    whole = F.col("rest") >= F.col("n")
+    none = F.lit(0).cast("bigint")
+    done = state.where(whole | (F.col("rest") <= 0)).select(
+        "group", F.when(whole, F.lit(end)).otherwise(none).alias("cut"), none.alias("ties"))
+    left = state.where(~whole & (F.col("rest") > 0)).select("group", "rest", none.alias("prefix"))
+    for level in range(DIGITS):
+        if left.isEmpty():
+            break
+        inside = rows.join(left, F.col(_GROUP).eqNullSafe(F.col("group")) & (
+            F.shiftright(_DRAW, DIGIT * (DIGITS - level)) == F.col("prefix")))
+        bins = inside.groupBy("group", "rest", F.shiftright(_DRAW, DIGIT * (DIGITS - level - 1)).alias("bin")).agg(
+            F.count("*").alias("c"), F.min(_DRAW).alias("low"), F.max(_DRAW).alias("high"))
+        run = bins.withColumn("to", F.sum("c").over(Window.partitionBy("group").orderBy("bin")))
+        edge = materialise(run.where((F.col("to") >= F.col("rest")) & (F.col("to") - F.col("c") < F.col("rest"))).select(
+            "group", (F.col("rest") - F.col("to") + F.col("c")).alias("rest"), F.col("bin").alias("prefix"), "c", "low", "high"))
+        full, single = F.col("rest") == F.col("c"), F.col("low") == F.col("high")
+        done = done.unionByName(edge.where(full | single).select(
+            "group", F.when(full, F.col("high") + 1).otherwise(F.col("low")).alias("cut"),
+            F.when(full, none).otherwise(F.col("rest")).alias("ties")))
+        left = edge.where(~full & ~single).select("group", "rest", "prefix")
+    return materialise(done)
+
+
+def mark_sample(df: DataFrame, group: Column, wanted: DataFrame, seed: int, keys=None) -> DataFrame:
+    """Every row with a boolean ``__chosen__``: of each group the wanted number of rows, by smallest draw of the keys.
+
+    ``wanted`` has the columns group and wanted, one row per group; rows of other groups are not chosen.  Groups and
+    rows can be any number: only bins are counted, and rows are filtered, not sorted.  Rows that equal the cut-off's
+    draw are settled by a distributed sort of those rows alone.
     """
-    draw = "__draw__"
-    drawn = df.withColumn(draw, hash_uniform(seed, *key_columns(df, keys)))
-    conditions = [c for c, _ in sizes]
-    totals = drawn.agg(*[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(conditions)]).first()
-    keep, partial = [], []
-    for i, (c, wanted) in enumerate(sizes):
-        if wanted >= totals[f"n{i}"]:
-            keep.append(F.coalesce(c, F.lit(False)))
-        elif wanted > 0:
-            partial.append((i, c, int(wanted)))
-    ties = []
-    if partial:
-        values = drawn.select(*[F.when(c, F.col(draw)).alias(f"v{i}") for i, c, _ in partial])
-        cuts = _select_ranks(values, [(i, wanted - 1) for i, _, wanted in partial], settings.MAX_BRACKET_VALUES)
-        below = drawn.agg(*[F.count(F.when(c & (F.col(draw) < F.lit(cuts[(i, w - 1)])), 1)).alias(f"b{i}")
-                            for i, c, w in partial],
-                          *[F.count(F.when(c & (F.col(draw) == F.lit(cuts[(i, w - 1)])), 1)).alias(f"e{i}")
-                            for i, c, w in partial]).first()
-        for i, c, wanted in partial:
-            cut = F.lit(cuts[(i, wanted - 1)])
-            keep.append(F.coalesce(c & (F.col(draw) < cut), F.lit(False)))
-            missing = wanted - below[f"b{i}"]
-            at_cut = drawn.where(c & (F.col(draw) == cut))
-            if missing == below[f"e{i}"]:
-                keep.append(F.coalesce(c & (F.col(draw) == cut), F.lit(False)))
-            else:
-                placed = row_index(at_cut, as_list(keys) or df.columns)
-                ties.append(placed.where(F.col(POSITION) < missing).drop(POSITION))
-    out = drawn.where(reduce(lambda a, b: a | b, keep, F.lit(False)))
-    for extra in ties:
-        out = out.unionByName(extra)
-    return out.drop(draw)
+    drawn = df.withColumns({_GROUP: group, _DRAW: key_draw(seed, *key_columns(df, keys))})
+    cuts = _cutoffs(materialise(drawn.select(_GROUP, _DRAW)), wanted)
+    joined = drawn.join(cuts, F.col(_GROUP).eqNullSafe(F.col("group")), "left")
+    out = joined.withColumn(CHOSEN, F.coalesce(F.col(_DRAW) < F.col("cut"), F.lit(False)))
+    if not cuts.where("ties > 0").isEmpty():
+        tie = F.coalesce((F.col("ties") > 0) & (F.col(_DRAW) == F.col("cut")), F.lit(False))
+        named = as_list(keys)
+        others = [f.name for f in df.schema.fields if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        placed = row_index(out.where(tie), [_GROUP, *named, *others])
+        first = placed.groupBy(_GROUP).agg(F.min(POSITION).alias("first")).withColumnRenamed(_GROUP, "tied")
+        placed = placed.join(first, F.col(_GROUP).eqNullSafe(F.col("tied"))) \
+            .withColumn(CHOSEN, F.col(POSITION) - F.col("first") < F.col("ties"))
+        out = out.where(~tie).unionByName(placed.select(*[col(c) for c in out.columns]))
+    return out.select(*[col(c) for c in df.columns], CHOSEN)
+
+
+def sizes_table(df: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    return df.sparkSession.createDataFrame(sizes, "group int, wanted bigint")
+
+
+def hash_sample(df: DataFrame, sizes: list[tuple[Column, int]], seed: int, keys=None) -> DataFrame:
+    """From each condition's rows, exactly the wanted number, by smallest hash draw; conditions do not overlap."""
+    group = F.lit(None).cast("int")
+    for i, (condition, _) in reversed(list(enumerate(sizes))):
+        group = F.when(condition, F.lit(i)).otherwise(group)
+    wanted = sizes_table(df, [(i, int(n)) for i, (_, n) in enumerate(sizes)])
+    return mark_sample(df, group, wanted, seed, keys).where(CHOSEN).drop(CHOSEN)
+
+
+def class_counts(df: DataFrame, target: str) -> DataFrame:
+    """(group, n): rows per class that is not missing."""
+    return df.groupBy(col(target).alias("group")).agg(F.count("*").alias("n")).where("group is not null")
 
 
 def class_sizes(df: DataFrame, target: str) -> dict:
-    """Rows per non-missing class; classes are few by nature, and checked to be."""
-    rows = df.groupBy(col(target)).agg(F.count("*").alias("n")).where(col(target).isNotNull()) \
-        .limit(settings.MAX_FITTED_COLUMNS + 1).collect()
-    if len(rows) > settings.MAX_FITTED_COLUMNS:
-        raise ValueError(f"{target} has too many classes")
-    return {r[0]: r["n"] for r in sorted(rows, key=lambda r: str(r[0]))}
+    """Rows per class that is not missing, for steps whose fitted result has a part for each class."""
+    return {r["group"]: r["n"] for r in sorted(class_counts(df, target).collect(), key=lambda r: str(r["group"]))}
+
+
+def repeat_rows(df: DataFrame, times: Column, name: str, rows_at_once: int = 10_000) -> DataFrame:
+    """Each row ``times`` times, numbered from 1 in ``name``; a row with a large number is spread over tasks."""
+    counted = df.withColumn("__times__", times.cast("bigint")).where("__times__ > 0")
+    parts = counted.withColumn("__part__", F.explode(F.expr(f"sequence(0L, (__times__ - 1) div {rows_at_once}L)")))
+    spread = parts.repartition(*[col(c) for c in df.columns[:1]], F.col("__part__"))
+    first = F.col("__part__") * rows_at_once
+    return spread.withColumn(name, F.explode(F.sequence(
+        first + 1, F.least(first + rows_at_once, F.col("__times__"))))).drop("__times__", "__part__")
 
 
 def beta_draws(ids, alpha: float, seed: int):

@@ -57,12 +57,10 @@ class OneHotEncode(Operator):
 
     def _fit(self, df):
         for n in dict.fromkeys(present(df, self.cols)):
-            cap = settings.MAX_FITTED_COLUMNS if self.max_cardinality is None else self.max_cardinality
             seen = df.select(value(df, n).alias("v")).where("v is not null").distinct()
-            found = [r["v"] for r in seen.limit(cap + 1).collect()]
-            if len(found) > cap:
-                if self.max_cardinality is None:
-                    raise ValueError(f"column {n} has more than {cap} categories; use another encoder")
+            # The categories become columns, so they are a result of the fit; max_cardinality bounds them.
+            found = [r["v"] for r in (seen if self.max_cardinality is None else seen.limit(self.max_cardinality + 1)).collect()]
+            if self.max_cardinality is not None and len(found) > self.max_cardinality:
                 continue
             self.categories[n] = sorted(found)
 

@@ -30,7 +30,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, directed: bool, rounds: int | None = None) -> DataFrame:
-    """(node, pagerank).  ``rounds`` fixes the number of rounds; otherwise it runs to tolerance.
+    """(node, pagerank).  ``rounds`` fixes the number of rounds; otherwise it runs to tolerance,
+    and raises if that is not reached.
 
     A round is one join and one partially combined sum; ranks become a durable
     table every few rounds, so lineage stays flat.
@@ -64,6 +65,9 @@ def pagerank(edges: DataFrame, directed: bool, rounds: int | None = None) -> Dat
         ranks = ranks.select("node", "links", F.col(f"p{done[0] if done else step}").alias("p0"))
         if done:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks have not converged after {ROUNDS} rounds; pass rounds for a fixed number")
     return ranks.select("node", F.col("p0").alias("pagerank"))
 
 

@@ -7,13 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.moments import cross_products
-from ..functions.sampling import class_sizes
 from ..functions.values import as_list, col, number, numeric_columns, present
 from .base import SPLIT, Operator, choose
 
-# Landmarks of the kernel projection; with no more rows than this it is exact.
-LANDMARKS = 256
-
 # Up to this many products a projection is written out as plain arithmetic.
 PLAIN_TERMS = 400
 
@@ -33,18 +29,24 @@ def top_vectors(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ReduceDimension(Operator):
-    """Append principal, singular, discriminant or kernel components; missing counts as 0."""
+    """Append principal, singular, discriminant or kernel components; missing counts as 0.
+
+    The kernel projection maps every row to ``landmarks`` distinct rows chosen by hash and decomposes the mapped
+    rows; the number has no default, as it decides the result.
+    """
 
     fit_on_train = True
 
     def __init__(self, cols=None, method="pca", n_components=8, target_col=None, prefix=None,
-                 kernel="rbf", landmarks=LANDMARKS):
+                 kernel="rbf", landmarks=None):
         super().__init__()
         choose("method", method, ("pca", "svd", "kernel_pca", "lda"))
         choose("kernel", kernel, ("rbf", "linear"))
         self.cols = as_list(cols)
         self.method, self.n_components, self.target_col = method, int(n_components), target_col
-        self.prefix, self.kernel, self.landmarks = prefix or f"{method}_", kernel, int(landmarks)
+        self.prefix, self.kernel, self.landmarks = prefix or f"{method}_", kernel, landmarks
+        if method == "kernel_pca" and landmarks is None:
+            raise ValueError("kernel_pca needs a number of landmarks")
         self.names: list[str] = []
         self.centre = self.weights = self.points = None
 
@@ -74,7 +76,6 @@ class ReduceDimension(Operator):
             self.weights, self.centre = top_vectors(cross, k)[1], np.zeros(len(xs))
 
     def _fit_lda(self, filled, xs, k, shift):
-        class_sizes(filled, "y")
         parts = cross_products(filled.where("y is not null"), xs, shift, by="y")
         total = sum(p[0] for p in parts.values())
         mean = sum(p[1] for p in parts.values()) / total
@@ -89,7 +90,7 @@ class ReduceDimension(Operator):
 
     def _fit_kernel(self, filled, xs, k):
         vec = F.array(*[F.col(x) for x in xs])
-        rows = filled.select(vec.alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(self.landmarks).collect()
+        rows = filled.select(vec.alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(int(self.landmarks)).collect()
         points = np.array([r["v"] for r in rows], dtype=float)
         values, basis = np.linalg.eigh(self._kernel(points, points))
         solid = values > max(values.max(), 0.0) * 1e-10

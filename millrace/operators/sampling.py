@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.joins import hot_keys, keyed_join, split_join
 from ..functions.neighbors import nearest
 from ..functions.ordering import POSITION, group_running_sum, join_on_keys, order_columns, row_index
-from ..functions.sampling import beta_draws, class_sizes, hash_sample, key_columns
+from ..functions.sampling import CHOSEN, beta_draws, class_counts, class_sizes, key_columns, mark_sample, repeat_rows
 from ..functions.values import (as_list, col, dtype_of, hash_index, hash_normal, hash_uniform, is_number,
                                 number, numeric_columns, present, value)
 from ..session import materialise
@@ -119,16 +120,18 @@ class SampleNegative(Operator):
 
 
 class FilterKCore(Operator):
-    """Keep users and items with at least ``k`` rows each, repeated until stable."""
+    """Keep users and items with at least ``k`` rows each, repeated until stable.
+
+    With ``max_rounds`` a table that is not stable by then raises.
+    """
 
     cross_row = True
 
     train_only = True
-    max_rounds = 100
 
-    def __init__(self, user_col="user_id", item_col="item_id", k=5):
+    def __init__(self, user_col="user_id", item_col="item_id", k=5, max_rounds=None):
         super().__init__()
-        self.user_col, self.item_col, self.k = user_col, item_col, int(k)
+        self.user_col, self.item_col, self.k, self.max_rounds = user_col, item_col, int(k), max_rounds
 
     def _apply(self, df):
         keys = [n for n in (self.user_col, self.item_col) if n]
@@ -140,7 +143,9 @@ class FilterKCore(Operator):
                             .agg(F.count("*").alias("w")))
         size = pairs.count()
         hot = [hot_keys(pairs, [f"k{i}"]) for i in range(len(keys))]
-        for _ in range(self.max_rounds):
+        for turn in count(1):
+            if self.max_rounds is not None and turn > self.max_rounds:
+                raise RuntimeError(f"not stable after {self.max_rounds} rounds")
             kept = pairs
             for i in range(len(keys)):
                 enough = pairs.groupBy(f"k{i}").agg(F.sum("w").alias("n")).where(F.col("n") >= self.k)
@@ -176,13 +181,17 @@ class Undersample(Operator):
     def _apply(self, df):
         if self.target_col not in df.columns:
             return df
+        y = col(self.target_col)
+        if self.method == "random":
+            classes = materialise(class_counts(df, self.target_col))
+            least = classes.agg(F.min("n")).first()[0]
+            if least is None:
+                return df
+            wanted = classes.select("group", F.lit(least).alias("wanted"))
+            return mark_sample(df, y, wanted, SEED, self.key_cols).where(CHOSEN).drop(CHOSEN)
         sizes = class_sizes(df, self.target_col)
         if not sizes:
             return df
-        y = col(self.target_col)
-        if self.method == "random":
-            least = min(sizes.values())
-            return hash_sample(df, [(y == F.lit(c), least) for c in sizes], SEED, self.key_cols)
         names = numeric_columns(df, exclude=[self.target_col])
         table = numbered_vectors(df, names, self.key_cols or df.columns)
         points = table.select(F.col(POSITION).alias("id"), F.col("__vec__").alias("vec"))
@@ -232,11 +241,11 @@ class Oversample(Operator):
             if n == most:
                 continue
             rows = row_index(df.where(y == F.lit(c)), self.key_cols or df.columns)
-            # Each of the wanted slots picks one row; picks are counted, then rows repeated.
-            picks = df.sparkSession.range(most).groupBy(
-                hash_index(SEED, F.lit(n), F.lit(str(c)), F.col("id")).alias(POSITION)).agg(F.count("*").alias("__n__"))
-            drawn = rows.join(picks, POSITION).withColumn(
-                "__i__", F.explode(F.sequence(F.lit(1), F.col("__n__").cast("int"))))
+            # Each of the wanted slots picks one row. The slots are the large side of the join, which the engine
+            # splits where many pick the same row.
+            picks = df.sparkSession.range(most).select(
+                hash_index(SEED, F.lit(n), F.lit(str(c)), F.col("id")).alias(POSITION))
+            drawn = picks.join(rows, POSITION)
             out = out.unionByName(drawn.select(*[col(x) for x in df.columns]))
         return out
 
@@ -286,9 +295,8 @@ class Oversample(Operator):
         total = share.agg(F.sum("w").alias("s")).first()["s"]
         if not total:
             raise ValueError(f"no row of class {c} has a neighbour of another class")
-        count = F.bround(F.col("w") / F.lit(total) * F.lit(most - n)).cast("int")
-        return share.withColumn("g", count).where("g > 0").select(
-            "id", F.explode(F.sequence(F.lit(1), F.col("g"))).alias("i")) \
+        quota = F.bround(F.col("w") / F.lit(total) * F.lit(most - n)).cast("int")
+        return repeat_rows(share.select("id", quota.alias("g")), F.col("g"), "i") \
             .select(F.concat_ws(":", F.col("id"), F.col("i")).alias("slot"), "id")
 
 

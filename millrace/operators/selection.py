@@ -9,7 +9,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.sampling import class_sizes
 from ..functions.values import as_list, col, number, numeric_columns, value
 from .base import SPLIT, Operator, choose
 
@@ -111,7 +110,6 @@ def univariate_scores(filled: DataFrame, width: int, score: str) -> list[float]:
             else:
                 out.append(math.inf if r * r >= 1 else r * r / (1 - r * r) * (row["n"] - 2))
         return out
-    class_sizes(filled, "y")
     known = filled.where("y is not null")
     if score == "chi2":
         sums = known.groupBy("y").agg(F.count("*").alias("n"), *[F.sum(F.greatest(x, F.lit(0.0))).alias(x)

@@ -8,7 +8,6 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import settings
 from ..functions.values import as_list, col, present, value
 from .base import Operator, choose
 from .encoding import md5_bucket
@@ -51,8 +50,6 @@ class ExtractTextFeature(Operator):
         choose("method", method, ("tfidf", "bow"))
         self.cols, self.method = as_list(cols), method
         self.max_features, self.ngram_range = int(max_features), tuple(ngram_range)
-        if self.max_features > settings.MAX_FITTED_COLUMNS:
-            raise ValueError("max_features is larger than a table can hold")
         self.terms: dict[str, list[str]] = {}
         self.idf: dict[str, list[float]] = {}
 

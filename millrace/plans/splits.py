@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.joins import keyed_join
 from ..functions.ordering import POSITION, join_on_keys, row_index, value_at
-from ..functions.sampling import class_sizes, hash_sample, key_columns
+from ..functions.sampling import CHOSEN, class_counts, hash_sample, key_columns, mark_sample
 from ..functions.values import as_list, col, dtype_of, numeric_columns, value
 from ..operators.base import HELD_OUT, SPLIT
 from ..session import materialise
@@ -17,26 +17,28 @@ from ..operators.sampling import draw_unseen, is_time_name
 FRACTION, SEED = 0.2, 42
 
 
-def proportional_sizes(sizes: dict, total: int) -> dict:
-    """Split ``total`` over classes in proportion, largest remainders first."""
-    rows = sum(sizes.values())
-    exact = {c: n * total / rows for c, n in sizes.items()}
-    out = {c: math.floor(x) for c, x in exact.items()}
-    spare = total - sum(out.values())
-    for c in sorted(exact, key=lambda c: (out[c] - exact[c], str(c)))[:spare]:
-        out[c] += 1
-    return out
+def proportional_sizes(classes: DataFrame, total: int) -> DataFrame:
+    """(group, n, kept): split ``total`` over the classes (group, n) in proportion, largest remainders first."""
+    rows = classes.agg(F.sum("n")).first()[0] or 0
+    exact = F.col("n") * F.lit(total) / F.lit(max(rows, 1))
+    parts = classes.select("group", "n", exact.alias("exact"), F.floor(exact).alias("floor"))
+    spare = total - (parts.agg(F.sum("floor")).first()[0] or 0)
+    placed = row_index(parts, [F.col("floor") - F.col("exact"), F.col("group").cast("string")])
+    return placed.select("group", "n", (F.col("floor") + (F.col(POSITION) < spare).cast("bigint")).alias("kept"))
 
 
 def stratified_holdout(df: DataFrame, target: str, keys, fraction: float = FRACTION,
                        seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(train, held out): exact per-class sizes, rows chosen by hash draw of their ``keys``."""
-    sizes = class_sizes(df, target)
-    rows = sum(sizes.values())
-    kept = proportional_sizes(sizes, rows - math.ceil(rows * fraction))
-    held = {c: sizes[c] - kept[c] for c in sizes}
-    test = hash_sample(df, [(col(target) == F.lit(c), n) for c, n in held.items()], seed, keys)
-    return join_on_keys(df, test.select(*[col(k) for k in as_list(keys)]), as_list(keys), "left_anti"), test
+    """(train, held out): exact per-class sizes, rows chosen by hash draw of their ``keys``.
+
+    Both parts are cut from one marker, so every row is in exactly one of them, also where keys repeat.
+    Rows without a class stay in train.
+    """
+    classes = materialise(class_counts(df, target))
+    rows = classes.agg(F.sum("n")).first()[0] or 0
+    sizes = proportional_sizes(classes, rows - math.ceil(rows * fraction))
+    marked = materialise(mark_sample(df, col(target), sizes.select("group", (F.col("n") - F.col("kept")).alias("wanted")), seed, keys))
+    return marked.where(~F.col(CHOSEN)).drop(CHOSEN), marked.where(CHOSEN).drop(CHOSEN)
 
 
 def chronological_tail(df: DataFrame, time_col: str, fraction: float = FRACTION):
@@ -172,14 +174,16 @@ def budget_sample(df: DataFrame, rows: int, target: str | None = None, seed: int
     wanted: list[tuple[Column, int]] = [(~held, rows)]
     budget = max(1, rows // 2)
     if n.get(True, 0) > budget and target is not None and target in df.columns:
-        sizes = class_sizes(df.where(held), target)
-        missing = n[True] - sum(sizes.values())
-        if len(sizes) > 1:
-            each = max(1, budget // len(sizes))
-            wanted += [(held & (col(target) == F.lit(c)), min(each, k)) for c, k in sizes.items()]
-            if missing:
-                wanted.append((held & col(target).isNull(), min(each, missing)))
-            return hash_sample(df, wanted, seed, keys)
+        classes = materialise(class_counts(df.where(held), target))
+        few = classes.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+        if few["k"] > 1:
+            each = max(1, budget // few["k"])
+            # Groups are classes as text, one group for training rows and one for held-out rows without a class.
+            group = F.when(~held, F.lit("t")).when(col(target).isNull(), F.lit("n")).otherwise(
+                F.concat(F.lit("c"), col(target).cast("string")))
+            wanted = classes.select(F.concat(F.lit("c"), F.col("group").cast("string")).alias("group"), F.lit(each).alias("wanted"))
+            wanted = wanted.union(df.sparkSession.createDataFrame([("t", rows), ("n", each)], "group string, wanted int"))
+            return mark_sample(df, group, wanted, seed, keys).where(CHOSEN).drop(CHOSEN)
     wanted.append((held, budget))
     return hash_sample(df, wanted, seed, keys)
 

@@ -19,9 +19,6 @@ MAX_LITERAL_ENTRIES = 2_000
 # Largest measured size of a table that may be sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-# Largest number of output columns a fitted operator may create from data.
-MAX_FITTED_COLUMNS = 10_000
-
 # Rows per block of the nearest-neighbour join, and reference points it may draw.
 NEIGHBOR_BLOCK_ROWS = 4_096
 NEIGHBOR_PIVOTS = 64
