@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from millrace import operators as O
+from millrace.functions.grouped import map_groups
 
 from .common import (INTERACTION_KEY, INTERACTION_KEY_SQL, INTERACTIONS_SQL, LKEY, LKEY_SQL, interactions, r,
                      rounded, table, with_split)
@@ -39,17 +40,32 @@ def row_callable(spark, sf):
                                    lambda row: row["p_retailprice"] - row["p_size"]).transform(p))
 
 
+CENTRED = "c_custkey bigint, c_nationkey int, c_acctbal double, gap double"
+
+
 def per_group_pandas(spark, sf):
-    """A pandas callable per customer group, through the frame callable."""
+    """A pandas callable that sees its group's mean, for groups of any size."""
+    def centred(pdf):
+        return pdf.assign(gap=pdf["c_acctbal"] - pdf["mean"]).drop(columns="mean")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return rounded(map_groups(c, ["c_nationkey"], {"mean": F.avg("c_acctbal")}, centred, CENTRED))
+
+
+def custom_callable(spark, sf):
+    """A frame callable: the same as plain columns."""
     def centred(df):
-        def one(pdf):
-            pdf["gap"] = pdf["c_acctbal"] - pdf["c_acctbal"].mean()
-            return pdf
-        return df.groupBy("c_nationkey").applyInPandas(one, "c_custkey bigint, c_nationkey int, c_acctbal double, gap double")
+        return df.withColumn("gap", F.col("c_acctbal") - F.avg("c_acctbal").over(Window.partitionBy("c_nationkey")))
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     return rounded(O.CustomFE(centred).transform(c))
 
 
+def vector_callable(spark, sf):
+    """A callable on pandas columns."""
+    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    p = O.CreateFeature(["p_size"], "half", lambda x: x / 2, vectorized=True).transform(p)
+    return rounded(O.CreateFeature(["p_retailprice", "p_size"], "unit", lambda a, b: a - b, vectorized=True).transform(p))
+
+
 def polynomial(spark, sf):
     l = table(spark, sf, "lineitem").select(*LKEY[:4], F.nullif("l_quantity", F.lit(1.0)).alias("q"), "l_discount", "l_tax")
     return rounded(O.CreatePolynomialFeature(["q", "l_discount", "l_tax"], 3).transform(l))
@@ -215,7 +231,7 @@ QUERIES = {
     **{f"f1_row_{m}": row_feature(m) for m in ("mean", "sum", "std", "min", "max", "median", "product")},
     "f1_row_diff": row_feature("diff"), "f1_row_ratio": row_feature("ratio"),
     "f1_row_inc_ratio": row_feature("inc_ratio", offset=2), "f1_row_text": joined_text,
-    "f2_frame_callable": frame_callable, "f2_row_callable": row_callable, "ud3_per_group_pandas": per_group_pandas,
+    "f2_frame_callable": frame_callable, "f2_row_callable": row_callable, "ud2_vector_callable": vector_callable, "ud3_per_group_pandas": per_group_pandas,
     "f3_polynomial": polynomial, "f3_polynomial_interactions": polynomial_interactions, "f4_crossed": crossed,
     "f5_group_statistics": group_statistics, "f5_group_median": group_median, "f6_calendar": calendar,
     "f6_calendar_from_seconds": calendar_from_seconds, "f7_lags": lags, "f7_lags_ungrouped": lags_ungrouped,
@@ -228,7 +244,7 @@ QUERIES = {
     "f18_term_counts": term_counts("bow"), "f18_tfidf": term_counts("tfidf"),
     "f18_bigram_counts": term_counts("bow", (1, 2)), "f19_token_vectors": token_vectors,
     "f20_degrees": edge_degrees, "f20_degrees_directed": edge_degrees_directed, "f21_ranks": ranks,
-    "f21_ranks_converged": ranks_converged, "f22_custom_callable": per_group_pandas,
+    "f21_ranks_converged": ranks_converged, "f22_custom_callable": custom_callable,
 }
 
 _ROW = """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, nullif(l_quantity, 1.0) AS a, l_discount * 100 AS b,
@@ -396,6 +412,7 @@ SQL = {
     "f21_ranks": ranks_sql(3),
 }
 SQL["f22_custom_callable"] = SQL["ud3_per_group_pandas"]
+SQL["ud2_vector_callable"] = SQL["f2_row_callable"]
 
 
 def projection_sql(prefix, centred):

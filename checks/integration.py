@@ -42,7 +42,20 @@ def join_users_items(spark, sf):
 def join_side(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_tax")
-    return l.join(o, "o_orderkey", "left")
+    return O.JoinTable("key", o, "o_orderkey").transform(l)
+
+
+def join_key_outer(spark, sf):
+    """Rows of either table without a partner, missing keys among them."""
+    o = table(spark, sf, "orders").select(F.nullif("o_orderkey", F.lit(7)).alias("k"), "o_totalprice")
+    l = table(spark, sf, "lineitem").select(F.when(F.col("l_orderkey") % 5 > 0, F.col("l_orderkey")).alias("k"), "l_linenumber", "l_tax")
+    return O.JoinTable("key", o, "k", "outer").transform(l)
+
+
+def join_key_right(spark, sf):
+    o = table(spark, sf, "orders").select(F.nullif("o_orderkey", F.lit(7)).alias("k"), "o_totalprice")
+    l = table(spark, sf, "lineitem").select(F.when(F.col("l_orderkey") % 5 > 0, F.col("l_orderkey")).alias("k"), "l_linenumber", "l_tax")
+    return O.JoinTable("key", o, "k", "right").transform(l)
 
 
 def stacked(spark, sf):
@@ -117,12 +130,13 @@ def parse_date_birth(spark, sf):
 
 
 def sorted_rows(spark, sf):
-    """Order shown as positions, since the comparison ignores row order."""
+    """The operator's own order as positions: numbers by partition and place in it, ranked."""
     from millrace.functions.ordering import row_index
+    from millrace.session import materialise
     o = table(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("st"), "o_totalprice")
     out = O.SortRows(["st", "o_totalprice"], [False, True], ["o_orderkey"]).transform(o)
-    order = [F.col("st").desc_nulls_last(), "o_totalprice", "o_orderkey"]
-    return row_index(out, order, "pos").select("o_orderkey", "pos")
+    place = materialise(out.withColumn("place", F.monotonically_increasing_id()).select("o_orderkey", "place"))
+    return row_index(place, ["place"], "pos").select("o_orderkey", "pos")
 
 
 def split_named(spark, sf):
@@ -142,7 +156,7 @@ def custom_callable(spark, sf):
 
 QUERIES = {
     "j1_join_key": join_key, "j2_join_statistics": join_statistics, "j2_join_statistics_median": join_statistics_median,
-    "j3_join_users_items": join_users_items, "j4_join_side": join_side, "u1_stacked": stacked,
+    "j3_join_users_items": join_users_items, "j4_join_side": join_side, "j1_join_key_outer": join_key_outer, "j1_join_key_right": join_key_right, "u1_stacked": stacked,
     "u1_stacked_shared": stacked_shared_columns, "u2_side_by_side": side_by_side, "s1_align_schema": align_schema,
     "s2_rename": renamed, "s3_drop": dropped, "s4_cast_types": cast_types, "s5_parse_number": parse_number,
     "s6_parse_date_text": parse_date_text, "s7_parse_date_yymmdd": parse_date_yymmdd,
@@ -150,6 +164,9 @@ QUERIES = {
     "s10_split_unnamed": split_unnamed, "s11_custom_callable": custom_callable,
 }
 
+_SIDES = """WITH o AS (SELECT nullif(o_orderkey, 7) AS k, o_totalprice FROM orders),
+  l AS (SELECT CASE WHEN l_orderkey % 5 > 0 THEN l_orderkey END AS k, l_linenumber, l_tax FROM lineitem) """
+
 SQL = {
     "j1_join_key": """WITH s AS (SELECT s_suppkey, nullif(s_nationkey, 3) AS k, nullif(s_acctbal, s_acctbal * 0) AS bal,
           CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS own FROM supplier)
@@ -177,6 +194,8 @@ SQL = {
         LEFT JOIN p ON item_id IS NOT DISTINCT FROM pk""",
     "j4_join_side": """SELECT l_orderkey AS o_orderkey, l_linenumber, l_tax, o_totalprice
         FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
+    "j1_join_key_outer": _SIDES + "SELECT l.k, l_linenumber, l_tax, o_totalprice FROM l FULL JOIN o ON l.k = o.k",
+    "j1_join_key_right": _SIDES + "SELECT l.k, l_linenumber, l_tax, o_totalprice FROM l RIGHT JOIN o ON l.k = o.k",
     "u1_stacked": """SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment, CAST(NULL AS VARCHAR) AS s_name FROM customer
         UNION ALL SELECT s_suppkey, s_acctbal, NULL, s_name FROM supplier""",
     "u1_stacked_shared": "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem",

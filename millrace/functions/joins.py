@@ -69,7 +69,8 @@ def salted_join(df: DataFrame, other: DataFrame, keys: list[str], how: str, limi
     salts as keep a key's share bounded; ``other`` is repeated once per salt.
     """
     limit = settings.MAX_GROUP_ROWS if limit is None else limit
-    placed = row_index(df, df.columns)
+    orderable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    placed = row_index(df, [F.xxhash64(*[col(n) for n in orderable]), *orderable])
     salts = max(1, math.ceil(placed.count() / limit))
     left = placed.withColumn("__salt__", (F.col(POSITION) % salts).cast("int")).drop(POSITION)
     right = other.withColumn("__salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -83,14 +84,19 @@ def _small(table: DataFrame) -> bool:
 
 def wide_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left",
               limit: int | None = None) -> DataFrame:
-    """Left or inner join with a table that may repeat keys; missing matches missing.
+    """Left, inner, right or outer join with a table that may repeat keys; missing matches missing.
 
     A measured small table is broadcast.  Otherwise keys that are large on the left
     or on the right are split off: the other side's slice is broadcast if measured
-    small, and salted if not.  Other kinds of join are left to Spark as they are.
+    small, and salted if not.  A right join is the left join from the other side; an outer
+    join is a left join and the rows of ``other`` that it does not meet.
     """
-    if how not in ("left", "inner"):
-        return join_on_keys(df, other, keys, how)
+    if how == "right":
+        out = wide_join(other, df, keys, "left", limit)
+        return out.select(*[col(c) for c in df.columns], *[col(c) for c in other.columns if c not in keys])
+    if how == "outer":
+        alone = keyed_join(other, df.select(*[col(k) for k in keys]).distinct(), keys, "left_anti", limit)
+        return wide_join(df, other, keys, "left", limit).unionByName(alone, allowMissingColumns=True)
     if _small(other):
         return join_on_keys(df, F.broadcast(other), keys, how)
     parts = []

@@ -407,7 +407,11 @@ class CorrectLabel(Operator):
 
 
 class Deduplicate(Operator):
-    """Keep one row, or none, of rows equal on ``subset``; missing equals missing."""
+    """Keep one row, or none, of rows equal on ``subset``; missing equals missing.
+
+    ``order_cols`` say which duplicate comes first; without them rows are ordered by all their columns, as tables
+    have no row order.
+    """
 
     cross_row = True
 
@@ -429,10 +433,8 @@ class Deduplicate(Operator):
             return kept.where("__n__ = 1").select(*[col(n) for n in df.columns])
         if self.subset is None or set(keys) == set(df.columns):
             return df.dropDuplicates()
-        if not self.order_cols:
-            raise ValueError("order_cols must say which duplicate comes first")
-        order = order_columns(self.order_cols) if self.keep == "first" else [
-            col(n).desc_nulls_first() for n in self.order_cols]
+        named = self.order_cols or [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        order = order_columns(named) if self.keep == "first" else [col(n).desc_nulls_first() for n in named]
         # Spark limits the rank inside each task before the shuffle, so hot keys stay small.
         window = Window.partitionBy(*[col(n) for n in keys]).orderBy(*order)
         return df.withColumn("__rank__", F.row_number().over(window)).where("__rank__ = 1").drop("__rank__")

@@ -6,6 +6,7 @@ import inspect
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import settings
@@ -24,7 +25,8 @@ ROW_METHODS = ("mean", "sum", "std", "min", "max", "median", "product", "diff",
 class CreateFeature(Operator):
     """One new column from a few source columns of the same row."""
 
-    def __init__(self, source_cols, output_col, method="mean", method_kwargs=None, return_type="double"):
+    def __init__(self, source_cols, output_col, method="mean", method_kwargs=None, return_type="double",
+                 vectorized=False):
         super().__init__()
         self.source_cols, self.output_col = as_list(source_cols), output_col
         if not self.source_cols:
@@ -32,7 +34,7 @@ class CreateFeature(Operator):
         if not callable(method):
             choose("method", method, ROW_METHODS)
         self.method, self.method_kwargs = method, dict(method_kwargs or {})
-        self.return_type = return_type
+        self.return_type, self.vectorized = return_type, bool(vectorized)
         self.output_col_types = {output_col: "numeric"}
 
     def _apply(self, df):
@@ -43,8 +45,12 @@ class CreateFeature(Operator):
         return df.withColumn(self.output_col, made)
 
     def _called(self, df, names):
-        """A frame callable returns a Column; any other callable runs as an Arrow UDF per row."""
+        """A frame callable returns a Column, a vectorized one maps pandas columns; any other runs per row."""
         method, extra = self.method, self.method_kwargs
+        if self.vectorized:
+            def whole(*xs: pd.Series) -> pd.Series:
+                return method(*xs, **extra)
+            return F.pandas_udf(whole, self.return_type)(*[value(df, n) for n in names])
         try:
             first = next(iter(inspect.signature(method).parameters), "")
         except (TypeError, ValueError):

@@ -58,6 +58,7 @@ class JoinTable(Operator):
                  user_df=None, item_df=None):
         super().__init__()
         choose("method", method, ("key", "agg", "rec"))
+        choose("how", how, ("left", "inner", "right", "outer"))
         self.method, self.aux_df, self.key_col, self.how = method, aux_df, key_col, how
         self.agg_funcs = as_list(agg_funcs) or ["mean", "max", "min"]
         self.prefix, self.max_cols = prefix, max_cols
@@ -83,8 +84,12 @@ class JoinTable(Operator):
         if self.how in ("left", "inner"):
             # A missing key matches nothing; the join below would match missing to missing.
             joined = wide_join(left, right.where(F.col(key).isNotNull()), [key], self.how)
+        elif self.how == "right":
+            joined = wide_join(left.where(F.col(key).isNotNull()), right, [key], "right")
         else:
-            joined = left.join(right, key, self.how)
+            known = F.col(key).isNotNull()
+            alone = keyed_join(right, left.where(known).select(key).distinct(), [key], "left_anti")
+            joined = wide_join(left, right.where(known), [key], "left").unionByName(alone, allowMissingColumns=True)
         added = [n for n in right.columns if n not in taken and n != key and n not in renamed.values()]
         return joined.select(
             *[F.coalesce(col(n), col(renamed[n])).alias(n) if n in renamed else col(n) for n in df.columns],
@@ -121,12 +126,8 @@ def _merge_null_safe(left, right, key, how):
     right_key = f"__right__{key}"
     right = right.select(*[col(n).alias(right_key if n == key else f"{n}_y" if n in clash else n)
                            for n in right.columns])
-    if how in ("left", "inner"):
-        joined = wide_join(left, right.withColumnRenamed(right_key, key), [key], how)
-        return joined.select(*[col(n) for n in left.columns], *[col(n) for n in right.columns if n != right_key])
-    joined = left.join(right, col(key).eqNullSafe(col(right_key)), how)
-    keep = [F.coalesce(col(key), col(right_key)).alias(key) if n == key else col(n) for n in left.columns]
-    return joined.select(*keep, *[col(n) for n in right.columns if n != right_key])
+    joined = wide_join(left, right.withColumnRenamed(right_key, key), [key], how)
+    return joined.select(*[col(n) for n in left.columns], *[col(n) for n in right.columns if n != right_key])
 
 
 class ConcatTable(Operator):
@@ -313,7 +314,10 @@ class ParseDate(Operator):
 
 
 class SortRows(Operator):
-    """Multi-key sort, missing values last in both directions."""
+    """Multi-key sort, missing values last in both directions.
+
+    A hash of the row comes last, so that rows with equal keys need not meet in one task.
+    """
 
     def __init__(self, by=None, ascending=True, tie_cols=None):
         super().__init__()
@@ -328,7 +332,8 @@ class SortRows(Operator):
         else:
             way = dict.fromkeys(by, self.ascending)
         keys = [col(n).asc_nulls_last() if way[n] else col(n).desc_nulls_last() for n in by]
-        return df.orderBy(*keys, *order_columns(present(df, self.tie_cols)))
+        hashed = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        return df.orderBy(*keys, *order_columns(present(df, self.tie_cols)), F.xxhash64(*hashed))
 
 
 class SplitColumn(Operator):

@@ -67,8 +67,7 @@ def busiest(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the ``n`` most frequent keys (the smaller key on a tie)."""
     top = df.where(value(df, key).isNotNull()).groupBy(col(key)).agg(F.count("*").alias("__n__")) \
         .orderBy(F.desc("__n__"), col(key)).limit(int(n)).select(key)
-    # At most n rows.
-    return df.join(F.broadcast(top), key, "left_semi").select(*[col(c) for c in df.columns])
+    return keyed_join(df, top, [key], "left_semi").select(*[col(c) for c in df.columns])
 
 
 def row_sample(df: DataFrame, n: int, seed: int = 42, keys=None) -> DataFrame:

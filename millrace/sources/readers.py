@@ -53,11 +53,19 @@ def json_lines(spark: SparkSession, path, schema, renames: dict[str, str] | None
 
 
 def arff(spark: SparkSession, path: str) -> DataFrame:
-    """ARFF: attribute header, CSV body, '?' is missing, nominal values lose quotes and b'' marks."""
+    """ARFF: attribute header, CSV body, '?' is missing, nominal values lose quotes and b'' marks.
+
+    Of several files the first one's header counts.  Only its first lines are read for it.
+    """
     lines = spark.read.text(path)
-    head = lines.where(F.lower(F.trim("value")).startswith("@attribute"))
-    # The header is read in file order from the first lines of the file.
-    attributes = [r["value"] for r in head.collect()]
+    first, n = spark.read.text(sorted(lines.inputFiles())[0]), 256
+    while True:
+        head = [r["value"] for r in first.take(n)]
+        ends = [i for i, line in enumerate(head) if line.strip().lower().startswith("@data")]
+        if ends or len(head) < n:
+            break
+        n *= 4
+    attributes = [x for x in head[:ends[0] if ends else None] if x.strip().lower().startswith("@attribute")]
     fields, nominal = [], []
     for line in attributes:
         m = re.match(r"(?i)\s*@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)$", line)
