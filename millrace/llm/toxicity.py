@@ -58,7 +58,8 @@ class Network:
 
     def project(self, feats: np.ndarray) -> np.ndarray:
         """Filter responses of single words, one block of FILTERS columns per width and place in the window."""
-        return self.table[feats].sum(1) @ self.filters
+        # In double precision, so that rounding does not depend on the words projected together.
+        return (self.table[feats].sum(1).astype(np.float64) @ self.filters.astype(np.float64)).astype(np.float32)
 
     def responses(self, projected: np.ndarray) -> np.ndarray:
         """(words, widths x filters): response of the window that starts at each word."""
@@ -73,11 +74,14 @@ class Network:
         return np.concatenate(out, 1)
 
     def logits(self, peaks: np.ndarray) -> np.ndarray:
-        return np.maximum(peaks + self.bias, 0) @ self.out + self.shift
+        return np.round((np.maximum(peaks + self.bias, 0) * self.out).sum(1, dtype=np.float64) + float(self.shift), 5)
 
 
 def _ragged(ids: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word rows of several texts one after the other, each followed by padding wider than any window."""
+    """Word rows of several texts one after the other, each followed by padding.
+
+    Windows that start in the padding belong to no text; their responses are set to 0, that of a text without words.
+    """
     gap = np.full(max(WIDTHS) - 1, pad)
     parts = [p for i in ids for p in (i, gap)]
     lengths = np.asarray([len(i) + len(gap) for i in ids])
@@ -114,6 +118,7 @@ def train(texts: list[str], labels: list[int], weights: list[float], seed: int =
             used, inverse = np.unique(flat, return_inverse=True)
             embedded = net.table[feats[used]].sum(1)
             answers = net.responses((embedded @ net.filters)[inverse])
+            answers[flat == pad] = 0
             ends = np.append(starts[1:], len(flat))
             at = np.stack([s + answers[s:e].argmax(0) for s, e in zip(starts, ends, strict=True)])
             peaks = np.take_along_axis(answers, at, 0) + net.bias
@@ -121,6 +126,7 @@ def train(texts: list[str], labels: list[int], weights: list[float], seed: int =
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.shift, -30, 30)))
             error = (p - y[rows]) / len(rows)
             g_hidden = np.outer(error, net.out) * (peaks > 0)
+            g_words = g_hidden * (flat[at] != pad)
             grads = {"out": hidden.T @ error + DECAY * net.out, "bias": g_hidden.sum(0)}
             g_shift = float(error.sum())
             g_filters = np.zeros_like(net.filters)
@@ -131,7 +137,7 @@ def train(texts: list[str], labels: list[int], weights: list[float], seed: int =
                     place = np.minimum(at[:, own] + j, len(flat) - 1)
                     word = inverse[place]
                     columns = np.arange((slot + j) * FILTERS, (slot + j + 1) * FILTERS)
-                    g = g_hidden[:, own]
+                    g = g_words[:, own]
                     g_filters[:, columns] += np.einsum("bf,bfd->df", g, embedded[word])
                     touched.append(word.ravel())
                     changes.append((g[:, :, None] * net.filters[:, columns].T[None]).reshape(-1, DIM))
@@ -220,6 +226,7 @@ class Scorer:
             if len(self.rows) + len(part) > TABLE_WORDS:
                 self.reset()
             flat = np.concatenate([self._ids(part), np.zeros(overlap, np.int64)])
+            # The padding at the end counts as a response of 0, as in the runs of short texts.
             top = self.net.responses(self.projected[flat]).max(0)
             peaks = top if peaks is None else np.maximum(peaks, top)
             votes = votes + self.votes[flat[:step]].sum(0)
@@ -233,7 +240,9 @@ class Scorer:
             nonlocal pending, size
             if pending:
                 flat, starts = _ragged([self._ids(w) for w in pending], 0)
-                peaks.append(np.maximum.reduceat(self.net.responses(self.projected[flat]), starts, 0))
+                answers = self.net.responses(self.projected[flat])
+                answers[flat == 0] = 0
+                peaks.append(np.maximum.reduceat(answers, starts, 0))
                 votes.append(np.add.reduceat(self.votes[flat], starts, 0))
             pending, size = [], 0
 
