@@ -24,6 +24,11 @@ class Operator:
     cross_row = False
     per_split = False
 
+    @property
+    def runs_jobs(self) -> bool:
+        """Whether fitting or applying the step starts jobs on its input."""
+        return self.fit_on_train or self.cross_row or self.uses_history or self.per_split
+
     #: semantic type of columns the operator adds, name -> type
     output_col_types: dict[str, str] = {}
 

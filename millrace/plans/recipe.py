@@ -1,11 +1,12 @@
 """Recipes: operators wired over named tables, applied with train / held-out discipline.
 
-A recipe only composes lazy DataFrames; Spark plans and runs the result.
+Row-local steps stay lazy; the input of a step that runs jobs is written once, so nothing upstream runs twice.
 """
 
 from __future__ import annotations
 
 import inspect
+from collections import Counter
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import operators
 from ..operators.base import HELD_OUT, SPLIT, Operator
 from ..functions.values import as_list, col
+from ..session import materialise
 
 
 class RecipeError(ValueError):
@@ -97,11 +99,21 @@ class Recipe:
             if table not in tables:
                 raise RecipeError(f"table {table} is not available")
             values[name] = tables[table]
+        readers = Counter(i for node in self.steps.values() for i in as_list(node["prev"]))
+        fixed = set(values)
         for name in self.order:
             node = self.steps[name]
-            inputs = [values[i] for i in as_list(node["prev"])]
-            step = self._bound(node, inputs[1:], tables)
-            values[name] = apply_with_split(step, inputs[0], self.kind)
+            main, *side = as_list(node["prev"])
+            step = self._bound(node, [values[i] for i in side], tables)
+            # A step that runs jobs on its input, or one that several steps read, would run all before it again
+            # for each of them: its result is written once.  Sources are files already.
+            for i in [main, *side]:
+                if i not in fixed and (readers[i] > 1 or i == main and step.runs_jobs):
+                    values[i] = materialise(values[i])
+                    fixed.add(i)
+            if side:
+                step = self._bound(node, [values[i] for i in side], tables)
+            values[name] = apply_with_split(step, values[main], self.kind)
             self.fitted[name] = step
         return values[self.end]
 
