@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace import operators as O
+from millrace.operators import numeric as N
 
 from .common import (INTERACTION_KEY, INTERACTION_KEY_SQL, INTERACTIONS_SQL, LKEY, LKEY_SQL, draw_sql, interactions, r,
                      rounded, table, with_split)
@@ -207,7 +208,22 @@ def one_hot_columns(source, values, name):
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-def quantile_sql():
+def horner(values, x):
+    out = repr(values[0])
+    for v in values[1:]:
+        out = f"({out} * {x} + {v!r})"
+    return out
+
+
+def normal_sql(p):
+    """Inverse normal distribution of a column, by the operator's rational approximation."""
+    q, far = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    inner = f"{q} * {horner(N.INNER_TOP, f'({q} * {q})')} / {horner(N.INNER_BOTTOM, f'({q} * {q})')}"
+    outer = f"{horner(N.OUTER_TOP, far)} / {horner(N.OUTER_BOTTOM, far)}"
+    return f"CASE WHEN {p} < {N.OUTER_BELOW} THEN {outer} WHEN {p} > 1 - {N.OUTER_BELOW} THEN -({outer}) ELSE {inner} END"
+
+
+def quantile_sql(made="u"):
     """Place values on a grid of 1000 quantiles, averaging the lower and upper position of equal values."""
     return f"""WITH e AS (SELECT event_id, round(value, 0) AS v FROM events),
       g AS (SELECT i, i / 999.0 AS ref, q[i + 1] AS q FROM (SELECT quantile_cont(v, {[i / 999 for i in range(1000)]}) AS q
@@ -219,7 +235,8 @@ def quantile_sql():
       x AS (SELECT (SELECT min(v) FROM e) AS mn, (SELECT max(v) FROM e) AS mx),
       s AS (SELECT v, CASE WHEN v = mn THEN 0.0 WHEN v = mx THEN 1.0 WHEN qa = qb THEN (a + b) / 2.0 / 999
         ELSE (a + (v - qa) / (qb - qa) * (b - a)) / 999 END AS u FROM p, x)
-      SELECT event_id, {r('u', 4)} AS value FROM e JOIN s USING (v)"""
+      SELECT event_id, {r(made, 4)} AS value FROM e JOIN
+        (SELECT v, u, CAST(least(greatest(u, 1e-7), 1 - 1e-7) AS DOUBLE) AS p FROM s) USING (v)"""
 
 
 SQL = {
@@ -265,7 +282,7 @@ SQL = {
     "p9_logarithm": f"""SELECT event_id, {r('value - 0.5')} AS value, CASE WHEN value - CAST(0.5 AS DOUBLE) = 0
         THEN CAST('-inf' AS DOUBLE) WHEN value > 0.5 THEN {r('ln(value - 0.5)')} END AS lv FROM events""",
     "p9_square_root": f"SELECT event_id, {r('sqrt(greatest(value - 49, 0.0))')} AS value FROM events",
-    "p10_quantile_uniform": quantile_sql(),
+    "p10_quantile_uniform": quantile_sql(), "p10_quantile_normal": quantile_sql(normal_sql("p")),
     "p11_bins_manual": """SELECT event_id, CASE WHEN event_type <> 'view' THEN CAST((value >= 5)::INT + (value >= 20)::INT
         + (value >= 80.5)::INT AS BIGINT) ELSE -1 END AS value FROM events""",
     "p11_bins_uniform": """WITH a AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN value END AS v FROM events),

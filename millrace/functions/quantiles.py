@@ -44,7 +44,15 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
                 rank = p * (counts[f"n{i}"] - 1)
                 wanted.setdefault((i, math.floor(rank)), None)
                 wanted.setdefault((i, math.ceil(rank)), None)
-        found = _select_ranks(values, list(wanted), bracket)
+        found = {}
+        for i in large:
+            ranks = [w for w in wanted if w[0] == i]
+            if len(ranks) > SORTED_FROM_RANKS:
+                found.update(_ranks_by_sort(values, i, [r for _, r in ranks]))
+        few = [w for w in wanted if w not in found]
+        if few:
+            # Each rank may gather its share of the bound, so that all together stay below it.
+            found.update(_select_ranks(values, few, max(1, bracket // len(few))))
         for i in large:
             for j, p in enumerate(probs):
                 rank = p * (counts[f"n{i}"] - 1)
@@ -53,6 +61,23 @@ def exact_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     return out
 
 
+# From so many ranks of one column on, one distributed sort is cheaper than a search for each.
+SORTED_FROM_RANKS = 16
+
+
+def _ranks_by_sort(values: DataFrame, i: int, ranks: list[int]) -> dict:
+    """Value at each rank of one column, read off a distributed sort of the column alone.
+
+    A row number breaks ties, so that equal values need not meet in one task.
+    """
+    name = f"v{i}"
+    alone = values.where(F.col(name).isNotNull()).select(name, F.monotonically_increasing_id().alias("tie"))
+    placed = row_index(alone, [name, "tie"])
+    # As many rows as ranks were asked for.
+    rows = placed.where(F.col(POSITION).isin(sorted(set(ranks)))).select(POSITION, name).collect()
+    return {(i, r[0]): r[1] for r in rows}
+
+
 def _select_ranks(values: DataFrame, wanted: list[tuple[int, int]], bracket: int) -> dict:
     """Value at each (column, rank).  One aggregation over the table per round."""
     state = {w: {"low": None, "high": None, "below": 0} for w in wanted}
