@@ -178,6 +178,18 @@ def components(method, **kw):
     return run
 
 
+def kernel_linear(spark, sf):
+    """With the linear kernel and landmarks that span the columns: the principal components, up to their signs."""
+    out = components("kernel_pca", kernel="linear", landmarks=64)(spark, sf)
+    return out.withColumns({n: F.abs(n) for n in ("kernel_pca_0", "kernel_pca_1")})
+
+
+def two_classes(spark, sf):
+    l = table(spark, sf, "lineitem").select(*LKEY[:4], "l_quantity", (F.col("l_discount") * 100).alias("d"),
+                                            (F.col("l_tax") * 100).alias("t"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return rounded(O.ReduceDimension(["l_quantity", "d", "t"], "lda", 2, target_col="y").transform(l), 3)
+
+
 def pca_variances(spark, sf):
     """Components are uncorrelated, and their variances add up to those of the columns."""
     e = table(spark, sf, "embeddings")
@@ -241,6 +253,7 @@ QUERIES = {
     "f13_chosen_by_model": chosen_by_model, "f14_eliminated": eliminated,
     "f15_principal": components("pca"), "f15_singular": components("svd"), "f15_principal_variances": pca_variances,
     "f16_discriminant": components("lda", target_col="y"), "f17_kernel": components("kernel_pca", landmarks=64),
+    "f16_discriminant_two_classes": two_classes, "f17_kernel_linear": kernel_linear,
     "f18_term_counts": term_counts("bow"), "f18_tfidf": term_counts("tfidf"),
     "f18_bigram_counts": term_counts("bow", (1, 2)), "f19_token_vectors": token_vectors,
     "f20_degrees": edge_degrees, "f20_degrees_directed": edge_degrees_directed, "f21_ranks": ranks,
@@ -415,7 +428,7 @@ SQL["f22_custom_callable"] = SQL["ud3_per_group_pandas"]
 SQL["ud2_vector_callable"] = SQL["f2_row_callable"]
 
 
-def projection_sql(prefix, centred):
+def projection_sql(prefix, centred, shown="{}"):
     """First two principal (or singular) directions of three columns by power iteration and deflation."""
     mean = "avg" if centred else "0.0 * avg"
     pairs = [("q", "q"), ("q", "d"), ("q", "t"), ("d", "d"), ("d", "t"), ("t", "t")]
@@ -436,9 +449,26 @@ def projection_sql(prefix, centred):
       h AS (SELECT {', '.join(f'{x}{y} - e * {letters[x]} * {letters[y]} AS {x}{y}' for x, y in pairs)} FROM g, e, pv),
       {step('s', 'h')}
       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('q', 3)} AS l_quantity, {r('d', 3)} AS d, {r('t', 3)} AS t, y,
-        {r('(q - mq) * pv.a + (d - md) * pv.b + (t - mt) * pv.c', 3)} AS {prefix}_0,
-        {r('(q - mq) * sv.a + (d - md) * sv.b + (t - mt) * sv.c', 3)} AS {prefix}_1 FROM d, m, pv, sv"""
+        {shown.format(r('(q - mq) * pv.a + (d - md) * pv.b + (t - mt) * pv.c', 3))} AS {prefix}_0,
+        {shown.format(r('(q - mq) * sv.a + (d - md) * sv.b + (t - mt) * sv.c', 3))} AS {prefix}_1 FROM d, m, pv, sv"""
 
 
 SQL["f15_principal"] = projection_sql("pca", True)
 SQL["f15_singular"] = projection_sql("svd", False)
+SQL["f17_kernel_linear"] = projection_sql("kernel_pca", True, "abs({})")
+# Two classes in closed form: the inverse of the pooled covariance times the difference of means, at unit within-class spread.
+SQL["f16_discriminant_two_classes"] = f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS q,
+    l_discount * 100 AS d, l_tax * 100 AS t, (l_returnflag = 'R')::INT AS y FROM lineitem),
+  c AS (SELECT y, avg(q) AS q, avg(d) AS d, avg(t) AS t FROM x GROUP BY y),
+  o AS (SELECT avg(q) AS q, avg(d) AS d, avg(t) AS t FROM x),
+  w AS (SELECT {', '.join(f'sum((x.{a} - c.{a}) * (x.{b} - c.{b})) / (count(*) - 2) AS {a}{b}' for a, b in
+                          [('q', 'q'), ('q', 'd'), ('q', 't'), ('d', 'd'), ('d', 't'), ('t', 't')])} FROM x JOIN c USING (y)),
+  g AS (SELECT u.q - v.q AS gq, u.d - v.d AS gd, u.t - v.t AS gt FROM c u, c v WHERE u.y = 1 AND v.y = 0),
+  k AS (SELECT (dd * tt - dt * dt) * gq + (qt * dt - qd * tt) * gd + (qd * dt - qt * dd) * gt AS a,
+    (qt * dt - qd * tt) * gq + (qq * tt - qt * qt) * gd + (qd * qt - qq * dt) * gt AS b,
+    (qd * dt - qt * dd) * gq + (qd * qt - qq * dt) * gd + (qq * dd - qd * qd) * gt AS c,
+    qq * (dd * tt - dt * dt) - qd * (qd * tt - dt * qt) + qt * (qd * dt - dd * qt) AS det, gq, gd, gt FROM w, g),
+  n AS (SELECT a, b, c, sqrt((a * gq + b * gd + c * gt) * det) * CASE WHEN abs(a) >= greatest(abs(b), abs(c)) THEN sign(a)
+    WHEN abs(b) >= abs(c) THEN sign(b) ELSE sign(c) END AS s FROM k)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('x.q', 3)} AS l_quantity, {r('x.d', 3)} AS d, {r('x.t', 3)} AS t, y,
+    {r('((x.q - o.q) * a + (x.d - o.d) * b + (x.t - o.t) * c) / s', 3)} AS lda_0 FROM x, o, n"""
