@@ -85,8 +85,8 @@ def cohort_statistics(spark, sf):
 def node_labels(spark, sf):
     n = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(
         F.col("p_size") < 10, "1").when(F.col("p_size") < 20, "odd").when(F.col("p_size") == 20, " 2.0 ").alias("class"))
-    c = table(spark, sf, "part").where("p_partkey % 3 <> 0").select(
-        F.col("p_partkey").cast("string").alias("id"), F.element_at(F.array(F.lit("unknown"), F.lit("1"), F.lit("2")),
+    c = table(spark, sf, "part").select(
+        F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey").cast("string")).alias("id"), F.element_at(F.array(F.lit("unknown"), F.lit("1"), F.lit("2")),
                                                                       (F.col("p_partkey") % 3).cast("int") + 1).alias("class"))
     return D.attach_classes(n, c, "id")
 
@@ -112,7 +112,8 @@ def token_numbers(spark, sf):
 
 def edges(spark, sf):
     e = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
-    n = table(spark, sf, "part").where("p_partkey % 5 <> 0").select("p_partkey", "p_retailprice")
+    n = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey")).otherwise(
+        -F.col("p_partkey")).alias("p_partkey"), "p_retailprice")
     return D.edge_index(e, "l_partkey", "l_suppkey", n, "p_partkey", ["p_partkey"])
 
 
@@ -178,7 +179,8 @@ SQL = {
         SELECT d.doc_id, coalesce(s.no, 0) AS source, a.no || ',' || b.no AS letters, w.no AS wide
         FROM documents d LEFT JOIN s ON d.source = s.source JOIN l a ON lang[1] = a.x JOIN l b ON lang[2] = b.x
         JOIN w ON d.doc_id = w.doc_id""",
-    "b17_edge_index": """WITH n AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS no FROM part WHERE p_partkey % 5 <> 0),
+    "b17_edge_index": """WITH k AS (SELECT CASE WHEN p_partkey % 5 <> 0 THEN p_partkey ELSE -p_partkey END AS k FROM part),
+        n AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS no FROM k),
         e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
         SELECT a.no AS src, b.no AS dst FROM e JOIN n a ON l_partkey = a.k JOIN n b ON l_suppkey = b.k""",
     "b18_time_masks": """WITH n AS (SELECT p_partkey, p_size, p_partkey % 3 - 1 AS class, p_partkey % 10 = 0 AS held,

@@ -92,8 +92,10 @@ def split_aware_rec(spark, sf):
 
 
 def known_only(spark, sf):
-    i = with_split(interactions(spark, sf).where("user_id % 9 <> 0 OR timestamp >= TIMESTAMP_NTZ '2000-01-01'"), "timestamp", "2000-01-01")
-    i = i.where("__split__ = 'train' OR user_id % 3 <> 1 OR rating = 0")
+    i = with_split(interactions(spark, sf), "timestamp", "2000-01-01")
+    late = F.col("__split__") == "std_test"
+    i = i.withColumn("user_id", F.when(~late & (F.col("user_id") % 9 == 0), -F.col("user_id")).otherwise(F.col("user_id")))
+    i = i.withColumn("rating", F.when(late & (F.col("user_id") % 3 == 1), 0).otherwise(F.col("rating")))
     return S.keep_known(i, "user_id", "item_id", "rating")
 
 
@@ -197,9 +199,10 @@ SQL = {
           TIMESTAMP '2000-01-01' THEN 'std_test' ELSE 'train' END AS __split__ FROM orders)
         SELECT o_orderkey, o_orderdate, o_custkey, {r('o_totalprice')} AS o_totalprice, __split__, count(*) OVER w AS o_totalprice_count,
           {r('max(o_totalprice) OVER w')} AS o_totalprice_max FROM o WINDOW w AS (PARTITION BY o_custkey, __split__)""",
-    "h10_known_only": f"""WITH {INTERACTIONS_SQL}, i AS (SELECT *, CASE WHEN timestamp >= TIMESTAMP '2000-01-01' THEN 'std_test'
-          ELSE 'train' END AS __split__ FROM interactions WHERE user_id % 9 <> 0 OR timestamp >= TIMESTAMP '2000-01-01'),
-        j AS (SELECT * FROM i WHERE __split__ = 'train' OR user_id % 3 <> 1 OR rating = 0),
+    "h10_known_only": f"""WITH {INTERACTIONS_SQL}, i AS (SELECT * REPLACE (CASE WHEN user_id % 9 = 0 AND timestamp <
+          TIMESTAMP '2000-01-01' THEN -user_id ELSE user_id END AS user_id), CASE WHEN timestamp >= TIMESTAMP '2000-01-01'
+          THEN 'std_test' ELSE 'train' END AS __split__ FROM interactions),
+        j AS (SELECT * REPLACE (CASE WHEN __split__ = 'std_test' AND user_id % 3 = 1 THEN 0 ELSE rating END AS rating) FROM i),
         t AS (SELECT * FROM j WHERE __split__ = 'train'), h AS (SELECT * FROM j WHERE __split__ = 'std_test'
           AND user_id IN (SELECT user_id FROM t) AND item_id IN (SELECT item_id FROM t))
         SELECT * FROM t UNION ALL SELECT * FROM h WHERE user_id IN (SELECT user_id FROM h WHERE rating = 1)""",

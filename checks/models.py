@@ -58,7 +58,7 @@ def adjacency(spark, sf):
 
 
 def neighbour_features(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_partkey % 4 <> 0").select("l_partkey", "l_suppkey")
+    e = table(spark, sf, "lineitem").select(F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey")).alias("l_partkey"), "l_suppkey")
     n = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
     return rounded(I.neighbour_means(e, "l_partkey", "l_suppkey", n, "p_partkey", ["p_size", "p_retailprice"]), 4)
 
