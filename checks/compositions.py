@@ -105,12 +105,37 @@ def monthly_history(spark, sf):
     return rounded(Recipe.from_spec(spec).run({"main": main, "monthly": long}), 4)
 
 
-QUERIES = {"recipe_interactions": interaction_features, "recipe_relational": relational_features,
+def catalogue_features(spark, sf):
+    """Item table with several rows per item, gaps marked and filled, core filter, two histories."""
+    spec = recipe(
+        ["interaction", "item"],
+        ("Deduplicate", ["s1"], {"subset": ["item_id"], "keep": "first"}),
+        ("HandleMV", ["o1"], {"cols": ["item_brand"], "na_values": ["Brand#11"], "action": "mark"}),
+        ("JoinTable", ["s0", "o2"], {"method": "rec", "how": "left"}),
+        ("HandleMV", ["o3"], {"cols": ["item_brand"], "method": "constant", "fill_value": "none", "action": "impute"}),
+        ("FilterKCore", ["o4"], {"k": 22}),
+        ("CreateSequence", ["o5"], {"seq_col": "item_id_seq", "max_len": 20, "tie_cols": INTERACTION_KEY}),
+        ("CreateSequence", ["o6"], {"item_col": "item_brand", "seq_col": "item_brand_seq", "max_len": 20, "tie_cols": INTERACTION_KEY}))
+    part = table(spark, sf, "part")
+    items = part.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("item_brand")).union(
+        part.select("p_partkey", F.concat(F.lit("Brand#"), F.col("p_size").cast("string"))))
+    out = Recipe.from_spec(spec, "rec").run({"interaction": interactions(spark, sf), "item": items})
+    return rounded(out.withColumns({n: F.array_join(F.col(n).cast("array<string>"), ",") for n in ("item_id_seq", "item_brand_seq")}))
+
+
+QUERIES = {"recipe_catalogue": catalogue_features, "recipe_interactions": interaction_features, "recipe_relational": relational_features,
            "recipe_hourly": hourly_features, "recipe_transactions": transaction_features, "recipe_monthly": monthly_history}
 
 _ORDER = f"timestamp, {INTERACTION_KEY_SQL}"
 
+_HISTORY = """coalesce(array_to_string(list({}) OVER (PARTITION BY user_id ORDER BY {} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), ','), '')"""
+
 SQL = {
+    "recipe_catalogue": k_core_sql(22, 40).replace("SELECT * FROM r40", f""", b AS (SELECT p_partkey AS k, coalesce(nullif(
+          least(p_brand, 'Brand#' || p_size), 'Brand#11'), 'none') AS item_brand FROM part)
+        SELECT user_id, item_id, timestamp, rating, l_orderkey, l_linenumber, l_suppkey, {r('l_extendedprice')} AS l_extendedprice,
+        item_brand, {_HISTORY.format('CAST(item_id AS VARCHAR)', _ORDER)} AS item_id_seq,
+        {_HISTORY.format('item_brand', _ORDER)} AS item_brand_seq FROM r40 LEFT JOIN b ON item_id = k"""),
     "recipe_interactions": k_core_sql(22, 40).replace("SELECT * FROM r40", f"""SELECT user_id, item_id, timestamp, rating, l_orderkey,
         l_linenumber, l_suppkey, {r('l_extendedprice')} AS l_extendedprice, p_brand AS item_brand, c_mktsegment AS user_segment,
         coalesce(array_to_string(list(CAST(item_id AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY {_ORDER}

@@ -32,6 +32,14 @@ class Operator:
     #: semantic type of columns the operator adds, name -> type
     output_col_types: dict[str, str] = {}
 
+    #: parameter that takes any number of further tables, if the operator has one
+    many_tables: str | None = None
+
+    @classmethod
+    def side_tables(cls, params: dict) -> list[tuple[str, str | None]]:
+        """Parameters that take one further table each, with the column by which the table is known, if any."""
+        return []
+
     def __init__(self):
         self.fitted = False
 

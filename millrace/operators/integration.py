@@ -53,6 +53,12 @@ def cast_to(df: DataFrame, name: str, type_name: str) -> Column:
 class JoinTable(Operator):
     """Attach other tables: by key, by per-key statistics, or user and item tables."""
 
+    @classmethod
+    def side_tables(cls, params):
+        if params.get("method") == "rec":
+            return [("user_df", params.get("user_col", "user_id")), ("item_df", params.get("item_col", "item_id"))]
+        return [("aux_df", None)]
+
     def __init__(self, method="key", aux_df=None, key_col=None, how="left", agg_funcs=None,
                  prefix=None, max_cols=None, user_col="user_id", item_col="item_id",
                  user_df=None, item_df=None):
@@ -133,6 +139,8 @@ def _merge_null_safe(left, right, key, how):
 class ConcatTable(Operator):
     """Stack tables by column name, or set them side by side by row position."""
 
+    many_tables = "other_dfs"
+
     def __init__(self, other_dfs=None, axis="vertical", dedup=False, fill_missing=True, order_cols=None):
         super().__init__()
         choose("axis", axis, ("vertical", "horizontal"))

@@ -5,7 +5,6 @@ Row-local steps stay lazy; the input of a step that runs jobs is written once, s
 
 from __future__ import annotations
 
-import inspect
 from collections import Counter
 from graphlib import CycleError, TopologicalSorter
 
@@ -129,31 +128,28 @@ class Recipe:
                 given = tables[given[1:]]
             params[key] = given
         if side:
-            params.update(_side_inputs(node, inspect.signature(kind.__init__).parameters, params, side))
+            params.update(_placed(node["id"], kind, params, side))
         return kind(**params)
 
 
-def _side_inputs(node, accepted, params, side):
-    """Which parameter takes each further input of a step."""
-    if params.get("method") == "rec" and "user_df" in accepted:
-        out = {}
-        user, item = params.get("user_col", "user_id"), params.get("item_col", "item_id")
-        for table in side:
-            free = [p for p in ("user_df", "item_df") if p not in params and p not in out]
-            if not free:
-                raise RecipeError(f"step {node['id']} has too many inputs")
-            if user in table.columns and "user_df" in free:
-                out["user_df"] = table
-            elif item in table.columns and "item_df" in free:
-                out["item_df"] = table
-            else:
-                out["item_df" if "item_df" in free else "user_df"] = table
-        return out
-    if "other_dfs" in accepted and "other_dfs" not in params:
-        return {"other_dfs": side}
-    if "aux_df" in accepted and "aux_df" not in params and len(side) == 1:
-        return {"aux_df": side[0]}
-    raise RecipeError(f"step {node['id']} cannot take {len(side) + 1} inputs")
+def _placed(name: str, kind: type[Operator], params: dict, tables: list[DataFrame]) -> dict:
+    """Which parameter takes each further input, by what the operator declares.
+
+    Tables known by a column go first; the others fill the parameters left, from the last one on.
+    """
+    if kind.many_tables and kind.many_tables not in params:
+        return {kind.many_tables: tables}
+    free = {p: known_by for p, known_by in kind.side_tables(params) if p not in params}
+    if len(tables) > len(free):
+        raise RecipeError(f"step {name} takes {len(free)} further inputs, {len(tables)} are given")
+    out, unknown = {}, []
+    for table in tables:
+        match = next((p for p, c in free.items() if c in table.columns and p not in out), None)
+        if match:
+            out[match] = table
+        else:
+            unknown.append(table)
+    return out | dict(zip([p for p in reversed(free) if p not in out], unknown))
 
 
 def apply_with_split(step: Operator, df: DataFrame, kind: str = "tabular") -> DataFrame:
