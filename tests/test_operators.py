@@ -165,8 +165,8 @@ def test_duplicates(spark, rows):
     assert rows(O.Deduplicate("id", "first", ["t"]).transform(df), "n") == [("b",), ("c",), ("e",)]
     assert rows(O.Deduplicate("id", "last", ["t"]).transform(df), "n") == [("a",), ("d",), ("e",)]
     assert rows(O.Deduplicate("id", False).transform(df), "n") == [("e",)]
-    with pytest.raises(ValueError):
-        O.Deduplicate("id").transform(df)
+    # Without an order, all columns order the rows.
+    assert rows(O.Deduplicate("id", "first").transform(df), "n") == [("a",), ("c",), ("e",)]
 
 
 def test_similarity_matches_definition():
