@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def table_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that :func:`materialise` writes inside, at the end.
+
+    What is to outlive the scope must have been written or collected by then.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
@@ -57,5 +79,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

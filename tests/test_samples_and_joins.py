@@ -106,3 +106,17 @@ def test_arff_header_of_the_first_file(spark, tmp_path):
 
     out = readers.arff(spark, str(tmp_path))
     assert out.columns == ["a", "b c"] and out.count() == 4
+
+
+def test_table_scope_deletes_its_tables(spark):
+    import os
+
+    from millrace.session import materialise, shared_folder, table_scope
+
+    folder = shared_folder(spark).removeprefix("file:") + "/tables"
+    kept = materialise(spark.range(3))
+    before = set(os.listdir(folder))
+    with table_scope(spark):
+        inner = materialise(spark.range(5))
+        assert inner.count() == 5 and set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) == before and kept.count() == 3
