@@ -292,6 +292,18 @@ SQL = {
         m AS (SELECT quantile_cont(v, [1/7, 2/7, 3/7, 4/7, 5/7, 6/7]) AS q FROM a)
         SELECT event_id, CASE WHEN v IS NULL THEN -1 ELSE CAST(len(list_filter(q, lambda x: v >= x)) AS BIGINT) END AS value
         FROM a, m""",
+    "p12_bins_clustered": """WITH RECURSIVE a AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN value END AS v FROM events),
+        w AS (SELECT v, count(*) AS c FROM a WHERE v IS NOT NULL GROUP BY v),
+        m AS (SELECT min(v) AS lo, max(v) AS hi, 1e-4 * (sum(c * v * v) / sum(c) - pow(sum(c * v) / sum(c), 2)) AS tol FROM w),
+        k AS (SELECT 0 AS i, list_transform(range(4), lambda x: lo + (hi - lo) * (x + 0.5) / 4) AS z, false AS done FROM m
+          UNION ALL
+          SELECT i + 1, nz, list_sum(list_transform(range(1, 5), lambda j: pow(nz[j] - z[j], 2))) <= tol
+          FROM (SELECT i, z, (SELECT list(x ORDER BY g) FROM (SELECT g, sum(v * c) / sum(c) AS x FROM (SELECT v, c, len(list_filter(
+            [(z[1] + z[2]) / 2, (z[2] + z[3]) / 2, (z[3] + z[4]) / 2], lambda e: v > e)) AS g FROM w) GROUP BY g)) AS nz
+            FROM k WHERE i < 300 AND NOT done), m),
+        z AS (SELECT z FROM k ORDER BY i DESC LIMIT 1)
+        SELECT event_id, CASE WHEN v IS NULL THEN -1 ELSE CAST((v >= (z[1] + z[2]) / 2)::INT + (v >= (z[2] + z[3]) / 2)::INT
+          + (v >= (z[3] + z[4]) / 2)::INT AS BIGINT) END AS value FROM a, z""",
     "p13_clipped": f"""WITH a AS (SELECT event_id, ts, nullif(value, 1.0) AS v, CASE WHEN ts >= TIMESTAMP '2024-01-20'
           THEN 'std_test' ELSE 'train' END AS __split__ FROM events),
         m AS (SELECT quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.9) AS hi FROM a WHERE __split__ = 'train')
