@@ -18,7 +18,7 @@ TREES, DEPTH, RECALL = 24, 8, 0.999
 # Estimated similarity from which two texts of a prefix group are compared in one group.
 # Links at the threshold are not at stake here: the estimate has a standard error below 0.04.
 RELATED = 0.35
-WORD_CACHE, ROWS_AT_ONCE = 300_000, 512
+WORD_CACHE, ROWS_AT_ONCE = 150_000, 512
 
 _rng = np.random.default_rng(20_240_501)
 _FACTORS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -18,7 +18,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT_BYTES = 1_500, 3_500, 60_000
 EPOCHS, BATCH, RATE, DECAY = 7, 64, 0.08, 1e-5
 PREDICT_FROM = 0.7
 # Words remembered by a Python worker.
-TABLE_WORDS = 240_000
+TABLE_WORDS = 160_000
 
 #: Frequent short words by which a text's language is guessed.
 STOP_WORDS = {
