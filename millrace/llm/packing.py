@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -13,8 +14,8 @@ from ..functions.values import scalar_array
 from .common import col, materialise
 
 WINDOW, END_ID = 4096, 2
-# Words remembered by a Python worker, before it starts afresh.
-WORD_CACHE = 400_000
+# Words, and pieces of words, that a Python worker remembers twice over: the latest and as many before them.
+WORD_CACHE = 220_000
 # Pieces of one length that are numbered in one task.
 RANK_ROWS = 2_000
 # Combinations offered to the least squares problem, and its sweeps.
@@ -23,11 +24,19 @@ MAX_COMBINATIONS, SWEEPS = 30_000, 300
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: itself if printable, else the next letter from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds(dict):
     """Token ids of a word without white space, as little-endian 32-bit bytes.
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its words in a row.
-    Words of Latin letters are cut into the tokenizer's pieces here, and each distinct piece is encoded once.
+    Words of Latin letters are cut into the tokenizer's pieces here, and each distinct piece goes through its merges
+    once.  Of the words met, the last WORD_CACHE and as many before them are remembered.
     """
 
     plain = re.compile("[!-~\xa1-ɏ]*")
@@ -39,25 +48,40 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.find, self.pieces = Tokenizer.from_file(path), regex.compile(self.pattern).findall, {}
+        self.tokenizer, self.find = Tokenizer.from_file(path), regex.compile(self.pattern).findall
+        self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.before: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.pieces_before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        known = self.pieces_before.get(piece)
+        if known is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.merge(letters)]
+            known = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.pieces) > WORD_CACHE:
+            self.pieces_before, self.pieces = self.pieces, {}
+        self.pieces[piece] = known
+        return known
+
     def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            if self.plain.fullmatch(word):
+                low = word.lower()
+                if low.isalpha():
+                    ids = self.pieces.get(low) or self.piece(low)
+                else:
+                    ids = b"".join([self.pieces.get(p) or self.piece(p) for p in self.find(low)])
+            else:
+                ids = self.encode(word)
         if len(self) > WORD_CACHE:
+            self.before = dict(self)
             self.clear()
-        if len(self.pieces) > WORD_CACHE:
-            self.pieces.clear()
-        if self.plain.fullmatch(word):
-            ids = b""
-            for piece in self.find(word.lower()):
-                known = self.pieces.get(piece)
-                if known is None:
-                    known = self.pieces[piece] = self.encode(piece)
-                ids += known
-        else:
-            ids = self.encode(word)
         if len(word) < 64:
             self[word] = ids
         return ids
