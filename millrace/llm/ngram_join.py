@@ -10,14 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import col, materialise
-from .pairs import by_group, components, deal_blocks, forest, small_or_shuffled
+from .pairs import by_group, components, deal_blocks, forest, small_or_shuffled, spanning_edges
 
 SHINGLE, SIMILARITY = 5, 0.8
 # Trees and labels of a full signature path; a prefix is shortened until pairs at the threshold meet in some tree.
 TREES, DEPTH, RECALL = 24, 8, 0.999
-# Estimated similarity from which two texts of a prefix group are compared in one group.
-# Links at the threshold are not at stake here: the estimate has a standard error below 0.04.
-RELATED = 0.35
+# Estimated similarity from which a text goes into one group with the first text (head) of its prefix group, and
+# from which two other texts of the prefix group go into one group; the latter is 5 standard errors below the threshold.
+RELATED, NEAR = 0.35, 0.65
+# Two texts that agree in a share NEAR of their labels differ by at most 1 - NEAR in their agreement with the head: where
+# one agrees with it from SETTLED on, both are in its group. All others of the prefix group are compared with each other.
+SETTLED = RELATED + 1 - NEAR
 WORD_CACHE, ROWS_AT_ONCE = 150_000, 512
 
 _rng = np.random.default_rng(20_240_501)
@@ -110,18 +113,40 @@ def _prefixes(reps: DataFrame, depth: int) -> DataFrame:
     return reps.select("node", "sig").mapInPandas(run, "prefix long, node long")
 
 
+def _near(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Spanning pairs of the texts of two blocks whose signatures agree in a share of at least NEAR."""
+    i, j = int(group["_i"].iloc[0]), int(group["_j"].iloc[0])
+    node, block = group["node"].to_numpy(), group["_block"].to_numpy()
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), -1)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(left) or not len(right):
+        return
+    x, y = np.ascontiguousarray(sig[left].T), np.ascontiguousarray(sig[right].T)
+    same = np.zeros((len(left), len(right)), np.uint16)
+    for one, other in zip(x, y, strict=True):
+        same += one[:, None] == other
+    a, b = np.nonzero(same >= NEAR * len(x))
+    a, b = left[a], right[b]
+    a, b = a[a != b], b[a != b]
+    keep = spanning_edges(a, b, len(group))
+    if len(keep):
+        yield pd.DataFrame({"a": np.minimum(node[a[keep]], node[b[keep]]), "b": np.maximum(node[a[keep]], node[b[keep]])})
+
+
 def related_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b): spanning pairs of texts that share a prefix, with an estimated similarity of at least RELATED.
+    """(a, b): pairs that connect all texts that share a prefix and agree in a share of at least NEAR of their labels.
 
     From the full paths on, prefixes are shortened label by label until the target recall is reached.  At each depth
     every text of a prefix group is paired with the group's first text only, so a group of any size gives
-    fewer pairs than members, found by combined minima.
+    fewer pairs than members, found by combined minima.  Under the shortest prefixes, which hold the groups of all
+    longer ones, the texts that the first text does not settle are then compared with each other, block by block.
     """
     found, depth = None, DEPTH
     while True:
         rows = materialise(_prefixes(reps, depth))
         heads = rows.groupBy("prefix").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = rows.join(heads, "prefix").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        members = rows.join(heads, "prefix").where("node <> a").select("prefix", "a", F.col("node").alias("b"))
+        pairs = members.select("a", "b").distinct()
         found = pairs if found is None else found.union(pairs)
         if depth == 1 or recall_at(depth) >= RECALL:
             break
@@ -136,9 +161,18 @@ def related_pairs(reps: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 x, y = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(len(batch), -1) for c in ("x", "y"))
-                yield batch.loc[(x == y).mean(1) >= RELATED, ["a", "b"]]
-
-    return both.mapInPandas(close, "a long, b long")
+                yield batch[["a", "b"]].assign(share=(x == y).mean(1))
+
+    guess = materialise(both.mapInPandas(close, "a long, b long, share double"))
+    star = guess.where(F.col("share") >= RELATED).select("a", "b")
+    loose = guess.where(F.col("share") < SETTLED).select("a", "b")
+    left = materialise(members.join(small_or_shuffled(loose), ["a", "b"]).select("prefix", F.col("b").alias("node")))
+    sizes = materialise(left.groupBy("prefix").agg(F.count("*").alias("_size")).where("_size > 1"))
+    if sizes.isEmpty():
+        return star
+    left = left.join(small_or_shuffled(sizes), "prefix").join(sigs, "node")
+    dealt = deal_blocks(left, "prefix", "_size", "node")
+    return star.union(by_group(dealt, ["prefix", "_i", "_j"], _near, "a long, b long")).distinct()
 
 
 def exact_links(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:

@@ -396,3 +396,45 @@ def test_ngram_join_of_messy_rows(messy, nothing):
 
 def test_prefixes_are_shortened_to_the_target_recall():
     assert ngram_join.recall_at(6) >= ngram_join.RECALL > ngram_join.recall_at(7)
+
+
+def connected(spark, sigs):
+    from millrace.llm import pairs
+
+    rows = [(int(k), np.ascontiguousarray(s, np.uint32).tobytes()) for k, s in sigs.items()]
+    found = ngram_join.related_pairs(spark.createDataFrame(rows, "node long, sig binary").repartition(3))
+    return {r["node"]: r["component"] for r in pairs.components(found).collect()}
+
+
+def test_near_copies_meet_behind_heads_that_are_like_neither(spark):
+    """Each prefix that texts 100 and 101 share is headed by texts that share nothing else with them."""
+    rng = np.random.default_rng(8)
+    label = lambda *n: rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)
+    x = label(ngram_join.TREES, ngram_join.DEPTH)
+    y = x.copy()
+    y[3:, 0] = label(ngram_join.TREES - 3)
+    sigs = {100: x, 101: y}
+    for k in range(15):
+        sigs[k] = label(*x.shape)
+        sigs[k][k % 3] = x[k % 3]
+    component = connected(spark, sigs)
+    assert component.get(100) == component.get(101) == 100 and not set(range(15)) & set(component)
+
+
+@pytest.mark.parametrize("block", [1_024, 16])
+def test_all_near_pairs_of_a_prefix_are_connected(spark, monkeypatch, block):
+    from millrace.llm import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(9)
+    label = lambda *n: rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)
+    base, sigs = label(ngram_join.TREES, ngram_join.DEPTH), {}
+    for family in range(30):
+        centre = np.where(rng.random(base.shape) < rng.uniform(0.5, 0.9), label(*base.shape), base)
+        for member in range(4):
+            sigs[family * 4 + member] = np.where(rng.random(base.shape) < rng.uniform(0, 0.25), label(*base.shape), centre)
+    for s in sigs.values():
+        s[0] = base[0]
+    component = connected(spark, sigs)
+    near = [(a, b) for a in sigs for b in range(a) if (sigs[a] == sigs[b]).mean() >= ngram_join.NEAR]
+    assert len(near) > 50 and all(component[a] == component[b] for a, b in near)
