@@ -6,8 +6,9 @@ the last return the columns of ``documents``.  Each result is written as Parquet
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from millrace.functions.ordering import row_index
 from millrace.llm import mixing, ngram_join, packing, secrets, toxicity
 from millrace.llm.common import materialise, read_table
 from millrace.llm.pairs import small_or_shuffled
@@ -22,15 +23,29 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where("predicted = 0").select(*docs.columns)
 
 
+def _one_per_text(docs: DataFrame) -> DataFrame:
+    """Rows of one id and text stay once, the first by the other columns; _row numbers the rest by id, a null id last."""
+    text = F.coalesce(F.sha2("text", 256), F.lit(""))
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text), 256)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(*others))
+    rows = materialise(docs.withColumn("_key", key).withColumn("_first", first).where("_first = 1").drop("_first"))
+    numbers = materialise(row_index(rows.select("doc_id", "_key"), ["doc_id", "_key"], "_row").select("_key", "_row"))
+    return materialise(rows.join(small_or_shuffled(numbers), "_key"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; a repeated id stays once."""
-    judged = ngram_join.join_ngrams(docs)
-    dropped = materialise(judged.where("doc_id is not null and not kept").select("doc_id"))
-    out = docs.join(small_or_shuffled(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
-    return out
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Where ids repeat or are null, id and text together are the document: equal ones stay once, and of different texts
+    of one id each is judged by itself.
+    """
+    rows, key = docs, "doc_id"
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        rows, key = _one_per_text(docs), "_row"
+    judged = ngram_join.join_ngrams(rows, key)
+    dropped = materialise(judged.where("not kept").select(F.col("doc_id").alias(key)))
+    return rows.join(small_or_shuffled(dropped), key, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,15 @@ def test_stages_take_messy_and_empty_tables(spark, sf, messy, nothing, number):
         assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None and r["doc_id"] < 20) == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11]
     if name == "secrets":
         assert len(out) == rows.count()
+
+
+def test_different_texts_of_one_id_are_judged_apart(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcde"}
+    rows = [(1, "a", "en"), (1, "b", "en"), (2, "a", "en"), (None, "c", "en"), (None, "c", "en"), (None, "d", "en"), (None, "d", "en"),
+            (3, "c", "en"), (4, "e", "en"), (4, "e", "de")]
+    docs = spark.createDataFrame([(k, text[t], lang, "s", len(text[t])) for k, t, lang in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 7):
+        out = corpus_pipeline.drop_near_copies(spark, docs.repartition(parts), "").collect()
+        assert sorted((str(r["doc_id"]), r["text"][0], r["lang"]) for r in out) == [
+            ("1", "a", "en"), ("1", "b", "en"), ("3", "c", "en"), ("4", "e", "de"), ("None", "d", "en")]
