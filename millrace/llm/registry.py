@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprint, language_model, mixing, ngram_join, packing, secrets, toxicity, url_filter, warc
+from . import alignment, bpe, embedding_dedup, fingerprint, language_model, mixing, ngram_join, packing, secrets, toxicity, url_filter, warc, whitening
 from .common import read_table
 
 
@@ -48,6 +48,23 @@ def op10_ngram_join(spark, sf):
     return ngram_join.join_ngrams(read_table(spark, sf, "documents"))
 
 
+def op11_aligned_tokenizers(spark, sf):
+    import public_tokenizers
+
+    return alignment.alignment_digests(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitened(spark, sf):
+    return whitening.whiten_embeddings(read_table(spark, sf, "embeddings"))
+
+
+def op13_bpe_round_trip(spark, sf):
+    import public_tokenizers
+
+    return bpe.round_trip_digests(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def QUERIES() -> dict:
     import corpus_pipeline
 
@@ -57,7 +74,9 @@ def QUERIES() -> dict:
             "op5_toxicity": op5_toxicity, "op6_pack_sequences": op6_pack_sequences,
             "op7_secret_ledger": op7_secret_ledger, "op8_warc_captures": op8_warc_captures,
             "op9_multiset_fingerprints": op9_multiset_fingerprints,
-            "op10_ngram_join": op10_ngram_join}
+            "op10_ngram_join": op10_ngram_join, "op11_aligned_tokenizers": op11_aligned_tokenizers,
+            "op12_whitened": op12_whitened,
+            "op13_bpe_round_trip": op13_bpe_round_trip}
 
 
 def SQL() -> dict:
