@@ -267,6 +267,17 @@ SQL = {
     "c11_duplicates_rows": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem",
     "c12_typos_mapped": """SELECT doc_id, CASE lang WHEN 'fr' THEN 'french' WHEN 'en' THEN 'english' ELSE lang END AS lang,
         source FROM documents""",
+    # Longest common subsequences, a row of the table for every character.
+    "c12_typos_fuzzy": """WITH RECURSIVE v AS (SELECT DISTINCT translate(p_type, 'AEO', 'aE0') AS a FROM part),
+        t AS (SELECT * FROM (VALUES (0, 'STANDARD'), (1, 'PROMO'), (2, 'ECONOMY')) AS x(no, b)),
+        l(a, no, b, i, line) AS (SELECT a, no, b, 0, list_transform(range(0, length(b) + 1), lambda x: CAST(0 AS BIGINT)) FROM v, t
+          UNION ALL SELECT a, no, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE
+            list_max(list_transform(range(1, j + 1), lambda k: greatest(line[k + 1], CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1)
+              THEN line[k] + 1 ELSE 0 END))) END) FROM l WHERE i < length(a)),
+        s AS (SELECT a, b, no, 200.0 * line[length(b) + 1] / (length(a) + length(b)) AS score FROM l WHERE i = length(a)),
+        f AS (SELECT a, b FROM s WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, no) = 1)
+        SELECT p_partkey, coalesce(b, translate(p_type, 'AEO', 'aE0')) AS kind FROM part
+        LEFT JOIN f ON a = translate(p_type, 'AEO', 'aE0')""",
     "c13_values_mapped": """WITH a AS (SELECT p_partkey, nullif(p_size, 7) AS s, p_brand FROM part),
         b AS (SELECT *, CASE WHEN s < 5 THEN 0 WHEN s >= 40 THEN 40 ELSE s END AS s1 FROM a),
         c AS (SELECT *, nullif(s1, 0) AS s2 FROM b)

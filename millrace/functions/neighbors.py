@@ -1,9 +1,9 @@
 """Exact k-nearest-neighbour join for Euclidean distance.
 
-Equal vectors are searched once.  Vectors are grouped around reference points;
-the triangle inequality gives each group a radius that must hold its neighbours,
-so most group pairs are never compared.  What remains is compared block against
-block inside tasks, and a block pair returns only its k best per query.
+Equal vectors are searched once.  Donors are dealt to the leaves of a tree of reference points.  A query first meets
+the donors of its own leaf, which gives it a distance that its neighbours cannot exceed; then it goes down the tree and
+meets only the leaves that cut the ball of that distance.  Leaves are compared block against block inside tasks, and
+a block pair returns only its k best per query.
 """
 
 from __future__ import annotations
@@ -42,15 +42,11 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, same_table: bool,
     kept = donors.withColumn("__copy__", F.row_number().over(copies)).where(F.col("__copy__") <= depth)
     unique_donors = materialise(kept.groupBy("vec").agg(
         F.min("id").alias("did"), F.sort_array(F.collect_list("id")).alias("ids")))
-    unique_queries = materialise(queries.groupBy("vec").agg(F.min("id").alias("qid")))
-    n_donors = unique_donors.count()
-    empty = queries.sparkSession.createDataFrame([], "id bigint, rank int, neighbor bigint, distance double")
-    if n_donors == 0 or unique_queries.isEmpty():
-        return empty
-    pivots = _pivots(unique_donors, n_donors)
-    placed_q = materialise(_place(unique_queries, pivots))
-    placed_d = materialise(_place(unique_donors, pivots))
-    pairs = _block_pairs(placed_q, placed_d, pivots, depth, block)
+    unique_queries = unique_donors.select("vec", F.col("did").alias("qid")) if queries is donors else \
+        materialise(queries.groupBy("vec").agg(F.min("id").alias("qid")))
+    if unique_donors.isEmpty() or unique_queries.isEmpty():
+        return queries.sparkSession.createDataFrame([], "id bigint, rank int, neighbor bigint, distance double")
+    pairs = closest_pairs(unique_queries, unique_donors.select("did", "vec"), depth, block)
     ids = unique_donors.select("did", F.explode("ids").alias("neighbor"))
     ranked = pairs.join(ids, "did")
     best = Window.partitionBy("qid").orderBy("distance", "neighbor")
@@ -65,100 +61,183 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, same_table: bool,
         F.col("e.distance").alias("distance"))
 
 
-def _pivots(unique_donors: DataFrame, n: int) -> np.ndarray:
-    """A bounded, repeatable sample of donor vectors."""
-    size = max(1, min(settings.NEIGHBOR_PIVOTS, math.isqrt(n)))
-    rows = unique_donors.orderBy(F.xxhash64("vec"), "did").limit(size).select("vec").collect()
-    return np.array([r["vec"] for r in rows], dtype=float)
+def closest_pairs(queries: DataFrame, donors: DataFrame, depth: int, block: int) -> DataFrame:
+    """Candidates (qid, did, distance) that hold the ``depth`` closest donors (did, vec) of every query (qid, vec)."""
+    tree, placed = PivotTree.grow(donors, block)
+    if tree.leaves == 1:
+        return compare_leaves(queries.withColumn("leaf", F.lit(0).cast("bigint")).withColumn("bound", F.lit(math.inf)),
+                              placed, depth, block)
+    located = materialise(tree.locate(queries, "qid"))
+    own = materialise(compare_leaves(located.withColumn("bound", F.lit(math.inf)), placed, depth, block))
+    # The farthest of ``depth`` donors met so far; a leaf with fewer gives no bound yet.
+    bounds = own.groupBy("qid").agg(F.count("*").alias("met"), F.max("distance").alias("far")).where(F.col("met") >= depth)
+    bounded = located.join(bounds.select("qid", F.col("far").alias("bound")), "qid", "left") \
+        .select("qid", "vec", "leaf", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
+    further = compare_leaves(materialise(tree.visits(bounded, depth)), placed, depth, block)
+    return own.unionByName(further)
 
 
-def _place(table: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the closest pivot (``cell``) and the distance to it (``reach``)."""
-    @F.pandas_udf("cell int, reach double")
-    def closest(vec: pd.Series) -> pd.DataFrame:
-        if len(vec) == 0:
-            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "reach": pd.Series(dtype="float64")})
-        d = squared_distances(np.stack(vec.to_numpy()).astype(float), pivots)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "reach": np.sqrt(d[np.arange(len(d)), cell])})
+class PivotTree:
+    """Reference points in levels: a cell of too many donors is cut by the nearest of up to FAN of its own donors.
 
-    placed = table.withColumn("__at__", closest("vec"))
-    return placed.select(*table.columns, "__at__.cell", "__at__.reach")
-
-
-def _rings(placed_q, placed_d, pivots, depth):
-    """For every query cell, the distance ring of each donor cell that can hold a neighbour.
-
-    Works on summaries: one row per cell, and ``depth`` donors per cell.
+    The points, radii and counts are a bounded table that tasks carry: the tree grows until every leaf fits a block or
+    the points reach ``settings.NEIGHBOR_TREE_BYTES``.  Larger leaves are compared in several blocks.
     """
-    q_cells = {r["cell"]: r for r in placed_q.groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("reach").alias("far")).collect()}
-    d_cells = {r["cell"]: r for r in placed_d.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("reach").alias("near"), F.max("reach").alias("far")).collect()}
-    inner = Window.partitionBy("cell").orderBy("reach", "did")
-    closest = placed_d.withColumn("r", F.row_number().over(inner)).where(F.col("r") <= depth) \
-        .select("cell", "reach", F.size("ids").alias("copies")).collect()
-    gaps = np.sqrt(squared_distances(pivots, pivots))
-    rows, sizes = [], {}
-    for i, q in q_cells.items():
-        reachable = sorted((q["far"] + gaps[i, c["cell"]] + c["reach"], c["copies"]) for c in closest)
-        radius, seen = math.inf, 0
-        for bound, count in reachable:
-            seen += count
-            if seen >= depth:
-                radius = bound
+
+    def __init__(self):
+        # node -> (children, their points, radii and numbers of donors); the root is 0.
+        self.children: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.leaves = 1
+
+    @classmethod
+    def grow(cls, donors: DataFrame, block: int) -> tuple[PivotTree, DataFrame]:
+        """The tree of the donors, and the donors with their leaf."""
+        tree, fan = cls(), settings.NEIGHBOR_FAN
+        placed = donors.withColumn("leaf", F.lit(0).cast("bigint"))
+        full, held, made = ([0] if placed.count() > block else []), 0, 1
+        while full:
+            rank = Window.partitionBy("leaf").orderBy(F.xxhash64("vec"), "did")
+            inside = placed.where(F.col("leaf").isin(full)) if len(full) <= fan else placed.join(F.broadcast(
+                placed.sparkSession.createDataFrame([(n,) for n in full], "leaf bigint")), "leaf")
+            picked = inside.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= fan).select("leaf", "vec").collect()
+            points: dict[int, list] = {}
+            for r in picked:
+                points.setdefault(r["leaf"], []).append(r["vec"])
+            for node, vectors in points.items():
+                ids = np.arange(made, made + len(vectors))
+                tree.children[node] = ids, np.array(vectors, float), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+                made += len(ids)
+                held += tree.children[node][1].nbytes
+            placed = materialise(tree._descend(placed, "did", set(points)))
+            # One row per node of this level.
+            rows = {r["leaf"]: r for r in placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("reach").alias("far")).collect()}
+            full = []
+            for node in points:
+                ids, _, radii, sizes = tree.children[node]
+                for i, child in enumerate(ids.tolist()):
+                    if child in rows:
+                        radii[i], sizes[i] = rows[child]["far"], rows[child]["n"]
+                        if rows[child]["n"] > block:
+                            full.append(child)
+            width = len(picked[0]["vec"]) * 8
+            if held + len(full) * fan * width > settings.NEIGHBOR_TREE_BYTES:
                 break
-        total = 0
-        for j, d in d_cells.items():
-            slack = q["far"] + (radius if radius < math.inf else 0.0)
-            margin = 1e-9 * (1.0 + gaps[i, j] + slack)
-            low, high = gaps[i, j] - slack - margin, gaps[i, j] + slack + margin
-            if radius == math.inf:
-                low, high = -1.0, math.inf
-            if low <= d["far"] and high >= d["near"]:
-                rows.append((int(i), int(j), float(low), float(high)))
-                total += d["n"]
-        sizes[i] = (q["n"], total)
-    return rows, sizes
-
-
-def _block_pairs(placed_q, placed_d, pivots, depth, block):
-    spark = placed_q.sparkSession
-    rows, sizes = _rings(placed_q, placed_d, pivots, depth)
-    # Both tables are bounded by the number of pivots (squared), so they may be broadcast.
-    rings = F.broadcast(spark.createDataFrame(rows, "qcell int, cell int, low double, high double"))
-    splits = F.broadcast(spark.createDataFrame(
-        [(int(c), math.ceil(nq / block), max(1, math.ceil(nd / block))) for c, (nq, nd) in sizes.items()],
-        "qcell int, q_blocks int, d_blocks int"))
+            placed = placed.drop("reach")
+        tree.leaves = made - len(tree.children)
+        return tree, placed.select("did", "vec", "leaf")
+
+    def _descend(self, rows: DataFrame, key: str, through: set[int] | None = None) -> DataFrame:
+        """Move rows from their ``leaf`` to the nearest child, as long as it has children (of the nodes in ``through``)."""
+        children = self.children if through is None else {n: self.children[n] for n in through}
+
+        def move(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                at, vec, reach = batch["leaf"].to_numpy(np.int64).copy(), np.stack(batch["vec"].to_numpy()).astype(float), np.zeros(len(batch))
+                waiting = np.arange(len(batch))
+                while len(waiting):
+                    inner = np.array([n in children for n in at[waiting].tolist()], bool)
+                    waiting = waiting[inner]
+                    for node in np.unique(at[waiting]).tolist():
+                        mine = waiting[at[waiting] == node]
+                        ids, points, _, _ = children[node]
+                        d = squared_distances(vec[mine], points)
+                        best = d.argmin(axis=1)
+                        at[mine], reach[mine] = ids[best], np.sqrt(d[np.arange(len(mine)), best])
+                    if through is not None:
+                        break
+                yield pd.DataFrame({key: batch[key], "vec": batch["vec"], "leaf": at, "reach": reach})
+
+        return rows.select(key, "vec", "leaf").mapInPandas(move, f"{key} bigint, vec array<double>, leaf bigint, reach double")
+
+    def locate(self, queries: DataFrame, key: str) -> DataFrame:
+        """(key, vec, leaf): the leaf whose points are nearest on the way down."""
+        return self._descend(queries.withColumn("leaf", F.lit(0).cast("bigint")), key).drop("reach")
+
+    def visits(self, queries: DataFrame, depth: int) -> DataFrame:
+        """(qid, vec, leaf, bound) for every further leaf that may hold a donor within a query's ``bound``.
+
+        ``leaf`` names the leaf already met.  Where it gave no bound, counts and radii of the nodes on the way give one.
+        """
+        children = self.children
+
+        def go(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                vec, own = np.stack(batch["vec"].to_numpy()).astype(float), batch["leaf"].to_numpy(np.int64)
+                bound = batch["bound"].to_numpy(float).copy()
+                found_row, found_leaf = [], []
+                level = {0: np.arange(len(batch))}
+                while level:
+                    below: dict[int, list[np.ndarray]] = {}
+                    for node, rows in level.items():
+                        ids, points, radii, sizes = children[node]
+                        held = sizes > 0
+                        ids, points, radii, sizes = ids[held], points[held], radii[held], sizes[held]
+                        d = np.sqrt(squared_distances(vec[rows], points))
+                        order = np.argsort(d + radii, axis=1)
+                        reached = np.cumsum(sizes[order], axis=1) >= depth
+                        first = reached.argmax(axis=1)
+                        far = np.take_along_axis(d + radii, order, axis=1)[np.arange(len(rows)), first]
+                        far[~reached.any(axis=1)] = np.inf
+                        bound[rows] = np.minimum(bound[rows], far * (1 + 1e-9))
+                        slack = 1e-9 * (1.0 + d + radii)
+                        near = d - radii - slack <= bound[rows][:, None]
+                        for i, child in enumerate(ids.tolist()):
+                            mine = rows[near[:, i]]
+                            if child in children:
+                                below.setdefault(child, []).append(mine)
+                            else:
+                                mine = mine[own[mine] != child]
+                                found_row.append(mine)
+                                found_leaf.append(np.full(len(mine), child))
+                    level = {n: np.concatenate(v) for n, v in below.items() if sum(map(len, v))}
+                at = np.concatenate(found_row)
+                out = batch.iloc[at][["qid", "vec"]].copy()
+                out["leaf"], out["bound"] = np.concatenate(found_leaf), bound[at]
+                yield out
+
+        return queries.mapInPandas(go, "qid bigint, vec array<double>, leaf bigint, bound double")
+
+
+def compare_leaves(queries: DataFrame, placed: DataFrame, depth: int, block: int) -> DataFrame:
+    """The ``depth`` closest donors within ``bound`` of every query, for each of its leaves and blocks of them."""
+    # Both tables have a row per leaf of the tree, whose size is bounded.
+    q_sizes = queries.groupBy("leaf").agg(F.count("*").alias("nq"))
+    d_sizes = placed.groupBy("leaf").agg(F.count("*").alias("nd"))
+    some = max(1, block // 8)
+    splits = F.broadcast(q_sizes.join(F.broadcast(d_sizes), "leaf").select(
+        "leaf", F.ceil(F.col("nq") / some).cast("int").alias("q_blocks"), F.ceil(F.col("nd") / block).cast("int").alias("d_blocks")))
 
     def every(n):
-        return F.explode(F.sequence(F.lit(0), n - 1))
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    q = placed_q.withColumnRenamed("cell", "qcell").join(splits, "qcell").select(
-        "qcell", F.pmod(F.xxhash64("qid"), "q_blocks").cast("int").alias("qb"), every(F.col("d_blocks")).alias("db"),
-        F.lit(True).alias("is_query"), F.col("qid").alias("key"), "vec")
-    d = placed_d.join(rings, "cell").where((F.col("reach") >= F.col("low")) & (F.col("reach") <= F.col("high"))) \
-        .join(splits, "qcell").select(
-            "qcell", every(F.col("q_blocks")).alias("qb"),
-            F.pmod(F.xxhash64("did"), "d_blocks").cast("int").alias("db"),
-            F.lit(False).alias("is_query"), F.col("did").alias("key"), "vec")
+    q = queries.join(splits, "leaf").select(
+        "leaf", F.pmod(F.xxhash64("qid"), "q_blocks").cast("int").alias("qb"), every("d_blocks").alias("db"),
+        F.col("bound"), F.col("qid").alias("key"), "vec")
+    d = placed.join(splits, "leaf").select(
+        "leaf", every("q_blocks").alias("qb"), F.pmod(F.xxhash64("did"), "d_blocks").cast("int").alias("db"),
+        F.lit(None).cast("double").alias("bound"), F.col("did").alias("key"), "vec")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_query = pdf["is_query"].to_numpy()
+        is_query = pdf["bound"].notna().to_numpy()
         a, b = pdf[is_query], pdf[~is_query].sort_values("key")
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame({"qid": [], "did": [], "distance": []})
         donors, keys = np.stack(b["vec"].to_numpy()), b["key"].to_numpy()
         m = min(depth, len(b))
         parts = []
-        for start in range(0, len(a), 512):
-            some = a.iloc[start:start + 512]
-            dist = np.sqrt(squared_distances(np.stack(some["vec"].to_numpy()), donors))
+        for start in range(0, len(a), 256):
+            few = a.iloc[start:start + 256]
+            dist = np.sqrt(squared_distances(np.stack(few["vec"].to_numpy()), donors))
             # Stable sort on rows ordered by id keeps the lower id first among equals.
             order = np.argsort(dist, axis=1, kind="stable")[:, :m]
+            near = np.take_along_axis(dist, order, axis=1)
+            take = near <= few["bound"].to_numpy()[:, None] * (1 + 1e-9)
             parts.append(pd.DataFrame({
-                "qid": np.repeat(some["key"].to_numpy(), m), "did": keys[order].ravel(),
-                "distance": np.take_along_axis(dist, order, axis=1).ravel()}))
+                "qid": np.repeat(few["key"].to_numpy(), m)[take.ravel()], "did": keys[order][take], "distance": near[take]}))
         return pd.concat(parts)
 
-    return q.unionByName(d).groupBy("qcell", "qb", "db").applyInPandas(compare, PAIR_SCHEMA)
+    return q.unionByName(d).groupBy("leaf", "qb", "db").applyInPandas(compare, PAIR_SCHEMA)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import settings
+from ..functions.fuzzy import TermIndex
 from ..functions.imputation import iterative_rounds, knn_fill
 from ..functions.joins import keyed_join
 from ..functions.ordering import order_columns
@@ -440,24 +444,6 @@ class Deduplicate(Operator):
         return df.withColumn("__rank__", F.row_number().over(window)).where("__rank__ = 1").drop("__rank__")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with one bit per character of ``a``."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    row = full = (1 << len(a)) - 1
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - bin(row).count("1")
-
-
-def indel_ratio(a: str, b: str) -> float:
-    """Similarity 0-100 counting insertions and deletions only."""
-    total = len(a) + len(b)
-    return 100.0 if total == 0 else 100.0 * 2 * common_subsequence(a, b) / total
-
-
 class CorrectTypo(Operator):
     """Exact replacement map, then the closest vocabulary term if close enough."""
 
@@ -489,12 +475,13 @@ class CorrectTypo(Operator):
         vocabulary, threshold = [str(v) for v in self.vocabulary], self.threshold
 
         @F.pandas_udf("string")
-        def closest(raw: pd.Series) -> pd.Series:
-            def one(text):
-                scores = [indel_ratio(text, term) for term in vocabulary]
-                best = max(scores, default=-1.0)
-                return vocabulary[scores.index(best)] if best >= threshold else None
-            return raw.map(one, na_action="ignore")
+        def closest(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            index = TermIndex(vocabulary, threshold)
+            for raw in parts:
+                held = raw.notna().to_numpy()
+                found = np.full(len(raw), None, object)
+                found[held] = index.closest(raw[held].tolist())
+                yield pd.Series(found, dtype=object)
 
         fixed = F.coalesce(col("__mapped__"), closest(F.when(col("__mapped__").isNull(), col("__raw__"))),
                            col("__raw__")) if vocabulary else F.coalesce(col("__mapped__"), col("__raw__"))

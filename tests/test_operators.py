@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import operators as O, settings
-from millrace.operators.cleaning import common_subsequence, indel_ratio
+from millrace.functions.fuzzy import common_subsequence, indel_ratio
 
 
 def frame(spark, schema, *data):
