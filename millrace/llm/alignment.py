@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings
 from ..functions.joins import keyed_join, measured_bytes
-from .bpe import ChunkMemo, Ragged, gather, read_tokenizer, slices
+from .bpe import ChunkMemo, Ragged, flat_ids, gather, read_tokenizer, slices
 from .common import col, materialise
 
 # Words of plain letters before a common mark, else white space and characters up to a space or line end: no token of either
@@ -88,10 +88,13 @@ def linked_ids(a_ids, b_ids, a_group, b_group):
 
 
 def add_equal(pair: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with the sums of their links."""
+    if len(pair) == links.sum():
+        return np.unique(pair, return_counts=True)
     order = np.argsort(pair, kind="stable")
     pair, links = pair[order], links[order]
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-    return pair[first], np.add.reduceat(links, first) if len(pair) else links
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    return pair[first], np.add.reduceat(links, first)
 
 
 class Aligner:
@@ -110,49 +113,56 @@ class Aligner:
         # Per chunk: sizes (A tokens, B tokens, groups, links; -1 A tokens where bytes differ), text of groups, pairs.
         self.memo = ChunkMemo({"sizes": np.int64, "groups": np.uint8, "pair": np.int64, "links": np.int64}, self.align_chunks)
 
-    def align_chunks(self, chunks: list[str]) -> list[list[np.ndarray]]:
-        a_ids = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b_ids = self.b.encode(chunks, num_threads=1)
-        spelt = [self.spells(c, a, b) for c, a, b in zip(chunks, a_ids, b_ids, strict=True)]
-        short = [i for i, c in enumerate(chunks) if spelt[i] and len(c) <= LONG_CHUNK]
-        none = np.zeros(0, np.int64)
-        out = [[np.array([-1, 0, 0, 0]), none, none, none]] * len(chunks)
-        # Chunks in a row are one longer text whose groups end where theirs do.
-        for i, values in zip(short, self.align_row([a_ids[i] for i in short], [b_ids[i] for i in short]), strict=True):
-            out[i] = values
-        for i, c in enumerate(chunks):
-            if spelt[i] and len(c) > LONG_CHUNK:
-                out[i] = self.align_long(np.array(a_ids[i], np.int64), np.array(b_ids[i], np.int64))
-        return [list(field) for field in zip(*out, strict=True)]
-
-    def spells(self, chunk: str, a: list[int], b: list[int]) -> bool:
-        raw, x, y = chunk.encode(), self.a_bytes, self.b.bytes_of
-        return b"".join([x[i] for i in a]) == raw == b"".join([y[i] for i in b])
-
-    def align_row(self, a_ids: list[list[int]], b_ids: list[list[int]]):
-        """(sizes, groups, pair, links) of every chunk, found together."""
-        if not a_ids:
+    def align_chunks(self, chunks: list[str]):
+        """Chunks in parts with their values; short ones are aligned together."""
+        a = flat_ids([e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)])
+        b = flat_ids(self.b.encode(chunks, num_threads=1))
+        spelt = self.spelt(chunks, a, b)
+        short = spelt & np.fromiter((len(c) <= LONG_CHUNK for c in chunks), bool, len(chunks))
+        if short.all():
+            yield chunks, self.align_row(a, b)
             return
-        a_count, b_count = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a_ids, b_ids))
-        a = np.fromiter((t for ids in a_ids for t in ids), np.int64, int(a_count.sum()))
-        b = np.fromiter((t for ids in b_ids for t in ids), np.int64, int(b_count.sum()))
+        firsts = [(ids, lengths, np.cumsum(lengths) - lengths) for ids, lengths in (a, b)]
+        if short.any():
+            rows = [(gather(ids, first[short], lengths[short]), lengths[short]) for ids, lengths, first in firsts]
+            yield [c for c, ok in zip(chunks, short.tolist(), strict=True) if ok], self.align_row(*rows)
+        for i in np.flatnonzero(~short).tolist():
+            if spelt[i]:
+                values = self.align_long(*[ids[first[i]:first[i] + lengths[i]] for ids, lengths, first in firsts])
+            else:
+                values = [np.array([-1, 0, 0, 0]), *[np.zeros(0, np.int64)] * 3]
+            yield [chunks[i]], {n: (v, np.array([len(v)])) for n, v in zip(self.memo.fields, values, strict=True)}
+
+    def spelt(self, chunks: list[str], *tokens) -> np.ndarray:
+        """True for chunks whose bytes are those of their tokens by both tokenizers."""
+        raw = [c.encode() for c in chunks]
+        ok, all_raw = np.ones(len(raw), bool), b"".join(raw)
+        for (ids, lengths), table, sizes in zip(tokens, (self.a_bytes, self.b.bytes_of), (self.a_len, self.b_len), strict=True):
+            per_chunk = np.add.reduceat(sizes[ids], np.cumsum(lengths) - lengths) if len(ids) and lengths.all() else None
+            written = b"".join([table[i] for i in ids.tolist()])
+            if per_chunk is not None and written == all_raw and (per_chunk == [len(r) for r in raw]).all():
+                continue
+            at = 0
+            for i, n in enumerate(lengths.tolist()):
+                ok[i] &= b"".join([table[t] for t in ids[at:at + n].tolist()]) == raw[i]
+                at += n
+        return ok
+
+    def align_row(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> dict:
+        """Values of chunks that are spelt: in a row they are one text whose groups end where theirs do."""
+        (a, a_count), (b, b_count) = a, b
         a_group, b_group = common_cuts(self.a_len[a], self.b_len[b])
         n = int(a_group[-1]) + 1
         b_first = np.searchsorted(b_group, np.arange(n + 1))
         partners = np.diff(b_first)[a_group]
-        b_at = gather(np.arange(len(b)), b_first[a_group], partners)
-        pair = np.repeat(a, partners) << 32 | b[b_at]
+        pair = np.repeat(a, partners) << 32 | b[gather(np.arange(len(b)), b_first[a_group], partners)]
         a_ends, b_ends = np.cumsum(a_count), np.cumsum(b_count)
-        pair_ends = np.cumsum(partners)[a_ends - 1]
-        group_ends = a_group[a_ends - 1] + 1
-        written, text_ends = self.written(a, b, a_group, b_group)
-        text_ends = text_ends[a_ends + b_ends - 1]
-        sizes = np.stack([a_count, b_count, np.diff(group_ends, prepend=0), np.diff(pair_ends, prepend=0)], axis=1)
-        ones = np.ones(len(pair), np.int64)
-        for size, text, last in zip(sizes, zip([0, *text_ends[:-1].tolist()], text_ends.tolist(), strict=True),
-                                    pair_ends.tolist(), strict=True):
-            mine = slice(last - int(size[3]), last)
-            yield [size, written[text[0]:text[1]], pair[mine], ones[mine]]
+        pairs = np.diff(np.cumsum(partners)[a_ends - 1], prepend=0)
+        text, text_ends = self.written(a, b, a_group, b_group)
+        sizes = np.stack([a_count, b_count, np.diff(a_group[a_ends - 1] + 1, prepend=0), pairs], axis=1)
+        return {"sizes": (sizes.ravel(), np.full(len(sizes), 4)),
+                "groups": (text, np.diff(text_ends[a_ends + b_ends - 1], prepend=0)),
+                "pair": (pair, pairs), "links": (np.ones(len(pair), np.int64), pairs)}
 
     def align_long(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         """The same of one long chunk, whose groups may be large: equal ids of a group are counted before they meet."""
@@ -181,16 +191,21 @@ class Aligner:
             found = CHUNK.findall(" " + text) if text else []
             chunks += found
             counts.append(len(found))
-        slots, at, values = self.memo.look_up(chunks), 0, self.memo.values
-        for n in counts:
-            mine = slots[at:at + n]
-            at += n
-            sizes = values["sizes"].take(mine)[0].reshape(-1, 4)
-            if not n or (sizes[:, 0] < 0).any():
+        slots, values = self.memo.look_up(chunks), self.memo.values
+        taken = {name: values[name].take(slots) for name in values}
+        sizes = taken["sizes"][0].reshape(-1, 4)
+        ends = np.cumsum(counts)
+        reach = {name: np.concatenate([[0], np.cumsum(taken[name][1])])[np.concatenate([[0], ends])].tolist()
+                 for name in ("groups", "pair")}
+        written = taken["groups"][0].tobytes()
+        start = 0
+        for i, end in enumerate(ends.tolist()):
+            mine, start = sizes[start:end], end
+            if not len(mine) or (mine[:, 0] < 0).any():
                 yield None, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
                 continue
-            groups = values["groups"].take(mine)[0][:-1].tobytes().decode()
-            yield sizes.sum(axis=0), groups, *add_equal(values["pair"].take(mine)[0], values["links"].take(mine)[0])
+            pair, links = (taken[n][0][reach["pair"][i]:reach["pair"][i + 1]] for n in ("pair", "links"))
+            yield mine.sum(axis=0), written[reach["groups"][i]:reach["groups"][i + 1] - 1].decode(), *add_equal(pair, links)
 
 
 _WORKER: dict[tuple[str, str], Aligner] = {}
@@ -210,11 +225,10 @@ def align_texts(texts: DataFrame, bytes_tokenizer: str, piece_model: str, keep:
         if aligner is None:
             aligner = _WORKER[bytes_tokenizer, piece_model] = Aligner(bytes_tokenizer, piece_model)
         for batch in batches:
-            rows = batch.column("text").to_pylist()
-            for start, end in slices(rows):
+            for start, rows in slices(batch.column("text")):
                 at, part, sizes, groups = [], [], [], []
                 pairs, links = Ragged(np.int64), Ragged(np.int64)
-                for i, (size, group, pair, link) in enumerate(aligner.align(rows[start:end]), start):
+                for i, (size, group, pair, link) in enumerate(aligner.align(rows), start):
                     for k in range(0, max(1, len(pair)), ROW_PAIRS):
                         at.append(i)
                         part.append(k // ROW_PAIRS)

@@ -10,9 +10,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import col
@@ -24,8 +26,8 @@ CHUNK = re.compile(r" ?[A-Za-z]++(?=[\s.,;:!?)])|\s*\S+|\s+")
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 # Longest word whose merges are found by scanning.
 SHORT = 64
-# Characters of text worked on at once, and bytes of remembered chunks and their values before a worker starts anew.
-SLICE_CHARS, MEMO_BYTES = 4_000_000, 100_000_000
+# Bytes of text worked on at once, and bytes of remembered chunks and their values before a worker starts anew.
+SLICE_BYTES, MEMO_BYTES = 1_000_000, 48_000_000
 NEVER = np.int64(1) << 40
 
 
@@ -227,8 +229,7 @@ class ByteBpe:
         if not self.proposals:
             return [self.merge_exactly(w) for w in words], len(words)
         out = [self.propose(w) for w in words]
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((t for ids in out for t in ids), np.int64, int(lengths.sum()))
+        flat, lengths = flat_ids(out)
         ends = np.cumsum(lengths)
         seam = np.ones(len(flat), bool)
         seam[ends[lengths > 0] - 1] = False
@@ -255,8 +256,17 @@ class ByteBpe:
         return [words[p[0]] if len(p) == 1 else [t for i in p for t in words[i]] for p in parts]
 
 
+def flat_ids(ids: list[list[int]], dtype=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a row, and how many each list has."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), dtype, int(lengths.sum())), lengths
+
+
 class ChunkMemo:
-    """Number arrays of the chunks a worker has met, of bounded size."""
+    """Number arrays of the chunks a worker has met, of bounded size.
+
+    ``compute`` takes new chunks and yields them in parts: (chunks, {field: (all numbers, numbers per chunk)}).
+    """
 
     def __init__(self, fields: dict[str, type], compute):
         self.fields, self.compute = fields, compute
@@ -274,27 +284,25 @@ class ChunkMemo:
         slots = self.slots
         new = [c for c in dict.fromkeys(chunks) if c not in slots]
         if new:
-            first = len(slots)
-            for name, arrays in zip(self.fields, self.compute(new), strict=True):
-                lengths = np.fromiter(map(len, arrays), np.int64, len(arrays))
-                flat = np.concatenate([np.asarray(a, self.fields[name]) for a in arrays]) if len(arrays) else np.zeros(0)
-                self.values[name].extend(flat, lengths)
-                self.held += flat.nbytes + 16 * len(arrays)
-            slots.update(zip(new, range(first, first + len(new)), strict=True))
+            for part, fields in self.compute(new):
+                first = len(slots)
+                for name, (flat, lengths) in fields.items():
+                    self.values[name].extend(flat, lengths)
+                    self.held += flat.nbytes + 16 * len(lengths)
+                slots.update(zip(part, range(first, first + len(part)), strict=True))
             self.held += sum(map(len, new)) + 150 * len(new)
         return np.fromiter(map(slots.__getitem__, chunks), np.int64, len(chunks))
 
 
-def slices(texts: list[str]):
-    """Ranges of rows of at most SLICE_CHARS characters, or one row."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > SLICE_CHARS:
-            yield start, i
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array):
+    """(start, texts) of ranges of rows of about SLICE_BYTES, or one row."""
+    reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        end = int(np.searchsorted(reach, (reach[start - 1] if start else 0) + SLICE_BYTES, "right"))
+        end = min(max(end, start + 1), len(texts))
+        yield start, texts.slice(start, end - start).to_pylist()
+        start = end
 
 
 _WORKER: dict[str, tuple[ByteBpe, ChunkMemo]] = {}
@@ -303,10 +311,15 @@ _WORKER: dict[str, tuple[ByteBpe, ChunkMemo]] = {}
 def _encoder(path: str) -> tuple[ByteBpe, ChunkMemo]:
     if path not in _WORKER:
         bpe = ByteBpe(path)
-        _WORKER[path] = bpe, ChunkMemo(
-            {"ids": np.int32},
-            lambda chunks: [[[bpe.special[c]] if c in bpe.special else ids for c, ids in
-                             zip(chunks, bpe.encode_chunks(chunks), strict=True)]])
+
+        def compute(chunks):
+            special = [c for c in chunks if c in bpe.special]
+            if special:
+                yield special, {"ids": flat_ids([[bpe.special[c]] for c in special])}
+            plain = [c for c in chunks if c not in bpe.special] if special else chunks
+            yield plain, {"ids": flat_ids(bpe.encode_chunks(plain))}
+
+        _WORKER[path] = bpe, ChunkMemo({"ids": np.int32}, compute)
     return _WORKER[path]
 
 
@@ -320,10 +333,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     def encode(batches):
         bpe, memo = _encoder(tokenizer)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in slices(texts):
+            for start, texts in slices(batch.column("text")):
                 chunks, counts = [], []
-                for text in texts[start:end]:
+                for text in texts:
                     before = len(chunks)
                     if bpe.special_split is None or not any(s in text for s in bpe.special):
                         chunks += CHUNK.findall(text)
@@ -336,7 +348,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 reach = np.concatenate([[0], np.cumsum(lengths)])
                 offsets = reach[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(start, end - start),
+                    "doc_id": batch.column("doc_id").slice(start, len(texts)),
                     "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))})
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
@@ -356,7 +368,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
         starts = np.cumsum(lengths) - lengths
         for batch in batches:
             lists = batch.column("ids")
-            rows = max(1, SLICE_CHARS * lists.__len__() // max(1, 4 * len(lists.flatten())))
+            rows = max(1, SLICE_BYTES * len(lists) // max(1, 4 * len(lists.flatten())))
             for at in range(0, batch.num_rows, rows):
                 part = lists.slice(at, rows)
                 flat = part.flatten()

@@ -90,7 +90,7 @@ def test_any_ids_are_decoded_as_by_the_library(spark, library):
 def test_memory_of_a_worker_is_bounded(monkeypatch, library):
     monkeypatch.setattr(bpe, "MEMO_BYTES", 10_000)
     encoder = bpe.ByteBpe(A)
-    memo = bpe.ChunkMemo({"ids": np.int32}, lambda chunks: [encoder.encode_chunks(chunks)])
+    memo = bpe.ChunkMemo({"ids": np.int32}, lambda chunks: [(chunks, {"ids": bpe.flat_ids(encoder.encode_chunks(chunks))})])
     for text in scraps(400, 4):
         text = text.replace("<|endoftext|>", "")
         slots = memo.look_up(bpe.CHUNK.findall(text))
