@@ -25,6 +25,8 @@ CHUNK = re.compile(r" ?[A-Za-z]++(?=[ \n.,;:!?)])|\s*\S+(?:[^\S \n]\s*\S+)*(?:[^
 MARKS = ".,;:!?)"
 # Characters of a chunk beyond which its groups are taken to be possibly large.
 LONG_CHUNK = 1_000
+# Bytes of remembered chunks and their values before a worker starts anew.
+MEMO_BYTES = 48_000_000
 # Pairs of ids put into one row of the pair table.
 ROW_PAIRS = 1_000_000
 # A text held by more than this share of all documents is joined back by itself, so there are at most as many.
@@ -111,7 +113,8 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.a_len, self.b_len = (np.fromiter(map(len, v), np.int64, len(v)) for v in (self.a_bytes, self.b.bytes_of))
         # Per chunk: sizes (A tokens, B tokens, groups, links; -1 A tokens where bytes differ), text of groups, pairs.
-        self.memo = ChunkMemo({"sizes": np.int64, "groups": np.uint8, "pair": np.int64, "links": np.int64}, self.align_chunks)
+        self.memo = ChunkMemo({"sizes": np.int64, "groups": np.uint8, "pair": np.int64, "links": np.int64},
+                              self.align_chunks, MEMO_BYTES)
 
     def align_chunks(self, chunks: list[str]):
         """Chunks in parts with their values; short ones are aligned together."""

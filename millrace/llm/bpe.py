@@ -27,7 +27,7 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-
 # Longest word whose merges are found by scanning.
 SHORT = 64
 # Bytes of text worked on at once, and bytes of remembered chunks and their values before a worker starts anew.
-SLICE_BYTES, MEMO_BYTES = 1_000_000, 48_000_000
+SLICE_BYTES, MEMO_BYTES = 1_000_000, 90_000_000
 NEVER = np.int64(1) << 40
 
 
@@ -268,8 +268,8 @@ class ChunkMemo:
     ``compute`` takes new chunks and yields them in parts: (chunks, {field: (all numbers, numbers per chunk)}).
     """
 
-    def __init__(self, fields: dict[str, type], compute):
-        self.fields, self.compute = fields, compute
+    def __init__(self, fields: dict[str, type], compute, most: int | None = None):
+        self.fields, self.compute, self.most = fields, compute, MEMO_BYTES if most is None else most
         self._reset()
 
     def _reset(self) -> None:
@@ -279,7 +279,7 @@ class ChunkMemo:
 
     def look_up(self, chunks: list[str]) -> np.ndarray:
         """Slot of every chunk; new ones are computed together."""
-        if self.held > MEMO_BYTES:
+        if self.held > self.most:
             self._reset()
         slots = self.slots
         new = [c for c in dict.fromkeys(chunks) if c not in slots]

@@ -24,7 +24,8 @@ CERTIFIED, GAIN = 1e-10, 0.5
 # Eigenvalues below this share of the largest count as zero: no direction to scale.
 NO_SPREAD = 1e-12
 SCALE = 256.0
-# So many partial sums are added up by one task.
+# Bytes of a block of vectors; so many partial sums are added up by one task.
+BLOCK_BYTES = 1 << 20
 FAN_IN = 64
 
 OUT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
@@ -48,8 +49,27 @@ def matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def add_up(rows: DataFrame, width: int, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """Sum over all rows of ``part`` (``width`` numbers for a batch).
+def packed(rows: DataFrame, dim: int) -> DataFrame:
+    """The rows' vectors ``x`` as blocks of about BLOCK_BYTES, a cheap form to read once per product."""
+    most = max(1, BLOCK_BYTES // (8 * dim))
+
+    def pack(batches):
+        for batch in batches:
+            x = matrix(batch, "x", dim)
+            blocks = [x[i:i + most].astype("<i8").tobytes() for i in range(0, len(x), most)]
+            yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.binary())})
+
+    return rows.select("x").mapInArrow(pack, "block binary")
+
+
+def vectors_of(batch: pa.RecordBatch, dim: int):
+    """The blocks of a batch as matrices."""
+    for block in batch.column("block"):
+        yield np.frombuffer(block.as_buffer(), "<i8").reshape(-1, dim)
+
+
+def add_up(rows: DataFrame, dim: int, width: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all blocks of ``part`` (``width`` numbers for a matrix of vectors).
 
     Every task returns one row; where there are many, tasks add them up in turn before the driver adds the last few.
     """
@@ -57,8 +77,8 @@ def add_up(rows: DataFrame, width: int, part: Callable[[pa.RecordBatch], np.ndar
     def reduce(batches):
         total = np.zeros(width)
         for batch in batches:
-            if batch.num_rows:
-                total += part(batch)
+            for x in vectors_of(batch, dim):
+                total += part(x)
         yield pa.RecordBatch.from_pydict({"v": pa.array([total], pa.list_(pa.float64()))})
 
     def merge(batches):
@@ -85,12 +105,10 @@ def exact_sums(rows: DataFrame, dim: int) -> tuple[int, list[int]]:
     def reduce(batches):
         n, total = 0, [0] * dim
         for batch in batches:
-            x = matrix(batch, "x", dim)
-            if not len(x):
-                continue
-            n += len(x)
-            small = max(-int(x.min()), int(x.max())) < LONGS // (2 * len(x))
-            total = [a + int(b) for a, b in zip(total, x.sum(axis=0) if small else x.astype(object).sum(axis=0), strict=True)]
+            for x in vectors_of(batch, dim):
+                n += len(x)
+                small = max(-int(x.min()), int(x.max())) < LONGS // (2 * len(x))
+                total = [a + int(b) for a, b in zip(total, x.sum(axis=0) if small else x.astype(object).sum(axis=0), strict=True)]
         yield pa.RecordBatch.from_pydict({"d": pa.array(range(dim + 1), pa.int32()),
                                           "s": pa.array([Decimal(v) for v in [n, *total]], pa.decimal128(38, 0))})
 
@@ -100,33 +118,33 @@ def exact_sums(rows: DataFrame, dim: int) -> tuple[int, list[int]]:
 
 
 class FitList:
-    """Distinct vectors of one length in column ``x``: exact sums, and products with their covariance (divisor n)."""
+    """Blocks of distinct vectors of one length: exact sums, and products with their covariance (divisor n)."""
 
     def __init__(self, rows: DataFrame, dim: int):
         self.rows, self.dim = rows, dim
         self.n, self.sums = exact_sums(rows, dim)
         self.mean = mean = np.array([s / max(self.n, 1) for s in self.sums])
-        self.trace = float(self._mean_of(1, lambda b: np.square(matrix(b, "x", dim) - mean).sum().reshape(1))[0])
+        self.trace = float(self._mean_of(1, lambda x: np.square(x - mean).sum().reshape(1))[0])
 
-    def _mean_of(self, width: int, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-        return add_up(self.rows, width, part) / max(self.n, 1)
+    def _mean_of(self, width: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        return add_up(self.rows, self.dim, width, part) / max(self.n, 1)
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """Covariance times the block ``q``: one pass over the centred rows."""
-        dim, mean = self.dim, self.mean
+        mean = self.mean
 
-        def part(batch):
-            x = matrix(batch, "x", dim) - mean
+        def part(x):
+            x = x - mean
             return (x.T @ (x @ q)).ravel()
 
         return self._mean_of(q.size, part).reshape(q.shape)
 
     def whitened_covariance(self, project: np.ndarray) -> np.ndarray:
         """Covariance of the projected rows, from the projections themselves."""
-        dim, mean, k = self.dim, self.mean, project.shape[1]
+        mean, k = self.mean, project.shape[1]
 
-        def part(batch):
-            w = (matrix(batch, "x", dim) - mean) @ project
+        def part(x):
+            w = (x - mean) @ project
             return (w.T @ w).ravel()
 
         return self._mean_of(k * k, part).reshape(k, k)
@@ -183,7 +201,7 @@ def leading_components(fit: FitList, wanted: int = COMPONENTS) -> tuple[np.ndarr
 
 
 def _whiten_length(rows: DataFrame, fit_rows: DataFrame, dim: int, wanted: int) -> DataFrame:
-    fit = FitList(fit_rows, dim)
+    fit = FitList(materialise(packed(fit_rows, dim)), dim)
     values, vectors = leading_components(fit, wanted)
     project, k = vectors / np.sqrt(values), len(values)
     error = float(np.abs(fit.whitened_covariance(project) - np.eye(k)).max()) if k else 0.0

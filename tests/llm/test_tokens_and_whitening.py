@@ -264,7 +264,7 @@ def test_sums_and_deviations_beyond_longs(spark):
     rows = [(1, [1e30, 0.0]), (2, [-1e30, 1.0]), (3, [0.0, 0.5])]
     out = whitening.whiten_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert {r["vec_id"]: r["deviation"] for r in out}[1] is None and all(np.isfinite(r["whitened"]) for r in out)
-    n, sums = whitening.exact_sums(spark.createDataFrame([([2 ** 63 - 1],)] * 5, "x array<long>"), 1)
+    n, sums = whitening.exact_sums(whitening.packed(spark.createDataFrame([([2 ** 63 - 1],)] * 5, "x array<long>"), 1), 1)
     assert (n, sums) == (5, [5 * (2 ** 63 - 1)])
 
 
