@@ -202,8 +202,8 @@ class PivotTree:
         return queries.mapInPandas(go, "qid bigint, vec array<double>, leaf bigint, bound double")
 
 
-def compare_leaves(queries: DataFrame, placed: DataFrame, depth: int, block: int) -> DataFrame:
-    """The ``depth`` closest donors within ``bound`` of every query, for each of its leaves and blocks of them."""
+def deal_leaves(queries: DataFrame, placed: DataFrame, block: int) -> DataFrame:
+    """Rows of both tables for every (leaf, qb, db) they take part in: columns bound (null for donors), key, vec."""
     # Both tables have a row per leaf of the tree, whose size is bounded.
     q_sizes = queries.groupBy("leaf").agg(F.count("*").alias("nq"))
     d_sizes = placed.groupBy("leaf").agg(F.count("*").alias("nd"))
@@ -220,6 +220,11 @@ def compare_leaves(queries: DataFrame, placed: DataFrame, depth: int, block: int
     d = placed.join(splits, "leaf").select(
         "leaf", every("q_blocks").alias("qb"), F.pmod(F.xxhash64("did"), "d_blocks").cast("int").alias("db"),
         F.lit(None).cast("double").alias("bound"), F.col("did").alias("key"), "vec")
+    return q.unionByName(d)
+
+
+def compare_leaves(queries: DataFrame, placed: DataFrame, depth: int, block: int) -> DataFrame:
+    """The ``depth`` closest donors within ``bound`` of every query, for each of its leaves and blocks of them."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["bound"].notna().to_numpy()
@@ -240,4 +245,4 @@ def compare_leaves(queries: DataFrame, placed: DataFrame, depth: int, block: int
                 "qid": np.repeat(few["key"].to_numpy(), m)[take.ravel()], "did": keys[order][take], "distance": near[take]}))
         return pd.concat(parts)
 
-    return q.unionByName(d).groupBy("leaf", "qb", "db").applyInPandas(compare, PAIR_SCHEMA)
+    return deal_leaves(queries, placed, block).groupBy("leaf", "qb", "db").applyInPandas(compare, PAIR_SCHEMA)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import settings
-from millrace.functions import neighbors
+from millrace.functions import imputation, neighbors
 
 
 def clustered(n, seed, dims=8):
@@ -63,3 +63,59 @@ def test_points_of_a_tree_are_spread_over_tasks_and_lengths_of_one(spark):
     same = spark.createDataFrame([(i, []) for i in range(5)], "id bigint, vec array<double>")
     assert sorted((r["id"], r["neighbor"]) for r in neighbors.nearest(same, same, 1, True, 2).collect()) == [
         (0, 1), (1, 0), (2, 0), (3, 0), (4, 0)]
+
+
+def gappy_rows(n, seed, dims=4):
+    rng = np.random.default_rng(seed)
+    x = np.round(clustered(n, seed, dims), 3)
+    return [[None if rng.random() < 0.15 else float(v) for v in row] for row in x]
+
+
+def plain_fill(data, row, c, k):
+    near = []
+    for d in data:
+        shared = [(x - y) ** 2 for x, y in zip(row, d, strict=True) if x is not None and y is not None]
+        if d[c] is not None and shared:
+            near.append(((sum(shared) * len(row) / len(shared)) ** 0.5, d[c]))
+    known = [d[c] for d in data if d[c] is not None]
+    return np.mean([v for _, v in sorted(near)[:k]]) if near else np.mean(known)
+
+
+@pytest.mark.parametrize("patterns", [256, 2])
+def test_gaps_are_filled_as_by_comparing_with_all(spark, monkeypatch, patterns):
+    monkeypatch.setattr(imputation.DonorBlocks, "PATTERNS", patterns)
+    data = gappy_rows(400, 7) + [[1.0, None, None, 2.0]] * 30 + [[None] * 4]
+    names = list("abcd")
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(data)], "i int, a double, b double, c double, d double")
+    got = {r["i"]: r for r in imputation.knn_fill(df, df.select(*names), names, 3, block_rows=24).collect()}
+    assert len(got) == len(data)
+    for i, row in enumerate(data):
+        for c, n in enumerate(names):
+            assert got[i][n] == (row[c] if row[c] is not None else pytest.approx(plain_fill(data, row, c, 3)))
+
+
+def gap_comparisons(spark, n, block=64):
+    """Pairs of rows with gaps and donors that meet."""
+    data = gappy_rows(n, 1, 6)
+    means = np.nanmean(np.array(data, float), axis=0).tolist()
+    pool = spark.createDataFrame([(i, row) for i, row in enumerate(data)], "did bigint, vec array<double>")
+    queries = pool.where(F.exists("vec", lambda x: x.isNull())).withColumnRenamed("did", "qid")
+    met = []
+
+    def counted(q, placed, k, block):
+        sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
+        met.append(q.join(sizes, "leaf").agg(F.sum("n")).first()[0])
+        return original(q, placed, k, block)
+
+    original = imputation._compare_gaps
+    imputation._compare_gaps = counted
+    try:
+        imputation.gap_neighbours(queries, pool, means, 3, block)
+    finally:
+        imputation._compare_gaps = original
+    return sum(met), queries.count() * n
+
+
+def test_comparisons_of_rows_with_gaps_grow_below_the_square(spark):
+    (few, all_few), (many, all_many) = gap_comparisons(spark, 500), gap_comparisons(spark, 4_000)
+    assert many < all_many / 5 and many / few < 0.5 * all_many / all_few
