@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from millrace import operators as O
-from millrace.functions.grouped import map_groups
+from millrace.functions.grouped import apply_groups, map_with_facts
 
 from .common import (INTERACTION_KEY, INTERACTION_KEY_SQL, INTERACTIONS_SQL, LKEY, LKEY_SQL, interactions, r,
                      rounded, table, with_split)
@@ -48,7 +48,30 @@ def per_group_pandas(spark, sf):
     def centred(pdf):
         return pdf.assign(gap=pdf["c_acctbal"] - pdf["mean"]).drop(columns="mean")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return rounded(map_groups(c, ["c_nationkey"], {"mean": F.avg("c_acctbal")}, centred, CENTRED))
+    return rounded(map_with_facts(c, ["c_nationkey"], {"mean": F.avg("c_acctbal")}, centred, CENTRED))
+
+
+STEPPED = "o_custkey bigint, o_orderkey bigint, balance double, streak int, orders int"
+
+
+def whole_group_pandas(spark, sf):
+    """A callable over each customer's whole ordered history: a balance that never falls below 0, and the orders since."""
+    def replay(batches):
+        held, balance, streak = [], 0.0, 0
+        for batch in batches:
+            rows = []
+            for amount in batch["amount"]:
+                balance = max(0.0, balance + amount)
+                streak = streak + 1 if balance else 0
+                rows.append((balance, streak))
+            held.append(batch[["o_custkey", "o_orderkey"]].assign(
+                balance=[b for b, _ in rows], streak=[s for _, s in rows]))
+        orders = sum(map(len, held))
+        for part in held:
+            yield part.assign(orders=orders)
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.when(
+        F.col("o_orderstatus") == "F", -F.floor("o_totalprice")).otherwise(F.floor("o_totalprice")).cast("double").alias("amount"))
+    return apply_groups(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], replay, STEPPED)
 
 
 def custom_callable(spark, sf):
@@ -243,7 +266,7 @@ QUERIES = {
     **{f"f1_row_{m}": row_feature(m) for m in ("mean", "sum", "std", "min", "max", "median", "product")},
     "f1_row_diff": row_feature("diff"), "f1_row_ratio": row_feature("ratio"),
     "f1_row_inc_ratio": row_feature("inc_ratio", offset=2), "f1_row_text": joined_text,
-    "f2_frame_callable": frame_callable, "f2_row_callable": row_callable, "ud2_vector_callable": vector_callable, "ud3_per_group_pandas": per_group_pandas,
+    "f2_frame_callable": frame_callable, "f2_row_callable": row_callable, "ud2_vector_callable": vector_callable, "ud3_per_group_pandas": per_group_pandas, "ud3_whole_group_pandas": whole_group_pandas,
     "f3_polynomial": polynomial, "f3_polynomial_interactions": polynomial_interactions, "f4_crossed": crossed,
     "f5_group_statistics": group_statistics, "f5_group_median": group_median, "f6_calendar": calendar,
     "f6_calendar_from_seconds": calendar_from_seconds, "f7_lags": lags, "f7_lags_ungrouped": lags_ungrouped,
@@ -323,6 +346,13 @@ SQL = {
     "f2_frame_callable": f"SELECT p_partkey, {r('p_retailprice')} AS p_retailprice, p_size, {r('p_retailprice / p_size * 2')} AS unit FROM part",
     "f2_row_callable": f"""SELECT p_partkey, {r('p_retailprice')} AS p_retailprice, p_size, {r('p_size / 2')} AS half,
         {r('p_retailprice - p_size')} AS unit FROM part""",
+    # A balance floored at 0 is the running sum less its smallest value so far, or 0.
+    "ud3_whole_group_pandas": """WITH a AS (SELECT *, sum(CASE WHEN o_orderstatus = 'F' THEN -floor(o_totalprice) ELSE floor(o_totalprice) END)
+          OVER w AS s, row_number() OVER w AS i FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+        b AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY o_custkey ORDER BY i)) AS bal FROM a),
+        c AS (SELECT *, max(CASE WHEN bal = 0 THEN i ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY i) AS z FROM b)
+        SELECT o_custkey, o_orderkey, CAST(bal AS DOUBLE) AS balance, CAST(i - z AS INTEGER) AS streak,
+          CAST(count(*) OVER (PARTITION BY o_custkey) AS INTEGER) AS orders FROM c""",
     "ud3_per_group_pandas": f"""SELECT c_custkey, c_nationkey, {r('c_acctbal')} AS c_acctbal,
         {r('c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey)')} AS gap FROM customer""",
     "f3_polynomial": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('nullif(l_quantity, 1.0)')} AS q,

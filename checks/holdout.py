@@ -115,7 +115,7 @@ def budget(spark, sf):
 def budget_recent(spark, sf):
     i = with_split(interactions(spark, sf), "timestamp", "2000-01-01")
     n = i.count() // 10
-    order = [F.col("timestamp").desc(), *[F.col(c).desc() for c in INTERACTION_KEY]]
+    order = [(c, "desc") for c in ["timestamp", *INTERACTION_KEY]]
     return S.budget_sample_recent(i, n, order, "user_id", "rating", keys=INTERACTION_KEY)
 
 

@@ -37,17 +37,18 @@ def features_only(spark, sf):
 
 
 def synthetic(spark, sf):
-    """Rows per class after interpolation; new rows stay inside the class's range of values."""
-    p = points(spark, sf).drop("vec_id")
-    out = O.Oversample("y", "smote", 5).transform(p)
-    low = p.groupBy("y").agg(F.min("x0").alias("lo"), F.max("x0").alias("hi"))
-    return out.join(low, "y").groupBy("y").agg(F.count("*").alias("n"), F.min(F.col("x0").between(
-        F.col("lo"), F.col("hi"))).alias("inside"))
+    """All rows of the balanced table, the new ones with the exact place between two neighbours."""
+    return rounded(O.Oversample("y", "smote", 5).transform(classes(spark, sf)), 5)
 
 
 def adaptive(spark, sf):
-    p = points(spark, sf).drop("vec_id")
-    return O.Oversample("y", "adasyn", 5).transform(p).groupBy("y").agg(F.count("*").alias("n"))
+    return rounded(O.Oversample("y", "adasyn", 5).transform(classes(spark, sf)), 5)
+
+
+def classes(spark, sf):
+    """Ten labels folded into four classes of different sizes."""
+    return points(spark, sf).drop("vec_id", "y").join(table(spark, sf, "embeddings").select(
+        F.element_at("embedding", 1).cast("double").alias("x0"), F.least("label", F.lit(3)).alias("y")), "x0")
 
 
 QUERIES = {"p18_neighbour_list": neighbour_list, "p18_tomek": tomek, "p19_edited": edited,
@@ -61,6 +62,34 @@ def near(k):
       t AS (SELECT * FROM n WHERE k <= {k}), m AS (SELECT y AS c FROM e GROUP BY 1 ORDER BY count(*), y LIMIT 1)"""
 
 
+COLUMNS = ", ".join(r(f"v[{i + 1}]", 5) + f" AS x{i}" for i in range(WIDTH))
+SMOTE_SLOTS = """s AS (SELECT y, y || ':' || k AS slot, first + draw('42|' || y || '|' || k) % n AS id
+      FROM (SELECT y, n, first, unnest(range(0, most - n)) AS k FROM c WHERE n < most))"""
+ADASYN_SLOTS = """o AS (SELECT a.id, a.y, a.y <> b.y AS other, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS k
+      FROM e a JOIN e b ON a.id <> b.id WHERE a.y IN (SELECT y FROM c WHERE n < most)),
+    w AS (SELECT id, y, avg(other::INT) AS w FROM o WHERE k <= 5 GROUP BY ALL),
+    q AS (SELECT id, y, CAST(round_even(w / sum(w) OVER (PARTITION BY y) * (most - n), 0) AS INTEGER) AS g FROM w JOIN c USING (y)),
+    s AS (SELECT y, id || ':' || k AS slot, id FROM (SELECT y, id, unnest(range(1, g + 1)) AS k FROM q))"""
+
+
+def synthetic_sql(slots):
+    """New rows: a slot's start row, one of its five neighbours within the class, and a step, all named by MD5 draws."""
+    draw = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+    for name in ("'42|' || y || '|' || k",):
+        slots = slots.replace(f"draw({name})", draw.format(name))
+    return f"""WITH e AS (SELECT v, y, row_number() OVER (ORDER BY y, v) - 1 AS id FROM (SELECT CAST(embedding AS DOUBLE[]) AS v,
+          least(label, 3) AS y FROM embeddings)),
+        c AS (SELECT y, count(*) AS n, min(id) AS first, max(count(*)) OVER () AS most FROM e GROUP BY y),
+        near AS (SELECT a.id, b.id AS nb, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS k
+          FROM e a JOIN e b ON a.y = b.y AND a.id <> b.id QUALIFY k <= 5),
+        m AS (SELECT id, max(k) AS k FROM near GROUP BY id), {slots},
+        t AS (SELECT s.y, s.id, {draw.format("'42|rank|' || slot")} % m.k + 1 AS k,
+          CAST({draw.format("'42|step|' || slot")} AS DOUBLE) / 1152921504606846976.0 AS t FROM s JOIN m USING (id))
+        SELECT y, {COLUMNS} FROM e UNION ALL
+        SELECT y, {COLUMNS} FROM (SELECT t.y, list_transform(list_zip(a.v, b.v), lambda z: z[1] + t.t * (z[2] - z[1])) AS v
+          FROM t JOIN near ON near.id = t.id AND near.k = t.k JOIN e a ON a.id = t.id JOIN e b ON b.id = near.nb)"""
+
+
 SQL = {
     "p18_neighbour_list": f"""WITH {near(3)} SELECT vec_id AS id, CAST(k AS INTEGER) AS rank, nb AS neighbor, {r('d')} AS distance
         FROM t""",
@@ -68,10 +97,6 @@ SQL = {
         FROM t a JOIN t b ON a.nb = b.vec_id AND b.nb = a.vec_id WHERE a.y <> a.ny AND a.y <> (SELECT c FROM m))""",
     "p19_edited": f"""WITH {near(3)} SELECT CAST(vec_id AS VARCHAR) AS vec_id, y FROM e WHERE y = (SELECT c FROM m) OR vec_id IN
         (SELECT vec_id FROM t GROUP BY 1 HAVING min((y = ny)::INT) = 1)""",
-    "p21_synthetic": """SELECT y, max(c) OVER () AS n, true AS inside FROM (SELECT (label < 3)::INT AS y, count(*) AS c
-        FROM embeddings GROUP BY 1)""",
-    "p22_adaptive": f"""WITH {near(5)}, s AS (SELECT vec_id, avg((y <> ny)::INT) AS w FROM t WHERE y = (SELECT c FROM m) GROUP BY 1),
-        g AS (SELECT CAST(sum(round_even(w / (SELECT sum(w) FROM s) * (SELECT count(*) FILTER (y <> c) - count(*) FILTER (y = c)
-          FROM e, m), 0)) AS BIGINT) AS k FROM s)
-        SELECT y, count(*) + CASE WHEN y = (SELECT c FROM m) THEN (SELECT k FROM g) ELSE 0 END AS n FROM e GROUP BY y""",
+    "p21_synthetic": synthetic_sql(SMOTE_SLOTS),
+    "p22_adaptive": synthetic_sql(ADASYN_SLOTS),
 }

@@ -133,10 +133,9 @@ def balanced_down(spark, sf):
 
 
 def balanced_up(spark, sf):
-    l = table(spark, sf, "lineitem").withColumn("y", (F.col("l_quantity") > 40).cast("int"))
-    out = O.Oversample("y", key_cols=LKEY).transform(l)
-    strangers = out.select(*LKEY).exceptAll(out.join(l.select(*LKEY), LKEY, "left_semi").select(*LKEY)).count()
-    return out.groupBy("y").agg(F.count("*").alias("n")).withColumn("strangers", F.lit(strangers).cast("bigint"))
+    """Every row of the balanced table, over many classes."""
+    l = table(spark, sf, "lineitem").select(*LKEY, F.floor(F.col("l_quantity") / 4).cast("int").alias("y"))
+    return O.Oversample("y", key_cols=LKEY).transform(l)
 
 
 def mixed(spark, sf):
@@ -317,8 +316,14 @@ SQL = {
     "p17_balanced_down": f"""SELECT {LKEY_SQL}, CAST(l_quantity > 40 AS INTEGER) AS y FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_quantity > 40 ORDER BY {draw_sql(LKEY_SQL)}, {LKEY_SQL}) <=
           (SELECT min(c) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity > 40))""",
-    "p20_balanced_up": """SELECT y, n, CAST(0 AS BIGINT) AS strangers FROM (SELECT DISTINCT CAST(l_quantity > 40 AS INTEGER) AS y
-        FROM lineitem), (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity > 40))""",
+    # Slots 0 .. most - 1 of a class take the row whose number the MD5 of (seed, class, slot) names.
+    "p20_balanced_up": f"""WITH a AS (SELECT {LKEY_SQL}, CAST(floor(l_quantity / 4) AS INTEGER) AS y FROM lineitem),
+        c AS (SELECT y, count(*) AS n, max(count(*)) OVER () AS most FROM a GROUP BY y),
+        p AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {LKEY_SQL}) - 1 AS i FROM a),
+        s AS (SELECT y, CAST('0x' || substr(md5('42|' || y || '|' || k), 1, 15) AS BIGINT) % n AS i
+          FROM (SELECT y, n, unnest(range(0, most)) AS k FROM c WHERE n < most))
+        SELECT {LKEY_SQL}, y FROM a WHERE y IN (SELECT y FROM c WHERE n = most)
+        UNION ALL SELECT {LKEY_SQL}, p.y FROM s JOIN p ON s.y = p.y AND s.i = p.i""",
     "p23_mixed": """SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_types, true AS labels_ok, true AS low_ok, true AS mean_ok
         FROM events""",
     "p24_copies_without_noise": """WITH a AS (SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN value END AS value

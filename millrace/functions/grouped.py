@@ -1,22 +1,43 @@
-"""Pandas callables per group, for groups of any size."""
+"""Pandas callables per group: over whole ordered groups, or over batches that carry facts of their group."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Iterator  # noqa: UP035  (the form Spark's inference reads)
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import keyed_join
+from .ordering import order_columns
 from .values import col
 
 
-def map_groups(df: DataFrame, keys: list[str], facts: dict[str, Column], method: Callable[[pd.DataFrame], pd.DataFrame],
-               schema: str) -> DataFrame:
+def apply_groups(df: DataFrame, keys: list[str], order: list,
+                 method: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Call ``method`` once per group on an iterator over the whole group, in ``order``.
+
+    The group arrives in batches of bounded size (``spark.sql.execution.arrow.maxRecordsPerBatch``), sorted on disk by
+    Spark, so a callable that keeps a running state or writes as it reads handles a group larger than a worker; one that
+    needs the group as one frame may concatenate the batches.  Rows with missing keys are groups too.  The output's
+    order within a group is the callable's.  One group is one task's work: use it where the callable needs that.
+    """
+    within = [col(k) for k in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from method(batches)
+
+    # The secondary sort serves the grouping too: its keys come first, so Spark adds none of its own.
+    dealt = df.repartition(*within).sortWithinPartitions(*within, *order_columns(order))
+    return dealt.groupBy(*within).applyInPandas(run, schema)
+
+
+def map_with_facts(df: DataFrame, keys: list[str], facts: dict[str, Column], method: Callable[[pd.DataFrame], pd.DataFrame],
+                   schema: str) -> DataFrame:
     """Call ``method`` on pandas batches whose rows carry the ``facts`` of their group as columns.
 
     The facts are aggregates of the whole group, combined by Spark and joined to its rows, so no group has to fit
-    in one task; a batch holds rows of any groups.
+    in one task; a batch holds rows of any groups.  For callables that need the group itself see :func:`apply_groups`.
     """
     stats = df.groupBy(*[col(k) for k in keys]).agg(*[c.alias(n) for n, c in facts.items()])
 

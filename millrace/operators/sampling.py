@@ -8,10 +8,10 @@ from itertools import count
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.joins import hot_keys, keyed_join, split_join
+from ..functions.joins import keyed_join
 from ..functions.neighbors import nearest
 from ..functions.ordering import POSITION, group_running_sum, join_on_keys, order_columns, row_index
-from ..functions.sampling import CHOSEN, beta_draws, class_counts, class_sizes, key_columns, mark_sample, repeat_rows
+from ..functions.sampling import CHOSEN, beta_draws, class_counts, class_sizes, key_columns, key_draw, mark_sample, repeat_rows
 from ..functions.values import (as_list, col, dtype_of, hash_index, hash_normal, hash_uniform, is_number,
                                 number, numeric_columns, present, value)
 from ..session import materialise
@@ -122,7 +122,8 @@ class SampleNegative(Operator):
 class FilterKCore(Operator):
     """Keep users and items with at least ``k`` rows each, repeated until stable.
 
-    With ``max_rounds`` a table that is not stable by then raises.
+    Keys below ``k`` are peeled off, users and items in turn; a round only looks at the pairs of the keys that it
+    removes and lowers the counts of their partners.  With ``max_rounds`` a table that is not stable by then raises.
     """
 
     cross_row = True
@@ -137,26 +138,33 @@ class FilterKCore(Operator):
         keys = [n for n in (self.user_col, self.item_col) if n]
         if self.k <= 1 or not keys:
             return df
-        # Rows collapse to weighted key pairs once; rounds never touch the wide table.
         known = df.where(reduce(lambda a, b: a & b, [value(df, n).isNotNull() for n in keys]))
+        # Rows collapse to weighted key pairs once; rounds never touch the wide table.
         pairs = materialise(known.groupBy(*[col(n).alias(f"k{i}") for i, n in enumerate(keys)])
                             .agg(F.count("*").alias("w")))
-        size = pairs.count()
-        hot = [hot_keys(pairs, [f"k{i}"]) for i in range(len(keys))]
+        degrees = [materialise(pairs.groupBy(f"k{i}").agg(F.sum("w").alias("n"))) for i in range(len(keys))]
+        if len(keys) == 1:
+            return keyed_join(known, degrees[0].where(F.col("n") >= self.k).select(F.col("k0").alias(keys[0])), keys, "left_semi", stored=True)
         for turn in count(1):
-            if self.max_rounds is not None and turn > self.max_rounds:
-                raise RuntimeError(f"not stable after {self.max_rounds} rounds")
-            kept = pairs
-            for i in range(len(keys)):
-                enough = pairs.groupBy(f"k{i}").agg(F.sum("w").alias("n")).where(F.col("n") >= self.k)
-                kept = split_join(kept, enough.select(f"k{i}"), [f"k{i}"], "left_semi", hot[i])
-            pairs = materialise(kept)
-            smaller = pairs.count()
-            if smaller == size:
+            peeled = False
+            for side in (0, 1):
+                mine, other = f"k{side}", f"k{1 - side}"
+                frontier = degrees[side].where(F.col("n") < self.k).select(mine)
+                if frontier.isEmpty():
+                    continue
+                peeled = True
+                # A key leaves once, and takes its rows from the degrees of its partners.
+                lost = keyed_join(pairs, frontier, [mine], "left_semi", stored=True).groupBy(other).agg(F.sum("w").alias("lost"))
+                degrees[side] = degrees[side].where(F.col("n") >= self.k)
+                degrees[1 - side] = materialise(join_on_keys(degrees[1 - side], lost, [other], "left").select(
+                    other, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n")))
+            if not peeled:
                 break
-            size = smaller
-        kept = pairs.select(*[col(f"k{i}").alias(n) for i, n in enumerate(keys)])
-        return keyed_join(known, kept, keys, "left_semi", stored=True)
+            if self.max_rounds is not None and turn >= self.max_rounds:
+                raise RuntimeError(f"not stable after {self.max_rounds} rounds")
+        for i, n in enumerate(keys):
+            known = keyed_join(known, degrees[i].select(F.col(f"k{i}").alias(n)), [n], "left_semi", stored=True)
+        return known
 
 
 def numbered_vectors(df: DataFrame, names: list[str], order) -> DataFrame:
@@ -229,77 +237,89 @@ class Oversample(Operator):
     def _apply(self, df):
         if self.target_col not in df.columns:
             return df
-        sizes = class_sizes(df, self.target_col)
-        if not sizes:
+        classes = materialise(class_counts(df, self.target_col))
+        most = classes.agg(F.max("n")).first()[0]
+        if most is None:
             return df
-        return self._redrawn(df, sizes) if self.method == "random" else self._synthetic(df, sizes)
-
-    def _redrawn(self, df, sizes):
-        y, most = col(self.target_col), max(sizes.values())
-        out = df.where(y.isin([c for c, n in sizes.items() if n == most]))
-        for c, n in sizes.items():
-            if n == most:
-                continue
-            rows = row_index(df.where(y == F.lit(c)), self.key_cols or df.columns)
-            # Each of the wanted slots picks one row. The slots are the large side of the join, which the engine
-            # splits where many pick the same row.
-            picks = df.sparkSession.range(most).select(
-                hash_index(SEED, F.lit(n), F.lit(str(c)), F.col("id")).alias(POSITION))
-            drawn = picks.join(rows, POSITION)
-            out = out.unionByName(drawn.select(*[col(x) for x in df.columns]))
-        return out
-
-    def _synthetic(self, df, sizes):
-        target, most = self.target_col, max(sizes.values())
+        return self._redrawn(df, classes, most) if self.method == "random" else self._synthetic(df, classes, most)
+
+    def _redrawn(self, df, classes, most):
+        """The largest classes as they are; of every other, ``most`` draws of its rows.
+
+        Rows are numbered by one sort over (class, keys) for all classes; slots are made from the class table and
+        meet the row whose number they draw.
+        """
+        y = col(self.target_col)
+        placed, classes = _numbered_by_class(df, self.target_col, classes, self.key_cols or df.columns)
+        small = classes.where(F.col("n") < most)
+        slots = repeat_rows(small.select("group", "n", "first", F.lit(most).alias("times")), F.col("times"), "slot") \
+            .select((F.col("first") + draw_below(F.col("n"), F.col("group"), F.col("slot") - 1)).alias(POSITION))
+        # The slots are the large side of the join, which the engine splits where many pick the same row.
+        drawn = slots.join(placed, POSITION).select(*[col(c) for c in df.columns])
+        large = classes.where(F.col("n") == most).select(F.col("group").alias(self.target_col))
+        return keyed_join(df.where(y.isNotNull()), large, [self.target_col], "left_semi").unionByName(drawn)
+
+    def _synthetic(self, df, classes, most):
+        """All rows, and for smaller classes new rows on the way from a row to a neighbour of its class."""
+        target = self.target_col
         names = [n for n in df.columns if n != target]
         numbers = df.select(*[col(n) if n == target else F.coalesce(number(df, n), F.lit(0.0)).alias(n)
                               for n in df.columns])
-        table = numbered_vectors(numbers, names, self.key_cols or df.columns)
-        points = table.select(F.col(POSITION).alias("id"), F.col("__vec__").alias("vec"), col(target).alias("y"))
-        out = table.select(*[col(n) for n in df.columns])
-        around = None
-        if self.method == "adasyn":
-            labels = points.select(F.col("id").alias("neighbor"), F.col("y").alias("n_y"))
-            around = materialise(nearest(points.drop("y"), points.drop("y"), self.n_neighbors, same_table=True)
-                                 .join(labels, "neighbor"))
-        for c, n in sizes.items():
-            if n == most:
-                continue
-            own = points.where(F.col("y") == F.lit(c)).select("id", "vec")
-            close = materialise(nearest(own, own, self.n_neighbors, same_table=True)
-                                .select("id", "rank", "neighbor"))
-            slots = self._slots(own, around, c, n, most)
-            made = slots.join(close.groupBy("id").agg(F.max("rank").alias("k")), "id").withColumn(
-                "rank", (hash_index(SEED, F.col("k"), F.lit("rank"), F.col("slot")) + 1).cast("int"))
-            made = made.join(close, ["id", "rank"]).join(own, "id") \
-                .join(own.select(F.col("id").alias("neighbor"), F.col("vec").alias("other")), "neighbor")
-            step = hash_uniform(SEED, F.lit("step"), F.col("slot"))
-            mixed = made.withColumn("t", step).withColumn(
-                "new", F.zip_with("vec", "other", lambda a, b: a + F.col("t") * (b - a)))
-            out = out.unionByName(mixed.select(
-                *[F.element_at("new", names.index(x) + 1).alias(x) if x != target
-                  else F.lit(c).cast(dtype_of(df, target)).alias(target) for x in df.columns]))
-        return out
-
-    def _slots(self, own, around, c, n, most):
-        """(slot, id): which row each synthetic row starts from."""
-        if around is None:
-            places = row_index(own.select("id"), ["id"])
-            return own.sparkSession.range(most - n).select(
-                F.col("id").alias("slot"),
-                hash_index(SEED, F.lit(n), F.lit(str(c)), F.col("id")).alias(POSITION)) \
-                .join(places, POSITION).drop(POSITION)
-        share = around.join(own.select("id"), "id").groupBy("id").agg(
-            F.avg((F.col("n_y") != F.lit(c)).cast("double")).alias("w"))
-        share = materialise(share)
-        total = share.agg(F.sum("w").alias("s")).first()["s"]
-        if not total:
-            raise ValueError(f"no row of class {c} has a neighbour of another class")
-        quota = F.bround(F.col("w") / F.lit(total) * F.lit(most - n)).cast("int")
-        return repeat_rows(share.select("id", quota.alias("g")), F.col("g"), "i") \
+        table, classes = _numbered_by_class(numbers, target, classes, self.key_cols or df.columns)
+        table = table.withColumn("__vec__", F.array(*[F.coalesce(number(table, n), F.lit(0.0)) for n in names]))
+        points = materialise(table.select(F.col(POSITION).alias("id"), F.col("__vec__").alias("vec"), col(target).alias("y")))
+        small = materialise(classes.where(F.col("n") < most).withColumn("missing", F.lit(most) - F.col("n")))
+        own = materialise(keyed_join(points.withColumnRenamed("y", "group").where("group is not null"),
+                                     small.select("group", "first"), ["group"], "inner", stored=True))
+        # One more coordinate keeps classes farther apart than any two rows of one class are.
+        apart = 1.0 + 2.0 * len(names) * (own.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 0.0)
+        spread = own.select("id", F.concat("vec", F.array(F.col("first") * F.lit(apart))).alias("vec"))
+        close = materialise(nearest(spread, spread, self.n_neighbors, same_table=True).where(F.col("distance") < apart)
+                            .select("id", "rank", "neighbor"))
+        made = self._slots(points, own, small).join(close.groupBy("id").agg(F.max("rank").alias("k")), "id").withColumn(
+            "rank", (draw_below(F.col("k"), F.lit("rank"), F.col("slot")) + 1).cast("int"))
+        made = made.join(close, ["id", "rank"]).join(own.select("id", "vec", "group"), "id") \
+            .join(own.select(F.col("id").alias("neighbor"), F.col("vec").alias("other")), "neighbor")
+        step = key_draw(SEED, F.lit("step"), F.col("slot")).cast("double") / F.lit(float(1 << 60))
+        mixed = made.withColumn("t", step).withColumn(
+            "new", F.zip_with("vec", "other", lambda a, b: a + F.col("t") * (b - a)))
+        return table.select(*[col(n) for n in df.columns]).unionByName(mixed.select(
+            *[F.element_at("new", names.index(x) + 1).alias(x) if x != target
+              else F.col("group").cast(dtype_of(df, target)).alias(target) for x in df.columns]))
+
+    def _slots(self, points, own, small):
+        """(slot, id): which row each synthetic row starts from; a slot's name is its class and a number."""
+        if self.method == "smote":
+            slots = repeat_rows(small.select("group", "n", "first", "missing"), F.col("missing"), "i")
+            return slots.select(
+                F.concat_ws(":", F.col("group").cast("string"), F.col("i") - 1).alias("slot"),
+                (F.col("first") + draw_below(F.col("n"), F.col("group"), F.col("i") - 1)).alias("id"))
+        labels = points.select(F.col("id").alias("neighbor"), F.col("y").alias("n_y"))
+        every = points.select("id", "vec")
+        around = nearest(own.select("id", "vec"), every, self.n_neighbors, same_table=True).join(labels, "neighbor")
+        share = materialise(around.join(own.select("id", "group"), "id").groupBy("group", "id").agg(
+            F.avg(F.coalesce((F.col("n_y") != F.col("group")).cast("double"), F.lit(1.0))).alias("w")))
+        totals = materialise(small.select("group", "missing").join(share.groupBy("group").agg(F.sum("w").alias("total")), "group", "left"))
+        alone = totals.where(F.coalesce("total", F.lit(0.0)) == 0).first()
+        if alone is not None:
+            raise ValueError(f"no row of class {alone['group']} has a neighbour of another class")
+        quota = F.bround(F.col("w") / F.col("total") * F.col("missing")).cast("int")
+        return repeat_rows(keyed_join(share, totals, ["group"], "inner", stored=True).select("id", quota.alias("g")), F.col("g"), "i") \
             .select(F.concat_ws(":", F.col("id"), F.col("i")).alias("slot"), "id")
 
 
+def draw_below(size, *keys):
+    """Whole number below ``size`` from the MD5 of the keys."""
+    return F.pmod(key_draw(SEED, *keys), size)
+
+
+def _numbered_by_class(df: DataFrame, target: str, classes: DataFrame, order) -> tuple[DataFrame, DataFrame]:
+    """Rows with positions in one order of (class, ``order``), and the classes with the position of their first row."""
+    placed = row_index(df, [col(target).asc_nulls_last(), *order])
+    firsts = placed.where(col(target).isNotNull()).groupBy(col(target).alias("group")).agg(F.min(POSITION).alias("first"))
+    return placed, materialise(join_on_keys(classes, firsts, ["group"]))
+
+
 class AugmentMixup(Operator):
     """Append convex mixes of random row pairs; other columns are missing."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.joins import keyed_join
 from ..functions.ordering import POSITION, join_on_keys, row_index, value_at
+from ..functions.ranks import cut_at
 from ..functions.sampling import CHOSEN, class_counts, hash_sample, key_columns, mark_sample
 from ..functions.values import as_list, col, dtype_of, numeric_columns, value
 from ..operators.base import HELD_OUT, SPLIT
@@ -37,7 +38,8 @@ def stratified_holdout(df: DataFrame, target: str, keys, fraction: float = FRACT
     classes = materialise(class_counts(df, target))
     rows = classes.agg(F.sum("n")).first()[0] or 0
     sizes = proportional_sizes(classes, rows - math.ceil(rows * fraction))
-    marked = materialise(mark_sample(df, col(target), sizes.select("group", (F.col("n") - F.col("kept")).alias("wanted")), seed, keys))
+    # The cut-offs of the marker are durable, so both parts are filters of the input.
+    marked = mark_sample(df, col(target), sizes.select("group", (F.col("n") - F.col("kept")).alias("wanted")), seed, keys)
     return marked.where(~F.col(CHOSEN)).drop(CHOSEN), marked.where(CHOSEN).drop(CHOSEN)
 
 
@@ -54,11 +56,8 @@ def chronological_tail(df: DataFrame, time_col: str, fraction: float = FRACTION)
 
 
 def positional_tail(df: DataFrame, order: list, fraction: float = FRACTION):
-    """(train, held out): cut at a row position of the total order."""
-    placed = row_index(df, order)
-    cut = int(placed.count() * (1 - fraction))
-    return (placed.where(F.col(POSITION) < cut).drop(POSITION),
-            placed.where(F.col(POSITION) >= cut).drop(POSITION))
+    """(train, held out): cut at a row position of the total order; both are filters of ``df``."""
+    return cut_at(df, order, int(df.count() * (1 - fraction)))
 
 
 def node_holdout(nodes: DataFrame, classes: DataFrame, id_col: str, class_col: str, labelled=("1", "2"),
@@ -77,13 +76,10 @@ def node_holdout(nodes: DataFrame, classes: DataFrame, id_col: str, class_col: s
 def recent_positives(df: DataFrame, order: list, target: str | None, positive_label=1, min_train: int = 1,
                      user: str = "user_id", item: str = "item_id", fraction: float = FRACTION):
     """(train, held out): the latest rows; held-out positives of users and items seen before."""
-    placed = row_index(df, order)
-    n = placed.count()
+    n = df.count()
     if n < 2:
         raise ValueError("a temporal split needs at least two rows")
-    cut = min(max(int(n * (1 - fraction)), 1), n - 1)
-    train = placed.where(F.col(POSITION) < cut).drop(POSITION)
-    late = placed.where(F.col(POSITION) >= cut).drop(POSITION)
+    train, late = cut_at(df, order, min(max(int(n * (1 - fraction)), 1), n - 1))
     if target is not None and target in df.columns:
         late = late.where(col(target) == F.lit(positive_label))
     users = train.groupBy(col(user)).agg(F.count("*").alias("__n__")).where(F.col("__n__") >= min_train).select(user)
@@ -190,11 +186,13 @@ def budget_sample(df: DataFrame, rows: int, target: str | None = None, seed: int
 
 def budget_sample_recent(df: DataFrame, rows: int, order_desc: list, user: str, target: str,
                          positive_label=1, seed: int = SEED, keys=None) -> DataFrame:
-    """The latest ``rows`` training rows, and held-out rows grouped by positive users."""
+    """The latest ``rows`` training rows, and held-out rows grouped by positive users.
+
+    ``order_desc`` lists (name, "desc") entries, latest first.
+    """
     held = df.where(col(SPLIT) == HELD_OUT)
     train = df.where(~F.coalesce(col(SPLIT) == HELD_OUT, F.lit(False)))
-    placed = row_index(train, order_desc)
-    train = placed.where(F.col(POSITION) < rows).drop(POSITION)
+    train = cut_at(train, order_desc, rows)[0]
     if held.count() <= rows:
         return train.unionByName(held)
     hit = col(target) == F.lit(positive_label)

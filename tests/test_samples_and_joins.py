@@ -1,13 +1,15 @@
 """Samples from one marker, joins with hot keys on either side, default orders, many quantile ranks."""
 
+import datetime
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import operators as O
-from millrace.functions import joins, quantiles, sampling
-from millrace.functions.grouped import map_groups
+from millrace.functions import joins, quantiles, ranks, sampling
+from millrace.functions.grouped import apply_groups, map_with_facts
 from millrace.plans import splits as S
 
 
@@ -88,9 +90,9 @@ def test_loops_raise_when_they_run_out(spark):
         O.ReduceDimension(["a"], "kernel_pca")
 
 
-def test_map_groups_sees_facts_of_the_whole_group(spark):
+def test_map_with_facts_sees_facts_of_the_whole_group(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
-    out = map_groups(df, ["g"], {"m": F.max("x")}, lambda pdf: pdf.assign(d=pdf["m"] - pdf["x"]), "g long, x double, m double, d double")
+    out = map_with_facts(df, ["g"], {"m": F.max("x")}, lambda pdf: pdf.assign(d=pdf["m"] - pdf["x"]), "g long, x double, m double, d double")
     assert all(r["d"] == (99.0, 97.0, 98.0)[r["g"]] - r["x"] for r in out.collect())
 
 
@@ -120,3 +122,64 @@ def test_table_scope_deletes_its_tables(spark):
         inner = materialise(spark.range(5))
         assert inner.count() == 5 and set(os.listdir(folder)) - before
     assert set(os.listdir(folder)) == before and kept.count() == 3
+
+
+def test_whole_groups_arrive_in_order_and_in_batches(spark):
+    """One group larger than a batch, missing keys, and a callable that stops reading early."""
+    sizes = {"big": 2_500, "small": 7, None: 30}
+    data = [(g, i, float(i % 10)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(data, "g string, i long, x double").repartition(5)
+
+    def running(batches):
+        total, seen = 0.0, 0
+        for batch in batches:
+            seen += 1
+            out = batch.assign(total=total + batch["x"].cumsum(), batch=seen)
+            total = float(out["total"].iloc[-1])
+            yield out
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    try:
+        out = apply_groups(df, ["g"], ["i"], running, "g string, i long, x double, total double, batch int")
+        got = {(r["g"], r["i"]): (r["total"], r["batch"]) for r in out.collect()}
+        first = apply_groups(df, ["g"], [F.col("i").desc()], lambda parts: iter([next(iter(parts)).head(1)]), df.schema.simpleString()[7:-1])
+        assert sorted((str(r["g"]), r["i"]) for r in first.collect()) == [("None", 29), ("big", 2_499), ("small", 6)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(data) and max(b for _, b in got.values()) > 4
+    for g, n in sizes.items():
+        total = 0.0
+        for i in range(n):
+            total += i % 10
+            assert got[g, i][0] == total
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("order", [["a", "b"], [("a", "desc"), "b"], ["b", ("a", "desc")], ["s"], [("t", "desc"), "s", "a"]])
+def test_cuts_at_a_position_are_filters(spark, order, monkeypatch):
+    monkeypatch.setattr(ranks, "SPLITTERS", 3)
+    monkeypatch.setattr(ranks, "FEW", 2)
+    rng = random.Random(4)
+    data = [(rng.choice([None, *range(6)]), rng.choice([None, float("nan"), 0.5, 1.5, -2.0]), rng.choice(["x", "y", "é", None]),
+             datetime.datetime(2020, 1, 1 + rng.randrange(4)) if rng.random() < 0.9 else None, i) for i in range(300)]
+    df = spark.createDataFrame(data, "a int, b double, s string, t timestamp, i int").repartition(4)
+    names = [o if isinstance(o, str) else o[0] for o in order]
+    keys = [F.col(o).asc_nulls_last() if isinstance(o, str) else F.col(o[0]).desc_nulls_last() for o in order]
+    ranked = [r["i"] for r in df.orderBy(*keys).collect()]
+    place = {r["i"]: str(tuple(r[n] for n in names)) for r in df.collect()}
+    for position in (0, 1, 77, 150, 299, 300, 500):
+        first, rest = (sorted(r["i"] for r in part.collect()) for part in ranks.cut_at(df, order, position))
+        assert len(first) == min(position, 300) and sorted(first + rest) == list(range(300))
+        # Apart from ties the rows are those of a full sort.
+        assert sorted(place[i] for i in first) == sorted(place[i] for i in ranked[:position])
+
+
+def test_positional_split_has_no_sort_of_the_table(spark):
+    df = spark.range(2_000).select(F.col("id"), F.xxhash64("id").alias("h"), F.md5(F.col("id").cast("string")).alias("wide"))
+    train, held = S.positional_tail(df, ["h", "id"])
+    plan = train._jdf.queryExecution().executedPlan().toString() + held._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+    assert train.count() == 1_600 and held.count() == 400
+    assert train.agg(F.max("h")).first()[0] < held.agg(F.min("h")).first()[0]
