@@ -23,10 +23,11 @@ def paragraphs(text: Column) -> Column:
 
 
 def identity_lanes(text: Column) -> Column:
-    """Sums of the seeded hashes of the paragraphs that are not empty."""
-    return F.transform(F.sequence(F.lit(0), F.lit(IDENTITY - 1)), lambda i: F.reduce(
-        F.filter(paragraphs(text), lambda p: p != ""), F.lit(0).cast("long"),
-        lambda s, p: (s + F.xxhash64(p, i).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK))))
+    """Sums of the hashes of the paragraphs that are not empty, one per lane; each lane hashes the text from its own seed."""
+    seeds = F.sequence(F.lit(0), F.lit(IDENTITY - 1))
+    return F.reduce(
+        F.filter(paragraphs(text), lambda p: p != ""), F.transform(seeds, lambda i: F.lit(0).cast("long")),
+        lambda sums, p: F.zip_with(sums, seeds, lambda s, i: (s + F.xxhash64(i, p).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK))))
 
 
 def _pairs(paragraph: Column) -> Column:

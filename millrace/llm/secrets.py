@@ -53,10 +53,12 @@ class BlobLedger:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, rule_version: str = RULE_VERSION):
         self.spark, self.folder, self.rule_version = spark, folder or new_folder(spark, "ledger"), rule_version
-        self.started = False
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            self.started = True
+
+    @property
+    def started(self) -> bool:
+        """Whether anything was scanned into the folder, through this handle or another."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def entries(self) -> DataFrame:
         """Scanned pairs under this rule version."""
@@ -83,8 +85,8 @@ class BlobLedger:
         found = blobs.select("blob", F.when(hit, F.col("text")).otherwise("").alias("text"), hit.alias("hit")) \
             .mapInPandas(search, LEDGER_SCHEMA)
         found.write.mode("append").parquet(self.folder)
-        self.started = True
-        findings = self.entries().where(F.size("spans") > 0).select(F.col("blob").alias("_b"), "spans")
+        # Two scans at once, or one that was run again, may have added a blob twice; the spans are the same.
+        findings = self.entries().where(F.size("spans") > 0).groupBy(F.col("blob").alias("_b")).agg(F.first("spans").alias("spans"))
         rows = versions.select(*[col(c) for c in versions.columns if c not in ("blob", "spans")], blob_id(text).alias("blob"))
         # Rows without findings take no part in the join; a frequent blob's rows are split by the engine.
         return rows.join(findings, F.col("blob") == F.col("_b"), "left").drop("_b") \

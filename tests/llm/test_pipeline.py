@@ -59,3 +59,21 @@ def test_different_texts_of_one_id_are_judged_apart(spark):
         out = corpus_pipeline.drop_near_copies(spark, docs.repartition(parts), "").collect()
         assert sorted((str(r["doc_id"]), r["text"][0], r["lang"]) for r in out) == [
             ("1", "a", "en"), ("1", "b", "en"), ("3", "c", "en"), ("4", "e", "de"), ("None", "d", "en")]
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_columns_named_like_results_stay_as_they_are(spark, sf, number):
+    """Columns score, size, a.b, _row and a map pass every stage; rows of an id that repeats too."""
+    words = "one two three four five six seven eight"
+    rows = [(i, f"{words} {i} {i * i}", "s", -5.0 - i, -7, f"x{i}", {"k": i}) for i in range(12)] + [(3, "another text", "s", 1.0, 2, "y", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, size int, `a.b` string, `_row` map<string,int>")
+    out = corpus_pipeline.STAGES[number][1](spark, docs, sf)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    given = {r[1]: r for r in rows}
+    got = out.collect()
+    assert got and all(tuple(r) == given[r["text"]] for r in got)
+
+
+def test_copies_without_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "d e f"), (None, "g h")], "doc_id long, text string")
+    assert sorted(r["text"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == ["a b c", "d e f", "g h"]
