@@ -53,8 +53,9 @@ def relational_features(spark, sf):
         F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"),
         F.col("c_mktsegment").alias("segment"),
         F.when(F.col("c_custkey") % 5 == 0, "std_test").otherwise("train").alias("__split__"))
-    history = table(spark, sf, "orders").where("o_orderdate < TIMESTAMP_NTZ '1996-01-01'").select(
-        F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    # Later orders belong to no customer of the main table, so some customers have no history.
+    history = table(spark, sf, "orders").select(
+        (F.col("o_custkey") + F.when(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"), 0).otherwise(20_000_000)).alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
     out = Recipe.from_spec(spec).run({"main": main, "history": history, "nations": nations})
     return rounded(out, 4)
@@ -143,8 +144,8 @@ SQL = {
         lag(rating) OVER (PARTITION BY user_id ORDER BY {_ORDER}) AS rating_lag_1,
         {r(f'avg(rating) OVER (PARTITION BY user_id ORDER BY {_ORDER} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)')} AS rating_roll_mean_5
         FROM r40 LEFT JOIN customer ON user_id = c_custkey LEFT JOIN part ON item_id = p_partkey"""),
-    "recipe_relational": f"""WITH h AS (SELECT o_custkey AS k, avg(o_totalprice) AS a, max(o_totalprice) AS x, count(DISTINCT o_orderstatus)
-          AS u FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1),
+    "recipe_relational": f"""WITH h AS (SELECT o_custkey + CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN 0 ELSE 20000000 END AS k,
+          avg(o_totalprice) AS a, max(o_totalprice) AS x, count(DISTINCT o_orderstatus) AS u FROM orders GROUP BY 1),
         m AS (SELECT c.*, n_regionkey, a, x, u, c_custkey % 5 = 0 AS late FROM customer c LEFT JOIN h ON k = c_custkey
           LEFT JOIN nation ON n_nationkey = c_nationkey),
         s AS (SELECT median(a) AS ma, median(x) AS mx, avg(c_acctbal) AS mb, stddev_samp(c_acctbal) AS sb FROM m WHERE NOT late)

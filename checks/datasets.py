@@ -93,8 +93,9 @@ def node_labels(spark, sf):
 
 def dense_ids(spark, sf):
     i = interactions(spark, sf).select("user_id", "l_orderkey", "l_linenumber", F.col("item_id").alias("k"))
-    u = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
-        F.col("c_custkey").alias("user_id"), F.array(F.col("c_custkey") + 1, F.lit(10_000_000).cast("bigint"),
+    # Every other customer gets a key that no interaction has.
+    u = table(spark, sf, "customer").select(
+        (F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(20_000_000)).alias("user_id"), F.array(F.col("c_custkey") + 1, F.lit(10_000_000).cast("bigint"),
                                                      F.lit(None).cast("bigint")).alias("friends"))
     out = D.dense_ids({"a": i, "u": u}, "user_id", ["friends"])
     flat = out["u"].select("user_id", F.array_join(F.col("friends").cast("array<string>"), ",").alias("friends"))
@@ -165,7 +166,7 @@ SQL = {
         max(c_acctbal) AS x, min(c_acctbal) AS n, count(DISTINCT c_mktsegment) AS u FROM customer)""",
     "b14_node_labels": """SELECT p_partkey AS id, CAST(CASE WHEN p_size < 10 THEN 1 WHEN p_size = 20 THEN 0
         WHEN p_partkey % 3 = 1 THEN 1 WHEN p_partkey % 3 = 2 THEN 0 ELSE -1 END AS BIGINT) AS class FROM part""",
-    "b15_dense_ids": f"""WITH {INTERACTIONS_SQL}, u AS (SELECT c_custkey AS u, c_custkey + 1 AS f FROM customer WHERE c_custkey % 2 = 0),
+    "b15_dense_ids": f"""WITH {INTERACTIONS_SQL}, u AS (SELECT c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 20000000 END AS u, c_custkey + 1 AS f FROM customer),
         v AS (SELECT user_id AS v FROM interactions UNION SELECT u FROM u UNION SELECT f FROM u UNION SELECT 10000000),
         n AS (SELECT v, row_number() OVER (ORDER BY CAST(v AS VARCHAR)) AS no FROM v),
         a AS (SELECT no AS user_id, count(*) AS n, CAST(sum(item_id) AS BIGINT) AS k FROM interactions JOIN n ON user_id = v GROUP BY 1),

@@ -181,6 +181,16 @@ def univariate(score):
     return run
 
 
+def best_two(score):
+    """The table with the two columns of highest score."""
+    def run(spark, sf):
+        l = table(spark, sf, "lineitem")
+        y = (F.col("l_quantity") > 30).cast("int") if score != "f_regression" else F.col("l_discount") * 10 + F.col("l_linenumber")
+        l = l.select(y.alias("y"), F.nullif("l_quantity", F.lit(1.0)).alias("q"), "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+        return rounded(O.SelectFeature("y", "univariate", k=2, score_func=score).transform(l), 4)
+    return run
+
+
 def chosen_by_model(spark, sf):
     l = table(spark, sf, "lineitem").select((F.col("l_quantity") > 30).cast("int").alias("y"), "l_quantity", "l_tax",
                                             "l_discount", "l_linenumber")
@@ -213,14 +223,17 @@ def two_classes(spark, sf):
     return rounded(O.ReduceDimension(["l_quantity", "d", "t"], "lda", 2, target_col="y").transform(l), 3)
 
 
+WIDTH = 64
+
+
 def pca_variances(spark, sf):
-    """Components are uncorrelated, and their variances add up to those of the columns."""
+    """All components of the embeddings: uncorrelated, and their variances add up to those of the columns."""
     e = table(spark, sf, "embeddings")
-    wide = e.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)])
-    out = O.ReduceDimension([f"x{i}" for i in range(8)], "pca", 8).transform(wide)
-    total = sum([F.var_samp(f"pca_{i}") for i in range(8)], F.lit(0.0))
+    wide = e.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(WIDTH)])
+    out = O.ReduceDimension([f"x{i}" for i in range(WIDTH)], "pca", WIDTH).transform(wide)
+    total = sum([F.var_samp(f"pca_{i}") for i in range(WIDTH)], F.lit(0.0))
     return rounded(out.agg(total.alias("total"), F.abs(F.corr("pca_0", "pca_1")).alias("corr"),
-                           (F.var_samp("pca_0") >= F.var_samp("pca_7")).alias("ordered")), 5)
+                           (F.var_samp("pca_0") >= F.var_samp(f"pca_{WIDTH - 1}")).alias("ordered")), 5)
 
 
 def term_counts(method, ngrams=(1, 1)):
@@ -273,6 +286,7 @@ QUERIES = {
     "f8_rolling": rolling, "f9_history": history, "f9_history_with_split": history_with_split,
     "f10_truncated": truncated, "f11_low_variance_dropped": low_variance_dropped,
     "f12_anova": univariate("f_classif"), "f12_regression": univariate("f_regression"), "f12_chi2": univariate("chi2"),
+    "f12_anova_applied": best_two("f_classif"), "f12_regression_applied": best_two("f_regression"), "f12_chi2_applied": best_two("chi2"),
     "f13_chosen_by_model": chosen_by_model, "f14_eliminated": eliminated,
     "f15_principal": components("pca"), "f15_singular": components("svd"), "f15_principal_variances": pca_variances,
     "f16_discriminant": components("lda", target_col="y"), "f17_kernel": components("kernel_pca", landmarks=64),
@@ -425,10 +439,13 @@ SQL = {
         s AS (SELECT feature, sum((g.o - g.n / t.n * t.o) ** 2 / (g.n / t.n * t.o)) AS score FROM g JOIN t USING (feature)
           GROUP BY 1)
         SELECT feature, {r('score', 3)} AS score, rank() OVER (ORDER BY score DESC) <= 2 AS kept FROM s""",
+    "f12_anova_applied": "SELECT (l_quantity > 30)::INT AS y, nullif(l_quantity, 1.0) AS q, l_tax FROM lineitem",
+    "f12_regression_applied": f"SELECT {r('l_discount * 10 + l_linenumber', 4)} AS y, l_discount, l_linenumber FROM lineitem",
+    "f12_chi2_applied": f"SELECT (l_quantity > 30)::INT AS y, nullif(l_quantity, 1.0) AS q, {r('l_extendedprice', 4)} AS l_extendedprice FROM lineitem",
     "f13_chosen_by_model": "SELECT (l_quantity > 30)::INT AS y, l_quantity FROM lineitem",
     "f14_eliminated": f"""SELECT {r('l_quantity * 3 - l_tax * 50', 3)} AS y, {r('l_quantity', 3)} AS l_quantity,
         {r('l_tax', 3)} AS l_tax FROM lineitem""",
-    "f15_principal_variances": "SELECT " + r(" + ".join(f"var_samp(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(8)), 5)
+    "f15_principal_variances": "SELECT " + r(" + ".join(f"var_samp(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(WIDTH)), 5)
         + " AS total, 0.0::DOUBLE AS corr, true AS ordered FROM embeddings",
     "f18_term_counts": counts_sql(1), "f18_bigram_counts": counts_sql(2),
     "f18_tfidf": f"""WITH {words_sql(1)}, f AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf

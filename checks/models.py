@@ -98,16 +98,17 @@ def trees(spark, sf):
 
 
 def streamed_panel(spark, sf):
+    """Three arrivals of events, each merged into the days it touches."""
     e = table(spark, sf, "events")
-    folder = scratch(spark, "events")
-    e.write.parquet(folder)
-    out = L.hourly_stream(L.event_stream(spark, folder, e.schema, "ts"), "user_id", "ts", {"value": ["sum", "max"]}, "n")
-    # Each batch replaces the panel's files; nothing passes through the driver.
-    target = scratch(spark, "panel")
-    query = out.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(target)) \
-        .option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rounded(spark.read.schema(out.schema).parquet(target), 4)
+    folder, target, state = scratch(spark, "events"), scratch(spark, "panel"), scratch(spark, "stream")
+    ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    third = (ends["b"] - ends["a"]) / 3
+    cuts = [F.lit(ends["a"] + third).cast("timestamp_ntz"), F.lit(ends["a"] + 2 * third).cast("timestamp_ntz")]
+    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        e.where(part).write.mode("append").parquet(folder)
+        out = L.hourly_stream(L.event_stream(spark, folder, e.schema, "ts"), "user_id", "ts", {"value": ["sum", "max"]}, "n")
+        L.write_panel(out, "user_id", target, state, availableNow=True).awaitTermination()
+    return rounded(L.read_panel(spark, target), 4)
 
 
 def streamed_steps(spark, sf):

@@ -55,17 +55,18 @@ class ExtractTextFeature(Operator):
 
     def _fit(self, df):
         for n in present(df, self.cols):
-            tokens = words(df, n, self.ngram_range)
+            # One pass gives both counts: in a sorted text the first of equal terms stands for the document.
+            ordered = F.array_sort(words(df, n, self.ngram_range))
+            marked = F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")), ordered), lambda term, before: F.struct(
+                term.alias("term"), (~term.eqNullSafe(before)).cast("int").alias("first")))
+            found = df.select(F.explode(marked).alias("t")).where("t.term is not null").groupBy("t.term").agg(
+                F.count("*").alias("n"), F.sum("t.first").alias("docs"))
             # Ties in frequency go to the alphabetically first term.
-            top = df.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n")) \
-                .orderBy(F.desc("n"), "term").limit(self.max_features)
-            terms = sorted(r["term"] for r in top.collect())
+            top = found.orderBy(F.desc("n"), "term").limit(self.max_features).collect()
+            terms = sorted(r["term"] for r in top)
             self.terms[n] = terms
             if self.method == "tfidf":
-                docs = df.count()
-                seen = df.select(F.explode(F.array_distinct(tokens)).alias("term")) \
-                    .where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("n"))
-                spread = {r["term"]: r["n"] for r in seen.collect()}
+                docs, spread = df.count(), {r["term"]: r["docs"] for r in top}
                 self.idf[n] = [math.log((1 + docs) / (1 + spread.get(t, 0))) + 1.0 for t in terms]
 
     def _apply(self, df):

@@ -1,5 +1,7 @@
 """Recipes, splits, dataset jobs, inputs, metrics, sources and streams."""
 
+import datetime
+import os
 import random
 
 import pytest
@@ -165,6 +167,44 @@ def test_closed_windows_in_append_mode(spark, sf, tmp_path):
         __import__("datetime").timedelta(hours=3)
 
 
+def test_panel_batches_touch_their_days_and_state_ends(spark, tmp_path):
+    """Arrivals in order, one that is late within the delay and one beyond it, and a batch that is run again."""
+    start = datetime.datetime(2024, 1, 1)
+    schema = "ts timestamp_ntz, user_id long, value double"
+
+    def arrive(rows):
+        spark.createDataFrame([(start + datetime.timedelta(hours=h), u, v) for h, u, v in rows], schema).coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "in"))
+        out = L.hourly_stream(L.event_stream(spark, str(tmp_path / "in"), schema, "ts"), "user_id", "ts", {"value": ["sum"]}, "n", "3 hours")
+        query = L.write_panel(out, "user_id", str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True)
+        query.awaitTermination()
+        return query
+
+    def panel():
+        return {((r["_hour_ts"] - start).total_seconds() / 3600, r["user_id"]): (r["value_sum"], r["n"])
+                for r in L.read_panel(spark, str(tmp_path / "out")).collect()}
+
+    arrive([(h, u, 1.0) for h in range(0, 48) for u in (1, 2)])
+    first = panel()
+    assert len(first) == 96 and set(first.values()) == {(1.0, 1)}
+    # Hour 46 is late within the delay, hour 3 is beyond it.
+    query = arrive([(46.5, 1, 5.0), (48.2, 1, 2.0), (3, 1, 100.0), (100, 2, 1.0)])
+    second = panel()
+    assert second == {**first, (46, 1): (6.0, 2), (48, 1): (2.0, 1), (100, 2): (1.0, 1)}
+    versions = sorted(os.listdir(tmp_path / "out"))
+    days = {v: sorted(d for d in os.listdir(tmp_path / "out" / v) if d.startswith("_day")) for v in versions}
+    assert days[versions[0]] == ["_day=2024-01-01", "_day=2024-01-02"]
+    assert all("_day=2024-01-01" not in d for v, d in days.items() if v != versions[0])
+    arrive([(101, 1, 1.0)])
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert held[-1] <= 6
+    # The same batch again leaves the panel as it is.
+    now = panel()
+    again = max(int(v.split("=")[1]) for v in os.listdir(tmp_path / "out"))
+    before = L.panel_versions(spark, str(tmp_path / "out"), again)
+    assert before.count() <= len(now) and panel() == now
+
+
 def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"
