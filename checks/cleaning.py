@@ -154,11 +154,18 @@ def deletion_spares_held_out(spark, sf):
     return apply_with_split(O.HandleOutlier("o_totalprice", threshold=0.3), o)
 
 
+def fill_linear(spark, sf):
+    """A column that is an exact linear function of two others, with gaps: the rounds must find it."""
+    price = F.col("l_quantity") * 3.0 - F.col("l_tax") * 200.0 + 11.0
+    l = table(spark, sf, "lineitem").select(*LKEY, "l_quantity", "l_tax", F.when(F.col("l_linenumber") != 3, price).alias("price"))
+    return rounded(O.HandleMV(["l_quantity", "l_tax", "price"], method="iterative", max_iter=4).transform(l), 2)
+
+
 QUERIES = {
     "c1_delete_gaps": delete_gaps, "c2_mark_sentinels": mark_sentinels, "c3_fill_median": fill("median"),
     "c3_fill_mean": fill("mean"), "c3_fill_mode": fill("mode"),
     "c3_fill_constant": fill("constant", cols=["qty", "disc"], fill_value=-1),
-    "c4_fill_knn": fill_knn, "c5_fill_iterative": fill_iterative,
+    "c4_fill_knn": fill_knn, "c5_fill_iterative": fill_iterative, "c5_fill_linear": fill_linear,
     "c6_outliers_deleted": outliers_deleted, "c6_outliers_clipped": outliers_clipped,
     "c6_outliers_cleared": outliers_cleared, "c6_outliers_held_out": deletion_spares_held_out,
     "c7_rule_errors": rule_errors, "c8_non_iid_weights": non_iid, "c8_non_iid_deleted": non_iid_deleted,
@@ -267,6 +274,8 @@ SQL = {
     "c11_duplicates_rows": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem",
     "c12_typos_mapped": """SELECT doc_id, CASE lang WHEN 'fr' THEN 'french' WHEN 'en' THEN 'english' ELSE lang END AS lang,
         source FROM documents""",
+    "c5_fill_linear": f"""SELECT {', '.join(r(c, 2) + ' AS ' + c if c == 'l_extendedprice' else c for c in LKEY)}, {r('l_quantity', 2)} AS l_quantity,
+        {r('l_tax', 2)} AS l_tax, {r('l_quantity * 3.0 - l_tax * 200.0 + 11.0', 2)} AS price FROM lineitem""",
     # Longest common subsequences, a row of the table for every character.
     "c12_typos_fuzzy": """WITH RECURSIVE v AS (SELECT DISTINCT translate(p_type, 'AEO', 'aE0') AS a FROM part),
         t AS (SELECT * FROM (VALUES (0, 'STANDARD'), (1, 'PROMO'), (2, 'ECONOMY')) AS x(no, b)),

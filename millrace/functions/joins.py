@@ -4,27 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from .. import settings
 from ..session import materialise
 from .ordering import POSITION, join_on_keys, row_index
+from .sizes import is_small, measured_bytes, sent_if_small  # noqa: F401  (measured_bytes is used by importers of this module)
 from .values import col
 
 
-def measured_bytes(table: DataFrame) -> int | None:
-    """Size of a table's values from one aggregation; None for nested columns."""
-    text, fixed = [], 0
-    for f in table.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            text.append(F.coalesce(F.sum(F.octet_length(col(f.name))), F.lit(0)))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            return None
-        fixed += 16
-    row = table.agg(F.count("*").alias("n"), sum(text, F.lit(0)).cast("bigint").alias("b")).first()
-    return row["n"] * fixed + row["b"]
-
-
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
     """Keys with more rows than one task should take, or None.
 
@@ -37,16 +25,17 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFr
 
 
 def split_join(df: DataFrame, other: DataFrame, keys: list[str], how: str, hot: DataFrame | None) -> DataFrame:
-    """Rows of hot keys stay where they are and meet a broadcast slice; the rest is shuffled.
+    """Rows of hot keys stay where they are and meet a slice of ``other`` measured small; the rest is shuffled.
 
-    ``other`` has one row per key, so its slice is as bounded as ``hot`` is.
+    A larger slice (many hot keys or wide rows) meets them dealt out over salts.
     """
     if hot is None:
         return join_on_keys(df, other, keys, how)
-    few = F.broadcast(hot)
+    few = sent_if_small(hot)
     cold = join_on_keys(join_on_keys(df, few, keys, "left_anti"), join_on_keys(other, few, keys, "left_anti"), keys, how)
-    slice_ = F.broadcast(join_on_keys(other, few, keys, "left_semi"))
-    return cold.unionByName(join_on_keys(join_on_keys(df, few, keys, "left_semi"), slice_, keys, how))
+    rows, slice_ = join_on_keys(df, few, keys, "left_semi"), join_on_keys(other, few, keys, "left_semi")
+    warm = join_on_keys(rows, F.broadcast(slice_), keys, how) if is_small(slice_) else salted_join(rows, slice_, keys, how)
+    return cold.unionByName(warm.select(*[col(c) for c in cold.columns]))
 
 
 def keyed_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left",
@@ -57,7 +46,7 @@ def keyed_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "lef
     hot keys have been split off.  Missing keys match missing keys.
     """
     other = other if stored else materialise(other)
-    if _small(other):
+    if is_small(other):
         return join_on_keys(df, F.broadcast(other), keys, how)
     return split_join(df, other, keys, how, hot_keys(df, keys, limit))
 
@@ -77,11 +66,6 @@ def salted_join(df: DataFrame, other: DataFrame, keys: list[str], how: str, limi
     return join_on_keys(left, right, [*keys, "__salt__"], how).drop("__salt__")
 
 
-def _small(table: DataFrame) -> bool:
-    size = measured_bytes(table)
-    return size is not None and size <= settings.BROADCAST_BYTES
-
-
 def wide_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left",
               limit: int | None = None) -> DataFrame:
     """Left, inner, right or outer join with a table that may repeat keys; missing matches missing.
@@ -97,22 +81,22 @@ def wide_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left
     if how == "outer":
         alone = keyed_join(other, df.select(*[col(k) for k in keys]).distinct(), keys, "left_anti", limit)
         return wide_join(df, other, keys, "left", limit).unionByName(alone, allowMissingColumns=True)
-    if _small(other):
+    if is_small(other):
         return join_on_keys(df, F.broadcast(other), keys, how)
     parts = []
     for side in ("left", "right"):
         hot = hot_keys(df if side == "left" else other, keys, limit)
         if hot is None:
             continue
-        few = F.broadcast(hot)
+        few = sent_if_small(hot)
         left, right = join_on_keys(df, few, keys, "left_semi"), join_on_keys(other, few, keys, "left_semi")
         df, other = join_on_keys(df, few, keys, "left_anti"), join_on_keys(other, few, keys, "left_anti")
         if side == "left":
-            parts.append(join_on_keys(left, F.broadcast(right), keys, how) if _small(right)
+            parts.append(join_on_keys(left, F.broadcast(right), keys, how) if is_small(right)
                          else salted_join(left, right, keys, how, limit))
         else:
             # The right side has rows for each of these keys, so every left row matches.
-            parts.append(join_on_keys(F.broadcast(left), right, keys, "inner") if _small(left)
+            parts.append(join_on_keys(F.broadcast(left), right, keys, "inner") if is_small(left)
                          else salted_join(right, left, keys, "inner", limit))
     out = join_on_keys(df, other, keys, how)
     for part in parts:

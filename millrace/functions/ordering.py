@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from .. import settings
 from ..session import materialise
+from .sizes import sent_if_small
 from .values import col, scalar_array
 
 POSITION = "__position__"
@@ -65,7 +66,7 @@ def split_by_group_size(df: DataFrame, keys: list[str], limit: int | None = None
     """(rows of bounded groups, rows of oversized groups or None).
 
     Counts are combined before the shuffle.  At most rows/limit keys are oversized,
-    which bounds the broadcast; their rows are split off without a shuffle.
+    measured before they are sent; then their rows are split off without a shuffle.
     """
     limit = settings.MAX_GROUP_ROWS if limit is None else limit
     large = df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__rows__")) \
@@ -73,7 +74,7 @@ def split_by_group_size(df: DataFrame, keys: list[str], limit: int | None = None
     if large.isEmpty():
         return df, None
     large = materialise(large)
-    few = F.broadcast(large)
+    few = sent_if_small(large)
     return join_on_keys(df, few, keys, "left_anti"), join_on_keys(df, few, keys, "left_semi")
 
 
@@ -158,8 +159,8 @@ def group_running_sum(df: DataFrame, group: list[str], order: list, amount: Colu
     run = running_total(marked, [col(g).asc_nulls_first() for g in group] + order_columns(order),
                         {total: col(own)}, block_rows=limit)
     run = materialise(run.withColumn("__rank_before__", col(total) - col(own)))
-    base = run.groupBy(*[col(g) for g in group]).agg(F.min("__rank_before__").alias("__base__"))
     # One row per oversized group.
-    joined = join_on_keys(run, F.broadcast(base), group).select(
+    base = materialise(run.groupBy(*[col(g) for g in group]).agg(F.min("__rank_before__").alias("__base__")))
+    joined = join_on_keys(run, sent_if_small(base), group).select(
         *[col(n) for n in df.columns], (col(total) - col("__base__")).alias(name))
     return out.unionByName(joined)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import settings
 from ..session import materialise
 from .ordering import POSITION, join_on_keys, row_index, split_by_group_size
+from .sizes import sent_if_small
 from .values import col
 
 ACCURACY = 2_000
@@ -157,7 +158,7 @@ def grouped_quantile(df: DataFrame, keys: list[str], exprs: dict[str, Column], p
         middle = (F.col(POSITION) == F.col("__first__") + F.floor("__rank__")) | \
             (F.col(POSITION) == F.col("__first__") + F.ceil("__rank__"))
         # One row per oversized group.
-        picked = join_on_keys(placed, F.broadcast(span), keys).where(middle)
+        picked = join_on_keys(placed, sent_if_small(span), keys).where(middle)
         weight = F.first(F.col("__rank__") - F.floor("__rank__"))
         one = picked.groupBy(*[col(k) for k in keys]).agg(
             (F.min(col(n)) + (F.max(col(n)) - F.min(col(n))) * weight).alias(n))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .. import settings
 from ..session import materialise
-from .joins import measured_bytes
 from .ordering import POSITION, row_index
+from .sizes import sent_if_small
 from .values import as_list, col
 
 # A draw has 60 bits and is read in 12-bit digits: a histogram has at most 4,096 bins a group.
@@ -68,9 +67,7 @@ def mark_sample(df: DataFrame, group: Column, wanted: DataFrame, seed: int, keys
     """
     drawn = df.withColumns({_GROUP: group, _DRAW: key_draw(seed, *key_columns(df, keys))})
     cuts = _cutoffs(materialise(drawn.select(_GROUP, _DRAW)), wanted)
-    size = measured_bytes(cuts)
-    few = F.broadcast(cuts) if size is not None and size <= settings.BROADCAST_BYTES else cuts
-    joined = drawn.join(few, F.col(_GROUP).eqNullSafe(F.col("group")), "left")
+    joined = drawn.join(sent_if_small(cuts), F.col(_GROUP).eqNullSafe(F.col("group")), "left")
     out = joined.withColumn(CHOSEN, F.coalesce(F.col(_DRAW) < F.col("cut"), F.lit(False)))
     if not cuts.where("ties > 0").isEmpty():
         tie = F.coalesce((F.col("ties") > 0) & (F.col(_DRAW) == F.col("cut")), F.lit(False))

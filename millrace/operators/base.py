@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, WindowSpec
+
+from ..functions.ordering import add_window_columns
 
 SPLIT = "__split__"
 HELD_OUT = "std_test"
 
 
+@dataclass(frozen=True)
+class OrderedPart:
+    """Columns over ordered groups: ``build`` makes ``makes`` from ``reads`` for a window whose frames reach ``halo`` rows back.
+
+    Parts of equal group and order can share one shuffle and one sort.
+    """
+
+    group: tuple[str, ...]
+    order: tuple[str, ...]
+    build: Callable[[WindowSpec], dict[str, Column]]
+    halo: int
+    reads: frozenset[str]
+    makes: frozenset[str]
+    limit: int | None = None
+
+    def fits(self, others: list[OrderedPart]) -> bool:
+        """Whether it may run beside ``others`` instead of after them."""
+        made = frozenset().union(*[p.makes for p in others])
+        return all((p.group, p.order, p.limit) == (self.group, self.order, self.limit) for p in others) \
+            and not made & (self.reads | self.makes | set(self.group) | set(self.order))
+
+
+def apply_ordered(df: DataFrame, parts: list[OrderedPart]) -> DataFrame:
+    """All parts over one window; they have one group and order."""
+    first = parts[0]
+
+    def build(window):
+        return {n: c for p in parts for n, c in p.build(window).items()}
+    return add_window_columns(df, list(first.group), list(first.order), build, max(p.halo for p in parts), first.limit)
+
+
 class Operator:
     """A table-to-table step.
 
@@ -40,6 +76,10 @@ class Operator:
         """Parameters that take one further table each, with the column by which the table is known, if any."""
         return []
 
+    def ordered_part(self, df: DataFrame) -> OrderedPart | None:
+        """What the step adds over ordered groups of ``df``, if that is all it does; see :class:`OrderedPart`."""
+        return None
+
     def __init__(self):
         self.fitted = False
 

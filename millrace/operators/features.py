@@ -14,7 +14,7 @@ from ..functions.aggregates import group_statistics
 from ..functions.joins import keyed_join
 from ..functions.ordering import add_window_columns, order_columns, row_index, split_by_group_size, POSITION
 from ..functions.values import as_list, col, dtype_of, number, numeric_columns, present, timestamp, value
-from .base import HELD_OUT, SPLIT, Operator, choose
+from .base import HELD_OUT, SPLIT, OrderedPart, Operator, apply_ordered, choose
 from .encoding import text_of
 from .integration import CustomTransform
 
@@ -198,6 +198,13 @@ def _masked(df, group, column):
     return F.when(known, column) if group else column
 
 
+def _group_and_order(df, step) -> tuple[list[str], list[str]]:
+    order = present(df, [step.time_col, *step.tie_cols])
+    if not order:
+        raise ValueError("time_col or tie_cols must order the rows")
+    return present(df, step.group_cols), order
+
+
 class CreateLagFeature(Operator):
     """Value of the k-th previous row of the group."""
 
@@ -208,18 +215,20 @@ class CreateLagFeature(Operator):
         self.target_col, self.lags = target_col, [int(k) for k in as_list(lags)]
         self.group_cols, self.time_col, self.tie_cols = as_list(group_cols), time_col, as_list(tie_cols)
 
-    def _apply(self, df):
+    def ordered_part(self, df):
         if self.target_col not in df.columns:
-            return df
-        group = present(df, self.group_cols)
-        order = present(df, [self.time_col, *self.tie_cols])
-        if not order:
-            raise ValueError("time_col or tie_cols must order the rows")
+            return None
+        group, order = _group_and_order(df, self)
 
         def build(w):
             return {f"{self.target_col}_lag_{k}": _masked(df, group, F.lag(col(self.target_col), k).over(w))
                     for k in self.lags}
-        return add_window_columns(df, group, order, build, max(self.lags))
+        return OrderedPart(tuple(group), tuple(order), build, max(self.lags), frozenset([self.target_col]),
+                           frozenset(f"{self.target_col}_lag_{k}" for k in self.lags))
+
+    def _apply(self, df):
+        part = self.ordered_part(df)
+        return df if part is None else apply_ordered(df, [part])
 
 
 class CreateRollingFeature(Operator):
@@ -237,13 +246,10 @@ class CreateRollingFeature(Operator):
             choose("aggs", a, self.allowed)
         self.group_cols, self.time_col, self.tie_cols = as_list(group_cols), time_col, as_list(tie_cols)
 
-    def _apply(self, df):
+    def ordered_part(self, df):
         if self.target_col not in df.columns:
-            return df
-        group = present(df, self.group_cols)
-        order = present(df, [self.time_col, *self.tie_cols])
-        if not order:
-            raise ValueError("time_col or tie_cols must order the rows")
+            return None
+        group, order = _group_and_order(df, self)
         v = value(df, self.target_col)
         make = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum,
                 "median": lambda c: F.percentile(c, 0.5)}
@@ -251,7 +257,12 @@ class CreateRollingFeature(Operator):
         def build(w):
             return {f"{self.target_col}_roll_{a}_{n}": _masked(df, group, make[a](v).over(w.rowsBetween(-n, -1)))
                     for n in self.windows for a in self.aggs}
-        return add_window_columns(df, group, order, build, max(self.windows))
+        return OrderedPart(tuple(group), tuple(order), build, max(self.windows), frozenset([self.target_col]),
+                           frozenset(f"{self.target_col}_roll_{a}_{n}" for n in self.windows for a in self.aggs))
+
+    def _apply(self, df):
+        part = self.ordered_part(df)
+        return df if part is None else apply_ordered(df, [part])
 
 
 class CreateSequence(Operator):
@@ -272,18 +283,25 @@ class CreateSequence(Operator):
         self.limit = limit
         self.output_col_types = {seq_col: "categorical_list"}
 
+    def ordered_part(self, df):
+        order = present(df, [self.time_col, *self.tie_cols])
+        if SPLIT in df.columns or not order:
+            return None
+
+        def build(w):
+            got = F.collect_list(F.struct(col(self.item_col).alias("v"))).over(w.rowsBetween(-self.max_len, -1))
+            return {self.seq_col: F.transform(got, lambda s: s["v"])}
+        return OrderedPart((self.user_col,), tuple(order), build, self.max_len, frozenset([self.item_col]),
+                           frozenset([self.seq_col]), self.limit)
+
     def _apply(self, df):
-        split = SPLIT in df.columns
-        held = (col(SPLIT) == HELD_OUT) if split else F.lit(False)
+        part = self.ordered_part(df)
+        if part is not None:
+            return apply_ordered(df, [part])
+        held = (col(SPLIT) == HELD_OUT) if SPLIT in df.columns else F.lit(False)
         order = [*order_columns(present(df, [self.time_col])), held.cast("int").asc(),
                  *order_columns(present(df, self.tie_cols))]
-        item = F.struct(col(self.item_col).alias("v"))
-        if not split:
-            def build(w):
-                got = F.collect_list(item).over(w.rowsBetween(-self.max_len, -1))
-                return {self.seq_col: F.transform(got, lambda s: s["v"])}
-            return add_window_columns(df, [self.user_col], order, build, self.max_len, self.limit)
-        return self._with_split(df, held, order, item)
+        return self._with_split(df, held, order, F.struct(col(self.item_col).alias("v")))
 
     def _with_split(self, df, held, order, item):
         """Training rows carry their history including themselves; others read the last one seen."""

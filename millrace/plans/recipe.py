@@ -11,9 +11,9 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame, functions as F
 
 from .. import operators
-from ..operators.base import HELD_OUT, SPLIT, Operator
+from ..operators.base import HELD_OUT, SPLIT, Operator, apply_ordered
 from ..functions.values import as_list, col
-from ..session import materialise
+from ..session import materialise, table_scope
 
 
 class RecipeError(ValueError):
@@ -92,15 +92,24 @@ class Recipe:
         sources, steps, end = _checked_nodes(spec)
         return cls(sources, steps, end, _ordered(sources, steps, end), kind)
 
-    def run(self, tables: dict[str, DataFrame]) -> DataFrame:
+    def run(self, tables: dict[str, DataFrame], tidy: bool = False) -> DataFrame:
+        """The final table.  With ``tidy`` it is written, and the tables written on the way are deleted."""
+        if tidy and tables:
+            with table_scope(next(iter(tables.values())).sparkSession):
+                return materialise(self._run(tables), keep=True)
+        return self._run(tables)
+
+    def _run(self, tables: dict[str, DataFrame]) -> DataFrame:
         values = {}
         for name, table in self.sources.items():
             if table not in tables:
                 raise RecipeError(f"table {table} is not available")
             values[name] = tables[table]
         readers = Counter(i for node in self.steps.values() for i in as_list(node["prev"]))
-        fixed = set(values)
+        fixed, done = set(values), set()
         for name in self.order:
+            if name in done:
+                continue
             node = self.steps[name]
             main, *side = as_list(node["prev"])
             step = self._bound(node, [values[i] for i in side], tables)
@@ -112,10 +121,38 @@ class Recipe:
                     fixed.add(i)
             if side:
                 step = self._bound(node, [values[i] for i in side], tables)
+            chain = self._shared_window(name, step, values[main], readers, tables)
+            if len(chain) > 1:
+                last = list(chain)[-1]
+                values[last] = apply_ordered(values[main], [part for _, part in chain.values()])
+                self.fitted.update({n: s for n, (s, _) in chain.items()})
+                done.update(chain)
+                continue
             values[name] = apply_with_split(step, values[main], self.kind)
             self.fitted[name] = step
         return values[self.end]
 
+    def _shared_window(self, name: str, step: Operator, df: DataFrame, readers, tables) -> dict:
+        """The step and those right after it that add columns over the same ordered groups: {id: (step, part)}.
+
+        They read what the first one reads and nothing else reads what they write, so one shuffle and one sort serve all.
+        Tables with a split marker go step by step.
+        """
+        if SPLIT in df.columns:
+            return {}
+        chain: dict = {}
+        while step is not None:
+            part = step.ordered_part(df)
+            if part is None or not part.fits([p for _, p in chain.values()]):
+                break
+            chain[name] = step.fit(df), part
+            nexts = [n for n, node in self.steps.items() if as_list(node["prev"]) == [name]]
+            if readers[name] != 1 or name == self.end or len(nexts) != 1:
+                break
+            name = nexts[0]
+            step = self._bound(self.steps[name], [], tables)
+        return chain
+
     def _bound(self, node, side, tables):
         kind = getattr(operators, node["op"], None)
         if not (isinstance(kind, type) and issubclass(kind, Operator)):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_scopes: list[list[str]] = []
+# The lists of tables of the scopes that the running code is in; other threads have their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("table_scopes", default=())
 
 
 @contextmanager
@@ -60,26 +62,26 @@ def table_scope(spark: SparkSession) -> Iterator[None]:
     What is to outlive the scope must have been written or collected by then.
     """
     made: list[str] = []
-    _scopes.append(made)
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _scopes.reset(token)
         for name in made:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
     Cuts lineage and fixes values that depend on partition layout.  The table
     outlives lost executors, keeps column pruning, and gives the optimiser real
-    file sizes.
+    file sizes.  With ``keep`` it outlives the scope it is written in.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    for made in _scopes:
+    for made in () if keep else _scopes.get():
         made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

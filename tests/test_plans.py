@@ -205,6 +205,38 @@ def test_panel_batches_touch_their_days_and_state_ends(spark, tmp_path):
     assert before.count() <= len(now) and panel() == now
 
 
+def test_ordered_steps_of_one_key_share_a_sort(spark, rows):
+    data = [(i % 4 if i % 9 else None, i % 13, i, float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(data, "user_id int, timestamp int, item_id int, rating double").repartition(4)
+    common = {"group_cols": ["user_id"], "time_col": "timestamp", "tie_cols": ["item_id"]}
+    steps = [("CreateSequence", {"max_len": 3, "tie_cols": ["item_id"]}), ("CreateLagFeature", {"target_col": "rating", "lags": [1, 2], **common}),
+             ("CreateRollingFeature", {"target_col": "rating", "windows": [4], "aggs": ["mean"], **common}),
+             ("CreateLagFeature", {"target_col": "rating_lag_1", "lags": 1, **common})]
+    ops = [{"id": f"o{i}", "op": op, "prev": [f"o{i - 1}" if i else "s0"], "params": p} for i, (op, p) in enumerate(steps)]
+    shared = Recipe.from_spec(spec(ops[:3], end="o2"))
+    out = shared.run({"t": df})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and sorted(shared.fitted) == ["o0", "o1", "o2"]
+    # The last step reads what an earlier one made, so it follows on its own.
+    got = Recipe.from_spec(spec(ops, end="o3")).run({"t": df}, tidy=True)
+    want = df
+    for op, p in steps:
+        want = getattr(O, op)(**p).transform(want)
+    assert rows(got, *want.columns) == rows(want)
+
+
+def test_tidy_runs_keep_only_their_result(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    folder = session.shared_folder(spark) + "/tables"
+    held = lambda: len(list(__import__("pathlib").Path(folder.removeprefix("file:")).glob("*")))
+    df = spark.createDataFrame([(i % 5, i % 3, float(i)) for i in range(60)], "user_id int, item_id int, rating double")
+    ops = [{"id": "o1", "op": "FilterKCore", "prev": ["s0"], "params": {"k": 2}},
+           {"id": "o2", "op": "ScaleFeature", "prev": ["o1"], "params": {"cols": ["rating"]}}]
+    before = held()
+    out = Recipe.from_spec(spec(ops, end="o2")).run({"t": df}, tidy=True)
+    assert out.count() == 60 and held() == before + 1
+
+
 def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"
