@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.plans import datasets as D
 from millrace.plans.recipe import Recipe
 
-from .common import INTERACTION_KEY, INTERACTION_KEY_SQL, interactions, r, rounded, table, with_split
+from .common import INTERACTION_KEY, INTERACTION_KEY_SQL, LKEY, interactions, r, rounded, table, with_split
 from .preprocessing import k_core_sql
 
 
@@ -124,14 +124,87 @@ def catalogue_features(spark, sf):
     return rounded(out.withColumns({n: F.array_join(F.col(n).cast("array<string>"), ",") for n in ("item_id_seq", "item_brand_seq")}))
 
 
-QUERIES = {"recipe_catalogue": catalogue_features, "recipe_interactions": interaction_features, "recipe_relational": relational_features,
+def card_transactions(spark, sf):
+    """Calendar parts, log amount, rename, frequencies, hash buckets, sparse columns dropped, labels coded, medians."""
+    spec = recipe(
+        ["main"],
+        ("ExtractDateTimeFeature", ["s0"], {"cols": ["l_shipdate"], "features": ["day_of_week", "month"], "drop_original": True}),
+        ("TransformPower", ["o1"], {"cols": ["l_extendedprice"], "output_cols": ["amount_log"], "method": "log"}),
+        ("RenameColumn", ["o2"], {"rename_map": {"l_extendedprice": "amount"}}),
+        ("FrequencyEncode", ["o3"], {"cols": ["l_partkey", "l_suppkey", "flag"]}),
+        ("HashEncode", ["o4"], {"cols": ["l_partkey"], "n_buckets": 4096}),
+        ("CustomProcess", ["o5"], {"threshold": 0.9, "mode": "drop_high_null"}),
+        ("DropColumns", ["o6"], {"cols": ["l_linenumber"]}),
+        ("LabelEncode", ["o7"], {"order_cols": ["l_orderkey", "l_partkey", "l_suppkey", "amount"]}),
+        ("HandleMV", ["o8"], {"method": "median"}))
+    main = table(spark, sf, "lineitem").select(
+        *LKEY, F.nullif("l_quantity", F.lit(1.0)).alias("quantity"), F.nullif("l_returnflag", F.lit("A")).alias("flag"), "l_linestatus",
+        F.when(F.col("l_quantity") == 50, F.col("l_tax")).alias("rare"), "l_shipdate")
+    return rounded(Recipe.from_spec(spec).run({"main": main}), 4)
+
+
+def station_panel(spark, sf):
+    """Row sums and differences, logs, scaled columns, lags and rolling statistics per station, station facts, codes, medians."""
+    ordered = {"target_col": "value_mean", "group_cols": ["station"], "time_col": "_hour_idx"}
+    spec = recipe(
+        ["main", "station_meta"],
+        ("CreateFeature", ["s0"], {"source_cols": ["value_sum", "n"], "output_col": "load", "method": "sum"}),
+        ("CreateFeature", ["o1"], {"source_cols": ["value_max", "value_min"], "output_col": "spread", "method": "diff"}),
+        ("TransformPower", ["o2"], {"cols": ["n"], "output_cols": ["n_log"], "method": "log"}),
+        ("ScaleFeature", ["o3"], {"cols": ["value_mean"], "method": "minmax", "feature_range": [0.0, 1.0]}),
+        ("CreateLagFeature", ["o4"], {"lags": [1, 3], **ordered}),
+        ("CreateRollingFeature", ["o5"], {"windows": [3, 6], "aggs": ["mean", "std", "min", "max"], **ordered}),
+        ("DropColumns", ["s1"], {"cols": ["status"]}),
+        ("JoinTable", ["o6", "o7"], {"key_col": "station", "prefix": "STATION", "max_cols": 20, "method": "agg", "agg_funcs": ["mean", "max"]}),
+        ("CustomProcess", ["o8"], {"threshold": 0.7, "mode": "drop_high_null"}),
+        ("LabelEncode", ["o9"], {"cols": ["wd", "station"], "order_cols": ["_hour_idx", "station"]}),
+        ("HandleMV", ["o10"], {"method": "median"}),
+        ("DropColumns", ["o11"], {"cols": ["_hour_ts"]}))
+    panel = D.hourly_panel(table(spark, sf, "events"), "user_id", "ts", {"value": ["mean", "sum", "min", "max"]}, "n")
+    panel = panel.withColumn("station", F.concat(F.lit("s"), F.col("user_id"))).drop("user_id").withColumn(
+        "wd", F.element_at(F.array(*map(F.lit, "NESW")), F.pmod(F.col("_hour_idx") / 3600, F.lit(4)).cast("int") + 1))
+    meta = table(spark, sf, "orders").select(F.concat(F.lit("s"), F.col("o_custkey") * 2).alias("station"), F.col("o_totalprice").alias("price"),
+                                             F.col("o_orderstatus").alias("status"))
+    return rounded(Recipe.from_spec(spec).run({"main": panel, "station_meta": meta}), 4)
+
+
+QUERIES = {"recipe_card_transactions": card_transactions, "recipe_station_panel": station_panel,
+           "recipe_catalogue": catalogue_features, "recipe_interactions": interaction_features, "recipe_relational": relational_features,
            "recipe_hourly": hourly_features, "recipe_transactions": transaction_features, "recipe_monthly": monthly_history}
 
 _ORDER = f"timestamp, {INTERACTION_KEY_SQL}"
 
 _HISTORY = """coalesce(array_to_string(list({}) OVER (PARTITION BY user_id ORDER BY {} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), ','), '')"""
 
+_FILLED = [*(f"lag_{k}" for k in (1, 3)), *(f"roll_{a}_{n}" for n in (3, 6) for a in ("mean", "std", "min", "max"))]
+
 SQL = {
+    "recipe_card_transactions": f"""WITH a AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice AS amount, nullif(l_quantity, 1.0) AS q,
+          nullif(l_returnflag, 'A') AS flag, l_linestatus, l_shipdate FROM lineitem),
+        k AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, amount) AS i FROM a),
+        f AS (SELECT flag, row_number() OVER (ORDER BY min(i)) - 1 AS code, count(*) AS n FROM k WHERE flag IS NOT NULL GROUP BY 1),
+        t AS (SELECT l_linestatus AS st, row_number() OVER (ORDER BY min(i)) - 1 AS code FROM k GROUP BY 1)
+        SELECT l_orderkey, l_partkey, l_suppkey, {r('amount', 4)} AS amount, {r('coalesce(q, (SELECT median(q) FROM a))', 4)} AS quantity,
+          coalesce(f.code, -1) AS flag, t.code AS l_linestatus, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS l_shipdate_day_of_week,
+          CAST(month(l_shipdate) AS INTEGER) AS l_shipdate_month, {r('ln(1 + amount)', 4)} AS amount_log,
+          count(*) OVER (PARTITION BY l_partkey) AS l_partkey_freq, count(*) OVER (PARTITION BY l_suppkey) AS l_suppkey_freq,
+          coalesce(f.n, 0) AS flag_freq, CAST(CAST('0x' || md5(CAST(l_partkey AS VARCHAR))[1:16] AS UBIGINT) % 4096 AS INTEGER) AS h_l_partkey
+        FROM k LEFT JOIN f ON k.flag = f.flag JOIN t ON t.st = l_linestatus""",
+    "recipe_station_panel": f"""WITH p AS (SELECT 's' || user_id AS s, date_trunc('hour', ts) AS h, avg(value) AS m, sum(value) AS z, min(value) AS lo,
+          max(value) AS hi, count(*) AS n FROM events GROUP BY 1, 2),
+        o AS (SELECT 's' || o_custkey * 2 AS s, avg(o_totalprice) AS pm, max(o_totalprice) AS px FROM orders GROUP BY 1),
+        x AS (SELECT * REPLACE ((m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()) AS m), CAST(epoch(h) AS BIGINT) AS idx FROM p),
+        y AS (SELECT x.*, pm, px, 'NESW'[CAST(idx // 3600 % 4 AS INTEGER) + 1] AS wd, lag(m, 1) OVER w AS lag_1, lag(m, 3) OVER w AS lag_3,
+          {', '.join(f"{f}(m) OVER (w ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS roll_{a}_{k}" for k in (3, 6)
+                     for a, f in (('mean', 'avg'), ('std', 'stddev_samp'), ('min', 'min'), ('max', 'max')))}
+          FROM x LEFT JOIN o USING (s) WINDOW w AS (PARTITION BY s ORDER BY idx)),
+        c AS (SELECT s, row_number() OVER (ORDER BY min(idx), s) - 1 AS code FROM y GROUP BY 1),
+        d AS (SELECT wd, row_number() OVER (ORDER BY min(idx)) - 1 AS code FROM y GROUP BY 1)
+        SELECT c.code AS station, d.code AS wd, idx AS _hour_idx, {r('m', 4)} AS value_mean, {r('z', 4)} AS value_sum, {r('lo', 4)} AS value_min,
+          {r('hi', 4)} AS value_max, n, {r('z + n', 4)} AS load, {r('hi - lo', 4)} AS spread, {r('ln(1 + n)', 4)} AS n_log,
+          {', '.join(f"{r(f'coalesce({f}, (SELECT median({f}) FROM y))', 4)} AS value_mean_{f}" for f in _FILLED)},
+          {r('coalesce(pm, (SELECT median(pm) FROM y))', 4)} AS "STATION_price_mean", {r('coalesce(px, (SELECT median(px) FROM y))', 4)} AS "STATION_price_max"
+        FROM y JOIN c ON c.s = y.s JOIN d ON d.wd = y.wd""",
     "recipe_catalogue": k_core_sql(22, 40).replace("SELECT * FROM r40", f""", b AS (SELECT p_partkey AS k, coalesce(nullif(
           least(p_brand, 'Brand#' || p_size), 'Brand#11'), 'none') AS item_brand FROM part)
         SELECT user_id, item_id, timestamp, rating, l_orderkey, l_linenumber, l_suppkey, {r('l_extendedprice')} AS l_extendedprice,

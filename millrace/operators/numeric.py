@@ -203,7 +203,7 @@ class DiscretizeFeature(Operator):
 def cluster_edges(values: DataFrame, start: list[float], rounds: int = 300) -> list[float]:
     """Inner edges of a one-dimensional k-means, started from equal-width bins.
 
-    Runs on value counts, so repeated values are summed before any round.
+    Runs on value counts, so repeated values are summed before any round.  Raises if ``rounds`` are not enough.
     """
     counted = materialise(values.where("v is not null").groupBy("v").agg(F.count("*").alias("n")))
     moments = counted.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"),
@@ -221,6 +221,8 @@ def cluster_edges(values: DataFrame, start: list[float], rounds: int = 300) -> l
         centres = sorted(moved)
         if shift <= tolerance:
             break
+    else:
+        raise RuntimeError(f"bins have not settled after {rounds} rounds")
     return [float((a + b) / 2) for a, b in zip(centres[:-1], centres[1:])]
 
 
