@@ -118,21 +118,26 @@ def dedup_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     threshold is met with probability ``recall``, closer ones almost surely.  Equal vectors are one node of the search.
     Buckets that hold many close vectors are compared block by block.
 
-    A vector that is null, zero or has null or non-finite components links with nothing, as do vectors of another length
-    than the most frequent one, among which no cosine is defined.  Rows that share an id are one vector, listed once; a
-    null id gives a row of nulls, kept, per row.  Other columns are ignored.  An empty table gives an empty table.
+    A vector that is null, zero or has null or non-finite components links with nothing.  Between vectors of different
+    lengths no cosine is defined, so each length is searched by itself.  Rows that share an id are one vector, listed once;
+    a null id gives a row of nulls, kept, per row.  Other columns are ignored.  An empty table gives an empty table.
     """
     array = col(vector_col).cast("array<double>")
     scale = F.reduce(array, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
     rows = vectors.select(col(id_col).cast("long").alias("vec_id"), array.alias("v"), scale.alias("m"))
     bad = F.col("v").isNull() | F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.where(F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(True)) & (F.col("m") > 0))
-    shapes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).head(1)
-    every = rows.groupBy("vec_id").agg(F.count("*").alias("_n"))
-    if not shapes:
-        empty = vectors.sparkSession.createDataFrame([], "vec_id long, n_links long, component_id long")
-        return _listed(every, empty)
-    dim = shapes[0]["d"]
+    lengths = sorted(r["d"] for r in good.select(F.size("v").alias("d")).distinct().collect())
+    known = vectors.sparkSession.createDataFrame([], "vec_id long, n_links long, component_id long")
+    for dim in lengths:
+        known = known.unionAll(_search_length(good.where(F.size("v") == dim), dim, similarity, recall))
+    if len(lengths) > 1:
+        known = known.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    return _listed(rows.groupBy("vec_id").agg(F.count("*").alias("_n")), known)
+
+
+def _search_length(good: DataFrame, dim: int, similarity: float, recall: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of the usable vectors of one length."""
 
     def unit(batches):
         for batch in batches:
@@ -142,7 +147,7 @@ def dedup_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             x /= np.linalg.norm(x, axis=1)[:, None]
             yield pd.DataFrame({"vec_id": batch["vec_id"], "unit": [r.tobytes() for r in x]})
 
-    units = materialise(good.where(F.size("v") == dim).mapInPandas(unit, "vec_id long, unit binary"))
+    units = materialise(good.mapInPandas(unit, "vec_id long, unit binary"))
     # Equal vectors are counted before the shuffle; a class of any size is one row.
     nodes = materialise(units.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("weight")))
     bits, tables = plan(nodes.count(), similarity, recall)
@@ -170,9 +175,8 @@ def dedup_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     facts = nodes.join(counts, "node", "left").join(linked, "node", "left").select(
         "unit", (F.coalesce("_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"))
-    known = units.join(facts, "unit").groupBy("vec_id").agg(
+    return units.join(facts, "unit").groupBy("vec_id").agg(
         F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    return _listed(every, known)
 
 
 def _listed(every: DataFrame, known: DataFrame) -> DataFrame:

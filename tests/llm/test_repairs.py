@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprint, secrets
+from millrace.llm import embedding_dedup, fingerprint, secrets
 from millrace.llm.common import new_folder
 
 
@@ -26,3 +26,12 @@ def test_lanes_depend_on_the_text_from_seeds_of_their_own(spark):
     hashes = lanes.first()
     assert both == turned == [(a + b) & fingerprint.MASK for a, b in zip(one, two, strict=True)] and set(empty) == {0}
     assert one[:2] == [hashes["h0"] & fingerprint.MASK, hashes["h1"] & fingerprint.MASK] and len(set(one)) == fingerprint.IDENTITY
+
+
+def test_every_length_of_vectors_is_searched(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, [0.0, 2.0, 0.1, 0.0]), (4, [1.0, 2.0, 3.0]), (5, [2.0, 4.0, 6.0]),
+            (6, [-1.0, 2.0, 3.0]), (7, [5.0]), (8, [3.0]), (9, []), (10, [0.0, 0.0, 0.0]), (11, None)]
+    out = embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out.collect()}
+    pairs = {2: (1, 2, True), 3: (1, 2, False), 4: (1, 4, True), 5: (1, 4, False), 7: (1, 7, True), 8: (1, 7, False)}
+    assert got == {i: pairs.get(i, (0, i, True)) for i, _ in rows}
