@@ -1,27 +1,40 @@
 """Language-model scores: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax."""
 
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, id_fold, materialise
+from .common import col, id_fold, materialise, shuffle_parts
 
 # Words kept in every task with their counts; the others are met by a join. Bounds what travels to the tasks.
 HEAD_WORDS = 200_000
-# Outputs of the softmax: frequent words and the end have one of their own, other words share one by their ending.
-TOP, OUTPUTS, CLASSES, ENDING = 63, 128, 16, 3
-END, MEMBERS = TOP, OUTPUTS // CLASSES
-# Feature rows: previous word (bigram), word before it (skip), hashed pair of both (trigram), and a constant.
-TRIGRAMS = 2_048
-BIGRAM, SKIP, TRIGRAM = 0, OUTPUTS, 2 * OUTPUTS
-ROWS = 2 * OUTPUTS + TRIGRAMS + 1
-# Weights have a normal prior of variance 1/PRIOR counts; the constant's have none.
-ROUNDS, RATE, PRIOR, GRADIENT_TASKS = 20, 0.25, 10.0, 8
-FLUSH_WORDS, CHUNK_WORDS = 300_000, 300_000
+# Outputs form a tree of three softmaxes of WIDTH: class, group of the class, word of the group. The end and the most
+# frequent words have an output of their own in the order of their counts; the other words share the last class by their ending.
+WIDTH, ENDING = 32, 3
+OUTPUTS, SHARED = WIDTH ** 3, WIDTH ** 2
+FIRST_SHARED = OUTPUTS - SHARED
+OWN_WORDS = FIRST_SHARED - 1
+END = 0
+# Features of each softmax: the previous word (0), the word before it (1), both (2). Each hashes, with the class and group
+# so far, to a row of WIDTH cells of one table. Most rows are met at few branches, so features that share a row seldom
+# share a cell.
+KINDS = ((0, 1, 2), (0, 1), (0, 1))
+KIND_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+# Cells: at least CELLS_A_WORD times the distinct training words, a power of two between these.
+CELLS_A_WORD, LEAST_BITS, MOST_BITS = 8, 12, 22
+# Gradient rounds: the first over all training rows, each other over one of SLICES parts by a hash of the text. A step is
+# shrunk by PRIOR counts a cell and divided by the word features that are active TOGETHER at every softmax.
+ROUNDS, SLICES, PRIOR, TOGETHER = 3, 8, 4.0, 2
+# Cells travel in blocks of this size.
+BLOCK = 128
+FLUSH_WORDS, CHUNK_WORDS, STEP_WORDS = 300_000, 300_000, 16_384
 
 
 def tokens(text: str) -> list[bytes]:
@@ -30,24 +43,41 @@ def tokens(text: str) -> list[bytes]:
 
 
 def shared_output(word: bytes) -> int:
-    return TOP + 1 + zlib.crc32(word[-ENDING:]) % (OUTPUTS - TOP - 1)
+    return FIRST_SHARED + zlib.crc32(word[-ENDING:]) % SHARED
 
 
-def trigram_row(before: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    return TRIGRAM + ((before.astype(np.int64) * 40_503 + skip.astype(np.int64) * 9_973) >> 3) % TRIGRAMS
+def word_hash(word: bytes) -> int:
+    """Identity of a word as a feature, the same whether it is kept in the task or not; the end's is 0."""
+    return zlib.crc32(word) + 1
+
+
+def tree_path(out: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each softmax: the branch that an output takes, and the number of the node it branches at."""
+    return [(out // WIDTH ** 2, np.zeros_like(out)), (out // WIDTH % WIDTH, 1 + out // WIDTH ** 2),
+            (out % WIDTH, 1 + WIDTH + out // WIDTH)]
+
+
+def cell_row(feature: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Row of cells of a feature at a node of the tree."""
+    h = (feature ^ (node.astype(np.uint64) * np.uint64(MIX[1]))) * np.uint64(MIX[0])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(MIX[1])
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
 class Vocabulary:
-    """Head words with log10(count + 1) and output; totals over the training tokens."""
+    """Head words with log10(count + 1), feature hash and output; totals over the training tokens."""
 
     index: dict[bytes, int] = field(default_factory=dict)
     log_count: np.ndarray = field(default_factory=lambda: np.zeros(0))
     output: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     tokens: int = 0
     distinct: int = 0
     end_count: int = 0
     shared_log: np.ndarray = field(default_factory=lambda: np.zeros(OUTPUTS))
+    bias: np.ndarray = field(default_factory=lambda: np.zeros((1 + WIDTH + WIDTH ** 2, WIDTH), np.float32))
 
     def encode(self, texts: list[str]) -> dict:
         """Outputs of all tokens of the texts in a row, every text closed by the end token."""
@@ -63,15 +93,17 @@ class Vocabulary:
             starts.append(len(flat))
         ids = np.asarray(flat, np.int64)
         known = np.flatnonzero(ids >= 0)
-        out = np.full(len(ids), END, np.int64)
-        out[known] = self.output[ids[known]]
+        out, hashes = np.full(len(ids), END, np.int64), np.zeros(len(ids), np.uint64)
+        out[known], hashes[known] = self.output[ids[known]], self.hashes[ids[known]]
         for at, _, word in tails:
-            out[at] = shared_output(word)
+            out[at], hashes[at] = shared_output(word), word_hash(word)
         begin = np.asarray(starts[:-1], np.int64)
-        before = np.concatenate([[END], out[:-1]])
-        skip = np.concatenate([[END, END], out[:-2]])[:len(out)]
-        skip[begin] = END
-        return {"ids": ids, "out": out, "before": before, "skip": skip, "begin": begin, "tails": tails,
+        before = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])
+        skip = np.concatenate([np.zeros(2, np.uint64), hashes[:-2]])[:len(out)]
+        skip[begin] = 0
+        pair = before * np.uint64(MIX[1]) + skip
+        features = [(v + np.uint64(1)) * np.uint64(seed) for v, seed in zip((before, skip, pair), KIND_SEEDS, strict=True)]
+        return {"ids": ids, "out": out, "features": features, "begin": begin, "tails": tails,
                 "end": np.asarray(starts[1:], np.int64)}
 
 
@@ -119,126 +151,162 @@ def build_vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
             break
         words, least = words + row["n"], row["c"]
     head = counts.where(F.col("c") >= least)
-    if words < TOP:
-        head = counts.orderBy(F.desc("c"), "word").limit(HEAD_WORDS)
+    bound = max(HEAD_WORDS, OWN_WORDS)
+    if words < OWN_WORDS:
+        head = counts.orderBy(F.desc("c"), "word").limit(bound)
     found = head.select("word", "c").toArrow()
     words, often = found["word"].to_pylist(), found["c"].to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-often[i], words[i]))
+    own = order[:OWN_WORDS]
     out.index = {words[i]: rank for rank, i in enumerate(order)}
     out.log_count = np.log10(1.0 + often[order])
-    out.output = np.asarray([rank if rank < TOP else shared_output(words[i]) for rank, i in enumerate(order)], np.int64)
+    out.output = np.asarray([1 + rank if rank < OWN_WORDS else shared_output(words[i]) for rank, i in enumerate(order)], np.int64)
+    out.hashes = np.asarray([word_hash(words[i]) for i in order], np.uint64)
     # Shared outputs: a word's part is (count + 1) / (their tokens + their words + 1).
-    ending = (F.crc32(F.substring("word", -ENDING, ENDING)) % (OUTPUTS - TOP - 1)).cast("int") + TOP + 1
-    mass = np.zeros(OUTPUTS)
-    for r in counts.groupBy(ending.alias("o")).agg(F.sum(F.col("c") + 1).alias("n")).collect():
-        mass[r["o"]] = r["n"]
-    for i in order[:TOP]:
+    ending = (F.crc32(F.substring("word", -ENDING, ENDING)) % SHARED).cast("int") + FIRST_SHARED
+    mass, used = np.zeros(OUTPUTS), np.zeros(OUTPUTS)
+    for r in counts.groupBy(ending.alias("o")).agg(F.sum(F.col("c") + 1).alias("n"), F.sum("c").alias("c")).collect():
+        mass[r["o"]], used[r["o"]] = r["n"], r["c"]
+    for i in own:
         mass[shared_output(words[i])] -= 1 + often[i]
-    out.shared_log = np.where(np.arange(OUTPUTS) > TOP, np.log10(mass + 1), 0.0)
+        used[shared_output(words[i])] -= often[i]
+    out.shared_log = np.where(np.arange(OUTPUTS) >= FIRST_SHARED, np.log10(mass + 1), 0.0)
+    # Unigram logs of every branch; half a count for each output in use, the shared ones are open to unseen words.
+    used[FIRST_SHARED:] += 0.5
+    used[END], used[1:len(own) + 1] = documents + 0.5, often[own] + 0.5
+    for level in range(3):
+        inner = used.reshape(WIDTH ** (level + 1), -1).sum(1).reshape(-1, WIDTH)
+        at = (0, 1, 1 + WIDTH)[level]
+        total = inner.sum(1, keepdims=True)
+        part = np.divide(inner, total, out=np.full_like(inner, 1 / WIDTH), where=total > 0)
+        out.bias[at:at + len(inner)] = np.log(np.maximum(part, 1e-13))
     return out
 
 
-def feature_counts(train: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(kind, row, output, n): how often a feature row met an output, and how often each context occurred.
-
-    The gradient of the model depends on the corpus through these counts alone; their number is bounded by the
-    model's size, and every training token is in them.
+@dataclass
+class Model:
+    """Weights of the cells, as rows of WIDTH; ``bits`` of a hash name a row."""
+
+    bits: int
+    cells: np.ndarray
+
+    @classmethod
+    def empty(cls, distinct: int) -> "Model":
+        bits = min(max(math.ceil(math.log2(max(CELLS_A_WORD * distinct, 1))), LEAST_BITS), MOST_BITS)
+        bits -= int(math.log2(WIDTH))
+        return cls(bits, np.zeros((1 << bits, WIDTH), np.float32))
+
+    def branches(self, bias: np.ndarray, features: list, node: np.ndarray, level: int) -> tuple[list, np.ndarray]:
+        """Rows of the active features, and the sums of weights of all branches of the node."""
+        rows = [cell_row(features[k], node, self.bits) for k in KINDS[level]]
+        logit = np.take(bias, node, axis=0)
+        for r in rows:
+            logit += np.take(self.cells, r, axis=0)
+        return rows, logit
+
+    def log_probabilities(self, bias: np.ndarray, features: list, out: np.ndarray) -> np.ndarray:
+        """Natural log of each output after its features."""
+        result, ones = np.zeros(len(out)), np.ones(WIDTH, np.float32)
+        for i in range(0, len(out), STEP_WORDS):
+            part = slice(i, i + STEP_WORDS)
+            now = [v[part] for v in features]
+            for level, (branch, node) in enumerate(tree_path(out[part])):
+                logit = self.branches(bias, now, node, level)[1]
+                result[part] += logit[np.arange(len(branch)), branch] - np.log(np.exp(logit) @ ones)
+        return result
+
+
+def add_gradient(model: Model, bias: np.ndarray, features: list, out: np.ndarray, draws: np.random.Generator,
+                 observed: np.ndarray, expected: np.ndarray) -> None:
+    """Count the cells that the tokens meet and those that the model expects.
+
+    The expectation is unbiased: at each softmax one branch is drawn from the model's distribution in the context met.
+    Both tables have the shape of the model's.
     """
-
-    def count(batches):
-        pairs = np.zeros(ROWS * OUTPUTS, np.int64)
-        contexts = np.zeros(OUTPUTS * OUTPUTS, np.int64)
+    untrained = not model.cells.any()
+    unigram = np.cumsum(np.exp(bias), axis=1) if untrained else None
+    for i in range(0, len(out), CHUNK_WORDS):
+        chunk = [], []
+        for j in range(i, min(i + CHUNK_WORDS, len(out)), STEP_WORDS):
+            part = slice(j, min(j + STEP_WORDS, i + CHUNK_WORDS))
+            now = [v[part] for v in features]
+            for level, (branch, node) in enumerate(tree_path(out[part])):
+                if untrained:
+                    rows, reach = [cell_row(now[k], node, model.bits) for k in KINDS[level]], np.take(unigram, node, axis=0)
+                else:
+                    rows, logit = model.branches(bias, now, node, level)
+                    reach = np.cumsum(np.exp(logit, out=logit), axis=1, out=logit)
+                drawn = (reach < (draws.random(len(branch), np.float32) * reach[:, -1])[:, None]) @ np.ones(WIDTH, np.float32)
+                drawn = np.minimum(drawn.astype(np.int64), WIDTH - 1)
+                for r in rows:
+                    chunk[0].append(r * WIDTH + branch)
+                    chunk[1].append(r * WIDTH + drawn)
+        for table, met in zip((observed, expected), chunk, strict=True):
+            table += np.bincount(np.concatenate(met), minlength=table.size).reshape(table.shape).astype(np.int32)
+
+
+def step_of(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Change of the weights: the gap of observed and expected counts on a log scale, shrunk by the prior counts."""
+    return (np.log((observed + PRIOR) / (expected + PRIOR)) / TOGETHER).astype(np.float32)
+
+
+def gradient_blocks(train: DataFrame, vocabulary: Vocabulary, model: Model, turn: int) -> DataFrame:
+    """(block, cells): observed and expected counts of each block of cells that a task met."""
+
+    def gather(batches):
+        context = TaskContext.get()
+        draws = np.random.default_rng([turn, context.partitionId() if context else 0])
+        observed, expected = np.zeros(model.cells.shape, np.int32), np.zeros(model.cells.shape, np.int32)
         for batch in batches:
             for rows in _chunks(range(len(batch)), batch["text"]):
                 e = vocabulary.encode([t for _, t in rows])
-                for at in (BIGRAM + e["before"], SKIP + e["skip"], trigram_row(e["before"], e["skip"])):
-                    pairs += np.bincount(at * OUTPUTS + e["out"], minlength=len(pairs))
-                contexts += np.bincount(e["before"] * OUTPUTS + e["skip"], minlength=len(contexts))
-        for kind, table in ((0, pairs), (1, contexts)):
-            cells = np.flatnonzero(table)
-            for i in range(0, len(cells), 100_000):
-                part = cells[i:i + 100_000]
-                yield pd.DataFrame({"kind": kind, "row": part // OUTPUTS, "output": part % OUTPUTS, "n": table[part]})
+                add_gradient(model, vocabulary.bias, e["features"], e["out"], draws, observed, expected)
+        o, x = observed.reshape(-1, BLOCK), expected.reshape(-1, BLOCK)
+        met = np.flatnonzero(o.any(1) | x.any(1))
+        for i in range(0, len(met), 2_048):
+            part = met[i:i + 2_048]
+            both = np.concatenate([o[part], x[part]], 1)
+            yield pd.DataFrame({"block": part, "cells": [r.tobytes() for r in both]})
 
-    cells = train.select("text").mapInPandas(count, "kind int, row int, output int, n long")
-    return cells.groupBy("kind", "row", "output").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInPandas(gather, "block int, cells binary")
 
 
-@dataclass
-class Model:
-    """Weights of (feature row, class) and (feature row, output within its class)."""
+def steps(blocks: DataFrame, parts: int) -> DataFrame:
+    """(block, step): sums of a block over all tasks, taken as a stream, so a task holds its share of the table only."""
 
-    classes: np.ndarray
-    outputs: np.ndarray
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells in zip(batch["block"], batch["cells"], strict=True):
+                row = np.frombuffer(cells, np.int32)
+                if block in sums:
+                    sums[block] += row
+                else:
+                    sums[block] = row.astype(np.int64)
+        keys = list(sums)
+        for i in range(0, len(keys), 2_048):
+            part = keys[i:i + 2_048]
+            yield pd.DataFrame({"block": part, "step": [step_of(sums[k][:BLOCK], sums[k][BLOCK:]).tobytes() for k in part]})
 
-    def log_probabilities(self, before: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logs for each context: (contexts, classes) and, within their class, (contexts, outputs)."""
-        rows = (BIGRAM + before, SKIP + skip, trigram_row(before, skip), np.full(len(before), ROWS - 1))
-        c = sum(self.classes[r] for r in rows)
-        o = sum(self.outputs[r] for r in rows).reshape(len(before), CLASSES, MEMBERS)
-        c = c - c.max(1, keepdims=True)
-        o = o - o.max(2, keepdims=True)
-        c -= np.log(np.exp(c).sum(1, keepdims=True))
-        o -= np.log(np.exp(o).sum(2, keepdims=True))
-        return c, o.reshape(len(before), OUTPUTS)
+    return blocks.repartition(parts, "block").mapInPandas(add, "block int, step binary")
 
 
-def _expected(model: Model, before: np.ndarray, skip: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected counts of class and output per feature row, over contexts that occurred n times.
+def train_model(train: DataFrame, vocabulary: Vocabulary) -> Model:
+    """Distributed gradient updates: tasks add up observed and expected counts of the cells under the current weights,
+    the sums meet by block, and the driver adds the steps to the table, whose size MOST_BITS bounds.
 
-    Within a class the expectation is over the model's share of the class, which the class weights fit to the
-    observed one; no counts of class by context are needed.
+    The first round takes every training row; each later one the rows of one of SLICES parts.
     """
-    ec, eo = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, OUTPUTS))
-    for i in range(0, len(n), 2_048):
-        b, s, m = before[i:i + 2_048], skip[i:i + 2_048], n[i:i + 2_048]
-        c, o = model.log_probabilities(b, s)
-        c = np.exp(c)
-        o = np.exp(o) * np.repeat(c, MEMBERS, 1) * m[:, None]
-        c = c * m[:, None]
-        for rows in (BIGRAM + b, SKIP + s, trigram_row(b, s), np.full(len(b), ROWS - 1)):
-            np.add.at(ec, rows, c)
-            np.add.at(eo, rows, o)
-    return ec, eo
-
-
-def train_model(cells: DataFrame) -> Model:
-    """Distributed gradient updates: tasks hold the contexts and add up expected feature counts under the current
-    weights; the driver compares them with the observed counts and updates.  Both have the model's size."""
-    observed = np.zeros((ROWS, OUTPUTS))
-    seen = cells.where("kind = 0").select("row", "output", "n").toArrow()
-    observed[seen["row"].to_numpy(), seen["output"].to_numpy()] = seen["n"].to_numpy()
-    observed[ROWS - 1] = observed[BIGRAM:BIGRAM + OUTPUTS].sum(0)
-    total = observed[ROWS - 1].sum()
-    model = Model(np.zeros((ROWS, CLASSES)), np.zeros((ROWS, OUTPUTS)))
-    if not total:
-        return model
-    by_class = observed.reshape(ROWS, CLASSES, MEMBERS).sum(2)
-    model.classes[ROWS - 1] = np.log(by_class[ROWS - 1] + 0.5)
-    model.outputs[ROWS - 1] = np.log(observed[ROWS - 1] + 0.5)
-    contexts = materialise(cells.where("kind = 1").select("row", "output", "n").repartition(GRADIENT_TASKS))
-    moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (model.classes, model.outputs)]
-    for step in range(1, ROUNDS + 1):
-        now = Model(model.classes.astype(np.float32), model.outputs.astype(np.float32))
-
-        def expect(batches, now=now):
-            ec, eo = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, OUTPUTS))
-            for batch in batches:
-                c, o = _expected(now, batch["row"].to_numpy(), batch["output"].to_numpy(), batch["n"].to_numpy(float))
-                ec, eo = ec + c, eo + o
-            yield pd.DataFrame({"c": [ec.astype(np.float32).tobytes()], "o": [eo.astype(np.float32).tobytes()]})
-
-        ec, eo = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, OUTPUTS))
-        for r in contexts.mapInPandas(expect, "c binary, o binary").collect():
-            ec += np.frombuffer(r["c"], np.float32).reshape(ec.shape)
-            eo += np.frombuffer(r["o"], np.float32).reshape(eo.shape)
-        rate = RATE * (1 - (step - 1) / ROUNDS)
-        for w, moment, gap in ((model.classes, moments[0], by_class - ec), (model.outputs, moments[1], observed - eo)):
-            g = gap / total
-            g[:-1] -= PRIOR * w[:-1] / total
-            moment[0] = 0.9 * moment[0] + 0.1 * g
-            moment[1] = 0.99 * moment[1] + 0.01 * g * g
-            w += rate * (moment[0] / (1 - 0.9 ** step)) / (np.sqrt(moment[1] / (1 - 0.99 ** step)) + 1e-7)
+    model = Model.empty(vocabulary.distinct)
+    rows = train.select("text", F.pmod(F.xxhash64("text"), F.lit(SLICES)).alias("slice"))
+    parts = shuffle_parts(train.sparkSession)
+    for turn in range(ROUNDS if vocabulary.tokens else 0):
+        chosen = rows if turn == 0 else rows.where(F.col("slice") == (turn - 1) % SLICES)
+        found = steps(gradient_blocks(chosen, vocabulary, model, turn), parts).toArrow()
+        cells = model.cells.reshape(-1, BLOCK).copy()
+        if found.num_rows:
+            cells[found["block"].to_numpy()] += np.frombuffer(b"".join(found["step"].to_pylist()), np.float32).reshape(-1, BLOCK)
+        model = Model(model.bits, cells.reshape(-1, WIDTH))
     return model
 
 
@@ -251,7 +319,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, both log10 of the
     text's probability.  The model gives the next token's output from the two before it; a word that shares an
     output has its part of it by add-one counts, so the probabilities of all words, unseen ones together as one,
-    sum to one.
+    sum to one.  Features are of the words themselves, rare ones too; their table grows with the distinct training
+    words up to 2 ** MOST_BITS cells, the own outputs with the words up to OWN_WORDS.
 
     A null text counts as empty and is the end token alone.  Equal rows are scored alike, each as a row; a null
     id is kept.  Without training rows base_score is 0.  Other input columns are ignored; an empty table stays empty.
@@ -261,29 +330,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train = rows.where(~F.col("held_out"))
     counts = materialise(count_words(train))
     vocabulary = build_vocabulary(counts, train.select("doc_id").count())
-    model = train_model(materialise(feature_counts(train, vocabulary)))
+    model = train_model(train, vocabulary)
 
     def score(batches):
-        logs = np.zeros((OUTPUTS * OUTPUTS, OUTPUTS), np.float32)
-        ready = np.zeros(OUTPUTS * OUTPUTS, bool)
         for batch in batches:
             held = batch["held_out"].to_numpy()
             docs_, rids = batch["doc_id"], batch["rid"].to_numpy()
             for part in _chunks(range(len(batch)), batch["text"]):
                 e = vocabulary.encode([t for _, t in part])
                 at = np.asarray([i for i, _ in part])
-                context = e["before"] * OUTPUTS + e["skip"]
-                # Distributions of the contexts that occur and have not been worked out yet.
-                new = np.flatnonzero((np.bincount(context, minlength=len(ready)) > 0) & ~ready)
-                if len(new):
-                    c, o = model.log_probabilities(new // OUTPUTS, new % OUTPUTS)
-                    logs[new] = (np.repeat(c, MEMBERS, 1) + o) / np.log(10)
-                    ready[new] = True
-                value = logs[context, e["out"]].astype(float) - vocabulary.shared_log[e["out"]]
+                value = model.log_probabilities(vocabulary.bias, e["features"], e["out"]) / math.log(10)
+                value -= vocabulary.shared_log[e["out"]]
                 head = e["ids"] >= 0
                 log_count = np.zeros(len(head))
                 log_count[head] = vocabulary.log_count[e["ids"][head]]
-                value += np.where(e["out"] > TOP, log_count, 0.0)
+                value += np.where(e["out"] >= FIRST_SHARED, log_count, 0.0)
                 yield pd.DataFrame({
                     "rid": rids[at], "word": None, "doc_id": docs_.iloc[at].astype("Int64").to_numpy(), "held_out": held[at],
                     "n_tokens": e["end"] - e["begin"], "head_known": np.add.reduceat(head.astype(np.int64), e["begin"]),

@@ -88,6 +88,7 @@ def test_lm_base_scores_match_brute_force(messy):
 
 
 def test_lm_rare_words_are_joined(messy, monkeypatch):
+    monkeypatch.setattr(language_model, "OWN_WORDS", 63)
     whole = {(r["doc_id"], r["n_tokens"]): r for r in table(language_model.score_documents(messy))}
     monkeypatch.setattr(language_model, "HEAD_WORDS", 100)
     for r in language_model.score_documents(messy).collect():
@@ -98,10 +99,99 @@ def test_lm_rare_words_are_joined(messy, monkeypatch):
 
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    m = language_model.Model(rng.standard_normal((language_model.ROWS, language_model.CLASSES)),
-                             rng.standard_normal((language_model.ROWS, language_model.OUTPUTS)))
-    c, o = m.log_probabilities(np.array([1, 5]), np.array([2, 63]))
-    assert np.allclose(np.exp(np.repeat(c, language_model.MEMBERS, 1) + o).sum(1), 1)
+    m = language_model.Model.empty(100)
+    m.cells[:] = rng.standard_normal(m.cells.shape)
+    bias = rng.standard_normal((1 + 32 + 32 * 32, 32)).astype(np.float32)
+    every = np.arange(language_model.OUTPUTS)
+    for word in (0, 77):
+        features = [np.full(len(every), word * k + 5, np.uint64) for k in (1, 2, 3)]
+        assert math.isclose(np.exp(m.log_probabilities(bias, features, every)).sum(), 1, rel_tol=1e-5)
+
+
+def plain_score(model, vocabulary, counts, text):
+    """The model's score of a text, token by token and branch by branch."""
+    wide, mask = language_model.WIDTH, (1 << 64) - 1
+    words = [w.encode() for w in text.split()]
+    hashes, total = [0, 0], 0.0
+    for word in [*words, None]:
+        place = vocabulary.index.get(word)
+        out = 0 if word is None else int(vocabulary.output[place]) if place is not None else language_model.shared_output(word)
+        pair = (hashes[-1] * language_model.MIX[1] + hashes[-2]) & mask
+        features = [((v + 1) * seed) & mask for v, seed in zip((hashes[-1], hashes[-2], pair), language_model.KIND_SEEDS, strict=True)]
+        for level, node in enumerate((0, 1 + out // wide ** 2, 1 + wide + out // wide)):
+            rows = []
+            for k in language_model.KINDS[level]:
+                h = ((features[k] ^ (node * language_model.MIX[1] & mask)) * language_model.MIX[0]) & mask
+                h = ((h ^ (h >> 32)) * language_model.MIX[1]) & mask
+                rows.append(h >> (64 - model.bits))
+            sums = [float(vocabulary.bias[node, d]) + sum(float(model.cells[r, d]) for r in rows) for d in range(wide)]
+            branch = (out // wide ** 2, out // wide % wide, out % wide)[level]
+            total += (sums[branch] - math.log(sum(map(math.exp, sums)))) / math.log(10)
+        if out >= language_model.FIRST_SHARED:
+            total += math.log10(counts.get(word, 0) + 1) - vocabulary.shared_log[out]
+        hashes.append(0 if word is None else language_model.word_hash(word))
+    return total
+
+
+def test_lm_scores_match_plain_scores(spark, monkeypatch):
+    """Also where most words share outputs and are not kept in the task."""
+    monkeypatch.setattr(language_model, "OWN_WORDS", 20)
+    monkeypatch.setattr(language_model, "HEAD_WORDS", 30)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in 200 * rng.random(40) ** 2) for _ in range(60)] + ["", "w1 never seen w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2)
+    counts = language_model.count_words(train)
+    vocabulary = language_model.build_vocabulary(counts, train.count())
+    seen = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    model = language_model.train_model(train, vocabulary)
+    monkeypatch.setattr(language_model, "train_model", lambda *_: model)
+    assert model.cells.any()
+    for r in language_model.score_documents(docs).collect():
+        assert math.isclose(r["score"], plain_score(model, vocabulary, seen, texts[r["doc_id"]]), rel_tol=1e-4)
+
+
+def test_lm_steps_follow_observed_and_expected_counts(spark):
+    """Every token counts once per active feature on either side; sums over tasks equal those of one task."""
+    docs = spark.createDataFrame([(f"a b c{i % 3} d",) for i in range(60)], "text string").repartition(5)
+    vocabulary = language_model.build_vocabulary(language_model.count_words(docs), 60)
+    blocks = language_model.gradient_blocks(docs, vocabulary, language_model.Model.empty(vocabulary.distinct), 0)
+    half = language_model.BLOCK
+    both = sum(np.frombuffer(r["cells"], np.int32) for r in blocks.collect())
+    assert both[:half].sum() == both[half:].sum() == 60 * 5 * 7
+    found = {}
+    for r in blocks.collect():
+        found[r["block"]] = found.get(r["block"], 0) + np.frombuffer(r["cells"], np.int32)
+    got = {r["block"]: np.frombuffer(r["step"], np.float32) for r in language_model.steps(blocks, 3).collect()}
+    assert got.keys() == found.keys()
+    assert all(np.allclose(got[k], language_model.step_of(v[:half], v[half:])) for k, v in found.items())
+
+
+def test_lm_gains_from_real_words_and_from_more_text(spark):
+    """Words of equal counts, told apart by the word before only: better than knowing their group and no more, and better
+    with more text."""
+    rng = np.random.default_rng(5)
+    follow = rng.integers(0, 300, (300, 2))
+
+    def text(n):
+        word, words = int(rng.integers(300)), []
+        for _ in range(n):
+            word = int(follow[word, rng.integers(2)])
+            words.append(f"w{word}")
+        return " ".join(words)
+
+    rows = [(k, text(80)) for k in range(1400)]
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 == 2]
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+
+    def mean(train):
+        docs = spark.createDataFrame(held + train, "doc_id long, text string")
+        return language_model.score_documents(docs).where("held_out").agg(
+            (F.sum("score") / F.sum("n_tokens")).alias("s"), (F.sum("base_score") / F.sum("n_tokens")).alias("b")).first()
+
+    few, all_ = mean(learn[:100]), mean(learn)
+    assert few["b"] < few["s"] < all_["s"] and all_["s"] > -math.log10(language_model.WIDTH)
+    assert language_model.Model.empty(10_000).cells.size < language_model.Model.empty(100_000).cells.size
 
 
 def test_lm_learns_the_text_of_the_sf_table(spark, sf):
