@@ -157,11 +157,13 @@ def test_lm_steps_follow_observed_and_expected_counts(spark):
     vocabulary = language_model.build_vocabulary(language_model.count_words(docs), 60)
     blocks = language_model.gradient_blocks(docs, vocabulary, language_model.Model.empty(vocabulary.distinct), 0)
     half = language_model.BLOCK
-    both = sum(np.frombuffer(r["cells"], np.int32) for r in blocks.collect())
+    wide = np.array([[0, 1, 255, 256, 70_000, 2 ** 31 - 1]])
+    assert [list(language_model.unpack(c)) for c in language_model.pack(wide)] == wide.tolist()
+    both = sum(language_model.unpack(r["cells"]) for r in blocks.collect())
     assert both[:half].sum() == both[half:].sum() == 60 * 5 * 7
     found = {}
     for r in blocks.collect():
-        found[r["block"]] = found.get(r["block"], 0) + np.frombuffer(r["cells"], np.int32)
+        found[r["block"]] = found.get(r["block"], 0) + language_model.unpack(r["cells"])
     got = {r["block"]: np.frombuffer(r["step"], np.float32) for r in language_model.steps(blocks, 3).collect()}
     assert got.keys() == found.keys()
     assert all(np.allclose(got[k], language_model.step_of(v[:half], v[half:])) for k, v in found.items())
