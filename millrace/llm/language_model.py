@@ -34,7 +34,7 @@ CELLS_A_WORD, LEAST_BITS, MOST_BITS = 8, 12, 22
 ROUNDS, SLICES, PRIOR, TOGETHER = 3, 8, 4.0, 2
 # Cells travel in blocks of this size.
 BLOCK = 128
-FLUSH_WORDS, CHUNK_WORDS, STEP_WORDS = 300_000, 300_000, 16_384
+FLUSH_WORDS, CHUNK_WORDS, STEP_WORDS = 300_000, 300_000, 4_096
 
 
 def tokens(text: str) -> list[bytes]:
