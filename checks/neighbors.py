@@ -47,8 +47,9 @@ def adaptive(spark, sf):
 
 def classes(spark, sf):
     """Ten labels folded into four classes of different sizes."""
-    return points(spark, sf).drop("vec_id", "y").join(table(spark, sf, "embeddings").select(
-        F.element_at("embedding", 1).cast("double").alias("x0"), F.least("label", F.lit(3)).alias("y")), "x0")
+    return table(spark, sf, "embeddings").select(
+        *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(WIDTH)],
+        F.least("label", F.lit(3)).alias("y"))
 
 
 QUERIES = {"p18_neighbour_list": neighbour_list, "p18_tomek": tomek, "p19_edited": edited,
