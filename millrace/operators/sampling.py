@@ -358,8 +358,14 @@ class AugmentMixup(Operator):
             hash_index(SEED, F.lit(rows), F.lit("second"), F.col("id")).alias("j"))
         first = table.select(F.col(POSITION).alias("i"), *[col(x).alias(f"a_{x}") for x in mixed_names])
         second = table.select(F.col(POSITION).alias("j"), *[col(x).alias(f"b_{x}") for x in mixed_names])
+
+        def between(a, b):
+            # Rounding of the two products may leave the range of a and b.
+            mix = F.col("t") * a + (F.lit(1.0) - F.col("t")) * b
+            return F.when(a.isNull() | b.isNull(), None).otherwise(F.least(F.greatest(mix, F.least(a, b)), F.greatest(a, b)))
+
         mixed = pairs.join(first, "i").join(second, "j").select(*[
-            (F.col("t") * col(f"a_{x}") + (F.lit(1.0) - F.col("t")) * col(f"b_{x}")).alias(x) for x in mixed_names])
+            between(col(f"a_{x}"), col(f"b_{x}")).alias(x) for x in mixed_names])
         base = df.withColumns({x: number(df, x) for x in mixed_names})
         return base.unionByName(mixed, allowMissingColumns=True).select(*[col(x) for x in df.columns])
 
