@@ -2,13 +2,16 @@
 
 Equal vectors are searched once.  Donors are dealt to the leaves of a tree of reference points.  A query first meets
 the donors of its own leaf, which gives it a distance that its neighbours cannot exceed; then it goes down the tree and
-meets only the leaves that cut the ball of that distance.  Leaves are compared block against block inside tasks, and
-a block pair returns only its k best per query.
+meets only the leaves that cut the ball of that distance.  Leaves are gathered into pools of bounded size: a query
+travels once per pool with the list of leaves it meets there, and a task streams queries past the pool's donors.  Matrix
+products with an error bound leave few pairs, whose distances are then summed exactly; a task returns only the k best
+per query.
 """
 
 from __future__ import annotations
 
 import math
+from typing import Iterator  # noqa: UP035  (the form Spark's inference reads)
 
 import numpy as np
 import pandas as pd
@@ -68,15 +71,42 @@ def closest_pairs(queries: DataFrame, donors: DataFrame, depth: int, block: int)
         return compare_leaves(queries.withColumn("leaf", F.lit(0).cast("bigint")).withColumn("bound", F.lit(math.inf)),
                               placed, depth, block)
     located = materialise(tree.locate(queries, "qid"))
-    own = materialise(compare_leaves(located.withColumn("bound", F.lit(math.inf)), placed, depth, block))
+    pools = Pools(placed, block)
+    own = materialise(compare_leaves(located.withColumn("bound", F.lit(math.inf)), placed, depth, block, pools))
     # The farthest of ``depth`` donors met so far; a leaf with fewer gives no bound yet.
     bounds = own.groupBy("qid").agg(F.count("*").alias("met"), F.max("distance").alias("far")).where(F.col("met") >= depth)
     bounded = located.join(bounds.select("qid", F.col("far").alias("bound")), "qid", "left") \
         .select("qid", "vec", "leaf", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
-    further = compare_leaves(materialise(tree.visits(bounded, depth)), placed, depth, block)
+    further = compare_pools(materialise(tree.visits(bounded, depth, pools)), placed, pools, depth, block)
     return own.unionByName(further)
 
 
+class Pools:
+    """Which pool holds each leaf: leaves of about ``settings.NEIGHBOR_POOL_BYTES`` together; a larger leaf has several pools.
+
+    Leaves are a bounded table; neighbouring numbers are children of one node, so a pool holds leaves that lie together.
+    """
+
+    def __init__(self, placed: DataFrame, block: int):
+        sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).collect()
+        width = max((r["width"] for r in sizes), default=1)
+        self.rows = max(block, settings.NEIGHBOR_POOL_BYTES // (8 * max(width, 1)))
+        self.first: dict[int, int] = {}
+        self.parts: dict[int, int] = {}
+        pool, held = 0, 0
+        for leaf, n in sorted((r["leaf"], r["n"]) for r in sizes):
+            if held and held + n > self.rows:
+                pool, held = pool + 1, 0
+            self.first[leaf], self.parts[leaf] = pool, math.ceil(n / self.rows)
+            pool, held = pool + self.parts[leaf] - 1, held + n
+            if self.parts[leaf] > 1:
+                pool, held = pool + 1, 0
+
+    def table(self, rows: DataFrame) -> DataFrame:
+        return rows.sparkSession.createDataFrame(
+            [(leaf, pool, self.parts[leaf]) for leaf, pool in self.first.items()], "leaf bigint, first int, parts int")
+
+
 class PivotTree:
     """Reference points in levels: a cell of too many donors is cut by the nearest of up to FAN of its own donors.
 
@@ -155,51 +185,85 @@ class PivotTree:
         """(key, vec, leaf): the leaf whose points are nearest on the way down."""
         return self._descend(queries.withColumn("leaf", F.lit(0).cast("bigint")), key).drop("reach")
 
-    def visits(self, queries: DataFrame, depth: int) -> DataFrame:
+    def visits(self, queries: DataFrame, depth: int, pools: Pools | None = None) -> DataFrame:
         """(qid, vec, leaf, bound) for every further leaf that may hold a donor within a query's ``bound``.
 
         ``leaf`` names the leaf already met.  Where it gave no bound, counts and radii of the nodes on the way give one.
+        With ``pools`` a row per pool: (qid, vec, pool, leaves, bound).
         """
-        children = self.children
+        schema = "qid bigint, vec array<double>, leaf bigint, bound double" if pools is None else \
+            "qid bigint, vec array<double>, pool int, leaves array<bigint>, bound double"
 
         def go(batches):
             for batch in batches:
-                if not len(batch):
-                    continue
-                vec, own = np.stack(batch["vec"].to_numpy()).astype(float), batch["leaf"].to_numpy(np.int64)
-                bound = batch["bound"].to_numpy(float).copy()
-                found_row, found_leaf = [], []
-                level = {0: np.arange(len(batch))}
-                while level:
-                    below: dict[int, list[np.ndarray]] = {}
-                    for node, rows in level.items():
-                        ids, points, radii, sizes = children[node]
-                        held = sizes > 0
-                        ids, points, radii, sizes = ids[held], points[held], radii[held], sizes[held]
-                        d = np.sqrt(squared_distances(vec[rows], points))
-                        order = np.argsort(d + radii, axis=1)
-                        reached = np.cumsum(sizes[order], axis=1) >= depth
-                        first = reached.argmax(axis=1)
-                        far = np.take_along_axis(d + radii, order, axis=1)[np.arange(len(rows)), first]
-                        far[~reached.any(axis=1)] = np.inf
-                        bound[rows] = np.minimum(bound[rows], far * (1 + 1e-9))
-                        slack = 1e-9 * (1.0 + d + radii)
-                        near = d - radii - slack <= bound[rows][:, None]
-                        for i, child in enumerate(ids.tolist()):
-                            mine = rows[near[:, i]]
-                            if child in children:
-                                below.setdefault(child, []).append(mine)
-                            else:
-                                mine = mine[own[mine] != child]
-                                found_row.append(mine)
-                                found_leaf.append(np.full(len(mine), child))
-                    level = {n: np.concatenate(v) for n, v in below.items() if sum(map(len, v))}
-                at = np.concatenate(found_row)
-                out = batch.iloc[at][["qid", "vec"]].copy()
-                out["leaf"], out["bound"] = np.concatenate(found_leaf), bound[at]
-                yield out
-
-        return queries.mapInPandas(go, "qid bigint, vec array<double>, leaf bigint, bound double")
+                # Few queries at once: each may meet every leaf.
+                for start in range(0, len(batch), VISIT_ROWS):
+                    few = batch.iloc[start:start + VISIT_ROWS]
+                    row, leaf, bound = self._reached(few, depth)
+                    if pools is None:
+                        at, out = row, {"leaf": leaf}
+                    else:
+                        at, out = _by_pool(row, leaf, pools)
+                    out = pd.DataFrame({"qid": few["qid"].to_numpy()[at], "row": at, **out, "bound": bound[at]})
+                    vectors = few["vec"].to_numpy()
+                    for first in range(0, len(out), VISIT_ROWS):
+                        part = out.iloc[first:first + VISIT_ROWS]
+                        yield part.assign(vec=vectors[part["row"].to_numpy()]).drop(columns="row")
+
+        return queries.mapInPandas(go, schema).select(*[c.split()[0] for c in schema.split(", ")])
+
+    def _reached(self, batch: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, leaves, bound): pairs of a row of the batch and a leaf to meet, and the bound of every row."""
+        children = self.children
+        vec, own = np.stack(batch["vec"].to_numpy()).astype(float), batch["leaf"].to_numpy(np.int64)
+        bound = batch["bound"].to_numpy(float).copy()
+        found_row, found_leaf = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        level = {0: np.arange(len(batch))}
+        while level:
+            below: dict[int, list[np.ndarray]] = {}
+            for node, rows in level.items():
+                ids, points, radii, sizes = children[node]
+                held = sizes > 0
+                ids, points, radii, sizes = ids[held], points[held], radii[held], sizes[held]
+                d = np.sqrt(squared_distances(vec[rows], points))
+                order = np.argsort(d + radii, axis=1)
+                reached = np.cumsum(sizes[order], axis=1) >= depth
+                first = reached.argmax(axis=1)
+                far = np.take_along_axis(d + radii, order, axis=1)[np.arange(len(rows)), first]
+                far[~reached.any(axis=1)] = np.inf
+                bound[rows] = np.minimum(bound[rows], far * (1 + 1e-9))
+                slack = 1e-9 * (1.0 + d + radii)
+                near = d - radii - slack <= bound[rows][:, None]
+                for i, child in enumerate(ids.tolist()):
+                    mine = rows[near[:, i]]
+                    if child in children:
+                        below.setdefault(child, []).append(mine)
+                    else:
+                        mine = mine[own[mine] != child]
+                        found_row.append(mine)
+                        found_leaf.append(np.full(len(mine), child))
+            level = {n: np.concatenate(v) for n, v in below.items() if sum(map(len, v))}
+        return np.concatenate(found_row), np.concatenate(found_leaf), bound
+
+
+# Queries that look for their leaves, and rows handed on, at once.
+VISIT_ROWS = 1_024
+
+
+def _by_pool(row: np.ndarray, leaf: np.ndarray, pools: Pools) -> tuple[np.ndarray, dict]:
+    """(rows, {pool, leaves}): one entry for each pool that a row meets."""
+    if not len(row):
+        return row, {"pool": row.astype(np.int32), "leaves": np.empty(0, object)}
+    parts = np.array([pools.parts[n] for n in leaf.tolist()], np.int64)
+    first = np.array([pools.first[n] for n in leaf.tolist()], np.int64)
+    pool = np.repeat(first, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    row, leaf = np.repeat(row, parts), np.repeat(leaf, parts)
+    order = np.lexsort((leaf, pool, row))
+    row, leaf, pool = row[order], leaf[order], pool[order]
+    starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(pool) != 0)])
+    lists = np.empty(len(starts), object)
+    lists[:] = np.split(leaf, starts[1:])
+    return row[starts], {"pool": pool[starts].astype(np.int32), "leaves": lists}
 
 
 def deal_leaves(queries: DataFrame, placed: DataFrame, block: int) -> DataFrame:
@@ -223,26 +287,142 @@ def deal_leaves(queries: DataFrame, placed: DataFrame, block: int) -> DataFrame:
     return q.unionByName(d)
 
 
-def compare_leaves(queries: DataFrame, placed: DataFrame, depth: int, block: int) -> DataFrame:
-    """The ``depth`` closest donors within ``bound`` of every query, for each of its leaves and blocks of them."""
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_query = pdf["bound"].notna().to_numpy()
-        a, b = pdf[is_query], pdf[~is_query].sort_values("key")
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"qid": [], "did": [], "distance": []})
-        donors, keys = np.stack(b["vec"].to_numpy()), b["key"].to_numpy()
-        m = min(depth, len(b))
-        parts = []
-        for start in range(0, len(a), 256):
-            few = a.iloc[start:start + 256]
-            dist = np.sqrt(squared_distances(np.stack(few["vec"].to_numpy()), donors))
-            # Stable sort on rows ordered by id keeps the lower id first among equals.
-            order = np.argsort(dist, axis=1, kind="stable")[:, :m]
-            near = np.take_along_axis(dist, order, axis=1)
-            take = near <= few["bound"].to_numpy()[:, None] * (1 + 1e-9)
-            parts.append(pd.DataFrame({
-                "qid": np.repeat(few["key"].to_numpy(), m)[take.ravel()], "did": keys[order][take], "distance": near[take]}))
-        return pd.concat(parts)
-
-    return deal_leaves(queries, placed, block).groupBy("leaf", "qb", "db").applyInPandas(compare, PAIR_SCHEMA)
+def compare_leaves(queries: DataFrame, placed: DataFrame, depth: int, block: int, pools: Pools | None = None) -> DataFrame:
+    """The ``depth`` closest donors within ``bound`` of every query, for each of its leaves (qid, vec, leaf, bound)."""
+    pools = Pools(placed, block) if pools is None else pools
+    met = queries.join(F.broadcast(pools.table(queries)), "leaf")
+    return compare_pools(met.select("qid", "vec", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("pool"),
+                                    F.array("leaf").alias("leaves"), "bound"), placed, pools, depth, block)
+
+
+def compare_pools(queries: DataFrame, placed: DataFrame, pools: Pools, depth: int, block: int) -> DataFrame:
+    """As above, for queries (qid, vec, pool, leaves, bound) that name the leaves they meet in a pool.
+
+    A task holds one pool's donors and streams at most about as many queries past them.
+    """
+    # One row per pool.
+    loads = {r["pool"]: math.ceil(r["n"] / pools.rows) for r in queries.groupBy("pool").agg(F.count("*").alias("n")).collect()}
+    few = F.broadcast(queries.sparkSession.createDataFrame(list(loads.items()), "pool int, splits int"))
+    asked = queries.join(few, "pool").select(
+        "pool", F.pmod(F.xxhash64("qid"), "splits").cast("int").alias("part"), F.lit(1).alias("asks"), F.col("qid").alias("key"),
+        "vec", "leaves", "bound")
+    at = placed.join(F.broadcast(pools.table(placed)), "leaf").select(
+        (F.col("first") + F.pmod(F.xxhash64("did"), "parts")).cast("int").alias("pool"), "did", "vec", "leaf")
+    donors = at.join(few, "pool").select(
+        "pool", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"), F.lit(0).alias("asks"), F.col("did").alias("key"),
+        "vec", F.array("leaf").alias("leaves"), F.lit(None).cast("double").alias("bound"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, pool = [], None
+        for batch in batches:
+            asks = batch["asks"].to_numpy() == 1
+            if not asks.all():
+                mine = batch[~asks]
+                held.append((mine["key"].to_numpy(), np.stack(mine["vec"].to_numpy()).astype(float),
+                             np.array([x[0] for x in mine["leaves"]], np.int64)))
+            if not asks.any() or not held:
+                continue
+            if pool is None:
+                pool = _Pool(held, block)
+            mine = batch[asks]
+            for start in range(0, len(mine), ASKED_ROWS):
+                yield pool.closest(mine.iloc[start:start + ASKED_ROWS], depth)
+
+    tasks = max(1, min(4 * sum(loads.values()), 8_192))
+    dealt = asked.unionByName(donors).repartition(tasks, "pool", "part").sortWithinPartitions("pool", "part", "asks")
+    return dealt.groupBy("pool", "part").applyInPandas(run, PAIR_SCHEMA)
+
+
+# Queries compared with a block of donors by one matrix product.
+ASKED_ROWS = 512
+
+
+class _Pool:
+    """Donors of one pool by leaf, in blocks of bounded size, moved to the block's middle."""
+
+    def __init__(self, held: list, block: int):
+        keys, vectors, leaves = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((keys, leaves))
+        keys, vectors, leaves = keys[order], vectors[order], leaves[order]
+        self.blocks: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        starts = np.flatnonzero(np.r_[True, np.diff(leaves) != 0]).tolist()
+        for a, b in zip(starts, [*starts[1:], len(leaves)], strict=True):
+            for first in range(a, b, block):
+                part = vectors[first:min(first + block, b)]
+                with np.errstate(all="ignore"):
+                    middle = part.mean(axis=0)
+                    moved = part - middle
+                    square = (moved ** 2).sum(axis=1)
+                    side = np.hstack([-2.0 * moved, square[:, None], np.ones((len(part), 1))]).T.copy()
+                self.blocks.setdefault(int(leaves[a]), []).append((keys[first:first + len(part)], part, middle, side, square.max()))
+
+    def closest(self, asked: pd.DataFrame, depth: int) -> pd.DataFrame:
+        """The ``depth`` closest donors of each query within its bound, ties to the lower key."""
+        vec = np.stack(asked["vec"].to_numpy()).astype(float)
+        limit = (asked["bound"].to_numpy(float) * (1 + 1e-9)) ** 2
+        best = np.full((len(asked), depth), np.inf)
+        lists = asked["leaves"].to_numpy()
+        row = np.repeat(np.arange(len(asked)), [len(x) for x in lists])
+        leaf = np.concatenate(lists)
+        order = np.argsort(leaf, kind="stable")
+        row, leaf = row[order], leaf[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(leaf) != 0]).tolist()
+        found = []
+        for a, b in zip(starts, [*starts[1:], len(leaf)], strict=True):
+            rows = row[a:b]
+            for keys, donors, middle, side, largest in self.blocks.get(int(leaf[a]), ()):
+                r, c = _candidates(vec[rows], middle, side, largest, limit[rows], depth)
+                if not len(r):
+                    continue
+                r = rows[r]
+                exact = _pair_squares(vec, donors, r, c)
+                # The nearest ``depth`` of this block, merged into the nearest met so far.
+                order = np.lexsort((keys[c], exact, r))
+                r, c, exact = r[order], c[order], exact[order]
+                fresh = np.flatnonzero(np.r_[True, np.diff(r) != 0])
+                place = np.arange(len(r)) - np.repeat(fresh, np.diff(np.r_[fresh, len(r)]))
+                keep = place < depth
+                r, c, exact, place = r[keep], c[keep], exact[keep], place[keep]
+                new = np.full_like(best, np.inf)
+                new[r, place] = exact
+                best = np.sort(np.hstack([best, new]), axis=1)[:, :depth]
+                limit = np.minimum(limit, best[:, -1] * (1 + 1e-9))
+                found.append((r, keys[c], exact))
+        if not found:
+            return pd.DataFrame({"qid": np.empty(0, np.int64), "did": np.empty(0, np.int64), "distance": np.empty(0)})
+        r, key, exact = (np.concatenate([f[i] for f in found]) for i in range(3))
+        distance = np.sqrt(exact)
+        order = np.lexsort((key, distance, r))
+        r, key, distance, exact = r[order], key[order], distance[order], exact[order]
+        fresh = np.flatnonzero(np.r_[True, np.diff(r) != 0])
+        place = np.arange(len(r)) - np.repeat(fresh, np.diff(np.r_[fresh, len(r)]))
+        keep = (place < depth) & (exact <= limit[r])
+        return pd.DataFrame({"qid": asked["key"].to_numpy()[r[keep]], "did": key[keep], "distance": distance[keep]})
+
+
+def _candidates(vec: np.ndarray, middle: np.ndarray, side: np.ndarray, largest: float, limit: np.ndarray,
+                depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, donor) that may be among the ``depth`` closest within the ``limit`` on squared distances.
+
+    One matrix product gives all squared distances; its rounding error is bounded by the lengths, and the limit is
+    loosened by it.  What overflows is kept for the exact sum.
+    """
+    with np.errstate(all="ignore"):
+        moved = vec - middle
+        square = (moved ** 2).sum(axis=1)
+        near = np.hstack([moved, np.ones((len(vec), 1)), square[:, None]]) @ side
+        error = 8.0 * (len(middle) + 8) * np.finfo(float).eps * (square + largest)
+        if near.shape[1] > depth and not np.isfinite(limit).all():
+            limit = np.minimum(limit, np.partition(near, depth - 1, axis=1)[:, depth - 1] * (1 + 1e-9) + error)
+        return np.nonzero(~(near > (limit + error)[:, None]))
+
+
+def _pair_squares(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, at_once: int = 65_536) -> np.ndarray:
+    """Squared distances of pairs, summed dimension by dimension as in :func:`squared_distances`."""
+    out = np.zeros(len(i))
+    for start in range(0, len(i), at_once):
+        part = slice(start, start + at_once)
+        gaps = ((a[i[part]] - b[j[part]]) ** 2).T.copy()
+        for d in gaps:
+            out[part] += d
+    return out

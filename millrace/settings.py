@@ -19,7 +19,9 @@ MAX_LITERAL_ENTRIES = 2_000
 # Largest measured size of a table that may be sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-# Rows per block of the nearest-neighbour join, reference points drawn per cell, and bytes of all of them in a task.
+# Rows per block of the nearest-neighbour join, reference points drawn per cell, and bytes of all of them in a task;
+# bytes of the donors that a task of the join holds.
 NEIGHBOR_BLOCK_ROWS = 4_096
 NEIGHBOR_FAN = 32
 NEIGHBOR_TREE_BYTES = 32 * 1024 * 1024
+NEIGHBOR_POOL_BYTES = 16 * 1024 * 1024

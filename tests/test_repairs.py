@@ -1,6 +1,11 @@
 """Repairs of registered queries and of the steps that they share, on small tables that failed before."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import checks
+from millrace import settings
+from millrace.functions import neighbors
 
 
 def embeddings(spark, path, vectors, labels):
@@ -27,3 +32,23 @@ def test_mixes_stay_between_the_rows_they_mix(spark, tmp_path):
         f"{tmp_path}/events.parquet")
     out = query("p23_mixed")(spark, str(tmp_path)).first()
     assert out["n"] == 400 and out["labels_ok"] and out["low_ok"]
+
+
+def test_queries_travel_once_per_pool_of_leaves(spark, monkeypatch):
+    """Without clusters a query meets most leaves; its vector must not be copied for each of them."""
+    monkeypatch.setattr(settings, "NEIGHBOR_POOL_BYTES", 8 * 10 * 100)
+    vectors = np.random.default_rng(1).normal(size=(300, 10))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, vec array<double>")
+    tree, placed = neighbors.PivotTree.grow(points.withColumnRenamed("id", "did"), 8)
+    pools = neighbors.Pools(placed, 8)
+    located = tree.locate(points.withColumnRenamed("id", "qid"), "qid").withColumn("bound", F.lit(float("inf")))
+    met, sent = tree.visits(located, 299).count(), tree.visits(located, 299, pools)
+    assert met > 20 * 300 and sent.count() <= 300 * len(set(pools.first.values())) < met / 4
+    assert sent.agg(F.sum(F.size("leaves"))).first()[0] == met
+    got: dict = {}
+    for r in neighbors.nearest(points, points, 3, True, 8).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["neighbor"], r["distance"]))
+    for i in range(300):
+        d = np.sqrt(neighbors.squared_distances(vectors[i:i + 1], vectors))[0]
+        d[i] = np.inf
+        assert got[i] == [(j, d[j]) for j in np.lexsort((np.arange(300), d))[:3].tolist()]
