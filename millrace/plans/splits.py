@@ -76,6 +76,8 @@ def node_holdout(nodes: DataFrame, classes: DataFrame, id_col: str, class_col: s
 def recent_positives(df: DataFrame, order: list, target: str | None, positive_label=1, min_train: int = 1,
                      user: str = "user_id", item: str = "item_id", fraction: float = FRACTION):
     """(train, held out): the latest rows; held-out positives of users and items seen before."""
+    # Counted, cut and read several times: what made the table runs once.
+    df = materialise(df)
     n = df.count()
     if n < 2:
         raise ValueError("a temporal split needs at least two rows")
@@ -190,6 +192,8 @@ def budget_sample_recent(df: DataFrame, rows: int, order_desc: list, user: str,
 
     ``order_desc`` lists (name, "desc") entries, latest first.
     """
+    # Counted, cut and read several times: what made the table runs once.
+    df = materialise(df)
     held = df.where(col(SPLIT) == HELD_OUT)
     train = df.where(~F.coalesce(col(SPLIT) == HELD_OUT, F.lit(False)))
     train = cut_at(train, order_desc, rows)[0]

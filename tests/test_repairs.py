@@ -52,3 +52,27 @@ def test_queries_travel_once_per_pool_of_leaves(spark, monkeypatch):
         d = np.sqrt(neighbors.squared_distances(vectors[i:i + 1], vectors))[0]
         d[i] = np.inf
         assert got[i] == [(j, d[j]) for j in np.lexsort((np.arange(300), d))[:3].tolist()]
+
+
+def calls(spark, df, key):
+    """The rows, and an accumulator of how many rows were made since; ``key`` is a whole-number column."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(x):
+        made.add(1)
+        return x
+    return df.withColumn(key, counted.asNondeterministic()(F.col(key))), made
+
+
+def test_splits_by_time_make_their_table_once(spark):
+    from millrace.plans import splits
+
+    df = spark.range(400).select(F.col("id").alias("t"), (F.col("id") % 7).alias("user_id"), (F.col("id") % 5).alias("item_id"),
+                                 (F.col("id") % 2).alias("rating"))
+    rows, made = calls(spark, df, "t")
+    train, held = splits.recent_positives(rows, ["t"], "rating")
+    assert train.count() == 320 and held.count() == 40 and made.value == 400
+    rows, made = calls(spark, df.withColumn("__split__", F.when(F.col("t") >= 300, "std_test").otherwise("train")), "t")
+    out = splits.budget_sample_recent(rows, 40, [("t", "desc")], "user_id", "rating", keys=["t"])
+    assert out.where("__split__ = 'train'").count() == 40 and made.value == 400
