@@ -254,8 +254,9 @@ class Oversample(Operator):
         small = classes.where(F.col("n") < most)
         slots = repeat_rows(small.select("group", "n", "first", F.lit(most).alias("times")), F.col("times"), "slot") \
             .select((F.col("first") + draw_below(F.col("n"), F.col("group"), F.col("slot") - 1)).alias(POSITION))
-        # The slots are the large side of the join, which the engine splits where many pick the same row.
-        drawn = slots.join(placed, POSITION).select(*[col(c) for c in df.columns])
+        # The slots are the large side of the join, which the engine splits where many pick the same row.  They come from
+        # a few rows, by which the engine would take them for small and gather them in the driver.
+        drawn = slots.hint("merge").join(placed, POSITION).select(*[col(c) for c in df.columns])
         large = classes.where(F.col("n") == most).select(F.col("group").alias(self.target_col))
         return keyed_join(df.where(y.isNotNull()), large, [self.target_col], "left_semi").unionByName(drawn)
 
@@ -276,7 +277,8 @@ class Oversample(Operator):
         spread = own.select("id", F.concat("vec", F.array(F.col("first") * F.lit(apart))).alias("vec"))
         close = materialise(nearest(spread, spread, self.n_neighbors, same_table=True).where(F.col("distance") < apart)
                             .select("id", "rank", "neighbor"))
-        made = self._slots(points, own, small).join(close.groupBy("id").agg(F.max("rank").alias("k")), "id").withColumn(
+        # Slots come from a few rows, by which the engine would take them for small and gather them in the driver.
+        made = self._slots(points, own, small).hint("merge").join(close.groupBy("id").agg(F.max("rank").alias("k")), "id").withColumn(
             "rank", (draw_below(F.col("k"), F.lit("rank"), F.col("slot")) + 1).cast("int"))
         made = made.join(close, ["id", "rank"]).join(own.select("id", "vec", "group"), "id") \
             .join(own.select(F.col("id").alias("neighbor"), F.col("vec").alias("other")), "neighbor")

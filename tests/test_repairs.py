@@ -76,3 +76,12 @@ def test_splits_by_time_make_their_table_once(spark):
     rows, made = calls(spark, df.withColumn("__split__", F.when(F.col("t") >= 300, "std_test").otherwise("train")), "t")
     out = splits.budget_sample_recent(rows, 40, [("t", "desc")], "user_id", "rating", keys=["t"])
     assert out.where("__split__ = 'train'").count() == 40 and made.value == 400
+
+
+def test_slots_are_not_sent_through_the_driver(spark):
+    from millrace import operators as O
+
+    df = spark.range(3_000).select("id", F.when(F.col("id") < 20, 1).otherwise(0).alias("y"))
+    out = O.Oversample("y", key_cols=["id"]).transform(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and out.where("y = 1").count() == 2_980
