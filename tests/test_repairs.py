@@ -85,3 +85,21 @@ def test_slots_are_not_sent_through_the_driver(spark):
     out = O.Oversample("y", key_cols=["id"]).transform(df)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan and out.where("y = 1").count() == 2_980
+
+
+def test_small_groups_share_their_batches(spark):
+    from millrace.functions.grouped import apply_groups
+
+    def total(batches):
+        parts = list(batches)
+        yield parts[0].head(1).assign(n=sum(map(len, parts)), ordered=all(p["v"].is_monotonic_increasing for p in parts))[["k", "n", "ordered"]]
+
+    df = spark.range(2_500).select(F.when(F.col("id") % 500 != 3, F.col("id") % 500).alias("k"), (-F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = apply_groups(df, ["k"], ["v"], total, "k bigint, n bigint, ordered boolean")
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(rows) == 500 and all(r["n"] == 5 and r["ordered"] for r in rows) and sum(r["k"] is None for r in rows) == 1
