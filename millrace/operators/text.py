@@ -55,12 +55,16 @@ class ExtractTextFeature(Operator):
 
     def _fit(self, df):
         for n in present(df, self.cols):
-            # One pass gives both counts: in a sorted text the first of equal terms stands for the document.
-            ordered = F.array_sort(words(df, n, self.ngram_range))
-            marked = F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")), ordered), lambda term, before: F.struct(
-                term.alias("term"), (~term.eqNullSafe(before)).cast("int").alias("first")))
-            found = df.select(F.explode(marked).alias("t")).where("t.term is not null").groupBy("t.term").agg(
-                F.count("*").alias("n"), F.sum("t.first").alias("docs"))
+            found = words(df, n, self.ngram_range)
+            if self.method == "bow":
+                found = df.select(F.explode(found).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
+            else:
+                # One pass gives both counts: in a sorted text the first of equal terms stands for the document.
+                ordered = F.array_sort(found)
+                marked = F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")), ordered), lambda term, before: F.struct(
+                    term.alias("term"), (~term.eqNullSafe(before)).cast("int").alias("first")))
+                found = df.select(F.explode(marked).alias("t")).where("t.term is not null").groupBy("t.term").agg(
+                    F.count("*").alias("n"), F.sum("t.first").alias("docs"))
             # Ties in frequency go to the alphabetically first term.
             top = found.orderBy(F.desc("n"), "term").limit(self.max_features).collect()
             terms = sorted(r["term"] for r in top)

@@ -103,3 +103,15 @@ def test_small_groups_share_their_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert len(rows) == 500 and all(r["n"] == 5 and r["ordered"] for r in rows) and sum(r["k"] is None for r in rows) == 1
+
+
+def test_term_counts_sort_no_text(spark, monkeypatch):
+    from millrace import operators as O
+
+    def refuse(*_):
+        raise AssertionError("texts are sorted")
+
+    df = spark.createDataFrame([("bb aa bb",), ("aa bb",), (None,)], "t string")
+    monkeypatch.setattr(F, "array_sort", refuse)
+    out = O.ExtractTextFeature("t", "bow", 2, (1, 2)).transform(df)
+    assert sorted(tuple(r[1:]) for r in out.collect()) == [(0, 0), (1, 1), (1, 2)]
