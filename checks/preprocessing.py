@@ -109,7 +109,7 @@ def negatives(spark, sf):
     i = i.withColumns({"clicks": F.col("rating") + 5, "item_size": F.col("item_id") % 7})
     out = O.SampleNegative(n_negatives=2, key_cols=INTERACTION_KEY, order_cols=INTERACTION_KEY).transform(i)
     drawn = out.where("clicks = 0")
-    known = i.select(F.col("user_id").alias("u"), F.col("item_id").alias("i")).distinct()
+    known = i.select(F.col("user_id").alias("u"), F.col("item_id").alias("i"))
     clash = drawn.join(known, (F.col("user_id") == F.col("u")) & (F.col("item_id") == F.col("i")), "left_semi")
     return out.agg(F.count("*").alias("n"), F.count(F.when(F.col("clicks") == 0, 1)).alias("n_drawn"),
                    F.sum(F.when(F.col("clicks") == 0, F.col("rating"))).alias("drawn_ratings"),

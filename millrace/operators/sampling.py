@@ -28,15 +28,15 @@ def draw_unseen(draws: DataFrame, seen: DataFrame, items: DataFrame, user: str,
                 seed: int, keys: list, n: int = 1, distinct: bool = False) -> DataFrame:
     """``n`` rows per row of ``draws``, each with an item (``__item__``) its user has no row with.
 
-    ``seen`` and ``items`` list pairs and the pool once each.  Items get dense numbers; a draw counts only the
-    free numbers of its user and is then shifted past the taken ones.  The shift is
-    a running count, so no per-user list exists and no draw is rejected.  Users
-    with no free item lose their draws.  ``distinct`` draws without replacement.
+    ``seen`` and ``items`` list pairs and the pool once each; further columns of ``items`` come with a drawn item.
+    Items get dense numbers; a draw counts only the free numbers of its user and is then shifted past the taken
+    ones.  The shift is a running count over draws and taken numbers, so no per-user list exists and no draw is
+    rejected.  Users with no free item lose their draws.  ``distinct`` draws without replacement.
     """
-    pool = row_index(items.select(col(item).alias("__item__")), ["__item__"], "__no__")
+    pool = row_index(items.withColumnRenamed(item, "__item__"), ["__item__"], "__no__")
     size = pool.count()
     pairs = seen.select(col(user).alias("__user__"), col(item).alias("__item__"))
-    pairs = keyed_join(pairs, pool, ["__item__"], "inner", stored=True).select("__user__", "__no__")
+    pairs = keyed_join(pairs, pool.select("__item__", "__no__"), ["__item__"], "inner", stored=True).select("__user__", "__no__")
     ranked = materialise(group_running_sum(pairs, ["__user__"], ["__no__"], F.lit(1), "__rank__"))
     taken = ranked.groupBy("__user__").agg(F.count("*").alias("__taken__"))
     joined = keyed_join(draws.withColumn("__user__", col(user)), taken, ["__user__"])
@@ -44,18 +44,15 @@ def draw_unseen(draws: DataFrame, seen: DataFrame, items: DataFrame, user: str,
     joined = joined.withColumn("__free__", free).where("__free__ > 0").withColumn(
         "__at__", F.explode(free_positions(seed, F.col("__free__"), keys, n, distinct))) \
         .drop("__taken__", "__free__")
-    joined = materialise(joined)
+    joined = materialise(joined.withColumn("__kind__", F.lit(1)))
     # Free items before the i-th taken one: number - i.  A draw passes all taken with that count <= draw.
     marks = ranked.select("__user__", (F.col("__no__") - (F.col("__rank__") - 1)).alias("__at__"),
                           F.lit(0).alias("__kind__"))
-    wanted = joined.select("__user__", "__at__").distinct().withColumn("__kind__", F.lit(1))
-    passed = group_running_sum(marks.unionByName(wanted), ["__user__"], ["__at__", "__kind__"],
-                               F.when(F.col("__kind__") == 0, 1).otherwise(0), "__passed__")
-    passed = passed.where("__kind__ = 1").drop("__kind__")
-    # Joined on user and position: a busy user's draws spread over the free positions.
-    placed = join_on_keys(joined, passed, ["__user__", "__at__"])
-    placed = placed.withColumn("__no__", F.col("__at__") + F.col("__passed__"))
-    return keyed_join(placed, pool, ["__no__"], "inner", stored=True).drop("__no__", "__passed__", "__at__", "__user__")
+    placed = group_running_sum(joined.unionByName(marks, allowMissingColumns=True), ["__user__"], ["__at__", "__kind__"],
+                               F.when(F.col("__kind__") == 0, 1).otherwise(0), "__passed__").where("__kind__ = 1")
+    placed = materialise(placed.withColumn("__no__", F.col("__at__") + F.col("__passed__"))
+                         .drop("__kind__", "__passed__", "__at__", "__user__"))
+    return keyed_join(placed, pool, ["__no__"], "inner", stored=True).drop("__no__")
 
 
 def free_positions(seed: int, free, keys: list, n: int, distinct: bool):
@@ -91,6 +88,8 @@ class SampleNegative(Operator):
     def _apply(self, df):
         if self.n_negatives == 0:
             return df
+        # Read by every step below, so made once.
+        df = materialise(df)
         y, user, item = col(self.target_col), self.user_col, self.item_col
         odd = df.where(y.isNotNull() & ~y.isin(self.positive_label, self.negative_label)).limit(1)
         if not odd.isEmpty():
@@ -103,20 +102,19 @@ class SampleNegative(Operator):
         draws = df.where(y == F.lit(self.positive_label))
         known = df.where(value(df, item).isNotNull())
         seen = materialise(known.select(col(user), col(item)).distinct())
-        drawn = draw_unseen(draws, seen, seen.select(col(item)).distinct(), user, item, self.seed,
-                            key_columns(df, self.key_cols), self.n_negatives)
-        new = {item: F.col("__item__"), self.target_col: F.lit(self.negative_label).cast(dtype_of(df, self.target_col)),
-               **{n: F.lit(0).cast(dtype_of(df, n)) for n in zeroed}}
-        drawn = drawn.withColumns(new)
+        items = seen.select(col(item)).distinct()
         if item_features:
             # An item's features are those of its first row; combined before the shuffle.
             order = self.order_cols or df.columns
             rank = Window.partitionBy(col(item)).orderBy(*order_columns(order))
-            first = known.withColumn("__r__", F.row_number().over(rank)).where("__r__ = 1") \
-                .select(col(item).alias("__item__"), *[col(n).alias(f"__f_{n}") for n in item_features])
-            drawn = keyed_join(drawn.drop(*item_features), first, ["__item__"]) \
-                .withColumnsRenamed({f"__f_{n}": n for n in item_features})
-        return df.unionByName(drawn.select(*[col(n) for n in df.columns]))
+            items = known.withColumn("__r__", F.row_number().over(rank)).where("__r__ = 1") \
+                .select(col(item), *[col(n).alias(f"__f_{n}") for n in item_features])
+        drawn = draw_unseen(draws, seen, items, user, item, self.seed,
+                            key_columns(df, self.key_cols), self.n_negatives)
+        new = {item: F.col("__item__"), self.target_col: F.lit(self.negative_label).cast(dtype_of(df, self.target_col)),
+               **{n: F.lit(0).cast(dtype_of(df, n)) for n in zeroed}, **{n: col(f"__f_{n}") for n in item_features}}
+        drawn = materialise(drawn.withColumns(new).select(*[col(n) for n in df.columns]))
+        return df.unionByName(drawn)
 
 
 class FilterKCore(Operator):

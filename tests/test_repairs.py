@@ -115,3 +115,16 @@ def test_term_counts_sort_no_text(spark, monkeypatch):
     monkeypatch.setattr(F, "array_sort", refuse)
     out = O.ExtractTextFeature("t", "bow", 2, (1, 2)).transform(df)
     assert sorted(tuple(r[1:]) for r in out.collect()) == [(0, 0), (1, 1), (1, 2)]
+
+
+def test_negatives_make_their_table_once(spark):
+    from millrace import operators as O
+
+    df = spark.range(400).select("id", (F.col("id") % 7).alias("user_id"), (F.col("id") % 50).alias("item_id"),
+                                 (F.col("id") % 3 % 2).cast("int").alias("rating"), (F.col("id") % 50 + 1000).alias("item_size"))
+    df = df.where("(item_id + user_id) % 4 > 0")
+    n, positive = df.count(), df.where("rating = 1").count()
+    rows, made = calls(spark, df, "id")
+    out = O.SampleNegative(n_negatives=2, key_cols=["id"], order_cols=["id"]).transform(rows)
+    assert out.count() == n + 2 * positive and out.where("item_size <> item_id + 1000 or item_size is null").isEmpty()
+    assert made.value == n
