@@ -95,11 +95,10 @@ class ReduceDimension(Operator):
         values, basis = np.linalg.eigh(self._kernel(points, points))
         solid = values > max(values.max(), 0.0) * 1e-10
         self.points, self.root = points, basis[:, solid] / np.sqrt(values[solid])
-        # Every row takes part: its landmark features are centred and decomposed.
-        width = self.root.shape[1]
-        mapped = filled.select(self._mapped()(vec).alias("z"))
-        zs = mapped.select(*[F.element_at("z", i + 1).alias(f"z{i}") for i in range(width)])
-        n, sums, cross = cross_products(zs, [f"z{i}" for i in range(width)])
+        # Every row takes part: its landmark features are made, centred and decomposed in the tasks.
+        kernel, root = self._kernel, self.root
+        width = root.shape[1]
+        n, sums, cross = cross_products(filled, xs, mapped=lambda x: kernel(x, points) @ root)
         mean = sums / max(n, 1)
         self.weights = top_vectors(cross - n * np.outer(mean, mean), min(k, width))[1]
         self.centre = mean
@@ -110,17 +109,14 @@ class ReduceDimension(Operator):
         gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
         return np.exp(-np.clip(gap, 0.0, None) / a.shape[1])
 
-    def _mapped(self, projected: bool = False):
-        """Landmark features of a row, or their projection, in one Arrow batch step."""
-        kernel, points, root = self._kernel, self.points, self.root
-        centre, weights = (self.centre, self.weights) if projected else (0.0, np.eye(root.shape[1]))
-
-        @F.pandas_udf("array<double>")
-        def landmark_features(v: pd.Series) -> pd.Series:
-            if len(v) == 0:
-                return pd.Series([], dtype=object)
-            x = np.stack(v.to_numpy()).astype(float)
-            return pd.Series(list((kernel(x, points) @ root - centre) @ weights))
+    def _projected(self):
+        """The projection of a row's landmark features, batch by batch."""
+        kernel, points, root, centre, weights = self._kernel, self.points, self.root, self.centre, self.weights
+
+        @F.pandas_udf(", ".join(f"c{j} double" for j in range(weights.shape[1])))
+        def landmark_features(x: pd.DataFrame) -> pd.DataFrame:
+            found = (kernel(x.to_numpy(dtype=float), points) @ root - centre) @ weights
+            return pd.DataFrame(found, columns=[f"c{j}" for j in range(weights.shape[1])])
         return landmark_features
 
     def _apply(self, df):
@@ -130,8 +126,8 @@ class ReduceDimension(Operator):
         columns, k = df.columns, self.weights.shape[1]
         names = [f"{self.prefix}{j}" for j in range(k)]
         if self.method == "kernel_pca":
-            df = df.withColumn("__x__", self._mapped(True)(F.array(*values)))
-            return df.select(*[col(n) for n in columns], *[F.element_at("__x__", j + 1).alias(n) for j, n in enumerate(names)])
+            df = df.withColumn("__x__", self._projected()(F.struct(*[v.alias(f"x{i}") for i, v in enumerate(values)])))
+            return df.select(*[col(n) for n in columns], *[F.col(f"__x__.c{j}").alias(n) for j, n in enumerate(names)])
         if len(values) * k <= PLAIN_TERMS:
             return df.select(*[col(n) for n in columns], *[
                 sum([(v - F.lit(float(c))) * F.lit(float(w)) for v, c, w in zip(values, self.centre, self.weights[:, j])],

@@ -128,3 +128,26 @@ def test_negatives_make_their_table_once(spark):
     out = O.SampleNegative(n_negatives=2, key_cols=["id"], order_cols=["id"]).transform(rows)
     assert out.count() == n + 2 * positive and out.where("item_size <> item_id + 1000 or item_size is null").isEmpty()
     assert made.value == n
+
+
+def test_landmark_features_stay_in_their_tasks(spark, monkeypatch):
+    from millrace import operators as O
+    from millrace.operators import reduction
+
+    summed, products = [], reduction.cross_products
+    monkeypatch.setattr(reduction, "cross_products", lambda df, names, *a, **kw: summed.append(len(names)) or products(df, names, *a, **kw))
+    df = spark.range(500).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 23).cast("double").alias("b"))
+    out = np.array([tuple(r)[2:] for r in O.ReduceDimension(["a", "b"], "kernel_pca", 2, landmarks=32).transform(df).collect()])
+    assert summed == [2] and np.abs(out.mean(axis=0)).max() < 1e-9 and abs((out[:, 0] * out[:, 1]).mean()) < 1e-9
+
+
+def test_few_columns_are_summed_without_python(spark, monkeypatch):
+    from millrace.functions import moments
+
+    x = np.random.default_rng(3).normal(size=(200, 3)).round(3)
+    df = spark.createDataFrame([(*map(float, r), int(i % 2)) for i, r in enumerate(x)], "a double, b double, c double, y int")
+    monkeypatch.setattr(type(df), "mapInPandas", None)
+    n, sums, cross = moments.cross_products(df, ["a", "b", "c"], [0.5, 0.0, 0.0])
+    moved = x - [0.5, 0.0, 0.0]
+    assert n == 200 and np.allclose(sums, moved.sum(axis=0)) and np.allclose(cross, moved.T @ moved)
+    assert np.allclose(moments.cross_products(df, ["a", "b", "c"], by="y")[1][2], x[1::2].T @ x[1::2])
