@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import settings
@@ -29,3 +31,11 @@ def is_small(table: DataFrame) -> bool:
 def sent_if_small(table: DataFrame) -> DataFrame:
     """The table marked for broadcast if it was measured small, else as it is."""
     return F.broadcast(table) if is_small(table) else table
+
+
+def bounded_parts(table: DataFrame) -> DataFrame:
+    """The rows dealt out so that a task of an iterative fit holds a bounded number, the same ones in every run."""
+    rows = table.count()
+    if rows <= settings.FIT_TASK_ROWS:
+        return table
+    return table.repartition(math.ceil(rows / settings.FIT_TASK_ROWS)).sortWithinPartitions(*[col(n) for n in table.columns])

@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.sizes import bounded_parts
 from ..functions.values import as_list, col, number, numeric_columns, value
 from .base import SPLIT, Operator, choose
 
@@ -55,11 +56,11 @@ class SelectFeature(Operator):
             self.scores = dict(zip(names, scores))
             chosen = [names[i] for i in sorted(ranked)]
         elif self.method == "model":
-            weights = self._weights(filled, list(range(len(names))))
+            weights = self._weights(bounded_parts(filled), list(range(len(names))))
             chosen = [names[i] for i in sorted(weights, key=lambda i: (-weights[i], -i))[:wanted]]
         else:
             left = list(range(len(names)))
-            filled = filled.cache()
+            filled = bounded_parts(filled).cache()
             while len(left) > wanted:
                 weights = self._weights(filled, left)
                 out = sorted(left, key=lambda i: (weights[i], i))[:min(self.step, len(left) - wanted)]

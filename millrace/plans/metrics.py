@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ordering import running_total
+from ..functions.sizes import bounded_parts
 from ..functions.values import col, number, numeric_columns
 from ..operators.base import HELD_OUT, SPLIT
 from ..session import materialise
@@ -86,9 +87,10 @@ def fit_and_score(df: DataFrame, target: str, task: str = "binary", drop=(), wei
     w = F.coalesce(number(df, weight), F.lit(1.0)) if weight in df.columns else F.lit(1.0)
     ready = df.select(*[F.coalesce(number(df, n), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)],
                       number(df, target).alias("label"), w.alias("w"), col(SPLIT).alias("split"))
-    data = VectorAssembler(inputCols=[f"x{i}" for i in range(len(names))], outputCol="features") \
-        .transform(ready.where("label is not null")).select("features", "label", "w", "split")
-    train = data.where(F.col("split") == "train")
+    ready = ready.where("label is not null")
+    assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(names))], outputCol="features")
+    data = assembler.transform(ready).select("features", "label", "w", "split")
+    train = assembler.transform(bounded_parts(ready.where(F.col("split") == "train"))).select("features", "label", "w")
     if task == "binary":
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, weightCol="w", seed=42).fit(train)
         scored = model.transform(data).withColumn("s", vector_to_array("probability")[1])

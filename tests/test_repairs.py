@@ -151,3 +151,27 @@ def test_few_columns_are_summed_without_python(spark, monkeypatch):
     moved = x - [0.5, 0.0, 0.0]
     assert n == 200 and np.allclose(sums, moved.sum(axis=0)) and np.allclose(cross, moved.T @ moved)
     assert np.allclose(moments.cross_products(df, ["a", "b", "c"], by="y")[1][2], x[1::2].T @ x[1::2])
+
+
+def test_fits_hold_bounded_tasks(spark, monkeypatch):
+    from millrace import operators as O
+    from millrace.operators import selection
+    from millrace.plans import metrics
+
+    monkeypatch.setattr(settings, "FIT_TASK_ROWS", 100)
+    df = spark.range(0, 450, 1, 1).select((F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                         (F.col("id") % 50 > 30).cast("int").alias("y"))
+    largest = []
+
+    def watched(kind):
+        class Watched(kind):
+            def fit(self, data, *args):
+                largest.append(data.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+                return super().fit(data, *args)
+        return Watched
+    monkeypatch.setattr(selection, "RandomForestClassifier", watched(selection.RandomForestClassifier))
+    monkeypatch.setattr(metrics, "GBTClassifier", watched(metrics.GBTClassifier))
+    assert O.SelectFeature("y", "model", k=1, estimator="forest").transform(df).columns == ["y", "a"]
+    marked = df.withColumn("__split__", F.when(F.col("b") == 3, "std_test").otherwise("train"))
+    assert metrics.fit_and_score(marked, "y", rounds=2, depth=2).first()["auc"] > 0.9
+    assert len(largest) == 2 and max(largest) <= 110
