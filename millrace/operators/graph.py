@@ -11,7 +11,6 @@ from .base import Operator
 
 # PageRank defaults: damping, largest number of rounds, tolerance per node (fixed values).
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
-ROUNDS_PER_JOB = 5
 
 
 def simple_edges(df: DataFrame, source: str, target: str, directed: bool) -> DataFrame:
@@ -33,8 +32,8 @@ def pagerank(edges: DataFrame, directed: bool, rounds: int | None = None) -> Dat
     """(node, pagerank).  ``rounds`` fixes the number of rounds; otherwise it runs to tolerance,
     and raises if that is not reached.
 
-    A round is one join and one partially combined sum; ranks become a durable
-    table every few rounds, so lineage stays flat.
+    A round is one join and one partially combined sum.  Links stay in memory as a list per source, dealt out by
+    source, so a round only moves the ranks and the sums; ranks become a durable table, so lineage stays flat.
     """
     links = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if not directed:
@@ -44,26 +43,28 @@ def pagerank(edges: DataFrame, directed: bool, rounds: int | None = None) -> Dat
     nodes = links.select(F.col("src").alias("node")).union(links.select(F.col("dst"))).distinct()
     nodes = materialise(nodes.join(out, F.col("node") == F.col("src"), "left").select("node", "links"))
     n = nodes.count()
-    hot = hot_keys(links, ["src"])
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
-    ranks = nodes.withColumn("p0", F.lit(1.0 / n))
-    loose = nodes.where("links is null").count() / n
-    # Without dangling nodes a few rounds need no number from the driver and run as one job.
-    step = ROUNDS_PER_JOB if loose == 0 else 1
-    left = ROUNDS if rounds is None else rounds
-    while left > 0:
-        step = min(step, left)
+    hot = hot_keys(links, ["src"])
+    if hot is None:
+        # No list is longer than the limit of one task.
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        links = links.repartition(parts, "src").groupBy("src").agg(F.collect_list("dst").alias("dsts")).persist()
+    try:
+        return _rounds(links, hot, nodes.withColumn("p0", F.lit(1.0 / n)), n, nodes.where("links is null").count() / n, rounds)
+    finally:
+        if hot is None:
+            links.unpersist()
+
+
+def _rounds(links, hot, ranks, n, loose, rounds):
+    for _ in range(ROUNDS if rounds is None else rounds):
         base = (1.0 - DAMPING) / n + DAMPING * loose / n
-        for i in range(1, step + 1):
-            ranks = _one_round(links, hot, ranks, base, f"p{i - 1}", f"p{i}")
-        ranks = materialise(ranks)
-        row = ranks.agg(*[F.sum(F.abs(F.col(f"p{i}") - F.col(f"p{i - 1}"))).alias(f"m{i}") for i in range(1, step + 1)],
-                        F.sum(F.when(F.col("links").isNull(), F.col(f"p{step}")).otherwise(0.0)).alias("loose")).first()
-        left, loose = left - step, row["loose"]
-        done = [i for i in range(1, step + 1) if rounds is None and row[f"m{i}"] < n * TOLERANCE]
-        ranks = ranks.select("node", "links", F.col(f"p{done[0] if done else step}").alias("p0"))
-        if done:
+        ranks = materialise(_one_round(links, hot, ranks, base))
+        row = ranks.agg(F.sum(F.abs(F.col("p1") - F.col("p0"))).alias("moved"),
+                        F.sum(F.when(F.col("links").isNull(), F.col("p1")).otherwise(0.0)).alias("loose")).first()
+        loose, ranks = row["loose"], ranks.select("node", "links", F.col("p1").alias("p0"))
+        if rounds is None and row["moved"] < n * TOLERANCE:
             break
     else:
         if rounds is None:
@@ -71,14 +72,17 @@ def pagerank(edges: DataFrame, directed: bool, rounds: int | None = None) -> Dat
     return ranks.select("node", F.col("p0").alias("pagerank"))
 
 
-def _one_round(links, hot, ranks, base, before, after):
+def _one_round(links, hot, ranks, base):
     shares = ranks.where("links is not null").select(
-        F.col("node").alias("src"), (F.col(before) / F.col("links")).alias("share"))
-    # The edges of a hub do not gather in one task; inflow is combined before its shuffle.
-    flow = split_join(links, shares, ["src"], "inner", hot) \
-        .groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
+        F.col("node").alias("from"), (F.col("p0") / F.col("links")).alias("share"))
+    # Inflow is combined before its shuffle; the edges of a hub do not gather in one task.
+    if hot is None:
+        met = links.join(shares, F.col("src") == F.col("from")).select("share", F.explode("dsts").alias("dst"))
+    else:
+        met = split_join(links, shares.withColumnRenamed("from", "src"), ["src"], "inner", hot)
+    flow = met.groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
     return ranks.join(flow, "node", "left").withColumn(
-        after, F.lit(base) + F.lit(DAMPING) * F.coalesce("inflow", F.lit(0.0))).drop("inflow")
+        "p1", F.lit(base) + F.lit(DAMPING) * F.coalesce("inflow", F.lit(0.0))).drop("inflow")
 
 
 class ExtractGraphFeature(Operator):

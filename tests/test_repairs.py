@@ -175,3 +175,29 @@ def test_fits_hold_bounded_tasks(spark, monkeypatch):
     marked = df.withColumn("__split__", F.when(F.col("b") == 3, "std_test").otherwise("train"))
     assert metrics.fit_and_score(marked, "y", rounds=2, depth=2).first()["auc"] > 0.9
     assert len(largest) == 2 and max(largest) <= 110
+
+
+def test_rounds_move_ranks_and_sums_only(spark, monkeypatch):
+    from millrace.operators import graph
+
+    edges = spark.createDataFrame([(i, (i * 7 + k) % 40 + 100) for i in range(40) for k in range(5)], "a bigint, b bigint")
+    plans, rounds = [], graph._one_round
+
+    def watched(*args):
+        out = rounds(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    monkeypatch.setattr(graph, "_one_round", watched)
+    got = {r["node"]: r["pagerank"] for r in graph.pagerank(edges, False, 3).collect()}
+    links = [(r["a"], r["b"]) for r in edges.collect()]
+    links += [(b, a) for a, b in links]
+    size = {a: sum(x == a for x, _ in links) for a, _ in links}
+    p = dict.fromkeys(size, 1 / 80)
+    for _ in range(3):
+        q = dict.fromkeys(size, 0.15 / 80)
+        for a, b in links:
+            q[b] += 0.85 * p[a] / size[a]
+        p = q
+    assert got.keys() == p.keys() and all(abs(got[k] - p[k]) < 1e-12 for k in p)
+    # The links are read from memory as lists per source.
+    assert len(plans) == 3 and all("InMemoryTableScan [src" in x and "explode(dsts" in x for x in plans)
