@@ -56,21 +56,17 @@ class ExtractTextFeature(Operator):
     def _fit(self, df):
         for n in present(df, self.cols):
             found = words(df, n, self.ngram_range)
-            if self.method == "bow":
-                found = df.select(F.explode(found).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
-            else:
-                # One pass gives both counts: in a sorted text the first of equal terms stands for the document.
-                ordered = F.array_sort(found)
-                marked = F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")), ordered), lambda term, before: F.struct(
-                    term.alias("term"), (~term.eqNullSafe(before)).cast("int").alias("first")))
-                found = df.select(F.explode(marked).alias("t")).where("t.term is not null").groupBy("t.term").agg(
-                    F.count("*").alias("n"), F.sum("t.first").alias("docs"))
+            counted = df.select(F.explode(found).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
             # Ties in frequency go to the alphabetically first term.
-            top = found.orderBy(F.desc("n"), "term").limit(self.max_features).collect()
+            top = counted.orderBy(F.desc("n"), "term").limit(self.max_features).collect()
             terms = sorted(r["term"] for r in top)
             self.terms[n] = terms
             if self.method == "tfidf":
-                docs, spread = df.count(), {r["term"]: r["docs"] for r in top}
+                # Only the chosen terms are looked up again, each once per text; no text is sorted.
+                held = F.array_intersect(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), found)
+                spread = {r["term"]: r["docs"] for r in df.select(F.explode(held).alias("term")).groupBy("term")
+                          .agg(F.count("*").alias("docs")).collect()}
+                docs = df.count()
                 self.idf[n] = [math.log((1 + docs) / (1 + spread.get(t, 0))) + 1.0 for t in terms]
 
     def _apply(self, df):

@@ -201,3 +201,16 @@ def test_rounds_move_ranks_and_sums_only(spark, monkeypatch):
     assert got.keys() == p.keys() and all(abs(got[k] - p[k]) < 1e-12 for k in p)
     # The links are read from memory as lists per source.
     assert len(plans) == 3 and all("InMemoryTableScan [src" in x and "explode(dsts" in x for x in plans)
+
+
+def test_document_frequencies_sort_no_text(spark, monkeypatch):
+    from millrace import operators as O
+
+    def refuse(*_):
+        raise AssertionError("texts are sorted")
+
+    df = spark.createDataFrame([("bb aa bb cc",), ("aa bb",), (None,)], "t string")
+    monkeypatch.setattr(F, "array_sort", refuse)
+    step = O.ExtractTextFeature("t", "tfidf", 2).fit(df)
+    assert step.terms["t"] == ["aa", "bb"] and np.allclose(step.idf["t"], np.log(4 / 3) + 1)
+    assert O.ExtractTextFeature("t", "tfidf", 2).fit(df.where("t is null")).idf["t"] == []
