@@ -39,16 +39,18 @@ def split_join(df: DataFrame, other: DataFrame, keys: list[str], how: str, hot:
 
 
 def keyed_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left",
-               limit: int | None = None, stored: bool = False) -> DataFrame:
+               limit: int | None = None, stored: bool = False, largest: int | None = None) -> DataFrame:
     """Join with a table of one row per key (how: left, inner, left_semi, left_anti).
 
     A measured small table is broadcast.  A larger one is shuffled, after the rows of
-    hot keys have been split off.  Missing keys match missing keys.
+    hot keys have been split off.  Missing keys match missing keys.  ``largest``, if known, is at least the number
+    of rows of any key; within the limit the rows are not counted again.
     """
     other = other if stored else materialise(other)
     if is_small(other):
         return join_on_keys(df, F.broadcast(other), keys, how)
-    return split_join(df, other, keys, how, hot_keys(df, keys, limit))
+    bounded = largest is not None and largest <= (settings.MAX_GROUP_ROWS if limit is None else limit)
+    return split_join(df, other, keys, how, None if bounded else hot_keys(df, keys, limit))
 
 
 def salted_join(df: DataFrame, other: DataFrame, keys: list[str], how: str, limit: int | None = None) -> DataFrame:

@@ -141,8 +141,11 @@ class FilterKCore(Operator):
         pairs = materialise(known.groupBy(*[col(n).alias(f"k{i}") for i, n in enumerate(keys)])
                             .agg(F.count("*").alias("w")))
         degrees = [materialise(pairs.groupBy(f"k{i}").agg(F.sum("w").alias("n"))) for i in range(len(keys))]
+        # Rows are only removed from here on, so no key ever has more than at first.
+        largest = [d.agg(F.max("n")).first()[0] or 0 for d in degrees]
         if len(keys) == 1:
-            return keyed_join(known, degrees[0].where(F.col("n") >= self.k).select(F.col("k0").alias(keys[0])), keys, "left_semi", stored=True)
+            return keyed_join(known, degrees[0].where(F.col("n") >= self.k).select(F.col("k0").alias(keys[0])), keys, "left_semi", stored=True,
+                              largest=largest[0])
         for turn in count(1):
             peeled = False
             for side in (0, 1):
@@ -152,7 +155,7 @@ class FilterKCore(Operator):
                     continue
                 peeled = True
                 # A key leaves once, and takes its rows from the degrees of its partners.
-                lost = keyed_join(pairs, frontier, [mine], "left_semi", stored=True).groupBy(other).agg(F.sum("w").alias("lost"))
+                lost = keyed_join(pairs, frontier, [mine], "left_semi", stored=True, largest=largest[side]).groupBy(other).agg(F.sum("w").alias("lost"))
                 degrees[side] = degrees[side].where(F.col("n") >= self.k)
                 degrees[1 - side] = materialise(join_on_keys(degrees[1 - side], lost, [other], "left").select(
                     other, (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n")))
@@ -161,7 +164,7 @@ class FilterKCore(Operator):
             if self.max_rounds is not None and turn >= self.max_rounds:
                 raise RuntimeError(f"not stable after {self.max_rounds} rounds")
         for i, n in enumerate(keys):
-            known = keyed_join(known, degrees[i].select(F.col(f"k{i}").alias(n)), [n], "left_semi", stored=True)
+            known = keyed_join(known, degrees[i].select(F.col(f"k{i}").alias(n)), [n], "left_semi", stored=True, largest=largest[i])
         return known
 
 

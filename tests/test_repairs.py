@@ -214,3 +214,17 @@ def test_document_frequencies_sort_no_text(spark, monkeypatch):
     step = O.ExtractTextFeature("t", "tfidf", 2).fit(df)
     assert step.terms["t"] == ["aa", "bb"] and np.allclose(step.idf["t"], np.log(4 / 3) + 1)
     assert O.ExtractTextFeature("t", "tfidf", 2).fit(df.where("t is null")).idf["t"] == []
+
+
+def test_core_filter_counts_no_rows_again(spark, monkeypatch):
+    from millrace import operators as O
+    from millrace.functions import joins
+
+    def refuse(*_):
+        raise AssertionError("rows of keys are counted again")
+
+    monkeypatch.setattr(settings, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "hot_keys", refuse)
+    df = spark.createDataFrame([(u, i) for u in range(4) for i in range(4)] + [(9, 0), (0, 9)], "user_id int, item_id int")
+    assert O.FilterKCore(k=4).transform(df).count() == 16
+    assert O.FilterKCore(item_col=None, k=5).transform(df).count() == 5
