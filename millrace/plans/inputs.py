@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .. import settings
 from ..functions.joins import keyed_join
 from ..functions.ordering import add_window_columns
 from ..functions.values import as_list, col, dtype_of, number, numeric_columns
@@ -87,22 +90,34 @@ def keep_most_variable(df: DataFrame, limit: int, keep=()) -> DataFrame:
 def normalised_adjacency(edges: DataFrame, src: str, dst: str, nodes: DataFrame, node: str) -> DataFrame:
     """(src, dst, weight): both directions once, plus one self-loop per node, 1/sqrt(d_i d_j)."""
     pairs = edges.select(col(src).alias("src"), col(dst).alias("dst")).where("src is not null and dst is not null")
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    loops = nodes.select(col(node).alias("src"), col(node).alias("dst")).distinct()
-    full = both.unionByName(loops)
-    degree = full.groupBy("src").agg(F.count("*").alias("d"))
-    degree = materialise(degree)
-    joined = keyed_join(full, degree, ["src"], "inner", stored=True)
-    joined = keyed_join(joined, degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), ["dst"], stored=True)
+    both = materialise(both_directions(pairs, "src", "dst"))
+    # Only self-loops can meet the nodes' own; all other pairs occur once.
+    loops = both.where("src = dst").unionByName(nodes.select(col(node).alias("src"), col(node).alias("dst")).distinct())
+    loops = loops.groupBy("src", "dst").agg(F.count("*").alias("times"))
+    full = both.where("src <> dst").withColumn("times", F.lit(1).cast("bigint")).unionByName(loops)
+    degree = materialise(full.groupBy("src").agg(F.sum("times").alias("d")))
+    # Both directions are there, so a node is as often a target as a source.
+    largest = degree.agg(F.max("d")).first()[0]
+    joined = keyed_join(full, degree, ["src"], "inner", stored=True, largest=largest)
+    joined = keyed_join(joined, degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), ["dst"], stored=True, largest=largest)
     weight = F.lit(1.0) / F.sqrt(F.col("d").cast("double") * F.coalesce("e", F.lit(1)).cast("double"))
-    return joined.groupBy("src", "dst").agg(F.sum(weight).alias("weight"))
+    return joined.select("src", "dst", (F.col("times") * weight).alias("weight"))
+
+
+def both_directions(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs and their reverse, dealt out so that a task holds a bounded number."""
+    both = pairs.unionByName(pairs.select(col(b).alias(a), col(a).alias(b)))
+    parts = math.ceil(2 * pairs.count() / settings.PAIR_TASK_ROWS)
+    if parts > 1:
+        both = both.repartition(parts, a, b)
+    return both.distinct()
 
 
 def neighbour_means(edges: DataFrame, src: str, dst: str, nodes: DataFrame, node: str,
                     features: list[str]) -> DataFrame:
     """Mean feature of each node's neighbours (both directions, 0 for isolated nodes)."""
     pairs = edges.select(col(src).alias("a"), col(dst).alias("b")).where("a is not null and b is not null")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialise(both_directions(pairs, "a", "b"))
     table = nodes.select(col(node).alias("b"), *[F.coalesce(number(nodes, n), F.lit(0.0)).alias(n) for n in features])
     means = keyed_join(both, table, ["b"], "inner").groupBy("a").agg(*[F.avg(col(n)).alias(f"{n}_neighbours") for n in features])
     return nodes.select(col(node)).join(means, col(node) == F.col("a"), "left").select(

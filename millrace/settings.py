@@ -22,6 +22,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 # Largest number of rows that a task of an iterative model fit holds.
 FIT_TASK_ROWS = 500_000
 
+# Pairs of nodes that a task makes distinct.
+PAIR_TASK_ROWS = 1_000_000
+
 # Rows per block of the nearest-neighbour join, reference points drawn per cell, and bytes of all of them in a task;
 # bytes of the donors that a task of the join holds.
 NEIGHBOR_BLOCK_ROWS = 4_096

@@ -228,3 +228,27 @@ def test_core_filter_counts_no_rows_again(spark, monkeypatch):
     df = spark.createDataFrame([(u, i) for u in range(4) for i in range(4)] + [(9, 0), (0, 9)], "user_id int, item_id int")
     assert O.FilterKCore(k=4).transform(df).count() == 16
     assert O.FilterKCore(item_col=None, k=5).transform(df).count() == 5
+
+
+def test_pairs_are_dealt_out_and_made_once(spark, monkeypatch):
+    from millrace.functions import joins
+    from millrace.plans import inputs
+
+    def refuse(*_):
+        raise AssertionError("rows of keys are counted again")
+
+    monkeypatch.setattr(settings, "PAIR_TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(settings, "BROADCAST_BYTES", 0)
+    edges = spark.createDataFrame([(i % 20, i * 7 % 30) for i in range(200)] + [(3, 3), (3, 3)], "a int, b int")
+    nodes = spark.createDataFrame([(i,) for i in range(40)], "n int")
+    monkeypatch.setattr(joins, "hot_keys", refuse)
+    got = {(r["src"], r["dst"]): r["weight"] for r in inputs.normalised_adjacency(edges, "a", "b", nodes, "n").collect()}
+    pairs = {(r["a"], r["b"]) for r in edges.collect()}
+    full = sorted(pairs | {(b, a) for a, b in pairs}) + [(i, i) for i in range(40)]
+    size = {i: sum(a == i for a, _ in full) for i in range(40)}
+    wanted: dict = {}
+    for a, b in full:
+        wanted[a, b] = wanted.get((a, b), 0) + 1 / np.sqrt(size[a] * size[b])
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-12 for k in wanted)
+    dealt = inputs.both_directions(edges, "a", "b").groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] < 150 and dealt.count() > 2
